@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }

@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Fixed value: the white space of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
@@ -66,20 +68,21 @@ def small_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
-    """mapInArrow with a function from a batch to columns; `make` runs once for each task."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
+    """mapInArrow with a function from a batch to columns; `make` runs once for each task.
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema), prefers_large_types=False)
+    Columns that are Arrow arrays already, such as those carried along, keep their type.
+    """
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in zip(arrow, out.values(), strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in zip(arrow, out.values(), strict=True)], names=arrow.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
