@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, mixing
 
 QUERIES = {
+    "op8_mixing": mixing.op8_mixing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_mixing": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
