@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, packing
 
 QUERIES = {
+    "op9_packing": packing.op9_packing,
     "op8_mixing": mixing.op8_mixing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
