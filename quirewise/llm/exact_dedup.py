@@ -47,12 +47,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", F.sha2("norm", 256))
     hot = hot_digests(rows)
     spread = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    salt = F.when(F.col("digest").isin(hot), spread).otherwise(F.lit(0)) if hot else F.lit(0)
-    dealt = rows.withColumn("prefix", F.substring("norm", 1, PREFIX)).withColumn("salt", salt).repartitionByRange("prefix", "digest", "salt")
+    keys = ["prefix", "digest"]
+    dealt = rows.withColumn("prefix", F.substring("norm", 1, PREFIX))
+    if hot:  # not a constant otherwise: the window would lose it, and the range partitioning not meet its distribution
+        keys.append("salt")
+        dealt = dealt.withColumn("salt", F.when(F.col("digest").isin(hot), spread).otherwise(F.lit(0)))
+    dealt = dealt.repartitionByRange(*keys)
     # The range partitioning meets the window's distribution: no exchange, only the external sort.
-    equal = Window.partitionBy("prefix", "digest", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
+    equal = Window.partitionBy(*keys, "norm").orderBy(F.col("id").asc_nulls_last())
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = dealt.select("id", "digest", "salt", "norm", F.row_number().over(equal).alias("place"), F.first("id").over(whole).alias("least"), F.count(F.lit(1)).over(whole).alias("n"))
+    runs = dealt.select("id", "digest", "norm", F.row_number().over(equal).alias("place"), F.first("id").over(whole).alias("least"), F.count(F.lit(1)).over(whole).alias("n"))
     own = runs.drop("norm").withColumns({"keep_id": F.col("least"), "size": F.col("n")})
     if hot:
         own = _merged(runs, hot)
