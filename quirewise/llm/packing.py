@@ -22,39 +22,74 @@ from .ranks import buckets_for, order_key, running_before
 
 SIZE = 2048
 END_ID = 1
-#: Distinct white-space chunks whose ids a worker remembers; it starts anew beyond.
+#: Distinct pieces of text whose ids a worker surely remembers.
 CACHE = 200_000
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit bytes.
+class Recent:
+    """A map that remembers at least the last `size` keys used, and at most twice as many."""
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its chunks, and
-    each distinct chunk is encoded once.
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes, for byte-level BPE that drops white space.
+
+    A text's ids are those of its pieces, so each distinct piece is encoded once, by the model
+    alone.  Plain text is lower-cased and split into pieces here; in other text, any chunk between
+    white space that is not plain goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, batch: list[str]) -> list[bytes]:
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), Recent(cache)
+        # Fixed value: the pattern by which the tokenizer splits.
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        #: Characters that NFC keeps and that lower-case by themselves.
+        self.plain = regex.compile(r"[\t-\r -~\u00A1-\u012F\u0131-\u017F]*").fullmatch
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+    def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            found = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            self.pieces.put(piece, ids := b"".join([t.id.to_bytes(4, "little") for t in found]))
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        pieces = self.split(text.lower())
+        found = list(map(self.pieces.new.get, pieces))
+        if None in found:
+            found = [self._piece(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
+    def encode(self, text: str) -> bytes:
+        if self.plain(text) and "<|" not in text:
+            return self._plain(text)
         out = []
-        for at in range(0, len(batch), 64):
-            chunks = [t.encode("utf-8").split() for t in batch[at : at + 64]]
-            known = self.known
-            new = list({c for x in chunks for c in x if c not in known})
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({c for x in chunks for c in x})
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join([known[c] for c in x]) for x in chunks]
-        return out
+        for chunk in text.encode().split():
+            c = chunk.decode()
+            own = self._plain(c) if self.plain(c) and "<|" not in c else np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            out.append(own)
+        return b"".join(out)
 
 
 def default_tokenizer() -> str:
@@ -68,12 +103,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, id_col: str, text_col: st
     end = np.array([END_ID], "<u4").tobytes()
 
     def make():
-        encoder = ChunkEncoder(tokenizer)
+        encoder = Encoder(tokenizer)
 
         def f(batch: pa.RecordBatch) -> dict:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, own in enumerate(encoder.encode(texts(batch))):
-                own += end
+            for k, t in enumerate(texts(batch)):
+                own = encoder.encode(t) + end
                 n = len(own) // 4
                 for lo in range(0, n, size):
                     part = own[4 * lo : 4 * (lo + size)]
