@@ -143,7 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = sizes.join(F.broadcast(listed), sizes["source"].eqNullSafe(listed["source"])).select("doc_id", "source_no", "size", "source_size", "target", order_key(F.col("doc_id")).alias("key"))
     digits = buckets_for(max([r["rows"] for r in found], default=0))
     streams = written(running_before(keyed, "source_no", "key", digits, F.col("size"), ["doc_id", "size"], "at").drop("key"), "mix-streams")
-    slots = schedule(spark, quota)
+    # Written, as the planner would take its size from the few chunk numbers, and broadcast it.
+    slots = written(schedule(spark, quota), "mix-slots")
     pieces = _blocks(streams).join(slots.withColumnRenamed("rank", "block"), ["source_no", "block"])
     return pieces.select("slot", "doc_id", "source_no", "at", "start", "length"), streams
 
