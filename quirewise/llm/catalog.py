@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op9_packing": packing.op9_packing,
     "op8_mixing": mixing.op8_mixing,
