@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, col, small_batches, table, texts, written
+from .common import WORD, arrow_map, col, small_batches, table, texts, written
 from .ranks import buckets_for, order_key, running_before
 
 WEIGHTS = (5, 2, 1)
@@ -162,6 +163,40 @@ def _blocks(streams: DataFrame) -> DataFrame:
     return rows.select("source_no", "block", "doc_id", "at", (begin - F.col("lo")).alias("start"), (end - begin).alias("length"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents as the mix takes them, with the columns of `docs`.
+
+    A document that the mix takes twice comes twice; the last one that a source's target reaches
+    comes with its first words only; documents that the mix doesn't take, and those without words,
+    are left out.  Rows that repeat an id share what the mix takes of them by their sizes.
+    """
+    pieces, streams = mix(docs, id_col, text_col, source_col)
+    words = pieces.groupBy("source_no", "at").agg(F.sum("length").alias("words"))
+    taken = streams.filter("size > 0").join(words, ["source_no", "at"]).groupBy("doc_id").agg(F.sum("words").alias("taken"), F.sum("size").alias("size"))
+    rest = F.struct(*[col(c) for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), col(text_col).alias("text"))
+    met = rows.join(taken, F.col("row")[id_col].cast("long").eqNullSafe(F.col("doc_id"))).select("row", "text", "taken", "size")
+    schema = StructType([met.schema["row"], met.schema["text"]])
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict:
+            at, out = [], []
+            for k, (t, taken, size) in enumerate(zip(texts(batch), batch.column("taken").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                ends = [m.end() for m in WORD.finditer(t)]
+                if not ends:
+                    continue
+                whole, part = divmod(len(ends) * taken // size, len(ends))
+                own = [t] * whole + ([t[: ends[part - 1]]] if part else [])
+                at += [k] * len(own)
+                out += own
+            return {"row": batch.column("row").take(pa.array(at, pa.int64())), "text": out}
+
+        return f
+
+    done = arrow_map(met, schema, make)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, streams = mix(table(spark, sf_dir, "documents"))
     taken = pieces.groupBy("source_no", "at").agg(F.sum("length").alias("words"))

@@ -394,5 +394,11 @@ def _forest(label: np.ndarray, pairs: np.ndarray) -> list[int]:
     return taken
 
 
+def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is the smallest of their class, with the columns of `docs`; those without words stay."""
+    kept = NgramJoin(words, percent).run(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    return docs.join(kept, col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(4, 85).run(table(spark, sf_dir, "documents"))

@@ -179,6 +179,14 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     return arrow_map(rows, schema, make)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score `threshold` or more, with the columns of `docs`; all, where nothing can be learnt."""
+    small_batches(docs.sparkSession)
+    kept = score(docs, train(docs, labels, id_col, text_col), id_col, text_col).filter(F.col("score") >= threshold)
+    place = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return kept.select(*[place.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     small_batches(spark)
