@@ -1,15 +1,66 @@
-"""Corpus pipeline: five operators in a row over `documents`."""
+"""Corpus pipeline: quality, repeated lines, near copies, source mix, packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirewise.llm import line_dedup, mixing, ngram_join, packing, quality
+from quirewise.llm.common import table, written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where a stage changed it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go from the texts."""
+    done = line_dedup.dedup_lines(docs)
+    return _counted(done.select("row.*"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five words, similarity 0.8) the smallest id stays."""
+    return ngram_join.one_of_each_class(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return _counted(mixing.mixed_documents(docs))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in the sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", near_duplicates),
+    ("source_mixing", source_mix),
+    ("packing", packed_sequences),
+]
 
-STAGES: list = []
+#: SQL can't express the trained classifier.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over `documents`, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs
