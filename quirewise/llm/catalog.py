@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, quality_rules
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, quality_rules
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op2_quality": quality.op2_quality,
     "op10_ngram_join": ngram_join.op10_ngram_join,
