@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, quality_rules
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, pseudo_likelihood, quality, quality_rules, quotation
 
 QUERIES = {
+    "op5_lm_scores": pseudo_likelihood.op5_lm_scores,
+    "op6_chat_quotes": quotation.op6_chat_quotes,
     "op1_pii": pii.op1_pii,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op2_quality": quality.op2_quality,
