@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _SCRATCH = "quirewise-scratch"
 
@@ -85,6 +85,11 @@ def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
     return df.mapInArrow(run, kind)
 
 
+def lower_words(text: str) -> list[bytes]:
+    """The words, A-Z in lower case; bytes split at just the contracts' white space."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -7,7 +7,7 @@ similar enough and whose sizes fit share one signature at least; no similarity i
 
 Equal sets are one node.  A node's bucket mates are candidates, but buckets are never expanded into
 all pairs.  First each node is compared with the bucket leader it meets most often; the links found
-give classes.  Then only pairs of different classes are candidates, and only those that a 256-bit
+give classes.  Then only pairs of different classes are candidates, and only those that a
 count sketch (a lower bound of the difference) lets pass: first, in each bucket, a spanning forest of
 the closest pairs, then, over the merged classes, all that are left.  Every candidate is verified on the
 full sets, so classes are exact.
@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, arrow_map, col, small_batches, table, texts, written
+from .common import arrow_map, col, lower_words, small_batches, table, texts, written
 from .components import components
 from .packing import Recent
 from .perfect_hash import mix
 
-BINS = 64
+BINS = 256
+SKETCH = 2 * BINS // 64
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
 #: Rows of a bucket that one task compares with as many others; larger buckets become a grid of blocks.
 BLOCK = 4096
 TILE = 256
@@ -43,7 +45,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 def shingle_set(text: str, n: int, seed: int = 0) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; of all words if fewer; none without words."""
-    words = text.translate(LOWER_ASCII).encode("utf-8", "surrogatepass").split()
+    words = lower_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh3_64_intdigest
@@ -64,17 +66,18 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Counts modulo 16 over BINS ranges, packed into four 64-bit integers."""
-    counts = (np.bincount((elements >> np.uint64(58)).astype(np.int64), minlength=BINS) & 15).astype(np.uint8)
-    return (counts[0::2] | counts[1::2] << 4).view("<i8")
+    """Counts modulo 4 over BINS ranges, in Gray code, as SKETCH 64-bit integers.
+
+    Two Gray codes differ in as many bits as the counts differ around the cycle of 4, which is at
+    most the number of elements by which the sets differ in that range.
+    """
+    counts = np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=BINS) & 3
+    return np.packbits(np.concatenate([counts >> 1, (counts ^ counts >> 1) & 1]).astype(np.uint8)).view("<i8")
 
 
-def unpacked(sketches: np.ndarray) -> np.ndarray:
-    """(rows, BINS) counts modulo 16 of (rows, 4) packed integers."""
-    b = np.ascontiguousarray(sketches).astype("<i8").view(np.uint8)
-    out = np.empty((len(b), BINS), np.uint8)
-    out[:, 0::2], out[:, 1::2] = b & 15, b >> 4
-    return out
+def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of elements in which sets differ, from their sketches (last axis)."""
+    return np.bitwise_count((a ^ b).astype(np.uint64)).sum(-1, dtype=np.int64)  # of signed numbers it counts the bits of the absolute value
 
 
 class Bands:
@@ -126,6 +129,11 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Partitions of work that is heavy for its bytes, and that adaptive execution shall not coalesce."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def close_enough(percent: int, a, b, difference):
     """Whether sets of sizes a and b that differ in at least `difference` elements can be linked."""
     return (100 - percent) * (a + b) >= (100 + percent) * difference
@@ -138,7 +146,7 @@ class NgramJoin:
         self.words, self.percent = words, percent
 
     def described(self, docs: DataFrame, seed: int) -> DataFrame:
-        """(doc_id, n, node, check, s0..s3) of each row; node and check name the set."""
+        """(doc_id, n, node, check, s0..) of each row; node and check name the set."""
         words = self.words
 
         def make():
@@ -147,11 +155,11 @@ class NgramJoin:
                 names = np.array([digest(s) for s in sets], np.int64)
                 sk = np.stack([sketch(s) for s in sets])
                 out = {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(names[:, 0]), "check": pa.array(names[:, 1])}
-                return out | {f"s{k}": pa.array(sk[:, k]) for k in range(4)}
+                return out | {c: pa.array(sk[:, k]) for k, c in enumerate(_SKETCH)}
 
             return f
 
-        return arrow_map(docs, "doc_id long, n long, node long, check long, s0 long, s1 long, s2 long, s3 long", make)
+        return arrow_map(docs, "doc_id long, n long, node long, check long, " + ", ".join(f"{c} long" for c in _SKETCH), make)
 
     def signed(self, docs: DataFrame, seed: int) -> DataFrame:
         """(sig, node).  A task signs a set it has met lately once only."""
@@ -235,7 +243,7 @@ class NgramJoin:
 
             return f
 
-        met = leaders.unionByName(others).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        met = leaders.unionByName(others).repartition(_tasks(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return written(arrow_map(met.drop("salt"), "a long, b long", make), "join-links")
 
     def across(self, buckets: DataFrame, labels: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
@@ -243,14 +251,14 @@ class NgramJoin:
 
         A bucket of more than BLOCK rows becomes a grid of blocks, so a task holds two blocks' rows.
         """
-        percent = self.percent
+        percent, spark = self.percent, buckets.sparkSession
         classed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         own = Window.partitionBy("sig")
         mixed = classed.select("*", F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("m")).filter("lo != hi")
-        sized = mixed.join(nodes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
+        sized = mixed.join(nodes.select("node", "n", *_SKETCH), "node")
         sized = sized.withColumn("grid", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
         dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        met = dealt.select("sig", "i", "j", "part", "node", "root", "n", "s0", "s1", "s2", "s3").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        met = dealt.select("sig", "i", "j", "part", "node", "root", "n", *_SKETCH).repartition(_tasks(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -284,7 +292,7 @@ class NgramJoin:
         rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
         for seed in range(8):
             described = written(self.described(rows, seed), "join-rows")
-            sketches = [F.max(f"s{k}").alias(f"s{k}") for k in range(4)]
+            sketches = [F.max(c).alias(c) for c in _SKETCH]
             named = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"), *sketches)
             nodes = written(named, "join-nodes")
             if nodes.filter("lo != hi").isEmpty():  # else two sets share a 64-bit name: name them anew
@@ -293,7 +301,10 @@ class NgramJoin:
             raise RuntimeError("set names collide")
         own = Window.partitionBy("sig")
         met = self.signed(rows, seed).select("sig", "node", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("hi"))
-        buckets = written(met.filter("lead != hi").drop("hi").distinct(), "join-buckets")
+        held = met.filter("lead != hi").drop("hi").distinct()
+        # Copies that agree on many parts share as many buckets: buckets of the same members become
+        # one, named by their members.  Should two names be equal, their buckets merge; no pair is lost.
+        buckets = written(held.select(F.bit_xor(F.xxhash64("node")).over(own).alias("sig"), "node", "lead").distinct(), "join-buckets")
         often = buckets.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
         tested = written(self._plausible(often.select(F.greatest("node", "best.lead").alias("a"), F.least("node", "best.lead").alias("b")).distinct(), nodes), "join-pairs")
         labels = written(components(self.linked(rows, nodes, tested, seed)), "join-labels")
@@ -317,13 +328,12 @@ class NgramJoin:
 
     def _plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         percent = self.percent
-        side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", "s0", "s1", "s2", "s3").alias(f"of_{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", *_SKETCH).alias(f"of_{x}"))
 
         def make():
             def f(batch: pa.RecordBatch) -> dict:
-                x, y = (np.stack([batch.column(c).field(k).to_numpy() for k in range(5)], 1) for c in ("of_a", "of_b"))
-                d = (unpacked(x[:, 1:]) - unpacked(y[:, 1:])) & 15
-                ok = pa.array(close_enough(percent, x[:, 0], y[:, 0], np.minimum(d, 16 - d).sum(1, dtype=np.int64)))
+                x, y = (np.stack([batch.column(c).field(k).to_numpy() for k in range(1 + SKETCH)], 1) for c in ("of_a", "of_b"))
+                ok = pa.array(close_enough(percent, x[:, 0], y[:, 0], least_difference(x[:, 1:], y[:, 1:])))
                 return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
 
             return f
@@ -335,7 +345,7 @@ def _candidates(rows: pa.Table, percent: int, closest: bool) -> pa.RecordBatch:
     """Of a bucket's block: pairs of different classes that the sketches let pass."""
     get = lambda c: rows.column(c).to_numpy()
     node, root, n, part = get("node"), get("root"), get("n"), get("part")
-    counts = unpacked(np.stack([get(f"s{k}") for k in range(4)], 1))
+    sketches = np.stack([get(c) for c in _SKETCH], 1)
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     left, right = (np.flatnonzero(part == x) for x in (i, j))
     out = []
@@ -343,16 +353,12 @@ def _candidates(rows: pa.Table, percent: int, closest: bool) -> pa.RecordBatch:
         x = left[a : a + TILE]
         for b in range(a if i == j else 0, len(right), TILE):
             y = right[b : b + TILE]
-            fits = (root[x][:, None] != root[y]) & close_enough(percent, n[x][:, None], n[y], np.abs(n[x][:, None] - n[y]))
+            far = np.maximum(least_difference(sketches[x][:, None], sketches[y]), np.abs(n[x][:, None] - n[y]))
+            ok = (root[x][:, None] != root[y]) & close_enough(percent, n[x][:, None], n[y], far)
             if i == j and a == b:
-                fits &= np.arange(len(x))[:, None] < np.arange(len(y))
-            p, q = np.nonzero(fits)
-            for at in range(0, len(p), 1 << 16):
-                u, v = x[p[at : at + (1 << 16)]], y[q[at : at + (1 << 16)]]
-                d = (counts[u] - counts[v]) & 15
-                far = np.minimum(d, 16 - d).sum(1, dtype=np.int64)
-                ok = close_enough(percent, n[u], n[v], far)
-                out.append(np.stack([u[ok], v[ok], far[ok]], 1))
+                ok &= np.arange(len(x))[:, None] < np.arange(len(y))
+            p, q = np.nonzero(ok)
+            out.append(np.stack([x[p], y[q], far[p, q]], 1))
     pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     if closest and len(pairs):
         pairs = pairs[_forest(np.unique(root, return_inverse=True)[1], pairs)]

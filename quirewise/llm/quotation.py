@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, arrow_map, small_batches, table, texts, written
+from .common import arrow_map, lower_words, small_batches, table, texts, written
 
 #: Shorter lines ("Yes.", "Thanks!") say nothing about where they come from.
 MIN_WORDS = 3
@@ -46,10 +46,10 @@ def parsed(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
 
 
 def line_hash(line: str) -> int | None:
-    words = line.translate(LOWER_ASCII).split()
+    words = lower_words(line)
     if len(words) < MIN_WORDS:
         return None
-    h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh3_64_intdigest(b" ".join(words))
     return h - (h >> 63 << 64)
 
 
