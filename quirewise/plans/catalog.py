@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import collaboration_queries, scalar_queries, text_queries
+from .registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["file_overview"](spark, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "collaboration_queries", "flagship", "scalar_queries", "text_queries"]

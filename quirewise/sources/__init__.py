@@ -1,0 +1,81 @@
+"""Readers and writers: tables, binary files, label catalogues, manifests, JSON requests, poll streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.scalars import basename, filled, trim
+from ..schemas import MANIFEST, PAYLOAD
+
+UNIT = "_id string, segment struct<source string>"
+
+
+def binary_files(spark: SparkSession, path: str, storage_id: int = 1) -> DataFrame:
+    """Files as rows of the catalogue; the content column is read only where it is selected."""
+    name = basename(F.col("path"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return raw.select(F.concat(F.lit(f"{storage_id}:"), F.expr("parse_url(path, 'PATH')")).alias("file_identifier"), F.lit(storage_id).alias("storage_id"), "path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), "content")
+
+
+def labels(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(locale, key, text) of XML label files, by locale."""
+    frames = [spark.read.format("xml").option("rowTag", "unit").schema(UNIT).load(p).select(F.lit(k).alias("locale"), F.col("_id").alias("key"), F.col("segment.source").alias("text")) for k, p in paths.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def manifest(text: Column) -> Column:
+    """Entries of a build manifest; null if it is missing or invalid."""
+    return F.when(json_object(text), F.from_json(text, MANIFEST))
+
+
+def manifest_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(manifest(F.col("value")).alias("entries"))
+
+
+def manifest_script(entries: Column, entry: str) -> Column:
+    return F.try_element_at(entries, F.lit(entry))["file"]
+
+
+def manifest_style(entries: Column, entry: str, fallback: str = "style.css") -> Column:
+    """The entry's first style sheet, else the fallback entry's file."""
+    return F.coalesce(F.try_element_at(F.try_element_at(entries, F.lit(entry))["css"], F.lit(1)), F.try_element_at(entries, F.lit(fallback))["file"])
+
+
+def json_object(text: Column) -> Column:
+    """Whether a text is a valid JSON object; the lenient reader makes a record of nulls from a broken one."""
+    return trim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+
+
+def payload(body: Column) -> Column:
+    """Request fields as strings; null for bodies that aren't a JSON object (status 400)."""
+    return F.when(json_object(body), F.from_json(body, PAYLOAD))
+
+
+def parameter(remembered: Column, *sources: Column) -> Column:
+    """The remembered value unless empty, else the first source that is there, even if empty; trimmed."""
+    return trim(F.coalesce(filled(trim(remembered)), *sources, F.lit("")))
+
+
+def module_text(spark: SparkSession, path: str) -> DataFrame:
+    """All modules of a build folder as one text, by name; a build has few and small modules."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    return files.agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda x: x["value"])).alias("text"))
+
+
+def polled(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000) -> DataFrame:
+    """A folder that new files arrive in, as a stream; start it with a trigger of five seconds."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def envelope(ok: Column, content: Column) -> Column:
+    """A response's map; the content cannot override ok (right side wins under the session settings)."""
+    return F.map_concat(content, F.create_map(F.lit("ok"), F.when(ok, "true").otherwise("false")))
+
+
+def append_revisions(revisions: DataFrame, path: str) -> None:
+    revisions.write.mode("append").parquet(path)

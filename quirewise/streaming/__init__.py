@@ -1,0 +1,82 @@
+"""Streaming forms: presence sessions and the revision counter, equal to the batch forms on the same operations."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.presence import TTL
+from ..operators.revisions import SaveState
+
+OPS_SCHEMA = "seq long, t long, user_id long, op string, file string"
+
+
+def presence_windows(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
+    """Sessions of a stream of operations, by event time.
+
+    Operations later than `late` are dropped (a server clock has none); a session is emitted once the
+    watermark passes its end, so the last ones stay open until newer operations come.
+    """
+    timed = ops.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
+    grouped = timed.groupBy("user_id", F.session_window("at", f"{ttl} seconds"))
+    return grouped.agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "ended", "n")
+
+
+class SaveProcessor(StatefulProcessor):
+    """The replay of saves with a file's state in the state store: one value and one map."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.revision = handle.getValueState("revision", "revision int")
+        self.known = handle.getMapState("known", "user_id long", "revision int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq")
+        users = {int(u) for u in batch["user_id"]}
+        known = {u: self.known.getValue((u,))[0] for u in users if self.known.containsKey((u,))}
+        revision = self.revision.get()[0] if self.revision.exists() else 0
+        state = SaveState(key[0], revision, known)
+        made = [r for r in map(state.step, batch["file"], batch["seq"], batch["user_id"], batch["op"]) if r]
+        self.revision.update((state.revision,))
+        for u, r in state.known.items():
+            self.known.updateValue((int(u),), (int(r),))
+        yield pd.DataFrame(made, columns=["seq", "file", "user_id", "status", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+def replayed_saves(ops: DataFrame) -> DataFrame:
+    """(seq, file, user_id, status, revision) of each save of the stream.
+
+    A micro-batch is folded in order of seq, so files must see their operations in order across
+    batches.  Where the state store's server isn't available, `fold_saves` gives the same.
+    """
+    moves = ops.filter(F.col("op").isin("join", "save"))
+    return moves.groupBy("file").transformWithStateInPandas(SaveProcessor(), "seq long, file string, user_id long, status string, revision int", "append", "none")
+
+
+def fold_saves(ops: DataFrame) -> DataFrame:
+    """The same by group state: the state holds the revision and what each user knows."""
+    schema = "seq long, file string, user_id long, status string, revision int"
+
+    def fold(key, frames, state):
+        revision, users, known = state.get if state.exists else (0, [], [])
+        now = SaveState(key[0], revision, dict(zip(users, known, strict=True)))
+        batch = pd.concat(list(frames)).sort_values("seq")
+        made = [r for r in map(now.step, batch["file"], batch["seq"].astype(int), batch["user_id"].astype(int), batch["op"]) if r]
+        state.update((now.revision, [int(u) for u in now.known], [int(r) for r in now.known.values()]))
+        yield pd.DataFrame(made, columns=["seq", "file", "user_id", "status", "revision"])
+
+    moves = ops.filter(F.col("op").isin("join", "save"))
+    return moves.groupBy("file").applyInPandasWithState(fold, schema, "revision int, users array<long>, known array<int>", "append", "NoTimeout")
+
+
+def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Runs all that is there (availableNow) into a Parquet folder, and reads it back."""
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
