@@ -38,8 +38,8 @@ BLOCK = 4096
 TILE = 256
 #: Comparisons with one leader that a task does; leaders of more nodes are copied to several tasks.
 PER_LEADER = 5000
-#: Nodes whose ids are broadcast to fetch their sets; more are joined.
-BROADCAST_IDS = 300_000
+#: Comparisons (a few numbers each) that are broadcast to the documents; more are joined.
+BROADCAST_ROWS = 300_000
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -184,8 +184,8 @@ class NgramJoin:
 
         return arrow_map(docs, "sig long, node long", make)
 
-    def sets_of(self, docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-        """(node, elements) of the given (node, rep); a set may come more than once, from several tasks."""
+    def sets_of(self, docs: DataFrame, nodes: DataFrame, seed: int, few: bool) -> DataFrame:
+        """(node, elements) of the given (node, rep), and of other rows with such an id; a set may come more than once, from several tasks."""
         words = self.words
 
         def make():
@@ -204,23 +204,23 @@ class NgramJoin:
             return f
 
         wanted = nodes.select(F.col("rep").alias("doc_id")).distinct()
-        if nodes.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        read = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-        found = arrow_map(read, "node long, elements binary", make)
-        return found.join(nodes.select("node"), "node", "left_semi")
+        read = docs.alias("d").join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+        return arrow_map(read, "node long, elements binary", make)
 
     def linked(self, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
         """The (a, b) of `pairs` that are linked, by full comparison.  pairs: distinct (a, b) with a != b.
 
-        The sets of all a with one b stream past b's set, which stands first.
+        Each set goes once to every b it is compared with (and each b's own set first), where the sets
+        stream past it; few pairs are broadcast to the sets, many are joined.
         """
         percent = self.percent
-        needed = written(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "rep"), "join-nodes")
-        sets = written(self.sets_of(docs, needed, seed), "join-sets")
         salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_LEADER).cast("int").alias("salts"))
-        leaders = salts.join(sets, F.col("b") == F.col("node")).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "elements")
-        others = pairs.join(salts, "b").join(sets, F.col("a") == F.col("node")).select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a", "elements")
+        leaders = salts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"))
+        others = pairs.join(salts, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
+        roles = written(leaders.unionByName(others), "join-roles")
+        few = roles.count() <= BROADCAST_ROWS
+        needed = written(nodes.join(roles.select("node").distinct(), "node").select("node", "rep"), "join-nodes")
+        sets = self.sets_of(docs, needed, seed, few)
 
         def make():
             held: dict = {}
@@ -243,7 +243,7 @@ class NgramJoin:
 
             return f
 
-        met = leaders.unionByName(others).repartition(_tasks(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        met = sets.join(F.broadcast(roles) if few else roles, "node").select("b", "salt", "a", "elements").repartition(_tasks(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return written(arrow_map(met.drop("salt"), "a long, b long", make), "join-links")
 
     def across(self, buckets: DataFrame, labels: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
