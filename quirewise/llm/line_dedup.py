@@ -29,6 +29,7 @@ from .perfect_hash import PerfectHash, mix
 MIN_CHARS = 10
 SHARD_KEYS = 50_000
 HOT_SHARE = 1 / 64
+LEAST_HOT = 1000
 _STRIP = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ID_LAST = np.iinfo(np.int64).max
@@ -145,8 +146,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashes = written(line_hashes(docs, id_col, text_col), "line-hashes")
     keys = written(shared_keys(hashes).withColumn("least", F.coalesce("least", F.lit(_ID_LAST))), "line-keys")
     total, indexed = hashes.count(), keys.count()
-    hot = {_digest(r): r["least"] for r in keys.filter(F.col("n") >= max(1000, total * HOT_SHARE)).collect()}
-    cold = keys.filter(F.col("n") < max(1000, total * HOT_SHARE))
+    many = max(LEAST_HOT, total * HOT_SHARE)
+    hot = {_digest(r): r["least"] for r in keys.filter(F.col("n") >= many).collect()}
+    cold = keys.filter(F.col("n") < many)
     n_shards = max(1, math.ceil(indexed / SHARD_KEYS))
     shards = written(build_shards(cold, n_shards), "line-shards")
     asked = hashes.join(F.broadcast(_hot_frame(spark, hot)), ["h1", "h2"], "left_anti") if hot else hashes
