@@ -172,7 +172,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     pieces, streams = mix(docs, id_col, text_col, source_col)
     words = pieces.groupBy("source_no", "at").agg(F.sum("length").alias("words"))
-    taken = streams.filter("size > 0").join(words, ["source_no", "at"]).groupBy("doc_id").agg(F.sum("words").alias("taken"), F.sum("size").alias("size"))
+    taken = streams.filter("size > 0").join(words, ["source_no", "at"], "left").groupBy("doc_id").agg(F.sum("words").alias("taken"), F.sum("size").alias("size")).filter("taken > 0")
     rest = F.struct(*[col(c) for c in docs.columns if c != text_col])
     rows = docs.select(rest.alias("row"), col(text_col).alias("text"))
     met = rows.join(taken, F.col("row")[id_col].cast("long").eqNullSafe(F.col("doc_id"))).select("row", "text", "taken", "size")

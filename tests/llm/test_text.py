@@ -1,0 +1,154 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from quirewise.llm import pii, quality, quality_rules
+from quirewise.llm.boosting import Boosted
+from quirewise.llm.catalog import QUERIES
+from tests.llm.conftest import EDGES, as_docs
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    odd, even = digits[-1::-2], digits[-2::-2]
+    return (sum(map(int, odd)) + sum(sum(map(int, str(2 * int(d)))) for d in even)) % 10 == 0
+
+
+def base_brute(text):
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[ -]", "", m.group())
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(1)
+    for _ in range(4000):
+        text = "".join(rng.choices("a@.+-1234567890 ()é_", weights=[3, 2, 3, 1, 1, *[2] * 10, 2, 1, 1, 1, 1], k=rng.randrange(70)))
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == base_brute(text)
+
+
+def test_long_runs_take_little_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 100_000):
+        pii.base_spans(text)
+
+
+PRIVATE = [(50, "mail ann.b@mail.example.com, call +1 (212) 555-0199 now"), (51, "card 4539578763621486 from 10.0.0.7"), (52, "reach me at jane.roe (at) site (dot) org"), (53, "call (212) 555-0147 today"), (54, "7536784127813050 4539578763621486")]
+
+
+def test_pii_rows(spark):
+    rows = EDGES + PRIVATE
+    for r in pii.find_pii(as_docs(spark, rows)).collect():
+        texts = [t or "" for i, t in rows if i == r.doc_id]
+        base = [base_brute(t) for t in texts]
+        written = [",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in base]
+        assert r.base_sha256 in {hashlib.sha256(x.encode()).hexdigest() for x in written}
+        spans = set(r.spans.split(",")) - {""}
+        assert any(set(x.split(",")) - {""} <= spans and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [x.count(k) for k in pii.KINDS] for x in written)
+
+
+def test_boosted_candidates_are_added():
+    model, limits = pii.trained()
+    found = lambda t: [t[a:b] for _, a, b in pii.found_spans(t, model, limits)[1]]
+    assert found(PRIVATE[2][1]) == ["jane.roe (at) site (dot) org"]
+    assert found(PRIVATE[3][1]) == ["(212) 555-0147"]
+    assert found(PRIVATE[4][1]) == ["4539578763621486"]
+    for clean in ("order no. 0123456789 of version 4.0.1", "isbn 978-123-4567-12", "we met at noon and sat (at) last", "in 1984-1985 there were 1,200,300 of them", ""):
+        assert found(clean) == []
+
+
+def test_redaction(spark):
+    (row,) = pii.find_pii(as_docs(spark, PRIVATE[:1]), redact=True).collect()
+    assert row.redacted == "mail [EMAIL], call [PHONE] now"
+
+
+def test_boosting_and_calibration():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    y = np.where(rng.random(3000) < 0.1, 1 - y, y)
+    model = Boosted.fit(x[:1500], y[:1500]).calibrate(x[1500:2200], y[1500:2200])
+    p, t = model.chances(x[2200:]), y[2200:]
+    assert ((p > 0.5) == t).mean() > 0.85
+    assert abs(p.mean() - t.mean()) < 0.05
+
+
+def test_quality_on_held_out_labels(spark, sf_dir):
+    scored = {r.doc_id: r for r in QUERIES["op2_quality"](spark, sf_dir).collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    held = [(scored[r.doc_id], r.quality) for r in labels if scored[r.doc_id].held_out]
+    assert len(held) > 10
+    assert np.mean([s.predicted == q for s, q in held]) >= 0.9
+    assert all(0 <= s.score <= 1 and s.predicted == (s.score >= 0.5) for s in scored.values())
+
+
+def test_quality_edges(spark, edges, nothing):
+    labels = spark.createDataFrame([(5, 1, 0), (7, 1, None), (None, 1, 0), (8, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    net = quality.train(edges, labels)
+    assert quality.score(edges, net).count() == len(EDGES)
+    kept = quality.accepted(edges, labels)
+    assert kept.schema == edges.schema
+    assert quality.accepted(nothing, labels).count() == 0
+    assert quality.accepted(edges, labels.limit(0)).count() == len(EDGES)
+
+
+def test_prior_without_negatives():
+    rng = np.random.default_rng(3)
+    positive = rng.normal(2, 1, (2000, 3))
+    unlabelled = np.concatenate([rng.normal(2, 1, (1200, 3)), rng.normal(-2, 1, (800, 3))])
+    assert 0.4 < quality.estimate_prior(np.ones(5), positive, unlabelled) < 0.8
+    net = quality.fit_nnpu(positive, unlabelled, 0.6)
+    assert (net.scores(unlabelled[:1200]) > 0.5).mean() > 0.9 > 0.1 > (net.scores(unlabelled[1200:]) > 0.5).mean()
+
+
+def rules_brute(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = text.split("\n")
+    dup = sum(1 for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:k])
+    grams = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+    inside = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
+
+
+def test_rule_counts():
+    rng = random.Random(4)
+    texts = [t or "" for _, t in EDGES] + ["".join(rng.choices(["a ", "b ", "c\n", "#", "é ", "\x1c", "<x> "], weights=[6, 6, 2, 1, 1, 1, 1], k=rng.randrange(120))) for _ in range(200)]
+    for t in texts:
+        assert quality_rules.base_counts(t) == rules_brute(t)
+
+
+def test_rules_keep_prose_and_drop_boilerplate(spark):
+    rng = random.Random(8)
+    words = "garden river calm readable old stone under over between morning letter walk answer slowly bright house window a the of and to".split()
+    prose = "\n".join(" ".join(rng.choices(words, k=14)).capitalize() + "." for _ in range(8))
+    menu = "\n".join(f"Home | About | Contact {k} | Products | Sign in | Privacy policy | All rights reserved" for k in range(12))
+    rows = EDGES + [(90, prose), (91, menu), (92, "too short to keep")]
+    got = {r.doc_id: r for r in quality_rules.judged(as_docs(spark, rows)).collect()}
+    assert (got[90].kept, got[91].kept, got[92].kept, got[92].base_failed, got[1].base_failed) == (True, False, False, True, True)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(5)
+    field = quality_rules.Field()
+    field.emit, field.move, field.begin = rng.normal(size=field.emit.shape), rng.normal(size=(2, 2)), rng.normal(size=2)
+    for n in (1, 2, 6):
+        x = rng.normal(size=(n, quality_rules.FEATURES))
+        e = x @ field.emit
+        value = lambda s: field.begin[s[0]] + sum(e[k, v] for k, v in enumerate(s)) + sum(field.move[a, b] for a, b in zip(s, s[1:], strict=False))  # noqa: B023, E731
+        paths = [tuple(int(b) for b in f"{k:0{n}b}") for k in range(2**n)]
+        assert tuple(field.viterbi(x)) == max(paths, key=value)
+
+
+@pytest.mark.parametrize("f", [pii.find_pii, quality_rules.judged])
+def test_empty_tables(nothing, f):
+    assert f(nothing).count() == 0
