@@ -140,7 +140,7 @@ def test_gradients_of_the_window_network():
 
 def test_scores_prefer_order(spark):
     order = "one two three four five six seven eight nine ten ".split()
-    rows = [(i, " ".join(order * 12)) for i in range(120)] + [(1000, " ".join(order)), (1001, " ".join(random.Random(1).sample(order, 10)))] + EDGES
+    rows = [(10_000 + i, " ".join(order * 12)) for i in range(1500)] + [(1000, " ".join(order)), (1001, " ".join(random.Random(1).sample(order, 10)))] + EDGES
     got = {r.doc_id: r for r in pseudo_likelihood.lm_scores(as_docs(spark, rows)).collect()}
     assert got[1000].mean_log_probability > got[1001].mean_log_probability + 1
     assert (got[2].n_tokens, got[2].log_probability, got[2].mean_log_probability) == (0, 0.0, None)
