@@ -17,12 +17,12 @@ CHUNK = 4096
 
 
 def sessions(ops: DataFrame, as_of: int | None = None) -> DataFrame:
-    """(file, user_id, file_hash, last_heartbeat, deleted, crdate): one row per file and user up to `as_of`."""
+    """(file, user_id, uid, file_hash, last_heartbeat, deleted, crdate): one row per file and user up to `as_of`; uid is the seq of the latest join."""
     seen = ops.filter(F.col("op").isin("join", "heartbeat", "leave"))
     seen = seen if as_of is None else seen.filter(F.col("t") <= as_of)
     alive = F.col("op") != "leave"
-    grouped = seen.groupBy("file", "user_id").agg(F.max(F.when(alive, F.col("t"))).alias("last_heartbeat"), F.max_by("op", "seq").alias("last_op"), F.min("t").alias("crdate"))
-    return grouped.filter("last_heartbeat is not null").select("file", "user_id", sha256(F.col("file")).alias("file_hash"), "last_heartbeat", (F.col("last_op") == "leave").alias("deleted"), "crdate")
+    grouped = seen.groupBy("file", "user_id").agg(F.max(F.when(alive, F.col("t"))).alias("last_heartbeat"), F.max_by("op", "seq").alias("last_op"), F.min("t").alias("crdate"), F.coalesce(F.max(F.when(F.col("op") == "join", F.col("seq"))), F.min("seq")).alias("uid"))
+    return grouped.filter("last_heartbeat is not null").select("file", "user_id", "uid", sha256(F.col("file")).alias("file_hash"), "last_heartbeat", (F.col("last_op") == "leave").alias("deleted"), "crdate")
 
 
 def active(rows: DataFrame, as_of: int | Column, ttl: int = TTL) -> DataFrame:
@@ -48,7 +48,7 @@ def participants(rows: DataFrame, names: DataFrame) -> DataFrame:
     The list is the interface's own shape; a file's editors are few.
     """
     named = rows.join(names, "user_id", "left")
-    record = F.struct(F.col("user_id").alias("userId"), F.coalesce("user_name", F.lit("Editor")).alias("userName"), F.col("last_heartbeat").alias("sessionUid"))
+    record = F.struct(F.col("user_id").alias("userId"), F.coalesce("user_name", F.lit("Editor")).alias("userName"), F.col("uid").alias("sessionUid"))
     return named.groupBy("file").agg(F.sort_array(F.collect_list(record)).alias("participants"))
 
 

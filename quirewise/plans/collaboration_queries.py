@@ -109,8 +109,8 @@ def presence_label(m: Model) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT file, user_id, coalesce('User ' || u.uid, 'Editor') AS user_name, last_heartbeat FROM session_rows LEFT JOIN (SELECT uid FROM users WHERE uid % 2 = 0) u ON u.uid = user_id, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS})
-SELECT file, '[' || string_agg('{{"userId":' || user_id || ',"userName":"' || user_name || '","sessionUid":' || last_heartbeat || '}}', ',' ORDER BY user_id) || ']' AS participants FROM a GROUP BY file
+WITH a AS (SELECT file, user_id, coalesce('User ' || u.k, 'Editor') AS user_name, session_rows.uid FROM session_rows LEFT JOIN (SELECT uid AS k FROM users WHERE uid % 2 = 0) u ON u.k = user_id, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS})
+SELECT file, '[' || string_agg('{{"userId":' || user_id || ',"userName":"' || user_name || '","sessionUid":' || uid || '}}', ',' ORDER BY user_id) || ']' AS participants FROM a GROUP BY file
 """)
 def presence_list(m: Model) -> DataFrame:
     names = m.users.filter("uid % 2 = 0").select(F.col("uid").alias("user_id"), F.concat(F.lit("User "), F.col("uid").cast("string")).alias("user_name"))
@@ -236,7 +236,7 @@ def name_collisions(m: Model) -> DataFrame:
     return files_of.without_collisions(m.files.filter("extension = 'docx'").select("doc_id", "folder", "name"), "doc_id")
 
 
-@query(f"SELECT uid, username, coalesce(nullif(trim(real_name, ' ' || chr(9)), ''), coalesce(username, 'Editor')) AS user_name, count(*) AS sessions FROM session_rows JOIN users ON uid = user_id GROUP BY ALL")
+@query(f"SELECT users.uid, username, coalesce(nullif(trim(real_name, ' ' || chr(9)), ''), coalesce(username, 'Editor')) AS user_name, count(*) AS sessions FROM session_rows s JOIN users ON users.uid = user_id GROUP BY ALL")
 def session_names(m: Model) -> DataFrame:
     counted = presence.sessions(m.ops).groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("sessions"))
     return m.users.join(counted, "uid").select("uid", "username", display_name(F.col("real_name"), F.col("username")).alias("user_name"), "sessions")
