@@ -26,6 +26,61 @@ def presence_windows(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -
     return grouped.agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "ended", "n")
 
 
+class PresenceProcessor(StatefulProcessor):
+    """A session for each file and user, with a timer at its last heartbeat plus the time to live plus one second.
+
+    The idealised rule: a session ends as soon as it is older than the time to live, whether or not
+    some other request purges then.
+    """
+
+    def __init__(self, ttl: int = TTL):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "uid long, last long")
+
+    def _ended(self, key, what: str, t: int) -> tuple:
+        uid, _ = self.session.get()
+        self.session.clear()
+        return key[0], int(key[1]), int(uid), what, t
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file", "user_id", "uid", "event", "t"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch, out = pd.concat(list(rows)).sort_values("seq"), []
+        for seq, t, op in zip(batch["seq"].tolist(), batch["t"].tolist(), batch["op"].tolist(), strict=True):
+            if self.session.exists() and t - self.session.get()[1] > self.ttl:
+                out.append(self._ended(key, "expired", self.session.get()[1] + self.ttl + 1))
+            if op == "join" and not self.session.exists():
+                self.session.update((seq, t))
+                out.append((key[0], int(key[1]), seq, "joined", t))
+            elif op in ("join", "heartbeat") and self.session.exists():
+                self.session.update((self.session.get()[0], t))
+            elif op == "leave" and self.session.exists():
+                out.append(self._ended(key, "left", t))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if self.session.exists():
+            self.handle.registerTimer((self.session.get()[1] + self.ttl + 1) * 1000)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        gone = self.session.exists() and self.session.get()[1] + self.ttl < now
+        yield self._frame([self._ended(key, "expired", now)] if gone else [])
+
+    def close(self) -> None:
+        pass
+
+
+def presence_events(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
+    """(file, user_id, uid, event, t): sessions joined, left and expired; uid is the seq of the join that made it."""
+    moves = ops.filter(F.col("op").isin("join", "heartbeat", "leave")).withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
+    return moves.groupBy("file", "user_id").transformWithStateInPandas(PresenceProcessor(ttl), "file string, user_id long, uid long, event string, t long", "append", "eventtime")
+
+
 class SaveProcessor(StatefulProcessor):
     """The replay of saves with a file's state in the state store: one value and one map."""
 
@@ -53,7 +108,7 @@ def replayed_saves(ops: DataFrame) -> DataFrame:
     """(seq, file, user_id, status, revision) of each save of the stream.
 
     A micro-batch is folded in order of seq, so files must see their operations in order across
-    batches.  Where the state store's server isn't available, `fold_saves` gives the same.
+    batches.  It needs the RocksDB state store; `fold_saves` gives the same with any.
     """
     moves = ops.filter(F.col("op").isin("join", "save"))
     return moves.groupBy("file").transformWithStateInPandas(SaveProcessor(), "seq long, file string, user_id long, status string, revision int", "append", "none")

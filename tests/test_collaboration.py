@@ -115,6 +115,42 @@ def test_saves_stream_over_many_batches(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, revisions.replayed(m.ops).collect()))
 
 
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_saves_in_the_state_store(spark, sf_dir, rocksdb):
+    m = Model(configure(spark), sf_dir)
+    got = streaming.run_once(spark, streaming.replayed_saves(_ops_stream(m)), scratch(m, "saves"), scratch(m, "state"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, revisions.replayed(m.ops).collect()))
+
+
+def test_presence_events(spark, sf_dir, rocksdb):
+    m, ttl = Model(configure(spark), sf_dir), 21_600
+    got = streaming.run_once(spark, streaming.presence_events(_ops_stream(m), ttl), scratch(m, "events"), scratch(m, "state"))
+    live, events = {}, set()
+    ops = [tuple(r) for r in m.ops.select("seq", "t", "user_id", "op", "file").orderBy("seq").collect()]
+    for seq, t, user, op, file in ops:
+        key = (file, user)
+        if op != "save" and key in live and t - live[key][1] > ttl:
+            uid, last = live.pop(key)
+            events.add((*key, uid, "expired", last + ttl + 1))
+        if op == "join" and key not in live:
+            live[key] = [seq, t]
+            events.add((*key, seq, "joined", t))
+        elif op in ("join", "heartbeat") and key in live:
+            live[key][1] = t
+        elif op == "leave" and key in live:
+            events.add((*key, live.pop(key)[0], "left", t))
+    due = {(*key, uid, "expired", last + ttl + 1) for key, (uid, last) in live.items()}
+    emitted = {tuple(r) for r in got.collect()}
+    assert events <= emitted <= events | due
+
+
 def test_presence_stream_is_the_batch_without_open_sessions(spark, sf_dir):
     m = Model(configure(spark), sf_dir)
     got = streaming.run_once(spark, streaming.presence_windows(_ops_stream(m), 45), scratch(m, "w"), scratch(m, "s"))
