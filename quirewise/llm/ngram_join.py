@@ -38,6 +38,8 @@ BLOCK = 4096
 TILE = 256
 #: Comparisons with one leader that a task does; leaders of more nodes are copied to several tasks.
 PER_LEADER = 5000
+#: Sets of more elements have a second sketch, of a sixteenth as many bytes as elements.
+FINE_FROM = 512
 #: Comparisons (a few numbers each) that are broadcast to the documents; more are joined.
 BROADCAST_ROWS = 300_000
 _FACTOR = 0x9E3779B97F4A7C15
@@ -75,6 +77,31 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([counts >> 1, (counts ^ counts >> 1) & 1]).astype(np.uint8)).view("<i8")
 
 
+def fine_sketch(elements: np.ndarray) -> bytes | None:
+    """Counts modulo 4 over as many ranges as large sets need, a byte for four; None for small sets.
+
+    A quarter as many ranges as elements, so that chance agreements stay rare at any size.
+    """
+    if len(elements) <= FINE_FROM:
+        return None
+    bits = max(8, (len(elements) // 4 - 1).bit_length())
+    counts = (np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 3).astype(np.uint8)
+    return (counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
+
+
+def fine_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of differing elements; the finer sketch is folded to the other's ranges."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    x, y = (np.stack([s & 3, s >> 2 & 3, s >> 4 & 3, s >> 6], 1).ravel() for s in (x, y))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[0::2] + x[1::2] & 3
+        else:
+            y = y[0::2] + y[1::2] & 3
+    d = x - y & 3
+    return int(np.minimum(d, 4 - d).sum(dtype=np.int64))
+
+
 def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the number of elements in which sets differ, from their sketches (last axis)."""
     return np.bitwise_count((a ^ b).astype(np.uint64)).sum(-1, dtype=np.int64)  # of signed numbers it counts the bits of the absolute value
@@ -146,7 +173,7 @@ class NgramJoin:
         self.words, self.percent = words, percent
 
     def described(self, docs: DataFrame, seed: int) -> DataFrame:
-        """(doc_id, n, node, check, s0..) of each row; node and check name the set."""
+        """(doc_id, n, node, check, s0.., fine) of each row; node and check name the set."""
         words = self.words
 
         def make():
@@ -155,11 +182,11 @@ class NgramJoin:
                 names = np.array([digest(s) for s in sets], np.int64)
                 sk = np.stack([sketch(s) for s in sets])
                 out = {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(names[:, 0]), "check": pa.array(names[:, 1])}
-                return out | {c: pa.array(sk[:, k]) for k, c in enumerate(_SKETCH)}
+                return out | {c: pa.array(sk[:, k]) for k, c in enumerate(_SKETCH)} | {"fine": [fine_sketch(s) for s in sets]}
 
             return f
 
-        return arrow_map(docs, "doc_id long, n long, node long, check long, " + ", ".join(f"{c} long" for c in _SKETCH), make)
+        return arrow_map(docs, "doc_id long, n long, node long, check long, " + ", ".join(f"{c} long" for c in _SKETCH) + ", fine binary", make)
 
     def signed(self, docs: DataFrame, seed: int) -> DataFrame:
         """(sig, node).  A task signs a set it has met lately once only."""
@@ -299,6 +326,7 @@ class NgramJoin:
                 break
         else:
             raise RuntimeError("set names collide")
+        fine = written(described.filter("fine is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("fine").alias("fine")), "join-fine")
         own = Window.partitionBy("sig")
         met = self.signed(rows, seed).select("sig", "node", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("hi"))
         held = met.filter("lead != hi").drop("hi").distinct()
@@ -306,10 +334,12 @@ class NgramJoin:
         # one, named by their members.  Should two names be equal, their buckets merge; no pair is lost.
         buckets = written(held.select(F.bit_xor(F.xxhash64("node")).over(own).alias("sig"), "node", "lead").distinct(), "join-buckets")
         often = buckets.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
-        tested = written(self._plausible(often.select(F.greatest("node", "best.lead").alias("a"), F.least("node", "best.lead").alias("b")).distinct(), nodes), "join-pairs")
+        best = often.select(F.greatest("node", "best.lead").alias("a"), F.least("node", "best.lead").alias("b")).distinct()
+        tested = written(self._still_plausible(self._plausible(best, nodes), fine), "join-pairs")
         labels = written(components(self.linked(rows, nodes, tested, seed)), "join-labels")
         for closest in (True, False):
-            pairs = written(self.across(buckets, labels, nodes, closest).join(tested, ["a", "b"], "left_anti"), "join-pairs")
+            found = self.across(buckets, labels, nodes, closest).join(tested, ["a", "b"], "left_anti")
+            pairs = written(self._still_plausible(found, fine), "join-pairs")
             if pairs.isEmpty():
                 continue
             tested = tested.unionByName(pairs)
@@ -326,6 +356,21 @@ class NgramJoin:
         out = described.join(ids, (described["node"] == ids["node"]) & (described["n"] > 0), "left")
         return out.select(described["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(described["doc_id"]).alias("component_id"))
 
+    def _still_plausible(self, pairs: DataFrame, fine: DataFrame) -> DataFrame:
+        """The (a, b) that the fine sketches of large sets let pass, and all pairs of other sets."""
+        percent = self.percent
+        side = lambda x: fine.select(F.col("node").alias(x), F.struct("n", "fine").alias(f"of_{x}"))
+
+        def make():
+            def f(batch: pa.RecordBatch) -> dict:
+                x, y = (batch.column(c).to_pylist() for c in ("of_a", "of_b"))
+                ok = pa.array([not (u and v) or bool(close_enough(percent, u["n"], v["n"], fine_difference(u["fine"], v["fine"]))) for u, v in zip(x, y, strict=True)], pa.bool_())
+                return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
+
+            return f
+
+        return arrow_map(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "of_a", "of_b"), "a long, b long", make)
+
     def _plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         percent = self.percent
         side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", *_SKETCH).alias(f"of_{x}"))

@@ -202,6 +202,42 @@ def test_pipeline_stages(spark, sf_dir):
     assert {p.doc_id for p in last} == ids
 
 
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Each stage on what the stage before it kept; the trained classifier's scores are taken as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    from quirewise.llm import quality
+    from quirewise.llm.common import written
+    from tests.llm.test_dedup import join_brute, lines_brute
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect() if r.score >= 0.5}
+    now = written(stage["quality_classifier"](spark, docs, sf_dir), "t")
+    assert {r.doc_id for r in now.collect()} == good
+    rows = [(r.doc_id, r.text) for r in now.collect()]
+    now = written(stage["line_dedup"](spark, now, sf_dir), "t")
+    left = {i: t for i, _, _, t in lines_brute(rows)}
+    assert {r.doc_id: r.text for r in now.collect()} == left and all(r.n_chars == len(r.text) for r in now.collect())
+    now = written(stage["ngram_jaccard_join"](spark, now, sf_dir), "t")
+    stay = {i for i, _, c in join_brute(sorted(left.items()), 5, 80) if i == c}
+    assert {r.doc_id for r in now.collect()} == stay
+    before = {r.doc_id: r for r in now.collect()}
+    now = written(stage["source_mixing"](spark, now, sf_dir), "t")
+    sizes = Counter()
+    for r in before.values():
+        sizes[r.source] += len(r.text.encode().split())
+    want = dict(zip(sizes, mixing.targets(list(sizes.items())), strict=True))
+    taken = Counter()
+    for r in now.collect():
+        assert before[r.doc_id].text.startswith(r.text)
+        taken[r.source] += len(r.text.encode().split())
+    assert taken == Counter({s: math.floor(t) for s, t in want.items()})
+    out = stage["packing"](spark, now, sf_dir).collect()
+    check_packing(out, 2048)
+    e = packing.Encoder(packing.default_tokenizer())
+    assert sum(p.length for p in out) == sum(len(e.encode(r.text)) // 4 + 1 for r in now.collect())
+
+
 def test_pipeline_stages_on_edges(spark, edges, nothing, sf_dir):
     for rows in (edges, nothing):
         for name, stage in corpus_pipeline.STAGES:

@@ -9,7 +9,7 @@ from quirewise.llm import exact_dedup, line_dedup
 from quirewise.llm.components import components
 from quirewise.llm.exact_dedup import exact_dedup as dedup
 from quirewise.llm.line_dedup import dedup_lines
-from quirewise.llm.ngram_join import Bands, NgramJoin, least_difference, one_of_each_class, shingle_set, signatures, sketch
+from quirewise.llm.ngram_join import Bands, NgramJoin, fine_difference, fine_sketch, least_difference, one_of_each_class, shingle_set, signatures, sketch
 from quirewise.llm.perfect_hash import PerfectHash
 from tests.llm.conftest import EDGES, as_docs, near_copies
 
@@ -126,6 +126,7 @@ def test_ngram_join(spark, words, percent, seed):
 def test_blocks_of_large_buckets(spark, monkeypatch):
     from quirewise.llm import ngram_join
 
+    monkeypatch.setattr(ngram_join, "FINE_FROM", 20)
     monkeypatch.setattr(ngram_join, "BLOCK", 5)
     monkeypatch.setattr(ngram_join, "PER_LEADER", 3)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
@@ -138,12 +139,14 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
     for _ in range(1500):
-        n = int(rng.choice([1, 2, 3, 5, 8, 12, 20, 33, 60, 150, 400]))
+        n = int(rng.choice([1, 2, 3, 5, 8, 12, 20, 33, 60, 150, 400, 700, 3000]))
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         cut, more = rng.integers(0, n // 5 + 1), rng.integers(0, n // 5 + 1)
         b = np.unique(np.concatenate([rng.permutation(a)[cut:], rng.integers(0, 2**64, more, dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         assert least_difference(sketch(a), sketch(b)) <= len(a) + len(b) - 2 * common
+        if (x := fine_sketch(a)) and (y := fine_sketch(b)):
+            assert fine_difference(x, y) <= len(a) + len(b) - 2 * common
         if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
             bands = Bands(percent)
             assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
