@@ -132,7 +132,20 @@ def test_gradients_of_the_window_network():
     around = net.windows(ids)
     assert around.shape == (40, 6) and around[0, :3].tolist() == [pseudo_likelihood.VOCABULARY] * 3 and around[5, 3] == ids[6]
     before = net.log_probabilities(ids, around).mean()
-    assert np.allclose(np.exp(net.predicted(around)[2]).sum(1) * np.exp(net.log_probabilities(ids, around)), np.exp(net.predicted(around)[2][np.arange(40), ids]), rtol=1e-4)
+    z = net.predicted(around)[1].astype(float)
+    assert np.allclose(net.log_probabilities(ids, around), z[np.arange(40), ids] - np.log(np.exp(z).sum(1)), atol=1e-4)
+    # One step of Adagrad from nearly nothing moves each weight by the sign of its gradient.
+    grads = []
+    for k in range(0, len(net.weights), 97):
+        loss = []
+        for d in (1e-2, -2e-2):
+            net.weights[k] += np.float32(d)
+            loss.append(-net.log_probabilities(ids, around).mean(dtype=float))
+        net.weights[k] += np.float32(1e-2)
+        grads.append((k, (loss[0] - loss[1]) / 2e-2))
+    old = net.weights.copy()
+    net.learn(ids, around)
+    assert all((old[k] - net.weights[k]) * g > 0 for k, g in grads if abs(g) > 1e-2)
     for _ in range(60):
         net.learn(ids, around)
     assert net.log_probabilities(ids, around).mean() > before + 1
