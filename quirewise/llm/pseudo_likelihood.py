@@ -3,11 +3,16 @@
 A small network predicts every token of a text from WINDOW words on each side, the token itself
 masked; a document's score is the sum of the conditional log-probabilities of all its tokens.
 
-Tokens are the VOCABULARY - SHAPES most frequent words of the whole corpus; any other word is the
-token of its shape (length, ending, characters).  Word counts cover all documents.  Training covers
-all documents once, in ROUNDS rounds: each task trains on its share from the common weights, and
-the tasks' weights are averaged by the tokens they saw.  Only vocabulary and weights, both of fixed
-size, reach the driver.
+The softmax has two levels.  The network predicts a class from the window: the VOCABULARY - SHAPES
+most frequent words of the whole corpus are classes of their own, any other word is in the class of
+its shape (length, ending, characters).  Within a shape a word has the share of its occurrences in
+the corpus, so every word of the corpus is predicted and the vocabulary grows with the input.  That
+share doesn't depend on the window, and within the window rare words count as their shapes.
+
+Word counts cover all documents; they go through the shared folder, not through the driver.
+Training covers all documents once, in ROUNDS rounds: each task trains on its share from the common
+weights, and the tasks' weights are averaged by the tokens they saw.  Only the classes and weights,
+both of fixed size, reach the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, lower_words, small_batches, table, texts
+from .common import arrow_map, col, lower_words, small_batches, table, texts, written
 
 VOCABULARY = 256
 SHAPES = 32
@@ -80,7 +88,75 @@ class Tokens(dict):
         return k
 
     def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, lower_words(text)), np.int32)
+        return self.ids_of(lower_words(text))
+
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+#: Seed of Spark's xxhash64.
+_SEED = 42
+
+
+def shape_totals(words: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """Occurrences in the corpus of all words of each shape."""
+    own = set(vocabulary)
+
+    def make():
+        def f(b: pa.RecordBatch) -> dict:
+            n = np.zeros(SHAPES, np.int64)
+            for w, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if w not in own:
+                    n[shape(w.encode("utf-8"))] += k
+            return {"shape": np.arange(SHAPES), "n": n}
+
+        return f
+
+    out = np.zeros(SHAPES)
+    for r in arrow_map(words, "shape int, n long", make).groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        out[r["shape"]] = r["n"]
+    return out
+
+
+class WordShares:
+    """Log shares of words within their shapes, from the counts of all words.
+
+    `files` hold (key, n) of the words that occur twice or more; any other word occurs once.  A task
+    holds 12 bytes for each of them, read once by each Python worker.
+    """
+
+    _read: tuple[list[str], np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, files: list[str], totals: np.ndarray):
+        if WordShares._read is None or WordShares._read[0] != files:
+            WordShares._read = None  # the last table's memory, before the next is read
+            WordShares._read = (files, *self.counts(files))
+        _, self.keys, self.logs = WordShares._read
+        self.totals = np.log(np.maximum(totals, 1))
+
+    @staticmethod
+    def counts(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for uri in files:
+            store, path = fs.FileSystem.from_uri(uri)
+            t = pq.read_table(path, filesystem=store)
+            parts.append((t.column("key").to_numpy(), np.log(t.column("n").to_numpy()).astype(np.float32)))
+        keys = np.concatenate([np.empty(0, np.int64), *(k for k, _ in parts)])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([np.empty(0, np.float32), *(n for _, n in parts)])[order]
+
+    def total(self, words: list[bytes], ids: np.ndarray) -> float:
+        """The sum of the log shares of a text's words; words that are classes have the share 1."""
+        rare = np.flatnonzero(ids < SHAPES)
+        if not len(rare):
+            return 0.0
+        hashed = xxhash.xxh64_intdigest
+        keys = np.fromiter((hashed(words[k], _SEED) for k in rare.tolist()), np.uint64, len(rare)).view(np.int64)
+        logs = 0.0
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            logs = self.logs[at].sum(where=self.keys[at] == keys, dtype=np.float64)
+        return float(logs - self.totals[ids[rare]].sum())
 
 
 class WindowNetwork:
@@ -192,18 +268,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     small_batches(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    top = word_counts(rows).orderBy(F.desc("n"), "word").limit(VOCABULARY - SHAPES).collect()
+    words = written(word_counts(rows), "lm-words")
+    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHAPES).collect()
     vocabulary = [r["word"] for r in top]
+    totals = shape_totals(words, vocabulary)
+    files = written(words.filter("n > 1").select(F.xxhash64("word").alias("key"), "n"), "lm-counts").inputFiles()
     weights = trained(rows, vocabulary)
 
     def make():
-        net, tokens = WindowNetwork(weights), Tokens(vocabulary)
+        net, tokens, shares = WindowNetwork(weights), Tokens(vocabulary), WordShares(files, totals)
 
         def f(batch: pa.RecordBatch) -> dict:
             n, total = [], []
             for t in texts(batch):
-                ids = tokens.ids(t)
-                s = 0.0
+                words = lower_words(t)
+                ids = tokens.ids_of(words)
+                s = shares.total(words, ids)
                 for at in range(0, len(ids), BATCH):
                     lo, hi = max(0, at - WINDOW), min(len(ids), at + BATCH + WINDOW)
                     around = WindowNetwork.windows(ids[lo:hi])[at - lo : at - lo + BATCH]

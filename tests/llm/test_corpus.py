@@ -159,6 +159,23 @@ def test_scores_prefer_order(spark):
     assert (got[2].n_tokens, got[2].log_probability, got[2].mean_log_probability) == (0, 0.0, None)
 
 
+def test_scores_tell_rare_words_apart(spark):
+    """Words of one shape that aren't among the most frequent ones have their shares of the corpus."""
+    common = " ".join(f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmno")
+    rows = [(k, common) for k in range(40)] + [(100 + k, "zebrafox") for k in range(12)] + [(200, "zebracat"), (201, "Zebradog zebradog zebradog"), (202, "été2 été2"), (203, "été3")]
+    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.lm_scores(as_docs(spark, rows)).collect()}
+    assert got[100] - got[200] == pytest.approx(math.log(12), rel=1e-5)
+    assert got[202] < got[203] < 0
+    words = pseudo_likelihood.word_counts(as_docs(spark, rows)).collect()
+    vocabulary = [r.word for r in sorted(words, key=lambda r: (-r.n, r.word))[: pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES]]
+    totals = pseudo_likelihood.shape_totals(spark.createDataFrame(words), vocabulary)
+    n = Counter()
+    for r in words:
+        if r.word not in vocabulary:
+            n[pseudo_likelihood.shape(r.word.encode())] += r.n
+    assert {k: v for k, v in enumerate(totals) if v} == n and sum(n.values()) > 16
+
+
 def test_scores_of_long_texts_by_parts(monkeypatch):
     net = pseudo_likelihood.WindowNetwork()
     ids = np.random.default_rng(9).integers(0, 200, 1000).astype(np.int32)
