@@ -1,18 +1,23 @@
 """Chat formatting by quotation linking.
 
-Lines that start with `>` are quotes, nested by the number of marks.  Each quoted line is hashed after
-normalisation and joined to the first message that holds the same line as its own words.  A message
-replies to the message that most of its outermost matched quotes come from; threads follow these
+Lines that start with `>` are quotes, nested by the number of marks.  Quoted lines of one level that
+follow each other are a passage.  Its pieces (lines, sentences, and the whole passage) are hashed after
+normalisation and joined to the first message that holds the same piece among its own words, so a
+re-wrapped passage and a sentence out of a longer line are found; a part of a sentence is not.  A message
+replies to the message that most of its outermost matched pieces come from; threads follow these
 links, and texts come without quotes.
 
-A line that very many messages hold or quote stays one row on the join's side of originals: only its
-first holder counts (in the same conversation if there is an earlier one, else overall), so a join
-never multiplies rows.
+A piece that very many messages hold or quote stays one row on the join's side of originals: only one
+holder counts (in the same conversation if there is an earlier one, else in other conversations: the
+first one overall, or of the last conversation if that is one's own), so a join never multiplies rows.
+Conversations have no order among each other; where links run in a circle, the least message of the
+circle loses its link.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -21,35 +26,46 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, lower_words, small_batches, table, texts, written
 
-#: Shorter lines ("Yes.", "Thanks!") say nothing about where they come from.
+#: Shorter pieces ("Yes.", "Thanks!") link inside their conversation only.
 MIN_WORDS = 3
 _MARKS = re.compile(r"[\x20\t]*((?:>[\x20\t]?)+)")
 _INTRO = re.compile(r"^.{0,200}(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 
 
 def parsed(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """The own words, the hashes of own lines, and (level, hash) of quoted lines.
+    """The own words, the hashes of own pieces, and (level, hash) of quoted pieces.
 
     An introduction such as "On Monday Ann wrote:" right before a quote goes with it.
     """
-    own, hashes, quoted = [], [], []
+    own, passages, level = [], [], -1  # passages: (level, lines as words), 0 for own ones
     for line in text.split("\n"):
         if m := _MARKS.match(line):
-            if own and _INTRO.match(own[-1]):
+            now, words = m.group(1).count(">"), lower_words(line[m.end() :])
+            if level == 0 and _INTRO.match(own[-1]):
                 own.pop()
-            if (h := line_hash(line[m.end() :])) is not None:
-                quoted.append((m.group(1).count(">"), h))
+                passages[-1][1].pop()
         else:
+            now, words = 0, lower_words(line)
             own.append(line)
-    hashes = list(dict.fromkeys(h for h in map(line_hash, own) if h is not None))
-    return "\n".join(own).strip("\n"), hashes, list(dict.fromkeys(quoted))
+        if now != level or not words:
+            passages.append((now, []))
+        passages[-1][1].append(words)
+        level = now
+    found = list(dict.fromkeys((v, h) for v, lines in passages for h in pieces(lines)))
+    return "\n".join(own).strip("\n"), [h for v, h in found if v == 0], [x for x in found if x[0]]
 
 
-def line_hash(line: str) -> int | None:
-    words = lower_words(line)
-    if len(words) < MIN_WORDS:
-        return None
-    h = xxhash.xxh3_64_intdigest(b" ".join(words))
+def pieces(lines: list[list[bytes]]) -> Iterator[int]:
+    """The hashes of a passage's lines, of its sentences and of itself."""
+    whole = [w for line in lines for w in line]
+    ends = [k + 1 for k, w in enumerate(whole) if w.rstrip(b"\"')]*_").endswith((b".", b"!", b"?"))]
+    sentences = (whole[a:b] for a, b in zip([0, *ends], [*ends, len(whole)], strict=True))
+    return (piece_hash(words) for words in (*lines, *sentences, whole) if words)
+
+
+def piece_hash(words: list[bytes]) -> int:
+    """Odd for pieces of less than MIN_WORDS words, even for others."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(words)) & ~1 | (len(words) < MIN_WORDS)
     return h - (h >> 63 << 64)
 
 
@@ -70,17 +86,41 @@ def reply_links(rows: DataFrame) -> DataFrame:
     named = rows.filter("conv_id is not null and turn is not null")
     held = named.select("conv_id", "turn", F.explode("own").alias("key"))
     in_conv = held.groupBy("conv_id", "key").agg(F.min("turn").alias("near_turn"))
-    overall = held.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    ends = F.min(F.struct("conv_id", "near_turn")).alias("first"), F.max(F.struct("conv_id", (-F.col("near_turn")).alias("turn"))).alias("last")
+    overall = in_conv.filter("key & 1 = 0").groupBy("key").agg(*ends)
     asked = named.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.key")
     met = asked.join(in_conv, ["conv_id", "key"], "left").join(overall, "key", "left")
-    # A parent is always earlier by (conv_id, turn), so links have no cycles.
-    near = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
-    far = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
+    parent = lambda conv, turn: F.struct(conv.alias("conv_id"), turn.alias("turn"))
+    near = F.when(F.col("near_turn") < F.col("turn"), parent(F.col("conv_id"), F.col("near_turn")))
+    other = lambda end, turn: F.when(F.col(f"{end}.conv_id") != F.col("conv_id"), parent(F.col(f"{end}.conv_id"), turn))
+    far = F.coalesce(other("first", F.col("first.near_turn")), other("last", -F.col("last.turn")))
     voted = met.withColumn("parent", F.coalesce(near, far)).filter("parent is not null").groupBy("conv_id", "turn", "level", "parent").count()
     best = F.min(F.struct("level", (-F.col("count")).alias("votes"), "parent"))
     return voted.groupBy("conv_id", "turn").agg(best.alias("best")).select("conv_id", "turn", F.col("best.parent.conv_id").alias("parent_conv"), F.col("best.parent.turn").alias("parent_turn"))
 
 
+def without_circles(links: DataFrame) -> DataFrame:
+    """Links without the one of the least message of each circle, by pointer doubling."""
+    me, up = F.struct("conv_id", "turn"), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))
+    if links.filter(up > me).isEmpty():  # each circle has such a link
+        return links
+    now, steps = links.select(me.alias("me"), up.alias("up"), me.alias("least")), 1
+    while True:
+        # Rows whose way goes on for `steps` links; all of a circle stay.
+        now = written(now, "reply-ways")
+        n = now.count()
+        if n <= steps:
+            break
+        on = now.select(F.col("me").alias("up"), F.col("up").alias("next"), F.col("least").alias("more"))
+        now, steps = now.join(on, "up").select("me", F.col("next").alias("up"), F.least("least", "more").alias("least")), 2 * steps
+    if n == 0:
+        return links
+    # What is reached after so many links lies on a circle, and its way has gone around the whole of it.
+    reached = now.select(F.col("up").alias("me")).distinct()
+    roots = now.join(reached, "me", "left_semi").filter("me = least").select("me.conv_id", "me.turn")
+    return links.join(roots, ["conv_id", "turn"], "left_anti")
+
+
 def ancestors(links: DataFrame) -> DataFrame:
     """(conv_id, turn, root_conv, root_turn, depth) of each linked message, by pointer doubling."""
     now = written(links.select("conv_id", "turn", F.col("parent_conv").alias("root_conv"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "replies")
@@ -104,6 +144,8 @@ def threads(messages: DataFrame) -> DataFrame:
     small_batches(messages.sparkSession)
     rows = written(_parsed_rows(messages), "messages")
     links = written(reply_links(rows), "reply-links")
+    if (kept := without_circles(links)) is not links:
+        links = written(kept, "reply-links")
     roots = ancestors(links)
     known = roots.join(links, ["conv_id", "turn"])
     out = rows.join(known, ["conv_id", "turn"], "left")

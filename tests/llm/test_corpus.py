@@ -202,6 +202,24 @@ def test_quotes(spark):
     assert (by[2, 1].depth, by[2, 1].text, by[None, 3].reply_conv, by[3, 0].reply_conv) == (0, "", None, None)
 
 
+def test_quotes_of_all_kinds(spark):
+    long = "We could meet on Friday in the old library. It opens at ten in the morning. Bring your own lamp"
+    rows = [
+        (1, 0, "user", "Sounds good."), (1, 1, "user", "Something else entirely here"), (1, 2, "user", "> Sounds good.\nFine with me, too."), (2, 0, "user", "> Sounds good.\nNot my own conversation here"),
+        (3, 0, "user", long), (3, 1, "user", "> We could meet on Friday in\n> the old library. It opens at ten\n> in the morning.\nI have no time"), (3, 2, "user", "> It opens at ten in the morning.\nToo early for me"),
+        (4, 0, "user", "> Nine rivers run to the sea\nReally, all of them?"), (9, 0, "user", "Nine rivers run to the sea"),
+        (5, 0, "user", "> Beta says this one line\nAlpha says this one line"), (6, 0, "user", "> Alpha says this one line\nBeta says this one line"), (7, 0, "user", "> Fine with me, too.\n>\n> Beta says this one line\n> Beta says this one line\nDone"),
+        (10, 0, "user", "> Circle holder three says this\nCircle holder one says this"), (11, 0, "user", "> Circle holder one says this\nCircle holder two says this"), (12, 0, "user", "> Circle holder two says this\nCircle holder three says this"), (13, 0, "user", "> Circle holder three says this\ntail"),
+        (14, 0, "user", "> only later said, in this very place"), (14, 1, "user", "only later said, in this very place"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotation.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    reply = {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if r.reply_conv is not None}
+    assert reply.pop((7, 0)) in {(1, 2), (6, 0)}
+    assert reply == {(1, 2): (1, 0), (3, 1): (3, 0), (3, 2): (3, 0), (4, 0): (9, 0), (6, 0): (5, 0), (11, 0): (10, 0), (12, 0): (11, 0), (13, 0): (12, 0)}
+    assert got[4, 0][:3] == (9, 0, 1) and got[13, 0][:3] == (10, 0, 3) and got[5, 0].depth == 0
+
+
 def test_quotes_of_a_common_line(spark):
     rows = [(c, t, "user", "good morning to all" if t == 0 else "> good morning to all\nthank you and you too") for c in range(40) for t in range(2)]
     got = quotation.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
