@@ -48,6 +48,22 @@ def with_rights(files: DataFrame, users: DataFrame, acl: DataFrame) -> DataFrame
     return files.join(granted, "storage_id")
 
 
+def judged(requests: DataFrame, files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
+    """Each request (request_id, uid, doc_id, file_right) with its answers: read_status, can_write, can_add, mode.
+
+    files: (doc_id, storage_id); users: (uid, is_admin); grants: (uid, storage_id, storage_right, may_add).
+    No such file is 404; a missing user or grant has no rights and is refused (403), but
+    administrators need no grant to read and write.  All joins are on keys, and each request is one row.
+    """
+    asked = requests.join(files.select("doc_id", "storage_id"), "doc_id", "left").join(users.select("uid", "is_admin"), "uid", "left")
+    known = asked.join(grants.select("uid", "storage_id", "storage_right", "may_add"), ["uid", "storage_id"], "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = F.col("storage_id").isNotNull()
+    ok = found & may(has("is_admin"), has("storage_right"), has("file_right"))
+    status = F.when(~found, 404).when(ok, 200).otherwise(403)
+    return known.select("request_id", "uid", "doc_id", status.alias("read_status"), flag(ok).alias("can_write"), (ok & has("may_add")).alias("can_add"), write_mode(ok).alias("mode"))
+
+
 def actions(files: DataFrame, edit_url: str, may_read: Column) -> DataFrame:
     """Readable documents with their two actions; other files have none."""
     url = with_parameter(F.lit(edit_url), "file", F.col("file_identifier"))
@@ -66,4 +82,4 @@ def write_mode(can_write: Column) -> Column:
     return F.when(can_write, "editing").otherwise("viewing")
 
 
-__all__ = ["actions", "flag", "may", "resolve", "resolve_folders", "unreadable", "with_rights", "without_collisions", "write_mode"]
+__all__ = ["actions", "flag", "judged", "may", "resolve", "resolve_folders", "unreadable", "with_rights", "without_collisions", "write_mode"]

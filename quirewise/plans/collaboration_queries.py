@@ -223,6 +223,15 @@ def acl_write(m: Model) -> DataFrame:
     return rights.select("uid", "doc_id", flag(ok).alias("can_write"), files_of.may(*args, F.col("may_add")).alias("can_add"), files_of.write_mode(ok).alias("mode"))
 
 
+@query("""
+WITH w AS (SELECT r.request_id, r.uid, r.doc_id, f.storage_id, coalesce((u.is_admin OR coalesce(g.storage_right, false)) AND r.file_right, false) AND f.storage_id IS NOT NULL AS ok, coalesce(g.may_add, false) AS may_add
+  FROM requests r LEFT JOIN files f ON f.doc_id = r.doc_id LEFT JOIN users u ON u.uid = r.uid LEFT JOIN grants g ON g.uid = r.uid AND g.storage_id = f.storage_id)
+SELECT request_id, uid, doc_id, CASE WHEN storage_id IS NULL THEN 404 WHEN ok THEN 200 ELSE 403 END AS read_status, CASE WHEN ok THEN '1' ELSE '0' END AS can_write, ok AND may_add AS can_add, CASE WHEN ok THEN 'editing' ELSE 'viewing' END AS mode FROM w
+""")
+def acl_requests(m: Model) -> DataFrame:
+    return files_of.judged(m.requests, m.files, m.users, m.grants)
+
+
 @query("SELECT file_identifier, '/edit?file=' || url_encode(file_identifier) AS url, unnest(['primary', 'secondary']) AS action FROM files WHERE kind = 'file' AND lower(extension) = 'docx' AND doc_id % 4 <> 0")
 def file_actions(m: Model) -> DataFrame:
     return files_of.actions(m.files, "/edit", F.col("doc_id") % 4 != 0)

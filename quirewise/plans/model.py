@@ -51,6 +51,20 @@ class Model:
         u = self.users.filter("uid % 25 = 0")
         return u.select("uid", (F.col("nation") % 3 + 1).cast("bigint").alias("storage_id"), (F.col("uid") % 2 == 0).alias("storage_right"), (F.col("uid") % 3 != 0).alias("file_right"), (F.col("uid") % 4 != 1).alias("may_add"))
 
+    @cached_property
+    def grants(self) -> DataFrame:
+        """Grants of every user on one storage; on the others they have none."""
+        return self.users.select("uid", (F.col("nation") % 3 + 1).cast("bigint").alias("storage_id"), (F.col("uid") % 2 == 0).alias("storage_right"), (F.col("uid") % 4 != 1).alias("may_add"))
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """A request by each user, for each document and with each event; some users and documents don't exist."""
+        own = self.users.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("request_id"), "uid", F.col("uid").alias("doc_id"))
+        more = self.table("events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), F.col("user_id").alias("uid"), F.col("event_id").alias("doc_id"))
+        n = F.col("doc_id")
+        each = self.table("documents").select(F.concat(F.lit("d"), n.cast("string")).alias("request_id"), (n * 7 % 150 + 1).alias("uid"), "doc_id")
+        return own.unionAll(each).unionAll(more).withColumn("file_right", F.col("uid") % 3 != 0)
+
     @cached_property
     def names(self) -> DataFrame:
         """Raw file names as requests bring them, good and bad."""
@@ -85,6 +99,8 @@ CTES = {
   CASE c_custkey % 3 WHEN 0 THEN ' ' || chr(9) || c_name || ' ' WHEN 1 THEN '  ' ELSE NULL END AS real_name,
   CASE c_nationkey % 7 WHEN 0 THEN 'default' WHEN 1 THEN 'de' WHEN 2 THEN 'de_AT' WHEN 3 THEN 'DE' WHEN 4 THEN 'en' WHEN 5 THEN 'fr' ELSE '' END AS lang, c_custkey % 10 = 0 AS is_admin, c_nationkey AS nation FROM customer""",
     "acl": """SELECT uid, CAST(nation % 3 + 1 AS BIGINT) AS storage_id, uid % 2 = 0 AS storage_right, uid % 3 <> 0 AS file_right, uid % 4 <> 1 AS may_add FROM users WHERE uid % 25 = 0""",
+    "grants": """SELECT uid, CAST(nation % 3 + 1 AS BIGINT) AS storage_id, uid % 2 = 0 AS storage_right, uid % 4 <> 1 AS may_add FROM users""",
+    "requests": """SELECT 'u' || uid AS request_id, uid, uid AS doc_id, uid % 3 <> 0 AS file_right FROM users UNION ALL SELECT 'd' || doc_id, doc_id * 7 % 150 + 1, doc_id, (doc_id * 7 % 150 + 1) % 3 <> 0 FROM documents UNION ALL SELECT 'e' || event_id, user_id, event_id, user_id % 3 <> 0 FROM events""",
     "names": r"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '  report' || doc_id || ' ' WHEN 1 THEN 'a/b\c' || doc_id || '.DOCX' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '' WHEN 5 THEN 'x.doc'
   WHEN 6 THEN chr(9) || 'tab' || doc_id || '.docx' || chr(10) ELSE '..\..\y' || doc_id END AS raw FROM documents""",
     "bodies": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{broken' WHEN 2 THEN '[1,2]' WHEN 3 THEN '{"file":"1:/f' || event_id || '.docx","revision":"' || event_id || '"}'

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirewise import streaming
-from quirewise.operators import presence, revisions
+from quirewise.operators import files, presence, revisions
+from quirewise.plans import catalog
 from quirewise.plans.model import Model
 from quirewise.plans.text_queries import _ops_stream, scratch
 from quirewise.session import configure
@@ -165,3 +166,18 @@ def test_empty_operations(spark):
     none = spark.createDataFrame([], OPS)
     for df in (presence.replayed(none), presence.sessions(none), presence.windows(none, 45), revisions.replayed(none)):
         assert df.count() == 0
+
+
+def test_every_user_and_document_is_judged(spark, sf_dir):
+    users = spark.createDataFrame([(1, False), (10, True), (2, False)], "uid long, is_admin boolean")
+    grants = spark.createDataFrame([(2, 1, True, True)], "uid long, storage_id long, storage_right boolean, may_add boolean")
+    held = spark.createDataFrame([(7, 1)], "doc_id long, storage_id long")
+    requests = spark.createDataFrame([("no grant", 1, 7, True), ("admin", 10, 7, True), ("granted", 2, 7, True), ("no file right", 2, 7, False), ("no file", 2, 8, True), ("no user", 3, 7, True)], "request_id string, uid long, doc_id long, file_right boolean")
+    got = {r.request_id: r[3:] for r in files.judged(requests, held, users, grants).collect()}
+    refused = (403, "0", False, "viewing")
+    assert got == {"no grant": refused, "admin": (200, "1", False, "editing"), "granted": (200, "1", True, "editing"), "no file right": refused, "no file": (404, "0", False, "viewing"), "no user": refused}
+    answers = catalog.QUERIES["acl_requests"](spark, sf_dir)
+    ids = lambda name, c: {r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(c).collect()}
+    judged = answers.select("request_id", "uid", "doc_id").collect()
+    assert ids("customer", "c_custkey") <= {r.uid for r in judged}
+    assert ids("documents", "doc_id") == {r.doc_id for r in judged if r.request_id.startswith("d")}
