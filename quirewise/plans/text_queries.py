@@ -210,6 +210,15 @@ def _ops_stream(m: Model) -> DataFrame:
     return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
 
 
+def _closed_ops_stream(m: Model, ttl: int, late: int = 600) -> DataFrame:
+    """The operations as a stream that ends with a row so late that all sessions of the operations are over; its own one stays open."""
+    folder = scratch(m, "ops")
+    end = m.ops.agg(F.max("t").alias("t")).filter("t is not null")
+    end = end.select(F.lit(None).cast("bigint").alias("seq"), (F.col("t") + ttl + late + 1).alias("t"), F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("file"))
+    m.ops.unionByName(end).write.parquet(folder)
+    return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
+
+
 def scratch(m: Model, name: str) -> str:
     """A new folder where all executors can write."""
     import uuid
@@ -224,7 +233,7 @@ def scratch(m: Model, name: str) -> str:
 
 @query()
 def presence_stream(m: Model) -> DataFrame:
-    stream = streaming.presence_windows(_ops_stream(m), SIX_HOURS)
+    stream = streaming.presence_windows(_closed_ops_stream(m, SIX_HOURS), SIX_HOURS)
     return streaming.run_once(m.spark, stream, scratch(m, "windows"), scratch(m, "state"))
 
 

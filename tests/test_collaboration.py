@@ -181,3 +181,9 @@ def test_every_user_and_document_is_judged(spark, sf_dir):
     judged = answers.select("request_id", "uid", "doc_id").collect()
     assert ids("customer", "c_custkey") <= {r.uid for r in judged}
     assert ids("documents", "doc_id") == {r.doc_id for r in judged if r.request_id.startswith("d")}
+
+
+def test_presence_stream_emits_all_sessions(spark, sf_dir):
+    got = catalog.QUERIES["presence_stream"](spark, sf_dir).collect()
+    whole = presence.windows(Model(configure(spark), sf_dir).ops, 21_600).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
