@@ -5,43 +5,47 @@ neighbouring size bands the domain is cut into groups and each group into parts;
 each group, every subset of parts that leaves out as many as may differ there.  Two sets that are
 similar enough and whose sizes fit share one signature at least; no similarity is lost.
 
-Equal sets are one node.  A node's bucket mates are candidates, but buckets are never expanded into
-all pairs.  First each node is compared with the bucket leader it meets most often; the links found
-give classes.  Then only pairs of different classes are candidates, and only those that a
-count sketch (a lower bound of the difference) lets pass: first, in each bucket, a spanning forest of
-the closest pairs, then, over the merged classes, all that are left.  Every candidate is verified on the
-full sets, so classes are exact.
+Equal sets are one node.  First each node is compared with the bucket leader it meets most often; the
+links found give classes.  Then only pairs of different classes that share a bucket are candidates, and
+only those that a count sketch (a lower bound of the difference, as fine as the sets are large) lets
+pass inside the bucket's task: first a spanning forest of each bucket's closest pairs, then, in those
+buckets that had more pairs than that, what is left between the merged classes.  Every candidate is
+verified on the full sets, so classes are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import arrow_map, col, lower_words, small_batches, table, texts, written
+from .common import arrow_map, col, lower_words, scratch, small_batches, table, texts, written
 from .components import components
 from .packing import Recent
 from .perfect_hash import mix
 
-BINS = 256
-SKETCH = 2 * BINS // 64
-_SKETCH = [f"s{k}" for k in range(SKETCH)]
+#: Ranges of a sketch at least, as a power of two.
+LEAST_BITS = 8
 #: Rows of a bucket that one task compares with as many others; larger buckets become a grid of blocks.
-BLOCK = 4096
-TILE = 256
+BLOCK = 2048
+#: Pairs of rows, and 64-bit words of sketches, that a task looks at together.
+PAIRS = 400_000
+WORDS = 4_000_000
+#: Rows of buckets that a task gathers before it compares them.
+ROWS = 20_000
 #: Comparisons with one leader that a task does; leaders of more nodes are copied to several tasks.
 PER_LEADER = 5000
-#: Sets of more elements have a second sketch, of a sixteenth as many bytes as elements.
-FINE_FROM = 512
 #: Comparisons (a few numbers each) that are broadcast to the documents; more are joined.
 BROADCAST_ROWS = 300_000
+#: Share of sets that may have more empty signatures than there are spare groups.
+EMPTY_TAIL = 1e-3
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -67,51 +71,66 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Counts modulo 4 over BINS ranges, in Gray code, as SKETCH 64-bit integers.
+def sketch(elements: np.ndarray) -> bytes:
+    """Counts modulo 4 over ranges of the domain, a quarter as many as elements, in Gray code, four to a byte.
 
     Two Gray codes differ in as many bits as the counts differ around the cycle of 4, which is at
     most the number of elements by which the sets differ in that range.
     """
-    counts = np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=BINS) & 3
-    return np.packbits(np.concatenate([counts >> 1, (counts ^ counts >> 1) & 1]).astype(np.uint8)).view("<i8")
-
-
-def fine_sketch(elements: np.ndarray) -> bytes | None:
-    """Counts modulo 4 over as many ranges as large sets need, a byte for four; None for small sets.
-
-    A quarter as many ranges as elements, so that chance agreements stay rare at any size.
-    """
-    if len(elements) <= FINE_FROM:
-        return None
-    bits = max(8, (len(elements) // 4 - 1).bit_length())
-    counts = (np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 3).astype(np.uint8)
-    return (counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
-
-
-def fine_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of differing elements; the finer sketch is folded to the other's ranges."""
-    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
-    x, y = (np.stack([s & 3, s >> 2 & 3, s >> 4 & 3, s >> 6], 1).ravel() for s in (x, y))
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[0::2] + x[1::2] & 3
-        else:
-            y = y[0::2] + y[1::2] & 3
-    d = x - y & 3
-    return int(np.minimum(d, 4 - d).sum(dtype=np.int64))
-
-
-def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the number of elements in which sets differ, from their sketches (last axis)."""
-    return np.bitwise_count((a ^ b).astype(np.uint64)).sum(-1, dtype=np.int64)  # of signed numbers it counts the bits of the absolute value
+    bits = max(LEAST_BITS, (max(len(elements), 1) // 4 - 1).bit_length())
+    counts = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 3
+    return _packed(counts.astype(np.uint8)[None])[0].tobytes()
+
+
+def _packed(counts: np.ndarray) -> np.ndarray:
+    g = counts ^ counts >> 1
+    return g[:, 0::4] | g[:, 1::4] << 2 | g[:, 2::4] << 4 | g[:, 3::4] << 6
+
+
+def _counts(packed: np.ndarray) -> np.ndarray:
+    g = np.stack([packed & 3, packed >> 2 & 3, packed >> 4 & 3, packed >> 6], 2).reshape(len(packed), -1)
+    return g ^ g >> 1
+
+
+class Sketches:
+    """The sketches of many sets, compared in bulk; the finer one of two is folded to the other's ranges."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sketches = sketches
+        self.sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+
+    def least_difference(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Lower bounds of the number of elements in which sets p[k] and q[k] differ."""
+        size, out = np.minimum(self.sizes[p], self.sizes[q]), np.zeros(len(p), np.int64)
+        for s in np.unique(size).tolist():
+            at = np.flatnonzero(size == s)
+            rows, place = np.unique(np.concatenate([p[at], q[at]]), return_inverse=True)
+            words, (x, y) = self._folded(rows, s), place.reshape(2, -1)
+            step = max(1, WORDS // words.shape[1])
+            for lo in range(0, len(at), step):
+                differ = words[x[lo : lo + step]] ^ words[y[lo : lo + step]]
+                out[at[lo : lo + step]] = np.bitwise_count(differ).sum(1, dtype=np.int64)
+        return out
+
+    def _folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(rows), size), np.uint8)
+        for s in np.unique(self.sizes[rows]).tolist():
+            at = np.flatnonzero(self.sizes[rows] == s)
+            own = np.frombuffer(b"".join([self.sketches[r] for r in rows[at].tolist()]), np.uint8).reshape(len(at), s)
+            if s > size:
+                counts = _counts(own)
+                while counts.shape[1] > 4 * size:
+                    counts = counts[:, 0::2] + counts[:, 1::2] & 3
+                own = _packed(counts)
+            out[at] = own
+        return out.view(np.uint64)
 
 
 class Bands:
     """Size bands and the PartEnum parameters of the instance for each band and the one below."""
 
     def __init__(self, percent: int):
-        self.percent, self.tops = percent, [0]
+        self.percent, self.tops, self.plans = percent, [0], {}
 
     def of(self, size: int) -> int:
         """Band i holds sizes from tops[i] + 1 to tops[i + 1]; linked sets are in equal or neighbouring bands."""
@@ -121,13 +140,30 @@ class Bands:
 
     def plan(self, band: int) -> tuple[int, int, int, int]:
         """(groups, parts in a group, parts left out, spare groups) of the instance whose larger set is in `band`."""
-        while len(self.tops) < band + 2:
-            self.of(self.tops[-1] + 1)
-        k = 2 * (100 - self.percent) * self.tops[band + 1] // (100 + self.percent)
-        if k <= 3:
-            return 1, (1, 2, 4, 5)[k], k, 0
-        spare = 1 + (k >= 16) + (k >= 48) + k // 100
-        return ceil((k + 1) / 2) + spare, 2, 1, spare
+        if band not in self.plans:
+            while len(self.tops) < band + 2:
+                self.of(self.tops[-1] + 1)
+            k = 2 * (100 - self.percent) * self.tops[band + 1] // (100 + self.percent)
+            self.plans[band] = (1, (1, 2, 4, 5)[k], k, 0) if k <= 3 else self._spared(ceil((k + 1) / 2), max(1, self.tops[band]))
+        return self.plans[band]
+
+    @staticmethod
+    def _spared(groups: int, size: int) -> tuple[int, int, int, int]:
+        """Two parts a group, one left out, and spare groups, so that few sets of `size` have more groups with an empty part.
+
+        More groups make parts smaller and emptier, so there are a third more at most.
+        """
+        best = (2.0, 1)
+        for spare in range(1, max(2, groups // 3) + 1):
+            empty = (groups + spare) * (1 - (1 - exp(-size / (2 * (groups + spare)))) ** 2)
+            term = below = exp(-empty)
+            for i in range(1, spare + 1):
+                term *= empty / i
+                below += term
+            best = min(best, (1 - below, spare))
+            if best[0] < EMPTY_TAIL:
+                break
+        return groups + best[1], 2, 1, best[1]
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
@@ -149,7 +185,7 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         signed, filled = [], []
         for s, subset in enumerate(combinations(range(parts), parts - left_out)):
             tag = mix(base + np.uint64((s + 1) << 48))
-            signed.append(mix(content[:, subset].sum(1, dtype=np.uint64) + tag) ^ mix(tag))
+            signed.append(mix(content[:, subset].sum(1, dtype=np.uint64) + tag))
             filled.append(count[:, subset].sum(1) > 0)
         signed, filled = np.stack(signed), np.stack(filled)
         out.append(signed.ravel() if (~filled.all(0)).sum() > spare else signed[filled])
@@ -173,20 +209,19 @@ class NgramJoin:
         self.words, self.percent = words, percent
 
     def described(self, docs: DataFrame, seed: int) -> DataFrame:
-        """(doc_id, n, node, check, s0.., fine) of each row; node and check name the set."""
+        """(doc_id, n, node, check, sketch) of each row; node and check name the set."""
         words = self.words
 
         def make():
             def f(batch: pa.RecordBatch) -> dict:
                 sets = [shingle_set(t, words, seed) for t in texts(batch)]
                 names = np.array([digest(s) for s in sets], np.int64)
-                sk = np.stack([sketch(s) for s in sets])
-                out = {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(names[:, 0]), "check": pa.array(names[:, 1])}
-                return out | {c: pa.array(sk[:, k]) for k, c in enumerate(_SKETCH)} | {"fine": [fine_sketch(s) for s in sets]}
+                n = pa.array([len(s) for s in sets], pa.int64())
+                return {"doc_id": batch.column("doc_id"), "n": n, "node": pa.array(names[:, 0]), "check": pa.array(names[:, 1]), "sketch": [sketch(s) for s in sets]}
 
             return f
 
-        return arrow_map(docs, "doc_id long, n long, node long, check long, " + ", ".join(f"{c} long" for c in _SKETCH) + ", fine binary", make)
+        return arrow_map(docs, "doc_id long, n long, node long, check long, sketch binary", make)
 
     def signed(self, docs: DataFrame, seed: int) -> DataFrame:
         """(sig, node).  A task signs a set it has met lately once only."""
@@ -274,40 +309,48 @@ class NgramJoin:
         return written(arrow_map(met.drop("salt"), "a long, b long", make), "join-links")
 
     def across(self, buckets: DataFrame, labels: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
-        """Candidate (a, b) of different classes that share a bucket; `closest`: a spanning forest of each bucket only.
+        """Candidates (a, b, sig) of different classes that share a bucket.
 
-        A bucket of more than BLOCK rows becomes a grid of blocks, so a task holds two blocks' rows.
+        `closest`: a spanning forest of each bucket only, and sig (else null) where the bucket has
+        more candidates.  A bucket of more than BLOCK rows becomes a grid of blocks, sorted by class,
+        so that a task holds two blocks and blocks of one class only don't meet.
         """
-        percent, spark = self.percent, buckets.sparkSession
+        percent = self.percent
         classed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         own = Window.partitionBy("sig")
-        mixed = classed.select("*", F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("m")).filter("lo != hi")
-        sized = mixed.join(nodes.select("node", "n", *_SKETCH), "node")
-        sized = sized.withColumn("grid", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
-        dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        met = dealt.select("sig", "i", "j", "part", "node", "root", "n", *_SKETCH).repartition(_tasks(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        ends = F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("m")
+        place = F.row_number().over(own.orderBy("root")).alias("place")
+        mixed = classed.select("*", *ends, place).filter("lo != hi").select("sig", "node", "root", "m", F.expr(f"(place - 1) div {BLOCK}").cast("int").alias("part"))
+        mixed = written(mixed, "join-mixed")
+        one = mixed.filter(F.col("m") <= BLOCK).withColumns({"i": F.lit(0), "j": F.lit(0)})
+        large = mixed.filter(F.col("m") > BLOCK)
+        blocks = large.groupBy("sig", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        left, right = blocks.toDF("sig", "i", "lo", "hi"), blocks.toDF("sig", "j", "lo2", "hi2")
+        grid = left.join(right, "sig").filter("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("sig", "i", "j")
+        dealt = grid.select("sig", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part")).join(large, ["sig", "part"])
+        columns = ["sig", "i", "j", "part", "node", "root"]
+        met = one.select(columns).unionByName(dealt.select(columns)).join(nodes.select("node", "n", "sketch"), "node")
+        met = met.repartition(_tasks(buckets.sparkSession), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "part")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
-            last = None
+            rows = 0
             for batch in batches:
-                key = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")], 1)
-                if not len(key):
-                    continue
-                edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if held and tuple(key[lo]) != last:
-                        yield _candidates(pa.Table.from_batches(held), percent, closest)
-                        held = []
-                    last = tuple(key[lo])
-                    held.append(batch.slice(lo, hi - lo))
-            if held:
+                if rows >= ROWS:
+                    other = (_bucket(batch) != _bucket(held[-1])[-1]).any(1)
+                    if other.any():
+                        cut = int(other.argmax())
+                        yield _candidates(pa.Table.from_batches([*held, batch.slice(0, cut)]), percent, closest)
+                        held, rows, batch = [], 0, batch.slice(cut)
+                held.append(batch)
+                rows += batch.num_rows
+            if rows:
                 yield _candidates(pa.Table.from_batches(held), percent, closest)
 
-        return met.mapInArrow(run, "a long, b long").distinct()
+        return met.mapInArrow(run, "a long, b long, sig long")
 
-    def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, n_shingles, component_id) for each input row.
+    def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: bool = False) -> DataFrame:
+        """(doc_id, n_shingles, component_id[, node, root]) for each input row; `named`: the set's and the class's name.
 
         component_id is the smallest id that links reach.  A null or empty text, or one without
         words, has no shingles and is linked with nothing: its component is its own id.  A null id
@@ -317,16 +360,29 @@ class NgramJoin:
         spark = docs.sparkSession
         small_batches(spark, 1000)
         rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-        for seed in range(8):
-            described = written(self.described(rows, seed), "join-rows")
-            sketches = [F.max(c).alias(c) for c in _SKETCH]
-            named = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"), *sketches)
-            nodes = written(named, "join-nodes")
-            if nodes.filter("lo != hi").isEmpty():  # else two sets share a 64-bit name: name them anew
-                break
-        else:
-            raise RuntimeError("set names collide")
-        fine = written(described.filter("fine is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("fine").alias("fine")), "join-fine")
+        with scratch(spark) as keep:
+            for seed in range(8):
+                described = written(self.described(rows, seed), "join-rows")
+                names = F.min("check").alias("lo"), F.max("check").alias("hi")
+                sets = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), *names)
+                nodes = written(sets, "join-nodes")
+                if nodes.filter("lo != hi").isEmpty():  # else two sets share a 64-bit name: name them anew
+                    break
+            else:
+                raise RuntimeError("set names collide")
+            self.seed = seed
+            labels = self._classes(rows, nodes, seed)
+            keep += [described, nodes, labels]
+        classed = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+        least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        ids = classed.join(least, "root").select("node", "root", "component_id")
+        out = described.join(ids, (described["node"] == ids["node"]) & (described["n"] > 0), "left")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(described["doc_id"]).alias("component_id")
+        names = [described["node"], ids["root"]] if named else []
+        return out.select(described["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), component, *names)
+
+    def _classes(self, rows: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+        """(node, root) of the linked nodes but the roots."""
         own = Window.partitionBy("sig")
         met = self.signed(rows, seed).select("sig", "node", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("hi"))
         held = met.filter("lead != hi").drop("hi").distinct()
@@ -335,80 +391,97 @@ class NgramJoin:
         buckets = written(held.select(F.bit_xor(F.xxhash64("node")).over(own).alias("sig"), "node", "lead").distinct(), "join-buckets")
         often = buckets.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
         best = often.select(F.greatest("node", "best.lead").alias("a"), F.least("node", "best.lead").alias("b")).distinct()
-        tested = written(self._still_plausible(self._plausible(best, nodes), fine), "join-pairs")
+        tested = written(self._plausible(best, nodes), "join-pairs")
         labels = written(components(self.linked(rows, nodes, tested, seed)), "join-labels")
-        for closest in (True, False):
-            found = self.across(buckets, labels, nodes, closest).join(tested, ["a", "b"], "left_anti")
-            pairs = written(self._still_plausible(found, fine), "join-pairs")
-            if pairs.isEmpty():
-                continue
-            tested = tested.unionByName(pairs)
-            links = self.linked(rows, nodes, pairs, seed)
-            root = labels.select("node", "root")
-            between = links.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
-            merged = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("root").alias("top"), F.col("node").alias("root"))
-            # Old labels follow their root; roots that joined another class get a label.
-            moved = labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-            labels = written(moved.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))), "join-labels")
-        classed = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-        least = classed.groupBy("root").agg(F.min("rep").alias("component_id"))
-        ids = classed.join(least, "root").select("node", "component_id")
-        out = described.join(ids, (described["node"] == ids["node"]) & (described["n"] > 0), "left")
-        return out.select(described["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(described["doc_id"]).alias("component_id"))
+        found = written(self.across(buckets, labels, nodes, closest=True), "join-found")
+        labels, tested = self._joined(rows, nodes, labels, tested, found, seed)
+        more = found.filter("sig is not null").select("sig").distinct()
+        if not more.isEmpty():
+            found = self.across(buckets.join(more, "sig", "left_semi"), labels, nodes, closest=False)
+            labels, tested = self._joined(rows, nodes, labels, tested, found, seed)
+        return labels
+
+    def _joined(self, rows: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, found: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Labels after comparing the pairs that have not been tested, and all tested pairs."""
+        pairs = written(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        if pairs.isEmpty():
+            return labels, tested
+        links = self.linked(rows, nodes, pairs, seed)
+        root = labels.select("node", "root")
+        between = links.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
+        merged = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("root").alias("top"), F.col("node").alias("root"))
+        # Old labels follow their root; roots that joined another class get a label.
+        moved = labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        labels = written(moved.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))), "join-labels")
+        return labels, tested.unionByName(pairs)
 
-    def _still_plausible(self, pairs: DataFrame, fine: DataFrame) -> DataFrame:
-        """The (a, b) that the fine sketches of large sets let pass, and all pairs of other sets."""
+    def _plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The (a, b) that the sketches let pass."""
         percent = self.percent
-        side = lambda x: fine.select(F.col("node").alias(x), F.struct("n", "fine").alias(f"of_{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
         def make():
             def f(batch: pa.RecordBatch) -> dict:
-                x, y = (batch.column(c).to_pylist() for c in ("of_a", "of_b"))
-                ok = pa.array([not (u and v) or bool(close_enough(percent, u["n"], v["n"], fine_difference(u["fine"], v["fine"]))) for u, v in zip(x, y, strict=True)], pa.bool_())
+                both = Sketches([*batch.column("sketch_a").to_pylist(), *batch.column("sketch_b").to_pylist()])
+                x, n = np.arange(batch.num_rows), (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+                ok = pa.array(close_enough(percent, *n, both.least_difference(x, x + batch.num_rows)))
                 return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
 
             return f
 
-        return arrow_map(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "of_a", "of_b"), "a long, b long", make)
+        return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), "a long, b long", make)
 
-    def _plausible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        percent = self.percent
-        side = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", *_SKETCH).alias(f"of_{x}"))
 
-        def make():
-            def f(batch: pa.RecordBatch) -> dict:
-                x, y = (np.stack([batch.column(c).field(k).to_numpy() for k in range(1 + SKETCH)], 1) for c in ("of_a", "of_b"))
-                ok = pa.array(close_enough(percent, x[:, 0], y[:, 0], least_difference(x[:, 1:], y[:, 1:])))
-                return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
-
-            return f
-
-        return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b"), "a long, b long", make)
+def _bucket(rows: pa.RecordBatch) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")], 1)
 
 
 def _candidates(rows: pa.Table, percent: int, closest: bool) -> pa.RecordBatch:
-    """Of a bucket's block: pairs of different classes that the sketches let pass."""
-    get = lambda c: rows.column(c).to_numpy()
-    node, root, n, part = get("node"), get("root"), get("n"), get("part")
-    sketches = np.stack([get(c) for c in _SKETCH], 1)
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    left, right = (np.flatnonzero(part == x) for x in (i, j))
-    out = []
-    for a in range(0, len(left), TILE):
-        x = left[a : a + TILE]
-        for b in range(a if i == j else 0, len(right), TILE):
-            y = right[b : b + TILE]
-            far = np.maximum(least_difference(sketches[x][:, None], sketches[y]), np.abs(n[x][:, None] - n[y]))
-            ok = (root[x][:, None] != root[y]) & close_enough(percent, n[x][:, None], n[y], far)
-            if i == j and a == b:
-                ok &= np.arange(len(x))[:, None] < np.arange(len(y))
-            p, q = np.nonzero(ok)
-            out.append(np.stack([x[p], y[q], far[p, q]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    if closest and len(pairs):
-        pairs = pairs[_forest(np.unique(root, return_inverse=True)[1], pairs)]
-    ends = np.sort(np.stack([node[pairs[:, 0]], node[pairs[:, 1]]]), 0)
-    return pa.RecordBatch.from_arrays([pa.array(ends[1]), pa.array(ends[0])], names=["a", "b"])
+    """Of whole buckets' blocks, sorted: pairs of different classes that the sketches let pass."""
+    sig, i, j, part, node, root, n = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "part", "node", "root", "n"))
+    sketches = Sketches(rows.column("sketch").to_pylist())
+    new = np.flatnonzero((np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    start, bucket = np.concatenate([[0], new]), np.zeros(len(sig), np.int64)
+    bucket[new] = 1
+    bucket = np.cumsum(bucket)
+    end = np.append(new, len(sig))[bucket]
+    # A row meets the rows behind it, or all rows of the other block.
+    lefts = np.bincount(bucket, part == i).astype(np.int64)
+    begin = np.where(i == j, np.arange(len(sig)) + 1, np.where(part == i, (start + lefts)[bucket], end))
+    upto = np.concatenate([[0], np.cumsum(end - begin)])
+    out, lo = [np.zeros((3, 0), np.int64)], 0
+    while lo < len(sig):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, side="right")) - 1)
+        counts = (end - begin)[lo:hi]
+        x = np.repeat(np.arange(lo, hi), counts)
+        y = np.arange(len(x)) - np.repeat(upto[lo:hi] - upto[lo], counts) + begin[x]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        sizes = np.abs(n[x] - n[y])
+        ok = close_enough(percent, n[x], n[y], sizes)
+        x, y, sizes = x[ok], y[ok], sizes[ok]
+        far = np.maximum(sketches.least_difference(x, y), sizes)
+        ok = close_enough(percent, n[x], n[y], far)
+        out.append(np.stack([x[ok], y[ok], far[ok]]))
+        lo = hi
+    x, y, far = np.concatenate(out, 1)
+    of = bucket[x]
+    taken, more = np.arange(len(x)), np.zeros(len(start), bool)
+    if closest:
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+        picked = []
+        for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            forest = [0]
+            if hi - lo > 1:
+                own = slice(int(start[of[lo]]), int(end[x[lo]]))
+                local = np.stack([x[lo:hi] - own.start, y[lo:hi] - own.start, far[lo:hi]], 1)
+                forest = _forest(np.unique(root[own], return_inverse=True)[1], local)
+                more[of[lo]] = len(forest) < hi - lo
+            picked += [lo + k for k in forest]
+        taken = np.array(picked, np.int64)
+    x, y = x[taken], y[taken]
+    ends = np.sort(np.stack([node[x], node[y]]), 0)
+    return pa.RecordBatch.from_arrays([pa.array(ends[1]), pa.array(ends[0]), pa.array(sig[x], mask=~more[bucket[x]])], names=["a", "b", "sig"])
 
 
 def _forest(label: np.ndarray, pairs: np.ndarray) -> list[int]:
@@ -446,9 +519,40 @@ def _forest(label: np.ndarray, pairs: np.ndarray) -> list[int]:
 
 
 def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their class, with the columns of `docs`; those without words stay."""
-    kept = NgramJoin(words, percent).run(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, col(id_col).cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The documents whose id is the smallest of their class, with the columns of `docs`; those without words stay.
+
+    Where an id repeats, each of its texts is judged by its own class, and of its rows in one class one
+    stays (which, isn't defined).  A null id stays only where its class has no other.
+    """
+    join = NgramJoin(words, percent)
+    found = written(join.run(docs, id_col, text_col, named=True), "join-classes")
+    ids = found.select(F.col(id_col).alias("id"), "n_shingles", "component_id", "node", "root")
+    least = ids.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    rows = ids.groupBy("id").count()
+    single = least.join(rows.filter("count = 1"), "id").select("id")
+    own_id = col(id_col).cast("long")
+    kept = docs.join(single, own_id == F.col("id"), "left_semi")
+    several = rows.filter("count > 1 or id is null")
+    if several.isEmpty():
+        return kept
+    again = docs.join(several, own_id.eqNullSafe(F.col("id")), "left_semi").select(F.struct(*[col(c) for c in docs.columns]).alias("row"), own_id.alias("id"), col(text_col).alias("text"))
+
+    seed = join.seed
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict:
+            sets = [shingle_set(t, words, seed) for t in texts(batch)]
+            return {"row": batch.column("row"), "id": batch.column("id"), "own": [digest(s)[0] for s in sets], "n": [len(s) for s in sets]}
+
+        return f
+
+    schema = StructType([again.schema["row"], again.schema["id"]]).add("own", LongType()).add("n", LongType())
+    named = arrow_map(again, schema, make)
+    classes = least.filter("n_shingles > 0").select(F.col("id").alias("least_id"), "node", "root").distinct()
+    worded = named.filter("n > 0").join(classes, (F.col("own") == F.col("node")) & F.col("id").eqNullSafe(F.col("least_id"))).dropDuplicates(["id", "root"])
+    for part in (worded, named.filter("n = 0")):
+        kept = kept.unionByName(part.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return kept
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quirewise.llm import exact_dedup, line_dedup
 from quirewise.llm.components import components
 from quirewise.llm.exact_dedup import exact_dedup as dedup
 from quirewise.llm.line_dedup import dedup_lines
-from quirewise.llm.ngram_join import Bands, NgramJoin, fine_difference, fine_sketch, least_difference, one_of_each_class, shingle_set, signatures, sketch
+from quirewise.llm.ngram_join import Bands, NgramJoin, Sketches, one_of_each_class, shingle_set, signatures, sketch
 from quirewise.llm.perfect_hash import PerfectHash
 from tests.llm.conftest import EDGES, as_docs, near_copies
 
@@ -126,7 +128,10 @@ def test_ngram_join(spark, words, percent, seed):
 def test_blocks_of_large_buckets(spark, monkeypatch):
     from quirewise.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "FINE_FROM", 20)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", 20)
+    monkeypatch.setattr(ngram_join, "WORDS", 30)
+    monkeypatch.setattr(ngram_join, "ROWS", 10)
     monkeypatch.setattr(ngram_join, "BLOCK", 5)
     monkeypatch.setattr(ngram_join, "PER_LEADER", 3)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
@@ -135,6 +140,27 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == join_brute(rows, 4, 85)
 
 
+def test_a_bucket_of_copies_and_a_stranger_takes_few_comparisons(spark, monkeypatch):
+    """10,000 sets of one class meet one other set: as many pairs are looked at, not half their square."""
+    from quirewise.llm import ngram_join
+
+    nodes = spark.range(10_001).select(F.col("id").alias("node"), F.lit(300).cast("long").alias("n"), F.lit(bytes(64)).alias("sketch"))
+    buckets = spark.range(10_001).select(F.lit(1).cast("long").alias("sig"), F.col("id").alias("node"))
+    labels = spark.range(1, 10_000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    for closest, found in ((True, 5), (False, 10_000)):  # one for each block of copies
+        got = NgramJoin(5, 80).across(buckets, labels, nodes, closest).collect()
+        assert len(got) == found and {r.a for r in got} == {10_000} and [r.sig for r in got][:1] == ([1] if closest else [None])
+    looked = []
+    monkeypatch.setattr(ngram_join.Sketches, "least_difference", lambda self, p, q: looked.append(len(p)) or np.zeros(len(p), np.int64))
+    part = np.arange(10_001) // ngram_join.BLOCK
+    last = part == part[-1]
+    whole = {"sig": 1, "i": 0, "j": int(part[-1]), "n": 300}
+    own = np.flatnonzero((part == 0) | last)
+    table = pa.table({k: np.full(len(own), v, np.int64) for k, v in whole.items()} | {"part": part[own], "node": own, "root": np.where(own == 10_000, 10_000, 0), "sketch": [bytes(64)] * len(own)})
+    ngram_join._candidates(table, 80, False)
+    assert sum(looked) == ngram_join.BLOCK
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
@@ -144,9 +170,9 @@ def test_linked_sets_share_a_signature(percent):
         cut, more = rng.integers(0, n // 5 + 1), rng.integers(0, n // 5 + 1)
         b = np.unique(np.concatenate([rng.permutation(a)[cut:], rng.integers(0, 2**64, more, dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
-        assert least_difference(sketch(a), sketch(b)) <= len(a) + len(b) - 2 * common
-        if (x := fine_sketch(a)) and (y := fine_sketch(b)):
-            assert fine_difference(x, y) <= len(a) + len(b) - 2 * common
+        other = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
+        least = Sketches([sketch(a), sketch(b), sketch(other)]).least_difference(np.array([0, 0]), np.array([1, 2]))
+        assert least[0] <= len(a) + len(b) - 2 * common and least[1] <= len(a) + len(other)
         if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
             bands = Bands(percent)
             assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
@@ -166,6 +192,15 @@ def test_kept_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == expected
 
 
+def test_kept_documents_of_repeated_ids(spark):
+    """One row of a class stays for each id, and each text of an id that is a class of its own."""
+    text, near, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("a", "a", "b"))
+    near = near.replace("a59", "z")
+    rows = [(1, text), (1, text), (1, other), (2, other), (3, near), (None, text), (4, None), (4, ""), (None, "c " * 9), (None, "c " * 9)]
+    got = sorted(((r.doc_id, r.text) for r in one_of_each_class(as_docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, text), (1, other), (4, None), (4, ""), (None, "c " * 9)], key=str)
+
+
 def test_empty_tables(spark, nothing):
     assert dedup(nothing).count() == 0
     assert dedup_lines(nothing).count() == 0
