@@ -13,9 +13,7 @@ Conventions of all operators in this subpackage
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,69 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..tables import drop_scratch, new_folder, scratch, shared_dir, written
+
+__all__ = ["arrow_map", "col", "drop_scratch", "lower_words", "new_folder", "scratch", "shared_dir", "small_batches", "table", "texts", "written"]
+
 #: Fixed value: the white space of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_SCRATCH = "quirewise-scratch"
-
 
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session may do without the setting."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="quirewise-")
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-#: Intermediate tables of this driver that have not been deleted yet.
-_tables: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder; it is computed once, here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes the intermediate tables made inside, but for those that frames of the list read."""
-    before, keep = len(_tables), []
-    yield keep
-    needed = {f.split("/")[-2] for df in keep for f in df.inputFiles()}
-    for path in _tables[before:]:
-        if path.split("/")[-1] not in needed:
-            _delete(spark, path)
-            _tables.remove(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes all intermediate tables; call it when no result that reads them is needed."""
-    _delete(spark, f"{shared_dir(spark)}/{_SCRATCH}")
-    _tables.clear()
-
-
 def small_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -> None:
     """Bounds the Arrow batches that Python workers get, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))

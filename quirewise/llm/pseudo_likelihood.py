@@ -1,22 +1,24 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every token of a text from WINDOW words on each side, the token itself
-masked; a document's score is the sum of the conditional log-probabilities of all its tokens.
-
-The softmax has two levels.  The network predicts a class from the window: the VOCABULARY - SHAPES
-most frequent words of the whole corpus are classes of their own, any other word is in the class of
-its shape (length, ending, characters).  Within a shape a word has the share of its occurrences in
-the corpus, so every word of the corpus is predicted and the vocabulary grows with the input.  That
-share doesn't depend on the window, and within the window rare words count as their shapes.
-
-Word counts cover all documents; they go through the shared folder, not through the driver.
-Training covers all documents once, in ROUNDS rounds: each task trains on its share from the common
-weights, and the tasks' weights are averaged by the tokens they saw.  Only the classes and weights,
-both of fixed size, reach the driver.
+A network predicts every token of a text from WINDOW words on each side, the token itself masked; a
+document's score is the sum of the conditional log-probabilities of all its words.
+
+The vocabulary grows with the square root of the corpus: at most VOCABULARY_FACTOR * sqrt(tokens) of the
+most frequent words have embeddings and leaves of the softmax, see `window_network`.  Any other word is a
+token of its shape (length, ending, characters), times the share that the word has among all
+occurrences of such words, so every word of the corpus is predicted.
+
+The corpus is tokenised once; training and scoring read the ids.  Training covers all documents in
+ROUNDS rounds over disjoint parts.  Documents are dealt to shards by a hash of themselves, each shard
+trains from the common weights, and each row of the weights becomes the mean over the shards, by how
+often they used it.  The number of shards depends on the corpus alone, so partitions, executors and
+the order of rows make no difference.  Vocabulary and weights go through the shared folder; the
+driver sees sums and file names only.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,30 +30,41 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, lower_words, small_batches, table, texts, written
+from .common import arrow_map, col, lower_words, scratch, small_batches, table, texts, written
+from .window_network import SHAPES, Codes, WindowNetwork, batches
 
-VOCABULARY = 256
-SHAPES = 32
-WINDOW = 3
-WIDTH = 16
+VOCABULARY_FACTOR = 16
+#: Square root of the tokens for each shard of a round: shards and vocabulary grow together with the corpus.
+SHARD_ROOT = 1000
 ROUNDS = 2
-BATCH = 4096
-#: Tokens of one step of training.
-STEP = 512
-RATE = 0.1
-#: Distinct words that a task counts before it hands over the rarer half.
+#: Distinct words that a task counts before it hands over the rarer half, or whose ids it remembers.
 HELD_WORDS = 200_000
-_EDGE = VOCABULARY  # the token beyond a text's ends
+#: Tokens of whole texts that a task trains on together.
+GROUP = 50_000
+#: Rows of weights that are averaged together.
+BLOCK = 8192
+#: Seed of Spark's xxhash64.
+_SEED = 42
+
+
+def shape(word: bytes) -> int:
+    """0 to SHAPES - 1: length in four steps, by kind of characters, by the last character's kind."""
+    n = len(word)
+    size = 0 if n < 5 else 1 if n < 8 else 2 if n < 12 else 3
+    kind = 0 if word.isalpha() else 1 if not word.isascii() else 2 if any(48 <= c < 58 for c in word) else 3
+    return (size * 4 + kind) * 2 + (not (97 <= word[-1] < 123 or word[-1] >= 128))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) over all texts; each task counts what it can hold first."""
+    """(word, shape, n) over all texts; each task counts what it can hold first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out(items):
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], names=["word", "n"])
+            words = [w for w, _ in items]
+            columns = pa.array(words, pa.binary()), pa.array(map(shape, words), pa.int32()), pa.array([n for _, n in items], pa.int64())
+            return pa.RecordBatch.from_arrays(list(columns), names=["word", "shape", "n"])
 
         for b in batches:
             for t in texts(b):
@@ -64,200 +77,203 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield out(list(held.items()))
 
-    return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def shape(word: bytes) -> int:
-    """0 to SHAPES - 1: length in four steps, by kind of characters, by the last character's kind."""
-    n = len(word)
-    size = 0 if n < 5 else 1 if n < 8 else 2 if n < 12 else 3
-    kind = 0 if word.isalpha() else 1 if not word.isascii() else 2 if any(48 <= c < 58 for c in word) else 3
-    return (size * 4 + kind) * 2 + (not (97 <= word[-1] < 123 or word[-1] >= 128))
+class Vocabulary:
+    """The words with ranks, in files of (word, n), and the other words' occurrences by shape."""
+
+    def __init__(self, levels: int, files: list[str], rare: list[int]):
+        self.levels, self.files, self.rare = levels, files, rare
+
+    @classmethod
+    def chosen(cls, words: DataFrame) -> tuple[Vocabulary, DataFrame]:
+        """The vocabulary of counted words, and (key, share): each other word's log share within its shape."""
+        by_size = words.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+        by_size = sorted(((r["size"], r["words"], r["n"]) for r in by_size), reverse=True)
+        tokens, distinct = sum(n for _, _, n in by_size), sum(w for _, w, _ in by_size)
+        levels = int(math.log2(min(VOCABULARY_FACTOR * math.sqrt(tokens), distinct) + 1))
+        size, least = (1 << levels) - 1, 1
+        for exponent, count, _ in by_size:
+            least, size = 1 << exponent, size - count
+            if size <= 0:
+                break
+        ranked = words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit((1 << levels) - 1)
+        held = written(ranked.select("word", "n"), "lm-vocabulary")
+        low = held.agg(F.min("n")).first()[0]
+        last = held.filter(F.col("n") == low).agg(F.max("word")).first()[0] if low else b""
+        rare = words.filter((F.col("n") < F.lit(low)) | ((F.col("n") == F.lit(low)) & (F.col("word") > F.lit(bytes(last))))) if low else words
+        totals = {r["shape"]: r["n"] for r in rare.groupBy("shape").agg(F.sum("n").alias("n")).collect()}
+        found = cls(levels, held.inputFiles(), [totals.get(k, 0) for k in range(SHAPES)])
+        total = F.element_at(F.array(*[F.lit(float(max(1, n))) for n in found.rare]), F.col("shape") + 1)
+        # Words that share a key, one in 2^64, count as the more frequent one.
+        return found, rare.groupBy(F.xxhash64("word").alias("key")).agg(F.max(F.log("n") - F.log(total)).alias("share"))
+
+    def ranked(self) -> tuple[list[bytes], np.ndarray]:
+        read = _read(self.files)
+        words, n = read.column("word").to_pylist(), read.column("n").to_numpy()
+        order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
+        return [words[k] for k in order], n[order]
+
+    def network(self, weights: list[list[str]]) -> WindowNetwork:
+        """The unigram model at first, then the weights of each round."""
+        net = WindowNetwork(Codes(self.levels), np.concatenate([self.rare, self.ranked()[1]]).astype(float))
+        for files in weights:
+            for r in _read(files).to_pylist():
+                own = getattr(net, r["part"])
+                rows, values = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)
+                own[rows] = values.reshape(len(rows), -1) if r["part"] != "top" else values.reshape(own.shape)
+        return net
+
+
+def _read(files: list[str]) -> pa.Table:
+    parts = []
+    for uri in files:
+        store, path = fs.FileSystem.from_uri(uri)
+        parts.append(pq.read_table(path, filesystem=store))
+    return pa.concat_tables(parts)
 
 
 class Tokens(dict):
-    """Ids of words; shapes of unknown words are worked out when met, and kept for the first HELD_WORDS of them."""
+    """Ids of words; shapes of rare words are worked out when met, and kept for the first HELD_WORDS of them."""
 
-    def __init__(self, vocabulary: list[str]):
-        super().__init__((w.encode("utf-8"), SHAPES + k) for k, w in enumerate(vocabulary))
+    def __init__(self, words: list[bytes]):
+        super().__init__((w, SHAPES + k) for k, w in enumerate(words))
+        self.most = len(self) + HELD_WORDS
 
     def __missing__(self, word: bytes) -> int:
         k = shape(word)
-        if len(self) < HELD_WORDS:
+        if len(self) < self.most:
             self[word] = k
         return k
 
-    def ids(self, text: str) -> np.ndarray:
-        return self.ids_of(lower_words(text))
 
-    def ids_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+#: What a worker has read, by the files: tasks that follow in it use it again.
+_held: dict = {}
 
 
-#: Seed of Spark's xxhash64.
-_SEED = 42
+def _once(kind: str, files: list, make):
+    key = (kind, str(files))
+    if key not in _held:
+        for other in [k for k in _held if k[0] == kind]:
+            del _held[other]
+        _held[key] = make()
+    return _held[key]
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """32-bit ids as four planes of bytes, which compress better."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
 
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
-def shape_totals(words: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Occurrences in the corpus of all words of each shape."""
-    own = set(vocabulary)
+
+def tokenised(rows: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """(row, doc_id, n, ids, rare, part): `rare` has the keys of the words outside the vocabulary; part is the round and shard."""
 
     def make():
+        tokens = _once("tokens", vocabulary.files, lambda: Tokens(vocabulary.ranked()[0]))
+        hashed = xxhash.xxh64_intdigest
+
         def f(b: pa.RecordBatch) -> dict:
-            n = np.zeros(SHAPES, np.int64)
-            for w, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                if w not in own:
-                    n[shape(w.encode("utf-8"))] += k
-            return {"shape": np.arange(SHAPES), "n": n}
+            n, ids, rare, counts = [], [], [], []
+            for t in texts(b):
+                words = lower_words(t)
+                own = np.fromiter(map(tokens.__getitem__, words), np.int32, len(words))
+                other = np.flatnonzero(own < SHAPES).tolist()
+                rare += [hashed(words[k], _SEED) for k in other]
+                n.append(len(words))
+                ids.append(packed(own))
+                counts.append(len(other))
+            keys = pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), pa.array(np.array(rare, np.uint64).view(np.int64)))
+            return {"row": b.column("row"), "doc_id": b.column("doc_id"), "n": n, "ids": ids, "rare": keys}
 
         return f
 
-    out = np.zeros(SHAPES)
-    for r in arrow_map(words, "shape int, n long", make).groupBy("shape").agg(F.sum("n").alias("n")).collect():
-        out[r["shape"]] = r["n"]
-    return out
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    coded = arrow_map(numbered, "row long, doc_id long, n long, ids binary, rare array<long>", make)
+    return coded.withColumn("part", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(ROUNDS * shards)).cast("int"))
+
+
+def trained(tokens: DataFrame, vocabulary: Vocabulary, shards: int) -> list[list[str]]:
+    """The files of each round's weights: (part, block, rows, weights)."""
+    weights: list[list[str]] = []
+    for k in range(ROUNDS):
+
+        def run(batches_: Iterator[pa.RecordBatch], before=tuple(weights)) -> Iterator[pa.RecordBatch]:
+            net = vocabulary.network(before)
+            held, size = [], 0
+            for b in batches_:
+                for data in b.column("ids").to_pylist():
+                    held.append(unpacked(data))
+                    size += len(held[-1])
+                    if size >= GROUP:
+                        _learn(net, held)
+                        held, size = [], 0
+            _learn(net, held)
+            yield from _used_rows(net)
+
+        own = tokens.filter(F.col("part").between(k * shards, (k + 1) * shards - 1) & (F.col("n") > 0))
+        own = own.select("ids", "doc_id", (F.col("part") - k * shards).alias("shard"))
+        dealt = own.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.xxhash64("ids"), "doc_id").select("ids")
+        kinds = "part string, block int, rows binary, used binary, weights binary"
+        blocks = dealt.mapInArrow(run, kinds).groupBy("part", "block")
+        weights.append(written(blocks.applyInPandas(_mean, "part string, block int, rows binary, weights binary"), "lm-weights").inputFiles())
+    return weights
+
 
+def _learn(net: WindowNetwork, held: list[np.ndarray]) -> None:
+    if held:
+        for ids, around, _ in batches(held, net.codes.edge):
+            net.learn(ids, around)
 
-class WordShares:
-    """Log shares of words within their shapes, from the counts of all words.
 
-    `files` hold (key, n) of the words that occur twice or more; any other word occurs once.  A task
-    holds 12 bytes for each of them, read once by each Python worker.
-    """
+def _used_rows(net: WindowNetwork) -> Iterator[pa.RecordBatch]:
+    """The rows of the weights that took part, with how often."""
+    for part in net.PARTS:
+        rows, values = np.flatnonzero(net.used[part]).astype(np.int32), getattr(net, part)
+        for block in np.unique(rows // BLOCK).tolist():
+            own = rows[rows // BLOCK == block]
+            columns = [[part], [block], [own.tobytes()], [net.used[part][own].tobytes()], [values[own].tobytes()]]
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "block", "rows", "used", "weights"])
 
-    _read: tuple[list[str], np.ndarray, np.ndarray] | None = None
-
-    def __init__(self, files: list[str], totals: np.ndarray):
-        if WordShares._read is None or WordShares._read[0] != files:
-            WordShares._read = None  # the last table's memory, before the next is read
-            WordShares._read = (files, *self.counts(files))
-        _, self.keys, self.logs = WordShares._read
-        self.totals = np.log(np.maximum(totals, 1))
-
-    @staticmethod
-    def counts(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for uri in files:
-            store, path = fs.FileSystem.from_uri(uri)
-            t = pq.read_table(path, filesystem=store)
-            parts.append((t.column("key").to_numpy(), np.log(t.column("n").to_numpy()).astype(np.float32)))
-        keys = np.concatenate([np.empty(0, np.int64), *(k for k, _ in parts)])
-        order = np.argsort(keys)
-        return keys[order], np.concatenate([np.empty(0, np.float32), *(n for _, n in parts)])[order]
-
-    def total(self, words: list[bytes], ids: np.ndarray) -> float:
-        """The sum of the log shares of a text's words; words that are classes have the share 1."""
-        rare = np.flatnonzero(ids < SHAPES)
-        if not len(rare):
-            return 0.0
-        hashed = xxhash.xxh64_intdigest
-        keys = np.fromiter((hashed(words[k], _SEED) for k in rare.tolist()), np.uint64, len(rare)).view(np.int64)
-        logs = 0.0
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            logs = self.logs[at].sum(where=self.keys[at] == keys, dtype=np.float64)
-        return float(logs - self.totals[ids[rare]].sum())
 
+def _mean(pdf):
+    """The means of a block's rows over the shards, by how often each used them."""
+    import pandas as pd
 
-class WindowNetwork:
-    """h = sum over positions of gate[position] * embedding[token]; p = softmax(h @ out + bias)."""
+    first = int(pdf["block"].iloc[0]) * BLOCK
+    total, times = None, np.zeros(BLOCK)
+    for rows, used, weights in sorted(zip(pdf["rows"], pdf["used"], pdf["weights"], strict=True)):
+        at, n = np.frombuffer(rows, np.int32) - first, np.frombuffer(used, np.float32)
+        own = np.frombuffer(weights, np.float32).reshape(len(at), -1)
+        total = np.zeros((BLOCK, own.shape[1])) if total is None else total
+        total[at] += own * n[:, None]
+        times[at] += n
+    at = np.flatnonzero(times)
+    mean = (total[at] / times[at, None]).astype(np.float32)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "block": [pdf["block"].iloc[0]], "rows": [(at + first).astype(np.int32).tobytes()], "weights": [mean.tobytes()]})
 
-    PARTS = (("embedding", (VOCABULARY + 1, WIDTH)), ("gate", (2 * WINDOW, WIDTH)), ("out", (WIDTH, VOCABULARY)), ("bias", (VOCABULARY,)))
 
-    def __init__(self, weights: np.ndarray | None = None):
-        size = sum(int(np.prod(s)) for _, s in self.PARTS)
-        if weights is None:
-            weights = np.random.default_rng(1).normal(0, 0.1, size)
-            weights[self.slices()["gate"]] = 1.0
-        self.weights = np.array(weights, np.float32)
-        for name, s in self.PARTS:
-            setattr(self, name, self.weights[self.slices()[name]].reshape(s))  # views
-        self.seen = np.full(size, 1e-2, np.float32)
+def scored(tokens: DataFrame, vocabulary: Vocabulary, weights: list[list[str]]) -> DataFrame:
+    """(row, doc_id, n, net): the network's part of each row's score."""
 
-    @classmethod
-    def slices(cls) -> dict[str, slice]:
-        out, at = {}, 0
-        for name, s in cls.PARTS:
-            out[name] = slice(at, at := at + int(np.prod(s)))
-        return out
-
-    @staticmethod
-    def windows(ids: np.ndarray) -> np.ndarray:
-        """(tokens, 2 * WINDOW): the tokens around each one of a text."""
-        padded = np.concatenate([np.full(WINDOW, _EDGE, np.int32), ids, np.full(WINDOW, _EDGE, np.int32)])
-        return np.stack([padded[k : k + len(ids)] for k in range(2 * WINDOW + 1) if k != WINDOW], 1)
-
-    def predicted(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hidden values and the logits; embeddings are gated by position before they are looked up."""
-        h = np.zeros((len(around), WIDTH), np.float32)
-        for p, g in enumerate(self.gate):
-            h += (self.embedding * g).take(around[:, p], 0)
-        z = h @ self.out
-        z += self.bias
-        return h, z
-
-    def log_probabilities(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-        z = self.predicted(around)[1]
-        own = z[np.arange(len(ids)), ids]
-        top = z.max()  # one for all: logits of so small a network lie close together
-        return own - top - np.log(np.exp(z - top, out=z).sum(1))
-
-    def learn(self, ids: np.ndarray, around: np.ndarray) -> None:
-        """One step of Adagrad on the mean negative log-probability."""
-        h, p = self.predicted(around)
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True) * len(ids)
-        p[np.arange(len(ids)), ids] -= np.float32(1 / len(ids))
-        back = p @ self.out.T
-        # Sums by position and token serve both the embeddings and the gates.
-        flat = (around[..., None] * WIDTH + np.arange(WIDTH, dtype=np.int32)).astype(np.intp)
-        weights, size = back.ravel().astype(np.float64), (VOCABULARY + 1) * WIDTH
-        sums = np.stack([np.bincount(flat[:, k].ravel(), weights, size).reshape(-1, WIDTH) for k in range(2 * WINDOW)])
-        to_embedding, to_gate = (sums * self.gate[:, None]).sum(0), (sums * self.embedding).sum(1)
-        grad = np.concatenate([to_embedding.ravel(), to_gate.ravel(), (h.T @ p).ravel(), p.sum(0)]).astype(np.float32)
-        self.seen += grad * grad
-        self.weights -= RATE * grad / np.sqrt(self.seen)
-
-
-def _batches(tokens: Tokens, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The tokens of a batch's texts with their windows, about BATCH at a time."""
-    ids, around, n = [], [], 0
-    for t in texts(batch):
-        own = tokens.ids(t)
-        if len(own):
-            ids.append(own)
-            around.append(WindowNetwork.windows(own))
-            n += len(own)
-        if n >= BATCH:
-            yield np.concatenate(ids), np.concatenate(around)
-            ids, around, n = [], [], 0
-    if n:
-        yield np.concatenate(ids), np.concatenate(around)
-
-
-def trained(rows: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Weights after ROUNDS rounds over disjoint parts of all documents."""
-    weights = WindowNetwork().weights
-    for part in range(ROUNDS):
-
-        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            net, tokens, seen = WindowNetwork(weights), Tokens(vocabulary), 0
-            for b in batches:
-                for ids, around in _batches(tokens, b):
-                    for at in range(0, len(ids), STEP):
-                        net.learn(ids[at : at + STEP], around[at : at + STEP])
-                    seen += len(ids)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.weights], pa.list_(pa.float32()))], names=["seen", "weights"])
-
-        own = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)) == part).select("text")
-        tasks = own.mapInArrow(run, "seen long, weights array<float>").select("seen", F.posexplode("weights").alias("at", "w"))
-        mean = tasks.groupBy("at").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()
-        if len(mean):
-            weights = np.zeros_like(weights)
-            weights[mean["at"].to_numpy()] = mean["w"].to_numpy()
-    return weights
+    def make():
+        net = _once("network", [vocabulary.files, weights], lambda: vocabulary.network(weights))
+
+        def f(b: pa.RecordBatch) -> dict:
+            own = [unpacked(x) for x in b.column("ids").to_pylist()]
+            total = np.zeros(len(own))
+            for ids, around, number in batches(own, net.codes.edge):
+                total += np.bincount(number, net.log_probabilities(ids, around), len(own))
+            return {c: b.column(c) for c in ("row", "doc_id", "n")} | {"net": pa.array(total)}
+
+        return f
+
+    return arrow_map(tokens.select("row", "doc_id", "n", "ids"), "row long, doc_id long, n long, net double", make)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,35 +282,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null and empty texts have no tokens: their sum is 0 and their mean null.  Null ids and repeated
     rows are rows like others; further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    words = written(word_counts(rows), "lm-words")
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHAPES).collect()
-    vocabulary = [r["word"] for r in top]
-    totals = shape_totals(words, vocabulary)
-    files = written(words.filter("n > 1").select(F.xxhash64("word").alias("key"), "n"), "lm-counts").inputFiles()
-    weights = trained(rows, vocabulary)
-
-    def make():
-        net, tokens, shares = WindowNetwork(weights), Tokens(vocabulary), WordShares(files, totals)
-
-        def f(batch: pa.RecordBatch) -> dict:
-            n, total = [], []
-            for t in texts(batch):
-                words = lower_words(t)
-                ids = tokens.ids_of(words)
-                s = shares.total(words, ids)
-                for at in range(0, len(ids), BATCH):
-                    lo, hi = max(0, at - WINDOW), min(len(ids), at + BATCH + WINDOW)
-                    around = WindowNetwork.windows(ids[lo:hi])[at - lo : at - lo + BATCH]
-                    s += float(net.log_probabilities(ids[at : at + BATCH], around).sum(dtype=np.float64))
-                n.append(len(ids))
-                total.append(s)
-            return {"doc_id": batch.column("doc_id"), "n_tokens": n, "log_probability": total, "mean_log_probability": [s / k if k else None for s, k in zip(total, n, strict=True)]}
-
-        return f
-
-    return arrow_map(rows, "doc_id long, n_tokens long, log_probability double, mean_log_probability double", make)
+    with scratch(spark) as keep:
+        words = written(word_counts(rows), "lm-words")
+        vocabulary, shares = Vocabulary.chosen(words)
+        shards = math.ceil(math.sqrt(words.agg(F.sum("n")).first()[0] or 1) / SHARD_ROOT)
+        tokens = written(tokenised(rows, vocabulary, shards), "lm-tokens")
+        net = scored(tokens, vocabulary, trained(tokens, vocabulary, shards))
+        # Rare words are rare, so no key of this join is hot.
+        rare = tokens.select("row", F.explode("rare").alias("key")).join(shares, "key").groupBy("row").agg(F.sum("share").alias("rare"))
+        out = written(net.join(rare, "row", "left"), "lm-scores")
+        keep.append(out)
+    total = F.col("net") + F.coalesce("rare", F.lit(0.0))
+    return out.select("doc_id", F.col("n").alias("n_tokens"), total.alias("log_probability"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_log_probability"))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

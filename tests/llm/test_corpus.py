@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quirewise.llm import mixing, packing, pseudo_likelihood, quotation
+from quirewise.llm import mixing, packing, pseudo_likelihood, quotation, window_network
 from quirewise.llm.ranks import running_before
 from tests.llm.conftest import EDGES, as_docs, near_copies, prose
 
@@ -25,13 +26,12 @@ def test_running_sums_over_buckets(spark):
         assert r.at == sum(before)
 
 
-@pytest.mark.parametrize("sizes", [[("a", 100), ("b", 100), ("c", 100)], [("a", 10), ("b", 1000), (None, 5)], [("a", 0), ("b", 0)], [("z", 7)], [("d", 1), ("c", 900), ("b", 30), ("a", 40)], []])
-def test_targets(sizes):
-    got = mixing.targets(sizes)
+def targets_by_steps(sizes):
+    """The contract's targets, one round of resharing after another."""
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i][0] is None, sizes[i][0] or ""))
     weight = {i: (5, 2, 1)[k % 3] for k, i in enumerate(order)}
     free, left, want = {*weight}, 1.5 * sum(s for _, s in sizes), {}
-    while free:  # step by step
+    while free:
         share = left / sum(weight[i] for i in free)
         over = {i for i in free if share * weight[i] > 2 * sizes[i][1]}
         if not over:
@@ -40,30 +40,72 @@ def test_targets(sizes):
         want |= {i: 2.0 * sizes[i][1] for i in over}
         left -= sum(2 * sizes[i][1] for i in over)
         free -= over
-    assert got == pytest.approx([want[i] for i in range(len(sizes))])
+    return [want[i] for i in range(len(sizes))]
 
 
-def test_schedule(spark, monkeypatch):
+MANY = [(f"s{k % 997}", k * k % 5003) for k in range(997)]
+
+
+@pytest.mark.parametrize("sizes", [[("a", 100), ("b", 100), ("c", 100)], [("a", 10), ("b", 1000), (None, 5)], [("a", 0), ("b", 0)], [("z", 7)], [("d", 1), ("c", 900), ("b", 30), ("a", 40)], [], MANY])
+def test_targets(spark, sizes):
+    got = mixing.source_targets(spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(sizes)], "doc_id long, source string, size long")).collect()
+    assert {r.source: r.target for r in got} == pytest.approx(dict(zip([s for s, _ in sizes], targets_by_steps(sizes), strict=True)))
+    assert sorted(r.source_no for r in got) == list(range(len(sizes)))
+    upto = 0
+    for r in sorted(got, key=lambda r: r.source_no):
+        assert (r.quota, r.before) == (math.ceil(math.floor(r.target) / mixing.BLOCK), upto)
+        upto += r.quota
+
+
+def slots_by_steps(quota):
+    """(slot, source, rank), one point after another, in whole numbers."""
+    blocks, out, rank = sum(quota), [], Counter()
+    for i in range(3 * blocks + 64 if blocks else 0):
+        x, upto = i * mixing.GOLDEN % 2**64, 0
+        for s, q in enumerate(quota):
+            if upto * 2**64 <= x * blocks < (upto + q) * 2**64:
+                if rank[s] < q:
+                    out.append((i, s, rank[s]))
+                rank[s] += 1
+            upto += q
+    return out
+
+
+@pytest.mark.parametrize("quota", [[50, 1, 0, 120, 7], [0], [1], [1] * 30 + [400] + [2] * 30])
+def test_schedule(spark, monkeypatch, quota):
     monkeypatch.setattr(mixing, "CHUNK", 64)
-    quota = [50, 1, 0, 120, 7]
-    rows = sorted(map(tuple, mixing.schedule(spark, quota).collect()))
+    sources = spark.createDataFrame([(k, n, sum(quota[:k])) for k, n in enumerate(quota)], "source_no long, quota long, before long")
+    rows = sorted(map(tuple, mixing.schedule(sources).collect()))
+    assert rows == slots_by_steps(quota)
     assert Counter(s for _, s, _ in rows) == Counter({k: n for k, n in enumerate(quota) if n})
-    seen = Counter()
-    for _, s, r in rows:
-        assert r == seen[s]
-        seen[s] += 1
-    first = Counter(s for _, s, _ in rows[:89])
-    assert abs(first[3] - 60) <= 4 and abs(first[0] - 25) <= 4
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.schedule(sources).collect())) == rows
+
 
+def test_points_far_out_are_exact():
+    first = 6 * 10**10
+    got = mixing.points(first, 1000)
+    assert got.tolist() == [(first + k) * mixing.GOLDEN % 2**64 for k in range(1000)]
+    # An interval of one in a million gets its share there, too.
+    hits = sum(int((mixing.points(first + k * 10**6, 10**6) < np.uint64(2**64 // 10**6)).sum()) for k in range(8))
+    assert 7 <= hits <= 10
 
-def test_mix(spark, monkeypatch):
+
+def test_a_block_without_a_slot_is_an_error(spark):
+    with pytest.raises(RuntimeError, match="slots for"):
+        mixing.schedule(spark.createDataFrame([(0, 5, 0), (1, 5, 0)], "source_no long, quota long, before long"))
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mix(spark, monkeypatch, broadcast):
     monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     docs = as_docs(spark, ROWS)
     pieces, streams = mixing.mix(docs)
-    places = streams.collect()
+    places, pieces = streams.collect(), pieces.collect()
     assert len(places) == len(ROWS)
     taken = Counter()
-    for p in pieces.collect():
+    for p in pieces:
         taken[p.source_no, p.at] += p.length
     by_source = defaultdict(int)
     for r in places:
@@ -71,11 +113,35 @@ def test_mix(spark, monkeypatch):
         assert t <= 2 * r["size"]
         by_source[r.source_no, r.target] += t
     assert all(n == math.floor(t) for (_, t), n in by_source.items())
+    # Each piece stands in the slot of its block, and no slot holds more than a block.
+    quota = [math.ceil(math.floor(t) / 16) for _, t in sorted(by_source)]
+    slots = {(s, r): i for i, s, r in slots_by_steps(quota)}
+    size = {(r.source_no, r.at): r.source_size for r in places}
+    assert all(p.slot == slots[p.source_no, (p.at + p.epoch * size[p.source_no, p.at] + p.start) // 16] for p in pieces)
+    held = Counter()
+    for p in pieces:
+        held[p.slot] += p.length
+    assert max(held.values()) <= 16
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert sum(len((r.text or "").encode().split()) for r in out.collect()) == sum(by_source.values())
 
 
+def test_mixed_documents_come_in_the_order_of_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    docs = as_docs(spark, [(i, prose(random.Random(i), 5 + i % 50)) for i in range(120)])
+    first = {}
+    for p in mixing.mix(docs)[0].collect():
+        k = p.doc_id, p.epoch
+        first[k] = min(first.get(k, p.slot), p.slot)
+    got = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    seen, order = Counter(), []
+    for d in got:
+        order.append(first[d, seen[d]])
+        seen[d] += 1
+    assert order == sorted(order) and len(got) == len(first) and max(seen.values()) == 2
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.Encoder(packing.default_tokenizer(), cache=50)
     rng = random.Random(6)
@@ -125,27 +191,57 @@ def test_shortest_pack_first_wastes_little():
     assert len(patterns) < 4 * len(histogram)
 
 
+def small_network(levels=5, seed=8):
+    codes = window_network.Codes(levels)
+    rng = np.random.default_rng(seed)
+    net = window_network.WindowNetwork(codes, rng.integers(1, 50, codes.edge).astype(float))
+    net.nodes += rng.normal(0, 0.3, net.nodes.shape).astype(np.float32)
+    net.top += rng.normal(0, 0.3, net.top.shape).astype(np.float32)
+    return net, rng
+
+
+def test_the_network_is_a_distribution_and_starts_as_the_unigram_model():
+    net, rng = small_network()
+    around = np.repeat(rng.integers(0, net.codes.edge + 1, (6, 1)), net.codes.edge, 1)
+    assert np.exp(net.log_probabilities(np.arange(net.codes.edge), around).astype(float)).sum() == pytest.approx(1, rel=1e-4)
+    masses = rng.integers(0, 90, net.codes.edge).astype(float)
+    new = window_network.WindowNetwork(net.codes, masses)
+    around[:] = net.codes.edge
+    new.embedding[:] = 0
+    expected = np.log((masses + 0.5) / (masses + 0.5).sum())
+    assert np.allclose(new.log_probabilities(np.arange(net.codes.edge), around), expected, atol=1e-4)
+
+
+def test_wide_logits_stay_finite():
+    net, rng = small_network()
+    net.embedding *= 3000
+    ids = rng.integers(0, net.codes.edge, 300).astype(np.int32)
+    got = np.concatenate([net.log_probabilities(i, a) for i, a, _ in window_network.batches([ids], net.codes.edge)])
+    assert np.isfinite(got).all() and got.min() < -100
+
+
 def test_gradients_of_the_window_network():
-    net = pseudo_likelihood.WindowNetwork()
-    rng = np.random.default_rng(8)
-    ids = rng.integers(0, pseudo_likelihood.VOCABULARY, 40).astype(np.int32)
-    around = net.windows(ids)
-    assert around.shape == (40, 6) and around[0, :3].tolist() == [pseudo_likelihood.VOCABULARY] * 3 and around[5, 3] == ids[6]
+    net, rng = small_network()
+    ids = rng.integers(0, net.codes.edge, 40).astype(np.int32)
+    around = next(window_network.batches([ids], net.codes.edge))[1]
+    assert around.shape == (6, 40) and around[:3, 0].tolist() == [net.codes.edge] * 3 and around[3, 5] == ids[6]
     before = net.log_probabilities(ids, around).mean()
-    z = net.predicted(around)[1].astype(float)
-    assert np.allclose(net.log_probabilities(ids, around), z[np.arange(40), ids] - np.log(np.exp(z).sum(1)), atol=1e-4)
-    # One step of Adagrad from nearly nothing moves each weight by the sign of its gradient.
-    grads = []
-    for k in range(0, len(net.weights), 97):
-        loss = []
-        for d in (1e-2, -2e-2):
-            net.weights[k] += np.float32(d)
-            loss.append(-net.log_probabilities(ids, around).mean(dtype=float))
-        net.weights[k] += np.float32(1e-2)
-        grads.append((k, (loss[0] - loss[1]) / 2e-2))
-    old = net.weights.copy()
+    # One step of Adagrad moves each weight against its gradient.
+    old, grads = {p: getattr(net, p).copy() for p in net.PARTS}, []
+    for part in net.PARTS:
+        flat = getattr(net, part).reshape(-1)
+        for k in range(0, len(flat), 37):
+            loss = []
+            for d in (1e-2, -2e-2):
+                flat[k] += np.float32(d)
+                loss.append(-net.log_probabilities(ids, around).sum(dtype=float))
+            flat[k] += np.float32(1e-2)
+            grads.append((part, k, (loss[0] - loss[1]) / 2e-2))
     net.learn(ids, around)
-    assert all((old[k] - net.weights[k]) * g > 0 for k, g in grads if abs(g) > 1e-2)
+    moved = {p: (old[p] - getattr(net, p)).reshape(-1) for p in net.PARTS}
+    own_bias = lambda part, k: part in ("embedding", "gate") and k % window_network.WIDTH == window_network.WIDTH - 1
+    checked = [moved[p][k] * g > 0 for p, k, g in grads if abs(g) > 5e-2 and not own_bias(p, k)]
+    assert all(checked) and len(checked) > 30
     for _ in range(60):
         net.learn(ids, around)
     assert net.log_probabilities(ids, around).mean() > before + 1
@@ -159,32 +255,86 @@ def test_scores_prefer_order(spark):
     assert (got[2].n_tokens, got[2].log_probability, got[2].mean_log_probability) == (0, 0.0, None)
 
 
-def test_scores_tell_rare_words_apart(spark):
-    """Words of one shape that aren't among the most frequent ones have their shares of the corpus."""
-    common = " ".join(f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmno")
-    rows = [(k, common) for k in range(40)] + [(100 + k, "zebrafox") for k in range(12)] + [(200, "zebracat"), (201, "Zebradog zebradog zebradog"), (202, "été2 été2"), (203, "été3")]
-    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.lm_scores(as_docs(spark, rows)).collect()}
-    assert got[100] - got[200] == pytest.approx(math.log(12), rel=1e-5)
-    assert got[202] < got[203] < 0
-    words = pseudo_likelihood.word_counts(as_docs(spark, rows)).collect()
-    vocabulary = [r.word for r in sorted(words, key=lambda r: (-r.n, r.word))[: pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES]]
-    totals = pseudo_likelihood.shape_totals(spark.createDataFrame(words), vocabulary)
-    n = Counter()
-    for r in words:
-        if r.word not in vocabulary:
-            n[pseudo_likelihood.shape(r.word.encode())] += r.n
-    assert {k: v for k, v in enumerate(totals) if v} == n and sum(n.values()) > 16
-
-
-def test_scores_of_long_texts_by_parts(monkeypatch):
-    net = pseudo_likelihood.WindowNetwork()
-    ids = np.random.default_rng(9).integers(0, 200, 1000).astype(np.int32)
-    whole = net.log_probabilities(ids, net.windows(ids)).sum()
-    parts = 0.0
-    for at in range(0, 1000, 64):
-        lo = max(0, at - 3)
-        parts += net.log_probabilities(ids[at : at + 64], net.windows(ids[lo : at + 67])[at - lo : at - lo + 64]).sum()
-    assert parts == pytest.approx(whole, rel=1e-4)
+def language(documents, seed=4):
+    """Texts whose next word follows from the last one, most of the time."""
+    rng, out = random.Random(seed), []
+    follows = {k: rng.sample(range(300), 3) for k in range(300)}
+    for i in range(documents):
+        k, own = rng.randrange(300), []
+        for _ in range(80):
+            own.append(f"w{k}" if rng.random() > 0.03 else f"rare{rng.randrange(10**6)}")
+            k = rng.choice(follows[k]) if rng.random() < 0.8 else rng.randrange(300)
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_ROOT", 60)
+    docs = as_docs(spark, language(400) + EDGES + EDGES)
+    one, eight = (sorted(((str(r.doc_id), r.n_tokens, r.log_probability) for r in pseudo_likelihood.lm_scores(d).collect())) for d in (docs.coalesce(1), docs.repartition(8)))
+    assert [r[:2] for r in one] == [r[:2] for r in eight] and len(one) == 400 + 2 * len(EDGES)
+    assert [r[2] for r in one] == pytest.approx([r[2] for r in eight], rel=1e-6)  # batches of scoring differ in their last digits
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Shares of rare words, ids by frequency and the sum over tokens, with the trained network itself."""
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY_FACTOR", 1)
+    nets = []
+    load = pseudo_likelihood.scored
+    monkeypatch.setattr(pseudo_likelihood, "scored", lambda t, v, w: nets.append(v.network(w)) or load(t, v, w))
+    rows = language(150) + EDGES
+    got = {(r.doc_id, r.n_tokens): r.log_probability for r in pseudo_likelihood.lm_scores(as_docs(spark, rows)).collect()}
+    texts = [(i, [w.lower().encode() if w.isascii() else w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]) for i, t in rows]
+    counts = Counter(w for _, words in texts for w in words)
+    net = nets[0]
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[: net.codes.words]
+    ids = {w: window_network.SHAPES + k for k, w in enumerate(ranked)}
+    totals = Counter()
+    for w, n in counts.items():
+        if w not in ids:
+            totals[pseudo_likelihood.shape(w)] += n
+    assert 3 <= net.codes.levels < 8 and sum(totals.values()) > 100
+    for i, words in texts:
+        own = [ids.get(w, pseudo_likelihood.shape(w)) for w in words]
+        padded = [net.codes.edge] * 3 + own + [net.codes.edge] * 3
+        expected = 0.0
+        for k, (w, x) in enumerate(zip(words, own, strict=True)):
+            around = np.array([[padded[k + d]] for d in (0, 1, 2, 4, 5, 6)])
+            expected += float(net.log_probabilities(np.array([x]), around)[0])
+            if w not in ids:
+                expected += math.log(counts[w] / totals[x])
+        assert got[i, len(words)] == pytest.approx(expected, rel=1e-4, abs=1e-4)
+
+
+def test_held_out_texts_are_likelier_than_under_the_unigram_model(spark):
+    texts = [t.lower().encode().split() for _, t in language(900)]
+    counts = Counter(w for t in texts[:800] for w in t)
+    codes = window_network.Codes(8)
+    ids = {w: window_network.SHAPES + k for k, (w, _) in enumerate(counts.most_common(codes.words))}
+    masses = np.zeros(codes.edge)
+    coded = [np.array([ids.get(w, pseudo_likelihood.shape(w)) for w in t], np.int32) for t in texts]
+    for t in coded[:800]:
+        np.add.at(masses, t, 1)
+    net = window_network.WindowNetwork(codes, masses)
+    for ids_, around, _ in window_network.batches(coded[:800], codes.edge, 512):
+        net.learn(ids_, around)
+    held = np.concatenate(coded[800:])
+    score = np.mean([x for i, a, _ in window_network.batches(coded[800:], codes.edge) for x in net.log_probabilities(i, a)])
+    assert score > np.log((masses + 0.5) / (masses + 0.5).sum())[held].mean() + 0.3
+
+
+def test_scores_of_long_texts_by_parts():
+    net, rng = small_network()
+    ids = rng.integers(0, net.codes.edge, 1000).astype(np.int32)
+    whole, parts = (np.concatenate([net.log_probabilities(i, a) for i, a, _ in window_network.batches([ids, ids[:5]], net.codes.edge, size)]) for size in (5000, 64))
+    assert np.allclose(whole, parts, atol=1e-4) and len(whole) == 1005
+    assert pseudo_likelihood.unpacked(pseudo_likelihood.packed(ids)).tolist() == ids.tolist()
+
+
+def test_a_very_long_text_has_a_score(spark):
+    rows = [(1, "a b c " * 200_000), (2, "a b c"), (3, "x" * 2_000_000)]
+    got = {r.doc_id: r for r in pseudo_likelihood.lm_scores(as_docs(spark, rows)).collect()}
+    assert got[1].n_tokens == 600_000 and got[1].mean_log_probability > got[3].mean_log_probability and got[3].n_tokens == 1
 
 
 def test_quotes(spark):
@@ -274,7 +424,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     sizes = Counter()
     for r in before.values():
         sizes[r.source] += len(r.text.encode().split())
-    want = dict(zip(sizes, mixing.targets(list(sizes.items())), strict=True))
+    want = dict(zip(sizes, targets_by_steps(list(sizes.items())), strict=True))
     taken = Counter()
     for r in now.collect():
         assert before[r.doc_id].text.startswith(r.text)
@@ -287,9 +437,31 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 
 
 def test_pipeline_stages_on_edges(spark, edges, nothing, sf_dir):
-    for rows in (edges, nothing):
-        for name, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, sf_dir).count() >= 0, name
+    """Null ids and texts, empty texts, repeated rows: what the stages' docstrings say."""
+    from tests.llm.test_dedup import join_brute, lines_brute
+
+    stage = {name: lambda rows, f=f: f(spark, rows, sf_dir) for name, f in corpus_pipeline.STAGES}
+    for name in stage:
+        assert stage[name](nothing).count() == 0, name
+    both = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    kept = both(stage["quality_classifier"](edges))
+    assert Counter(kept) <= Counter(EDGES) and kept == both(stage["quality_classifier"](edges))
+    assert both(stage["line_dedup"](edges)) == sorted(((i, t) for i, _, _, t in lines_brute(EDGES)), key=str)
+    least = {(i, n, c) for i, n, c in join_brute(EDGES, 5, 80) if i == c}
+    once = Counter(both(stage["ngram_jaccard_join"](edges)))
+    assert {i for i, _ in once} == {i for i, _, _ in least} and once[5, "repeated rows are here"] == 1
+    mixed = stage["source_mixing"](edges)
+    sizes = Counter()
+    for r in edges.collect():
+        sizes[r.source] += len((r.text or "").encode().split())
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.encode().split())
+    assert mixed.columns == edges.columns and taken == Counter({s: math.floor(t) for s, t in zip(sizes, targets_by_steps(list(sizes.items())), strict=True)})
+    e = packing.Encoder(packing.default_tokenizer())
+    packed = stage["packing"](edges).collect()
+    check_packing(packed, 2048)
+    assert Counter((p.doc_id, p.doc_tokens) for p in packed) == Counter((i, len(e.encode(t or "")) // 4 + 1) for i, t in EDGES)
 
 
 def test_near_copies_leave_the_pipeline(spark):
