@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.llm import line_dedup, mixing, ngram_join, packing, quality
-from quirewise.llm.common import table, written
+from quirewise.llm.common import scratch, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -19,28 +19,46 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are judged like all others; null ids and repeated rows are rows like others;
+    where no label can be learnt from, all stay.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go from the texts."""
+    """Lines that a document with a smaller id holds go from the texts; no document goes.
+
+    A null text comes back empty; a null id sorts last; rows that repeat an id lose the same lines.
+    """
     done = line_dedup.dedup_lines(docs)
     return _counted(done.select("row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five words, similarity 0.8) the smallest id stays."""
+    """Of each class of near copies (five words, similarity 0.8) the smallest id stays.
+
+    Texts without words are no copies and stay; a null id stays only where its class has no other; of rows
+    that repeat an id in one class, one stays.
+    """
     return ngram_join.one_of_each_class(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its schedule.
+
+    Texts without words go; a null source is a source, a null id an id; rows that repeat an id in one source share
+    what is taken of them.
+    """
     return _counted(mixing.mixed_documents(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in the sequences."""
+    """Pieces of documents with their place in the sequences.
+
+    A null or empty text is the end id alone; null ids and repeated rows are packed like others.
+    """
     return packing.pack(docs)
 
 
@@ -57,10 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written before the next reads it."""
+    """All stages over `documents`, each written before the next reads it; intermediates of a stage go with it."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
