@@ -1,97 +1,85 @@
-"""Message formatting: one plural argument, then named values.
+"""Message formatting: one plural argument, then named values; all in column expressions.
 
-English and German know the categories one and other only, so flat branches need built-in functions
-alone.  Branches with nested braces go through `format_nested`, an Arrow-batched function.
+English and German know the categories one and other only.  Branches may hold braces nested NESTED deep;
+a plural part that is nested deeper, or not balanced, stays as it is.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-_HEAD = r"\{\s*(\w+)\s*,\s*plural\s*,"
-_FLAT = r"((?:\s*(?:=\d+|\w+)\s*\{[^{}]*\})+)\s*\}"
+NESTED = 4
+_SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_HEAD = rf"\{{(\w+){_SPACE}*,{_SPACE}*plural{_SPACE}*,"
 
 
-def _branch(body: Column, key: str) -> Column:
-    """Text of a branch, null where there is none."""
-    pattern = rf"(?:^|\s|\}}){key}\s*\{{([^{{}}]*)\}}"
-    return F.when(body.rlike(pattern), F.regexp_extract(body, pattern, 1))
+def _balanced(depth: int) -> str:
+    """A run of text in which all braces are closed, without giving back what it took."""
+    return r"[^{}]*+" if not depth else rf"(?:[^{{}}]++|\{{{_balanced(depth - 1)}\}})*+"
 
 
-def plural(message: Column, count: Column) -> Column:
-    """Resolves the first plural argument: =N, then the category, then other, then nothing; # is the count.
+_WHOLE = rf"{_HEAD}({_balanced(NESTED + 1)})\}}"
+_KEY = rf"([a-z]+|=\d+){_SPACE}*"
+_BRANCH = rf"{_KEY}\{{({_balanced(NESTED)})\}}"
+#: The branches up to the first thing that is none.
+_BRANCHES = rf"^(?:{_SPACE}*(?:[a-z]+|=\d+){_SPACE}*\{{{_balanced(NESTED)}\}})*+"
 
-    A message without a balanced, flat plural part stays as it is.
+
+def _chosen(values: dict[str, Column], name: Column, otherwise: Column) -> Column:
+    """The value with the name; null values count as missing."""
+    for key, value in values.items():
+        otherwise = F.when((name == key) & value.isNotNull(), value.cast("string")).otherwise(otherwise)
+    return otherwise
+
+
+def plural(message: Column, values: dict[str, Column]) -> Column:
+    """Resolves the first plural argument: =N, then the category, then other, then nothing; # is the number.
+
+    The number is the value that the argument names, 0 where there is none; of branches with one key the
+    last counts.
     """
-    whole = _HEAD + _FLAT
-    body = F.regexp_extract(message, whole, 2)
-    exact_pattern = F.concat(F.lit(r"(?:^|\s|\})="), count.cast("string"), F.lit(r"\s*\{([^{}]*)\}"))
-    exact = F.when(F.regexp_like(body, exact_pattern), F.call_function("regexp_extract", body, exact_pattern, F.lit(1)))
-    category = F.when(count == 1, _branch(body, "one"))
-    text = F.replace(F.coalesce(exact, category, _branch(body, "other"), F.lit("")), F.lit("#"), count.cast("string"))
-    at = F.regexp_instr(message, F.lit(whole))
-    length = F.length(F.regexp_extract(message, whole, 0))
-    return F.when(at > 0, F.concat(F.substring(message, F.lit(1), at - 1), text, F.substring(message, at + length, F.length(message)))).otherwise(message)
+    at = F.regexp_instr(message, F.lit(_WHOLE))
+    number = _chosen(values, F.regexp_extract(message, _WHOLE, 1), F.lit("0"))
+    branches = F.regexp_extract(F.regexp_extract(message, _WHOLE, 2), _BRANCHES, 0)
+    entries = F.arrays_zip(F.regexp_extract_all(branches, F.lit(_BRANCH), 1).alias("key"), F.regexp_extract_all(branches, F.lit(_BRANCH), 2).alias("text"))
+    branch = lambda key: F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["text"]
+    category = F.when(number == "1", "one").otherwise("other")
+    text = F.replace(F.coalesce(branch(F.concat(F.lit("="), number)), branch(category), branch(F.lit("other")), F.lit("")), F.lit("#"), number)
+    whole = F.regexp_extract(message, _WHOLE, 0)
+    before, after = F.substring(message, F.lit(1), at - 1), F.substring(message, at + F.length(whole), F.length(message))
+    # An unbalanced first argument leaves the message as it is, even if a balanced one follows.
+    found = (at > 0) & (at == F.regexp_instr(message, F.lit(_HEAD)))
+    return F.when(found, F.concat(before, _expanded(text, whole, before, after), after)).otherwise(message)
 
 
-def named(message: Column, values: dict[str, Column]) -> Column:
-    """{key} becomes its value; unknown keys stay."""
-    for key, value in values.items():
-        message = F.replace(message, F.lit("{" + key + "}"), value.cast("string"))
-    return message
+def _expanded(text: Column, whole: Column, before: Column, after: Column) -> Column:
+    """$$, $&, $` and $' in a text that takes the place of `whole`: a dollar, the whole, what is before and after it."""
+    special = {"$$": F.lit("$"), "$&": whole, "$`": before, "$'": after}
 
+    def one(part: Column) -> Column:
+        out = part
+        for mark, value in special.items():
+            out = F.when(part == mark, value).otherwise(out)
+        return out
 
-def presence_label(message: Column, count: Column) -> Column:
-    """Empty for nobody."""
-    return F.when(count == 0, F.lit("")).otherwise(plural(message, count))
-
-
-def resolve(message: str, values: dict[str, int | str], categories=None) -> str:
-    """The same for any nesting of braces; categories: count -> category of the locale."""
-    start, end = _plural_part(message)
-    if start >= 0:
-        name, _, branches = message[start + 1 : end].split(",", 2)
-        count = int(values.get(name.strip(), 0))
-        found = _branches(branches)
-        pick = categories or (lambda n: "one" if n == 1 else "other")
-        text = found.get(f"={count}", found.get(pick(count), found.get("other", "")))
-        message = message[:start] + text.replace("#", str(count)) + message[end + 1 :]
-    for key, value in values.items():
-        message = message.replace("{" + key + "}", str(value))
-    return message
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\$[$&`']|[^$]+|\$"), 0), one), "")
 
 
-def _closing(text: str, at: int) -> int:
-    depth = 0
-    for k in range(at, len(text)):
-        depth += (text[k] == "{") - (text[k] == "}")
-        if not depth:
-            return k
-    return -1
+def named(message: Column, values: dict[str, Column]) -> Column:
+    """{key} becomes its value, in one pass: braces inside values stay; unknown keys stay."""
 
+    def one(part: Column) -> Column:
+        return _chosen({"{" + key + "}": value for key, value in values.items()}, part, part)
 
-def _plural_part(message: str) -> tuple[int, int]:
-    at = message.find("{")
-    while at >= 0:
-        end = _closing(message, at)
-        head = message[at + 1 : end].split(",", 2) if end > 0 else []
-        if len(head) == 3 and head[1].strip() == "plural":
-            return at, end
-        at = message.find("{", at + 1)
-    return -1, -1
+    return F.array_join(F.transform(F.regexp_extract_all(message, F.lit(r"\{\w+\}|[^{]+|\{"), 0), one), "")
 
 
-def _branches(text: str) -> dict[str, str]:
-    out, at = {}, 0
-    while (brace := text.find("{", at)) >= 0 and (end := _closing(text, brace)) >= 0:
-        out.setdefault(text[at:brace].strip(), text[brace + 1 : end])
-        at = end + 1
-    return out
+def formatted(message: Column, values: dict[str, Column]) -> Column:
+    """The plural argument, then the named values."""
+    return named(plural(message, values), values)
 
 
-@F.pandas_udf(StringType())
-def format_nested(message: pd.Series, count: pd.Series) -> pd.Series:
-    return pd.Series([None if m is None else resolve(m, {"count": int(n)}) for m, n in zip(message, count, strict=True)])
+def presence_label(message: Column, count: Column) -> Column:
+    """Empty for nobody."""
+    return F.when(count == 0, F.lit("")).otherwise(formatted(message, {"count": count}))

@@ -61,8 +61,8 @@ def path_label(storage: Column, identifier: Column) -> Column:
 
 
 def download_url(url: Column) -> Column:
-    """Absolute URLs stay, others become root-relative; null where there is none."""
-    return F.when(url.rlike("(?i)^https?://"), url).when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("/"), F.ltrim(url, F.lit("/"))))
+    """Absolute URLs (lower-case scheme) stay, others become root-relative; null where there is none."""
+    return F.when(url.rlike("^https?://"), url).when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("/"), F.ltrim(url, F.lit("/"))))
 
 
 def with_parameter(url: Column, key: str, value: Column) -> Column:
@@ -90,9 +90,17 @@ def strict_base64(c: Column) -> Column:
 
 
 def php_int(c: Column, missing: int = 0) -> Column:
-    """A leading integer of a string; 0 without one; `missing` for null."""
-    number = F.regexp_extract(c, r"^\s*([+-]?\d+)", 1)
-    return F.when(c.isNull(), F.lit(missing)).otherwise(F.coalesce(filled(number).try_cast("int"), F.lit(0)))
+    """The leading number of a string as 64 bits, fractions cut off; 0 without one; `missing` for null.
+
+    Whole numbers beyond 64 bits stop at the ends of the range; with a fraction or an exponent they are 0.
+    """
+    number = F.regexp_extract(c, r"^[ \t\n\r\x0B\f]*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    whole = number.rlike(r"^[+-]?\d+$")
+    end = F.when(number.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    real = number.try_cast("double")
+    cut = F.when(F.abs(real) < 2.0**63, real).try_cast("bigint")
+    value = F.when(whole, F.coalesce(number.try_cast("bigint"), end)).otherwise(cut)
+    return F.when(c.isNull(), F.lit(missing).cast("bigint")).otherwise(F.coalesce(value, F.lit(0)))
 
 
 def error_status(code: Column) -> Column:
@@ -129,6 +137,22 @@ def host_blocked(url: Column, hosts: list[str]) -> Column:
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(hosts), F.lit(False))
 
 
+def link_blocked(tag: Column, rel: Column, url: Column, hosts: list[str]) -> Column:
+    """Whether a link element loads a style sheet from a listed host; other elements never do."""
+    return F.coalesce((tag == "LINK") & F.lower(rel).contains("stylesheet"), F.lit(False)) & host_blocked(url, hosts)
+
+
+def saves_by_key(key: Column, ctrl: Column, meta: Column, shift: Column, writable: Column) -> Column:
+    """The shortcut: s in any case with control or command, without shift, where the user may write."""
+    return (ctrl | meta) & (F.lower(key) == "s") & ~shift & is_set(writable)
+
+
+def accepts_message(origin: Column, own: Column, action: Column, field: Column, value: Column) -> Column:
+    """A message of the own origin that says that a folder was chosen."""
+    chosen = (action == "typo3:elementBrowser:elementAdded") & (field == "folder") & (F.coalesce(value, F.lit("")) != "")
+    return F.coalesce((origin == own) & chosen, F.lit(False))
+
+
 def html_safe_json(c: Column) -> Column:
     """JSON text with the five characters that HTML minds escaped inside strings."""
     escapes = (("<", "\\u003C"), (">", "\\u003E"), ("&", "\\u0026"), ("'", "\\u0027"))
@@ -136,7 +160,14 @@ def html_safe_json(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), escapes, quoted)
 
 
-def toast(status: Column, detail: Column) -> Column:
-    """Text of a notification; the detail where there is one."""
-    default = F.when(status == "saved", "Document saved").when(status == "error", "Saving failed").when(status == "saving", "Saving")
-    return F.when(status.isin("saved", "error", "saving"), F.coalesce(filled(detail), default)).otherwise(F.lit(""))
+def toast(status: Column, detail: Column, path: Column, name: Column, labels: dict[str, Column]) -> Column:
+    """(level, title, message) of a notification; null for states that show none, such as saving.
+
+    labels: saved, savedDetail and saveFailed, where there are some.  What was saved is told by the path, else
+    the name; the detail is that of an error.
+    """
+    label = lambda key, other: F.coalesce(filled(labels[key]), other) if key in labels else other
+    box = lambda level, title, text: F.struct(F.lit(level).alias("level"), title.alias("title"), text.alias("message"))
+    failed = label("saveFailed", F.lit("Save failed"))
+    saved = box("success", label("saved", F.lit("Saved")), label("savedDetail", F.coalesce(filled(path), filled(name), F.lit(""))))
+    return F.when(status == "saved", saved).when(status == "error", box("error", failed, F.coalesce(filled(detail), failed)))

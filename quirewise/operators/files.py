@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, is_docx, trim, with_parameter
+from ..tables import written
+from .ranking import numbered, running
 
 
 def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -39,15 +41,6 @@ def may(admin: Column, storage_right: Column, file_right: Column, may_add: Colum
     return both if may_add is None else both & may_add
 
 
-def with_rights(files: DataFrame, users: DataFrame, acl: DataFrame) -> DataFrame:
-    """Each grant (user uid, storage_id, can_read, can_write) of acl as rows (uid, file_identifier, ..., can_read, can_write).
-
-    Files and users meet over the storages that the users have grants on; both joins are on keys.
-    """
-    granted = acl.join(users.select("uid", "is_admin"), "uid")
-    return files.join(granted, "storage_id")
-
-
 def judged(requests: DataFrame, files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """Each request (request_id, uid, doc_id, file_right) with its answers: read_status, can_write, can_add, mode.
 
@@ -72,14 +65,28 @@ def actions(files: DataFrame, edit_url: str, may_read: Column) -> DataFrame:
 
 
 def without_collisions(files: DataFrame, order: str) -> DataFrame:
-    """(folder, name) made unique: the first by `order` keeps its name, the n-th gets the suffix _n - 1."""
-    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy(order)) - 1
-    suffixed = F.concat(F.regexp_replace("name", r"\.docx$", ""), F.lit("_"), F.format_string("%02d", n), F.lit(".docx"))
-    return files.withColumn("stored_name", F.when(n == 0, F.col("name")).otherwise(suffixed))
+    """`files` (folder, name, ...) with a unique `stored_name`; names aren't null, `order` is unique.
+
+    Of equal names the first by `order` keeps it.  The others get, before their .docx, the suffixes _01, _02
+    and so on, without those that some given name has: given names come first, whatever the order.
+    """
+    split = lambda k: F.regexp_extract("name", r"(?is)^(.*?)(\.docx)?$", k)
+    places = written(numbered(files.withColumns({"_base": split(1), "_end": split(2)}), [order], ["folder", "name"], "_n"), "names")
+    # The j-th suffix is j plus the number of taken ones at or below it.  The i-th taken one, t, is, if t - i < j.
+    given = places.filter("_n = 1").select("folder", "_end", F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 1).alias("_base"), F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 2).alias("_digits"))
+    taken = given.filter("_digits != ''").withColumn("_t", F.col("_digits").cast("long")).filter("_t > 0 and _digits = format_string('%02d', _t)")
+    bases = ["folder", "_base", "_end"]
+    ranked = numbered(taken, ["_t"], bases, "_i").select(*bases, (F.col("_t") - F.col("_i")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(files.dtypes)[order]).alias("_order"))
+    asked = places.filter("_n > 1").select(*bases, (F.col("_n") - 1).alias("_at"), F.lit(0).alias("_kind"), F.col(order).alias("_order"))
+    counted = running(ranked.unionByName(asked), ["_at", "_kind"], {"_taken": (F.sum, F.col("_kind"))}, bases).filter("_kind = 0")
+    suffixes = counted.select("_order", (F.col("_at") + F.coalesce("_taken", F.lit(0))).alias("_suffix"))
+    joined = places.join(suffixes, places[order] == suffixes["_order"], "left")
+    name = F.concat("_base", F.lit("_"), F.format_string("%02d", "_suffix"), "_end")
+    return joined.withColumn("stored_name", F.when(F.col("_suffix").isNull(), F.col("name")).otherwise(name)).select(*files.columns, "stored_name")
 
 
 def write_mode(can_write: Column) -> Column:
     return F.when(can_write, "editing").otherwise("viewing")
 
 
-__all__ = ["actions", "flag", "judged", "may", "resolve", "resolve_folders", "unreadable", "with_rights", "without_collisions", "write_mode"]
+__all__ = ["actions", "flag", "judged", "may", "resolve", "resolve_folders", "unreadable", "without_collisions", "write_mode"]

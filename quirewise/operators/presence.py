@@ -1,7 +1,7 @@
 """Presence: who is active on which file, by heartbeats with a time to live.
 
-All functions take operations (seq, t, user_id, op, file), t in epoch seconds, and a literal time;
-none reads the clock.
+All functions take operations (seq, t, user_id, op, file), t in epoch seconds, and a time, as a number
+or as a column; none reads the clock.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sha256
+from .ranking import running
 
 TTL = 45
-#: Rows of one chunk when a running maximum over all rows is needed.
-CHUNK = 4096
 
 
 def sessions(ops: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -30,7 +29,7 @@ def active(rows: DataFrame, as_of: int | Column, ttl: int = TTL) -> DataFrame:
     return rows.filter(~F.col("deleted") & (F.col("last_heartbeat") >= F.lit(as_of) - ttl))
 
 
-def purged(rows: DataFrame, as_of: int, ttl: int = TTL) -> DataFrame:
+def purged(rows: DataFrame, as_of: int | Column, ttl: int = TTL) -> DataFrame:
     """The table after a purge: live rows older than `ttl` are deleted, over all files."""
     return rows.withColumn("deleted", F.col("deleted") | (F.col("last_heartbeat") < F.lit(as_of) - ttl))
 
@@ -42,14 +41,16 @@ def left(rows: DataFrame, leavers: DataFrame, now: int) -> DataFrame:
     return joined.withColumns({"deleted": F.coalesce("gone", "deleted"), "tstamp": F.when(F.col("gone"), F.lit(now)).otherwise(F.col("crdate"))}).drop("gone")
 
 
-def participants(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """(file, participants): of each file its active sessions as records, by session.
+def participants(rows: DataFrame, names: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, participants): of each of `files` its active sessions as records, by user; empty where there are none.
 
     The list is the interface's own shape; a file's editors are few.
     """
     named = rows.join(names, "user_id", "left")
     record = F.struct(F.col("user_id").alias("userId"), F.coalesce("user_name", F.lit("Editor")).alias("userName"), F.col("uid").alias("sessionUid"))
-    return named.groupBy("file").agg(F.sort_array(F.collect_list(record)).alias("participants"))
+    listed = named.groupBy("file").agg(F.sort_array(F.collect_list(record)).alias("participants"))
+    nobody = F.array().cast(listed.schema["participants"].dataType)
+    return files.select("file").distinct().join(listed, "file", "left").select("file", F.coalesce("participants", nobody).alias("participants"))
 
 
 def windows(beats: DataFrame, ttl: int) -> DataFrame:
@@ -58,19 +59,6 @@ def windows(beats: DataFrame, ttl: int) -> DataFrame:
     return beats.groupBy("user_id", w).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "ended", "n")
 
 
-def running_max_before(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
-    """`df` with the maximum of `value` over all rows earlier by `order`, a non-negative integer.
-
-    Chunks of the order get their maxima, those a prefix maximum, and each chunk is scanned alone.
-    """
-    rows = df.withColumn("_chunk", F.expr(f"{order} div {CHUNK}")).withColumn("_value", value)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy("_chunk").agg(F.max("_value").alias("_top")).select("_chunk", F.max("_top").over(before).alias("_head"))
-    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.max("_value").over(inside)).join(heads, "_chunk")
-    return placed.withColumn(out, F.greatest("_head", "_inside")).drop("_chunk", "_value", "_head", "_inside")
-
-
 def replayed(ops: DataFrame, ttl: int = TTL) -> DataFrame:
     """Joins and heartbeats as the session table saw them: (seq, t, user_id, op, file, alive, uid, is_new).
 
@@ -84,7 +72,7 @@ def replayed(ops: DataFrame, ttl: int = TTL) -> DataFrame:
     moves = ops.filter(F.col("op").isin("join", "heartbeat", "leave"))
     opened = F.last(F.when(F.col("op") != "heartbeat", F.col("op")), ignorenulls=True).over(earlier) == "join"
     sent = moves.withColumn("_open", F.coalesce(opened, F.lit(False))).filter((F.col("op") != "heartbeat") | F.col("_open")).drop("_open")
-    timed = running_max_before(sent, "seq", F.when(F.col("op") != "leave", F.col("t")), "_trigger")
+    timed = running(sent, ["seq"], {"_trigger": (F.max, F.when(F.col("op") != "leave", F.col("t")))})
     joins = F.when(F.col("op") == "join", 1).otherwise(0)
     rows = timed.withColumns({"_op": F.lag("op").over(own), "_t": F.lag("t").over(own), "_g": F.sum(joins).over(own)})
     broken = F.col("_op").isNull() | (F.col("_op") == "leave") | F.coalesce(F.col("_trigger") > F.col("_t") + ttl, F.lit(False))

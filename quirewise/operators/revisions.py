@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+
 STATE = ("revision", "content_hash", "saved_by", "changed_at")
 
 
@@ -34,8 +36,8 @@ def state_of(files: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def numbered(saves: DataFrame) -> DataFrame:
-    """Accepted saves (file, seq, ...) with their revision, from 1."""
-    return saves.withColumn("revision", F.row_number().over(Window.partitionBy("file").orderBy("seq")))
+    """Accepted saves (file, seq, ...) with their revision, from 1; a file may have any share of them."""
+    return ranking.numbered(saves, ["seq"], ["file"], "revision")
 
 
 def is_conflict(expected: Column, current: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..functions.scalars import display_name, flag
+from ..functions.scalars import display_name
 from ..operators import files as files_of
 from ..operators import presence, revisions
 from .model import Model
@@ -16,9 +16,9 @@ SIX_HOURS = 21_600
 COLLABORATORS = "{count, plural, one {1 editor online} other {# editors online}}"
 
 
-def now(m: Model) -> int:
-    """The last operation's second: the literal time of these queries; 0 without operations."""
-    return m.ops.agg(F.max("t")).first()[0] or 0
+def now(m: Model) -> Column:
+    """The last operation's second, as a scalar subquery; 0 without operations."""
+    return m.ops.agg(F.coalesce(F.max("t"), F.lit(0))).scalar()
 
 
 @query("SELECT file_identifier, arg_max(revision, uid) AS revision, arg_max(content_hash, uid) AS content_hash, arg_max(saved_by, uid) AS saved_by, arg_max(changed_at, uid) AS changed_at, max(uid) AS uid FROM revisions GROUP BY file_identifier")
@@ -104,17 +104,19 @@ SELECT room, n AS active, CASE n WHEN 0 THEN '' WHEN 1 THEN '1 editor online' EL
 """)
 def presence_label(m: Model) -> DataFrame:
     alive = ~F.col("deleted") & (F.col("last_heartbeat") >= now(m) - 90_000)
-    rooms = presence.sessions(m.ops).groupBy((F.col("user_id") % 40).alias("room")).agg(F.count_if(alive).alias("active"))
+    rooms = presence.sessions(m.ops).withColumn("alive", alive).groupBy((F.col("user_id") % 40).alias("room")).agg(F.count_if("alive").alias("active"))
     return rooms.select("room", "active", messages.presence_label(F.lit(COLLABORATORS), F.col("active")).alias("label"))
 
 
 @query(f"""
 WITH a AS (SELECT file, user_id, coalesce('User ' || u.k, 'Editor') AS user_name, session_rows.uid FROM session_rows LEFT JOIN (SELECT uid AS k FROM users WHERE uid % 2 = 0) u ON u.k = user_id, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS})
-SELECT file, '[' || string_agg('{{"userId":' || user_id || ',"userName":"' || user_name || '","sessionUid":' || uid || '}}', ',' ORDER BY user_id) || ']' AS participants FROM a GROUP BY file
+SELECT f.file, '[' || coalesce(string_agg('{{"userId":' || user_id || ',"userName":"' || user_name || '","sessionUid":' || uid || '}}', ',' ORDER BY user_id), '') || ']' AS participants
+FROM (SELECT DISTINCT file FROM ops UNION ALL SELECT '1:/nobody.docx') f LEFT JOIN a USING (file) GROUP BY f.file
 """)
 def presence_list(m: Model) -> DataFrame:
     names = m.users.filter("uid % 2 = 0").select(F.col("uid").alias("user_id"), F.concat(F.lit("User "), F.col("uid").cast("string")).alias("user_name"))
-    listed = presence.participants(presence.active(presence.sessions(m.ops), now(m), SIX_HOURS), names)
+    files = m.ops.select("file").unionAll(m.spark.createDataFrame([("1:/nobody.docx",)], "file string"))
+    listed = presence.participants(presence.active(presence.sessions(m.ops), now(m), SIX_HOURS), names, files)
     return listed.select("file", F.to_json("participants").alias("participants"))
 
 
@@ -136,6 +138,10 @@ SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n FROM s GROUP B
 """
 
 
+def windows_sql(ttl: int) -> str:
+    return _WINDOWS.format(ttl)
+
+
 @query(_WINDOWS.format(45))
 def session_windows_45s(m: Model) -> DataFrame:
     return presence.windows(m.ops, 45)
@@ -166,7 +172,7 @@ def heartbeat_effective(m: Model) -> DataFrame:
     return presence.replayed(m.ops, 400_000).filter("op = 'heartbeat'").select("seq", "file", "user_id", F.col("alive").alias("effective"), F.when(F.col("alive"), F.col("uid")).alias("uid"))
 
 
-@query("""
+SAVE_REPLAY_SQL = """
 WITH RECURSIVE o AS (SELECT file, seq, user_id, op, row_number() OVER (PARTITION BY file ORDER BY seq) AS k FROM ops WHERE op IN ('join', 'save')),
 f AS (
   SELECT file, k, seq, user_id, CASE op WHEN 'join' THEN 'load' ELSE 'skipped' END AS status, 0 AS c, CASE op WHEN 'join' THEN MAP {user_id: 0} ELSE MAP {-1::BIGINT: 0} END AS known FROM o WHERE k = 1
@@ -177,7 +183,10 @@ f AS (
     CASE WHEN o.op = 'join' THEN map_concat(f.known, MAP {o.user_id: f.c}) WHEN f.known[o.user_id] = f.c THEN map_concat(f.known, MAP {o.user_id: f.c + 1}) ELSE f.known END
   FROM f JOIN o ON o.file = f.file AND o.k = f.k + 1)
 SELECT seq, file, user_id, status, c AS revision FROM f WHERE status <> 'load'
-""")
+"""
+
+
+@query(SAVE_REPLAY_SQL)
 def save_replay(m: Model) -> DataFrame:
     return revisions.replayed(m.ops)
 
@@ -203,31 +212,25 @@ def read_integrity(m: Model) -> DataFrame:
     return m.files.select("doc_id", F.when(files_of.unreadable(F.col("size"), content), 500).otherwise(200).alias("status"))
 
 
-_RIGHTS = "FROM files f JOIN acl a ON a.storage_id = f.storage_id JOIN users u ON u.uid = a.uid"
+_JUDGED = """
+WITH w AS (SELECT r.request_id, r.uid, r.doc_id, f.storage_id, coalesce((u.is_admin OR coalesce(g.storage_right, false)) AND r.file_right, false) AND f.storage_id IS NOT NULL AS ok, coalesce(g.may_add, false) AS may_add
+  FROM requests r LEFT JOIN files f ON f.doc_id = r.doc_id LEFT JOIN users u ON u.uid = r.uid LEFT JOIN grants g ON g.uid = r.uid AND g.storage_id = f.storage_id)
+"""
 
 
-@query(f"SELECT a.uid, f.doc_id {_RIGHTS} WHERE (u.is_admin OR a.storage_right) AND a.file_right")
+@query(_JUDGED + "SELECT request_id, uid, doc_id FROM w WHERE ok")
 def acl_read(m: Model) -> DataFrame:
-    rights = files_of.with_rights(m.files.select("storage_id", "doc_id"), m.users, m.acl)
-    return rights.filter(files_of.may(F.col("is_admin"), F.col("storage_right"), F.col("file_right"))).select("uid", "doc_id")
+    """The requests, of all users and documents, that may read."""
+    return files_of.judged(m.requests, m.files, m.users, m.grants).filter("read_status = 200").select("request_id", "uid", "doc_id")
 
 
-@query(f"""
-WITH w AS (SELECT a.uid, f.doc_id, (u.is_admin OR a.storage_right) AND a.file_right AS ok, (u.is_admin OR a.storage_right) AND a.file_right AND a.may_add AS folder_ok {_RIGHTS})
-SELECT uid, doc_id, CASE WHEN ok THEN '1' ELSE '0' END AS can_write, folder_ok AS can_add, CASE WHEN ok THEN 'editing' ELSE 'viewing' END AS mode FROM w
-""")
+@query(_JUDGED + "SELECT request_id, uid, doc_id, CASE WHEN ok THEN '1' ELSE '0' END AS can_write, ok AND may_add AS can_add, CASE WHEN ok THEN 'editing' ELSE 'viewing' END AS mode FROM w WHERE storage_id IS NOT NULL")
 def acl_write(m: Model) -> DataFrame:
-    rights = files_of.with_rights(m.files.select("storage_id", "doc_id"), m.users, m.acl)
-    args = F.col("is_admin"), F.col("storage_right"), F.col("file_right")
-    ok = files_of.may(*args)
-    return rights.select("uid", "doc_id", flag(ok).alias("can_write"), files_of.may(*args, F.col("may_add")).alias("can_add"), files_of.write_mode(ok).alias("mode"))
+    """What each request for a document that exists may do with it."""
+    return files_of.judged(m.requests, m.files, m.users, m.grants).filter("read_status <> 404").drop("read_status")
 
 
-@query("""
-WITH w AS (SELECT r.request_id, r.uid, r.doc_id, f.storage_id, coalesce((u.is_admin OR coalesce(g.storage_right, false)) AND r.file_right, false) AND f.storage_id IS NOT NULL AS ok, coalesce(g.may_add, false) AS may_add
-  FROM requests r LEFT JOIN files f ON f.doc_id = r.doc_id LEFT JOIN users u ON u.uid = r.uid LEFT JOIN grants g ON g.uid = r.uid AND g.storage_id = f.storage_id)
-SELECT request_id, uid, doc_id, CASE WHEN storage_id IS NULL THEN 404 WHEN ok THEN 200 ELSE 403 END AS read_status, CASE WHEN ok THEN '1' ELSE '0' END AS can_write, ok AND may_add AS can_add, CASE WHEN ok THEN 'editing' ELSE 'viewing' END AS mode FROM w
-""")
+@query(_JUDGED + "SELECT request_id, uid, doc_id, CASE WHEN storage_id IS NULL THEN 404 WHEN ok THEN 200 ELSE 403 END AS read_status, CASE WHEN ok THEN '1' ELSE '0' END AS can_write, ok AND may_add AS can_add, CASE WHEN ok THEN 'editing' ELSE 'viewing' END AS mode FROM w")
 def acl_requests(m: Model) -> DataFrame:
     return files_of.judged(m.requests, m.files, m.users, m.grants)
 
@@ -238,11 +241,19 @@ def file_actions(m: Model) -> DataFrame:
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, folder, name, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) - 1 AS k FROM files WHERE extension = 'docx')
-SELECT doc_id, folder, name, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\.docx$', '') || '_' || CASE WHEN k < 10 THEN '0' || k ELSE CAST(k AS VARCHAR) END || '.docx' END AS stored_name FROM n
+WITH g AS (SELECT doc_id, folder, CASE doc_id % 40 WHEN 7 THEN 'doc' || (doc_id % 25) || '_01.docx' WHEN 8 THEN 'doc' || (doc_id % 25) || '_03.docx' ELSE name END AS name FROM files WHERE lower(extension) = 'docx'),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) - 1 AS j, substr(name, 1, length(name) - 5) AS base, substr(name, length(name) - 4) AS tail FROM g),
+t AS (SELECT folder, regexp_extract(base, '^(.*)_(\d{2,9})$', 1) AS base, tail, CAST(regexp_extract(base, '^(.*)_(\d{2,9})$', 2) AS BIGINT) AS t FROM n WHERE j = 0 AND regexp_matches(base, '_\d{2,9}$')),
+i AS (SELECT *, row_number() OVER (PARTITION BY folder, base, tail ORDER BY t) AS i FROM t),
+k AS (SELECT n.doc_id, n.j + count(i.t) AS k FROM n LEFT JOIN i ON i.folder = n.folder AND i.base = n.base AND i.tail = n.tail AND i.t - i.i < n.j WHERE n.j > 0 GROUP BY n.doc_id, n.j)
+SELECT doc_id, folder, name, CASE WHEN j = 0 THEN name ELSE base || '_' || CASE WHEN k < 10 THEN '0' || k ELSE CAST(k AS VARCHAR) END || tail END AS stored_name FROM n LEFT JOIN k USING (doc_id)
 """)
 def name_collisions(m: Model) -> DataFrame:
-    return files_of.without_collisions(m.files.filter("extension = 'docx'").select("doc_id", "folder", "name"), "doc_id")
+    """Documents with either case of the extension; some have names that others would get as their suffixed ones."""
+    n = F.col("doc_id")
+    taken = lambda end: F.concat(F.lit("doc"), (n % 25).cast("string"), F.lit(end))
+    name = F.when(n % 40 == 7, taken("_01.docx")).when(n % 40 == 8, taken("_03.docx")).otherwise(F.col("name"))
+    return files_of.without_collisions(m.files.filter("lower(extension) = 'docx'").select("doc_id", "folder", name.alias("name")), "doc_id")
 
 
 @query(f"SELECT users.uid, username, coalesce(nullif(trim(real_name, ' ' || chr(9)), ''), coalesce(username, 'Editor')) AS user_name, count(*) AS sessions FROM session_rows s JOIN users ON users.uid = user_id GROUP BY ALL")

@@ -20,7 +20,9 @@ class Model:
         kind = F.col("event_type")
         op = F.when(kind == "signup", "join").when(kind.isin("view", "click"), "heartbeat").when(kind == "error", "leave").otherwise("save")
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.table("events").select(F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "user_id", op.alias("op"), F.concat(F.lit("1:/user_upload/doc"), (k % 5).cast("string"), F.lit(".docx")).alias("file"))
+        return self.table("events").select(
+            F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "user_id", op.alias("op"), F.concat(F.lit("1:/user_upload/doc"), (k % 5).cast("string"), F.lit(".docx")).alias("file"),
+        )
 
     @cached_property
     def revisions(self) -> DataFrame:
@@ -45,12 +47,6 @@ class Model:
         lang = F.element_at(F.array(*map(F.lit, ("default", "de", "de_AT", "DE", "en", "fr", ""))), (F.col("c_nationkey") % 7 + 1).cast("int"))
         return self.table("customer").select(k.alias("uid"), user.alias("username"), real.alias("real_name"), lang.alias("lang"), (k % 10 == 0).alias("is_admin"), F.col("c_nationkey").alias("nation"))
 
-    @cached_property
-    def acl(self) -> DataFrame:
-        """Grants of every 25th user on one storage."""
-        u = self.users.filter("uid % 25 = 0")
-        return u.select("uid", (F.col("nation") % 3 + 1).cast("bigint").alias("storage_id"), (F.col("uid") % 2 == 0).alias("storage_right"), (F.col("uid") % 3 != 0).alias("file_right"), (F.col("uid") % 4 != 1).alias("may_add"))
-
     @cached_property
     def grants(self) -> DataFrame:
         """Grants of every user on one storage; on the others they have none."""
@@ -80,7 +76,7 @@ class Model:
         """Request bodies of the operations, some broken."""
         e, i = F.col("event_id"), F.col("event_id").cast("string")
         body = (
-            F.when(e % 7 == 0, "").when(e % 7 == 1, "{broken").when(e % 7 == 2, "[1,2]").when(e % 7 == 3, F.concat(F.lit('{"file":"1:/f'), i, F.lit('.docx","revision":"'), i, F.lit('"}')))
+            F.when(e % 7 == 0, "").when(e % 7 == 1, "{broken").when(e % 7 == 2, "[1,2]").when(e % 7 == 3, F.concat(F.lit('{"file":"1:/f'), i, F.lit('.docx","revision":"'), (e + 99_999_999_999).cast("string"), F.lit('"}')))
             .when(e % 7 == 4, F.concat(F.lit('{"file":"1:/g.docx","revision":'), i, F.lit(',"sessionUid":"12abc"}'))).when(e % 7 == 5, '{"file":"","revision":"abc","sessionUid":"0"}').otherwise('{"sessionUid":"-4"}')
         )
         return self.table("events").select("event_id", body.alias("body"))
@@ -98,12 +94,11 @@ CTES = {
     "users": """SELECT c_custkey AS uid, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lower(c_name) END AS username,
   CASE c_custkey % 3 WHEN 0 THEN ' ' || chr(9) || c_name || ' ' WHEN 1 THEN '  ' ELSE NULL END AS real_name,
   CASE c_nationkey % 7 WHEN 0 THEN 'default' WHEN 1 THEN 'de' WHEN 2 THEN 'de_AT' WHEN 3 THEN 'DE' WHEN 4 THEN 'en' WHEN 5 THEN 'fr' ELSE '' END AS lang, c_custkey % 10 = 0 AS is_admin, c_nationkey AS nation FROM customer""",
-    "acl": """SELECT uid, CAST(nation % 3 + 1 AS BIGINT) AS storage_id, uid % 2 = 0 AS storage_right, uid % 3 <> 0 AS file_right, uid % 4 <> 1 AS may_add FROM users WHERE uid % 25 = 0""",
     "grants": """SELECT uid, CAST(nation % 3 + 1 AS BIGINT) AS storage_id, uid % 2 = 0 AS storage_right, uid % 4 <> 1 AS may_add FROM users""",
     "requests": """SELECT 'u' || uid AS request_id, uid, uid AS doc_id, uid % 3 <> 0 AS file_right FROM users UNION ALL SELECT 'd' || doc_id, doc_id * 7 % 150 + 1, doc_id, (doc_id * 7 % 150 + 1) % 3 <> 0 FROM documents UNION ALL SELECT 'e' || event_id, user_id, event_id, user_id % 3 <> 0 FROM events""",
     "names": r"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '  report' || doc_id || ' ' WHEN 1 THEN 'a/b\c' || doc_id || '.DOCX' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '' WHEN 5 THEN 'x.doc'
   WHEN 6 THEN chr(9) || 'tab' || doc_id || '.docx' || chr(10) ELSE '..\..\y' || doc_id END AS raw FROM documents""",
-    "bodies": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{broken' WHEN 2 THEN '[1,2]' WHEN 3 THEN '{"file":"1:/f' || event_id || '.docx","revision":"' || event_id || '"}'
+    "bodies": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{broken' WHEN 2 THEN '[1,2]' WHEN 3 THEN '{"file":"1:/f' || event_id || '.docx","revision":"' || (99999999999 + event_id) || '"}'
   WHEN 4 THEN '{"file":"1:/g.docx","revision":' || event_id || ',"sessionUid":"12abc"}' WHEN 5 THEN '{"file":"","revision":"abc","sessionUid":"0"}' ELSE '{"sessionUid":"-4"}' END AS body FROM events""",
     "sent": """SELECT * FROM (SELECT *, last_value(CASE WHEN op <> 'heartbeat' THEN op END IGNORE NULLS) OVER (PARTITION BY file, user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM ops WHERE op <> 'save')
   WHERE op <> 'heartbeat' OR opened = 'join'""",

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .. import sources, streaming
 from ..functions import messages, rewriting
 from ..functions import scalars as S
+from ..operators import presence, revisions
 from ..schemas import STYLE
-from .collaboration_queries import COLLABORATORS, SIX_HOURS
+from ..tables import new_folder
+from .collaboration_queries import COLLABORATORS, SIX_HOURS, SAVE_REPLAY_SQL, windows_sql
 from .model import Model
 from .registry import query
 
@@ -18,6 +20,7 @@ LABELS = {
     ("en", "editor.saved"): "Saved", ("en", "editor.saving"): "Saving…", ("en", "editor.saveFailed"): "Save failed", ("en", "editor.download"): "Download", ("en", "editor.empty"): "",
     ("de", "editor.saved"): "Gespeichert", ("de", "editor.download"): "Herunterladen",
 }
+MOST_LABELS = 10_000
 RULES = [("first", "the ", "THE "), ("second", "la ", "LA "), ("third", "der ", "DER ")]
 MANIFEST_TEXT = '{"main.js": {"file": "main-1.js", "css": ["main-1.css", "b.css"]}, "plain.js": {"file": "plain-1.js"}, "style.css": {"file": "assets/style-1.css"}}'
 HOSTS = ["ththth.example.net", "thther.example.org", "therha.example.com"]
@@ -26,11 +29,11 @@ _HOSTS_SQL = "('ththth.example.net', 'thther.example.org', 'therha.example.com')
 
 @query(r"""
 WITH p AS (SELECT event_id, event_id % 7 AS k FROM bodies)
-SELECT event_id, CASE WHEN k <= 2 THEN 400 ELSE 200 END AS status,
+SELECT event_id, CASE WHEN k < 2 THEN 400 ELSE 200 END AS status,
   CASE k WHEN 3 THEN '1:/f' || event_id || '.docx' WHEN 4 THEN '1:/g.docx' WHEN 5 THEN '' END AS file,
-  CASE WHEN k <= 2 THEN NULL WHEN k IN (3, 4) THEN CAST(event_id AS INTEGER) WHEN k = 5 THEN 0 ELSE -1 END AS revision,
-  CASE WHEN k <= 2 THEN NULL WHEN k = 4 THEN 12 WHEN k = 6 THEN -4 ELSE 0 END AS session_uid,
-  CASE WHEN k <= 2 THEN NULL ELSE k = 4 END AS session_ok
+  CASE WHEN k < 2 THEN NULL WHEN k = 3 THEN 99999999999 + event_id WHEN k = 4 THEN event_id WHEN k = 5 THEN 0 ELSE -1 END AS revision,
+  CASE WHEN k < 2 THEN NULL WHEN k = 4 THEN 12 WHEN k = 6 THEN -4 ELSE 0 END AS session_uid,
+  CASE WHEN k < 2 THEN NULL ELSE k = 4 END AS session_ok
 FROM p
 """)
 def payload_parse(m: Model) -> DataFrame:
@@ -61,12 +64,13 @@ def response_envelope(m: Model) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, CASE n_nationkey % 4 WHEN 3 THEN NULL ELSE CASE n_nationkey % 3 WHEN 0 THEN 'main-1.js' WHEN 1 THEN 'plain-1.js' END END AS script,
-  CASE n_nationkey % 4 WHEN 3 THEN NULL ELSE CASE n_nationkey % 3 WHEN 0 THEN 'main-1.css' ELSE 'assets/style-1.css' END END AS style, n_nationkey % 4 <> 3 AS has_build FROM nation
+SELECT n_nationkey, CASE WHEN n_nationkey % 5 < 3 THEN CASE n_nationkey % 3 WHEN 0 THEN 'main-1.js' WHEN 1 THEN 'plain-1.js' END END AS script,
+  CASE WHEN n_nationkey % 5 < 3 THEN CASE n_nationkey % 3 WHEN 0 THEN 'main-1.css' ELSE 'assets/style-1.css' END END AS style, n_nationkey % 5 <> 3 AS has_build FROM nation
 """)
 def manifest_resolve(m: Model) -> DataFrame:
     k = F.col("n_nationkey")
-    rows = m.table("nation").select("n_nationkey", sources.manifest(F.when(k % 4 != 3, MANIFEST_TEXT).otherwise("[broken")).alias("e"))
+    text = F.when(k % 5 < 3, MANIFEST_TEXT).when(k % 5 == 3, "[broken").otherwise('["main.js"]')
+    rows = m.table("nation").select("n_nationkey", sources.manifest(text).alias("e"))
     pick = lambda f: F.when(k % 3 == 0, f(F.col("e"), "main.js")).when(k % 3 == 1, f(F.col("e"), "plain.js")).otherwise(f(F.col("e"), "missing.js"))
     return rows.select("n_nationkey", pick(sources.manifest_script).alias("script"), pick(sources.manifest_style).alias("style"), F.col("e").isNotNull().alias("has_build"))
 
@@ -89,8 +93,9 @@ def label_frame(m: Model) -> DataFrame:
 
 
 def with_labels(asked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts by (locale, key); the key where there is none, or an empty one.  A catalogue has some dozens of rows."""
-    found = asked.join(F.broadcast(labels), ["locale", "key"], "left")
+    """Texts by (locale, key); the key where there is none, or an empty one.  A catalogue has some dozens of rows and is broadcast up to MOST_LABELS."""
+    few = len(labels.limit(MOST_LABELS + 1).collect()) <= MOST_LABELS
+    found = asked.join(F.broadcast(labels) if few else labels, ["locale", "key"], "left")
     return found.withColumn("text", F.coalesce(S.filled(F.col("text")), F.col("key")))
 
 
@@ -127,34 +132,44 @@ def label_format(m: Model) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE event_type WHEN 'signup' THEN 'Document saved' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'to ' || user_id ELSE 'Document saved' END WHEN 'error' THEN 'Saving failed' WHEN 'click' THEN 'Saving' ELSE '' END AS message FROM events
+SELECT event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'success' WHEN event_type = 'error' THEN 'error' END AS level,
+  CASE WHEN event_type IN ('signup', 'view') THEN CASE WHEN event_id % 3 = 0 THEN 'Gespeichert' ELSE 'Saved' END WHEN event_type = 'error' THEN 'Save failed' END AS title,
+  CASE WHEN event_type IN ('signup', 'view') THEN CASE WHEN event_id % 5 = 0 THEN 'x.docx' ELSE 'to ' || user_id END WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'status ' || user_id ELSE 'Save failed' END END AS message FROM events
 """)
 def status_toast(m: Model) -> DataFrame:
-    kind = F.col("event_type")
-    status = F.when(kind.isin("signup", "view"), "saved").when(kind == "error", "error").when(kind == "click", "saving").otherwise("other")
-    detail = F.when((kind == "view") & (F.col("event_id") % 2 == 0), F.concat(F.lit("to "), F.col("user_id").cast("string"))).otherwise("")
-    return m.table("events").select("event_id", S.toast(status, detail).alias("message"))
+    kind, e, user = F.col("event_type"), F.col("event_id"), F.col("user_id").cast("string")
+    status = F.when(kind.isin("signup", "view"), "saved").when(kind == "error", "error").when(kind == "click", "saving").otherwise("ready")
+    detail = F.when(e % 2 == 0, F.concat(F.lit("status "), user)).otherwise("")
+    path = F.when(e % 5 != 0, F.concat(F.lit("to "), user)).otherwise("")
+    toast = S.toast(status, detail, path, F.lit("x.docx"), {"saved": F.when(e % 3 == 0, "Gespeichert").otherwise("")})
+    return m.table("events").select("event_id", toast.alias("t")).select("event_id", "t.*")
 
 
 @query("""
 SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN '1 editor online' ELSE (p_size % 6) || ' editors online' END AS collaborators,
-  CASE p_size % 6 WHEN 0 THEN 'nobody' WHEN 1 THEN 'one' ELSE (p_size % 6) || ' others' END || ' at ' || p_brand AS exact, CASE p_size % 6 WHEN 1 THEN '{a 1}' ELSE 'more' END AS nested FROM part
+  CASE p_size % 6 WHEN 0 THEN 'nobody' WHEN 1 THEN 'one' ELSE (p_size % 6) || ' others' END || ' at {count}' || p_brand AS exact, CASE p_size % 6 WHEN 1 THEN '{a 1}' ELSE 'last' END AS nested FROM part
 """)
 def icu_plural(m: Model) -> DataFrame:
     n = F.col("p_size") % 6
-    exact = messages.named(messages.plural(F.lit("{count, plural, =0 {nobody} one {one} other {# others}} at {brand}"), n), {"brand": F.col("p_brand")})
-    return m.table("part").select("p_partkey", messages.plural(F.lit(COLLABORATORS), n).alias("collaborators"), exact.alias("exact"), messages.format_nested(F.lit("{count, plural, one {{a #}} other {more}}"), n).alias("nested"))
+    exact = messages.formatted(F.lit("{count, plural, =0 {nobody} one {one} other {# others}} at {brand}"), {"count": n, "brand": F.concat(F.lit("{count}"), F.col("p_brand"))})
+    nested = messages.plural(F.lit("{count, plural, one {{a #}} other {more} other {last}}"), {"count": n})
+    return m.table("part").select("p_partkey", messages.plural(F.lit(COLLABORATORS), {"count": n}).alias("collaborators"), exact.alias("exact"), nested.alias("nested"))
 
 
 @query("""
 WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'folder' ELSE 'other' END AS field, CASE WHEN event_id % 3 = 0 THEN '' ELSE '1:/' || user_id END AS val, event_type = 'click' AS ctrl, event_type = 'view' AS meta, event_id % 5 = 0 AS shift FROM events)
-SELECT event_id, field = 'folder' AND val <> '' AS accepted, (ctrl OR meta) AND NOT shift AND event_id % 4 <> 0 AS saves FROM e
+SELECT event_id, field = 'folder' AND val <> '' AND user_id % 7 <> 0 AND user_id % 11 <> 0 AS accepted, (ctrl OR meta) AND NOT shift AND event_id % 4 <> 0 AND user_id % 3 <> 0 AS saves FROM e JOIN events USING (event_id)
 """)
 def ui_message_filter(m: Model) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     value = F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("1:/"), F.col("user_id").cast("string")))
     can_write = S.flag(e % 4 != 0)
-    return m.table("events").select("event_id", ((F.when(e % 2 == 0, "folder").otherwise("other") == "folder") & (value != "")).alias("accepted"), (((kind == "click") | (kind == "view")) & ~(e % 5 == 0) & S.is_set(can_write)).alias("saves"))
+    user, own = F.col("user_id"), F.lit("https://cms.example.org")
+    origin = F.when(user % 7 == 0, "https://other.example.org").otherwise(own)
+    action = F.when(user % 11 == 0, "typo3:elementBrowser:elementRemoved").otherwise("typo3:elementBrowser:elementAdded")
+    accepted = S.accepts_message(origin, own, action, F.when(e % 2 == 0, "folder").otherwise("other"), value)
+    key = F.when(user % 3 == 0, "x").when(user % 3 == 1, "S").otherwise("s")
+    return m.table("events").select("event_id", accepted.alias("accepted"), S.saves_by_key(key, kind == "click", kind == "view", e % 5 == 0, can_write).alias("saves"))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 = 0 AS gated FROM documents")
@@ -180,11 +195,46 @@ def rewrite_rules(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", S.sha256(rewriting.rewrite(F.col("text"), RULES, _DONE)).alias("rewritten"), rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("rule"))
 
 
-@query("SELECT doc_id, true AS unchanged FROM documents WHERE contains(text, 'the ') AND NOT contains(text, 'THE ')")
+_RULE = "CASE WHEN contains({0}, 'THE ') THEN NULL WHEN contains({0}, 'the ') THEN 'first' WHEN contains({0}, 'la ') THEN 'second' WHEN contains({0}, 'der ') THEN 'third' END"
+
+
+@query(f"""
+WITH o AS (SELECT doc_id, {_RULE.format("text")} AS first_rule, {_REWRITE.format("text")} AS once FROM documents)
+SELECT doc_id, first_rule, {_RULE.format("once")} AS again, once IS NULL OR {_RULE.format("once")} IS NULL AS unchanged FROM o
+""")
 def rewrite_idempotent(m: Model) -> DataFrame:
-    rules = RULES[:1]
-    once = m.table("documents").select("doc_id", rewriting.rewrite(F.col("text"), rules, _DONE).alias("once")).filter("once is not null")
-    return once.select("doc_id", rewriting.rewrite(F.col("once"), rules, _DONE).isNull().alias("unchanged"))
+    """Which rule a second rewrite applies: none after the first rule, whose result is marked as done; the others may apply again."""
+    once = m.table("documents").select("doc_id", rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("first_rule"), rewriting.rewrite(F.col("text"), RULES, _DONE).alias("once"))
+    again = rewriting.applied_rule(F.col("once"), RULES, _DONE)
+    return once.select("doc_id", "first_rule", again.alias("again"), again.isNull().alias("unchanged"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _shape_sql(name: str, code: str) -> str:
+    rules, done = rewriting.SHAPES[name]
+    cases = [f"WHEN contains({code}, {_sql(a)}) THEN substr({code}, 1, strpos({code}, {_sql(a)}) - 1) || {_sql(b)} || substr({code}, strpos({code}, {_sql(a)}) + {len(a)})" for _, a, b in rules]
+    guard = f"WHEN contains({code}, {_sql(done)}) THEN NULL " if done else ""
+    return f"CASE {guard}{' '.join(cases)} END"
+
+
+_NEEDLES = [needle for rules, _ in rewriting.SHAPES.values() for _, needle, _ in rules]
+_CODE_SQL = f"SELECT doc_id, 'pre ' || CASE doc_id % 5 {' '.join(f'WHEN {k} THEN {_sql(n)}' for k, n in enumerate(_NEEDLES))} ELSE lang END || ' ' || source || CASE WHEN doc_id % 5 < {len(_NEEDLES)} AND doc_id % 10 > 4 THEN {_sql(_NEEDLES[0])} ELSE '' END AS code FROM documents"
+
+
+@query(f"WITH c AS ({_CODE_SQL}), r AS (SELECT *, {', '.join(_shape_sql(n, 'code') + f' AS {n}' for n in rewriting.SHAPES)} FROM c) SELECT doc_id, {', '.join(f'{n}, {_shape_sql(n, n)} AS {n}_again' for n in rewriting.SHAPES)} FROM r")
+def rewrite_shapes(m: Model) -> DataFrame:
+    """The three bundle rewrites on modules that hold their needles, and each again on its own result."""
+    k = F.col("doc_id") % 5
+    needle = F.col("lang")
+    for i, n in enumerate(_NEEDLES):
+        needle = F.when(k == i, n).otherwise(needle)
+    more = F.when((k < len(_NEEDLES)) & (F.col("doc_id") % 10 > 4), _NEEDLES[0]).otherwise("")
+    code = m.table("documents").select("doc_id", F.concat(F.lit("pre "), needle, F.lit(" "), "source", more).alias("code"))
+    once = code.select("doc_id", *[rewriting.rewrite(F.col("code"), *shape).alias(n) for n, shape in rewriting.SHAPES.items()])
+    return once.select("doc_id", *[c for n, shape in rewriting.SHAPES.items() for c in (F.col(n), rewriting.rewrite(F.col(n), *shape).alias(f"{n}_again"))])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Normal,Heading' || (doc_id % 6) ELSE 'Normal' END AS styles FROM documents WHERE doc_id % 6 BETWEEN 1 AND 4 UNION ALL SELECT doc_id, 'Normal' FROM documents WHERE doc_id % 6 IN (0, 5)")
@@ -197,47 +247,148 @@ def style_filter(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.concat_ws(",", F.transform(picked, lambda s: s["styleId"])).alias("styles"))
 
 
-@query(f"SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '') IN {_HOSTS_SQL} AS blocked FROM (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'not a url' ELSE url END AS url FROM pages)")
+@query(f"""
+WITH u AS (SELECT page_id, coalesce(lower(regexp_extract(CASE WHEN page_id % 9 = 0 THEN 'not a url' ELSE url END, '^[a-z]+://([^/?#]+)', 1)), '') IN {_HOSTS_SQL} AS blocked FROM pages)
+SELECT page_id, blocked, blocked AND page_id % 4 <> 0 AND page_id % 3 <> 0 AS link_blocked FROM u
+""")
 def url_block(m: Model) -> DataFrame:
+    """By host alone, and as the link filter does it: style sheets of link elements only."""
+    n = F.col("page_id")
+    tag, rel = F.when(n % 4 == 0, "SCRIPT").otherwise("LINK"), F.when(n % 3 == 0, "icon").when(n % 3 == 1, "preload StyleSheet").otherwise("stylesheet")
     url = F.when(F.col("page_id") % 9 == 0, "not a url").when(F.col("page_id") % 9 == 1, F.regexp_replace("url", "example", "EXAMPLE")).otherwise(F.col("url"))
-    return m.table("pages").select("page_id", S.host_blocked(url, HOSTS).alias("blocked"))
+    return m.table("pages").select("page_id", S.host_blocked(url, HOSTS).alias("blocked"), S.link_blocked(tag, rel, url, HOSTS).alias("link_blocked"))
+
+
+@query("""
+WITH r AS (SELECT event_id, 200 + event_id % 4 * 100 + event_id % 3 AS status, event_id % 6 AS k FROM events)
+SELECT event_id, k NOT IN (0, 1, 3) AND k <> 5 AND status BETWEEN 200 AND 299 AS ok,
+  CASE WHEN k = 0 THEN 'Invalid server response.' WHEN k = 1 THEN 'bad' WHEN status BETWEEN 200 AND 299 THEN CASE WHEN k = 4 THEN 'odd' END WHEN k = 4 THEN 'odd' WHEN k = 3 THEN NULL ELSE 'Status ' || status END AS error, status AS httpStatus FROM r
+""")
+def client_response(m: Model) -> DataFrame:
+    """Responses as the client reads them: no JSON, errors with and without a text, lists, statuses of all kinds."""
+    e = F.col("event_id")
+    body = F.when(e % 6 == 0, "<html>").when(e % 6 == 1, '{"ok":false,"error":"bad"}').when(e % 6 == 2, '{"ok":true}').when(e % 6 == 3, '{"ok":false}').when(e % 6 == 4, '{"ok":true,"error":"odd"}').otherwise("[]")
+    status = (200 + e % 4 * 100 + e % 3).alias("status")
+    rows = m.table("events").select("event_id", status, body.alias("body"))
+    return rows.select("event_id", sources.response(F.col("status"), F.concat(F.lit("Status "), F.col("status").cast("string")), F.col("body")).alias("r")).select("event_id", "r.*")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, 200 AS status FROM documents WHERE text <> ''")
+def binary_files(m: Model) -> DataFrame:
+    """Documents written as files, each over an older one, and read back with their integrity check."""
+    folder = new_folder(m.spark, "files")
+    named = m.table("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    for content in (F.encode(F.lit("older"), "utf-8"), F.col("content")):
+        sources.write_binaries(named.withColumn("content", content), folder).write.format("noop").mode("overwrite").save()
+    back = sources.checked(sources.binary_files(m.spark, folder))
+    return back.select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("doc_id"), S.sha256(F.col("content")).alias("content_hash"), "size", "status")
+
+
+def _as_files(m: Model, kind: str, files: dict[str, str]) -> str:
+    """A new folder with text files."""
+    folder = new_folder(m.spark, kind)
+    rows = m.spark.createDataFrame([(k, t.encode()) for k, t in files.items()], "name string, content binary")
+    sources.write_binaries(rows, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT 'main-1.js' AS script, 'main-1.css' AS style, 3 AS entries")
+def manifest_of_a_file(m: Model) -> DataFrame:
+    entries = F.col("entries")
+    read = sources.manifest_file(m.spark, _as_files(m, "manifest", {"manifest.json": MANIFEST_TEXT}))
+    return read.select(sources.manifest_script(entries, "main.js").alias("script"), sources.manifest_style(entries, "main.js").alias("style"), F.size(entries).alias("entries"))
+
+
+@query(f"SELECT locale, key, text FROM {_LABELS_SQL}")
+def labels_of_files(m: Model) -> DataFrame:
+    """Label catalogues read from one XML file for each locale; an empty text stays empty."""
+    unit = '<unit id="{}"><segment><source>{}</source></segment></unit>'
+    locales = sorted({locale for locale, _ in LABELS})
+    catalogue = {a: "".join(unit.format(k, t) for (b, k), t in LABELS.items() if a == b) for a in locales}
+    folder = _as_files(m, "labels", {f"{a}.xlf": f'<?xml version="1.0" encoding="UTF-8"?><xliff><file id="d">{units}</file></xliff>' for a, units in catalogue.items()})
+    read = sources.labels(m.spark, {a: f"{folder}/{a}.xlf" for a in locales})
+    return read.select("locale", "key", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("SELECT sha256(string_agg('chunk ' || r_regionkey || ' ' || r_name, chr(10) ORDER BY r_regionkey)) AS digest, CAST(count(*) AS BIGINT) AS modules FROM region")
+def modules_of_a_build(m: Model) -> DataFrame:
+    """All modules of a build folder as one text, by name."""
+    folder = new_folder(m.spark, "modules")
+    rows = m.table("region").select(F.concat(F.lit("chunk-"), F.col("r_regionkey").cast("string"), F.lit(".mjs")).alias("name"), F.encode(F.concat(F.lit("chunk "), F.col("r_regionkey").cast("string"), F.lit(" "), F.col("r_name")), "utf-8").alias("content"))
+    sources.write_binaries(rows, folder).write.format("noop").mode("overwrite").save()
+    text = F.col("text")
+    return sources.module_text(m.spark, folder).select(S.sha256(text).alias("digest"), F.size(F.split(text, "\n")).cast("bigint").alias("modules"))
+
+
+@query("SELECT file_identifier, arg_max(revision, uid) AS revision, max(uid) AS uid, count(*) AS entries FROM revisions GROUP BY file_identifier")
+def revision_append(m: Model) -> DataFrame:
+    """The log written in two appends, and read for each file's latest revision."""
+    path = new_folder(m.spark, "revisions")
+    late = F.col("uid") >= 2
+    for part in (~late, late):
+        sources.append_revisions(m.revisions.filter(part), path)
+    log = m.spark.read.schema(m.revisions.schema).parquet(path)
+    counted = log.groupBy("file_identifier").agg(F.count(F.lit(1)).alias("entries"))
+    return revisions.latest(log).select("file_identifier", "revision", "uid").join(counted, "file_identifier")
+
+
+@query("SELECT file, user_id, uid, file_hash, last_heartbeat, deleted, crdate FROM session_rows")
+def session_sink(m: Model) -> DataFrame:
+    """Operations that come as a stream, written to the session table batch by batch; the table's state after it."""
+    table, checkpoint = new_folder(m.spark, "sessions"), new_folder(m.spark, "state")
+    folder = new_folder(m.spark, "ops")
+    m.ops.repartition(4).write.parquet(folder)
+    stream = sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1)
+    streaming.polling(stream, streaming.session_log(table), checkpoint, every=None).awaitTermination()
+    return presence.sessions(m.spark.read.schema(streaming.OPS_SCHEMA).parquet(table))
 
 
 def _ops_stream(m: Model) -> DataFrame:
     """The operations written to a folder that is read as a stream."""
-    folder = scratch(m, "ops")
+    folder = new_folder(m.spark, "ops")
     m.ops.write.parquet(folder)
     return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
 
 
 def _closed_ops_stream(m: Model, ttl: int, late: int = 600) -> DataFrame:
     """The operations as a stream that ends with a row so late that all sessions of the operations are over; its own one stays open."""
-    folder = scratch(m, "ops")
+    folder = new_folder(m.spark, "ops")
     end = m.ops.agg(F.max("t").alias("t")).filter("t is not null")
     end = end.select(F.lit(None).cast("bigint").alias("seq"), (F.col("t") + ttl + late + 1).alias("t"), F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("file"))
     m.ops.unionByName(end).write.parquet(folder)
     return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
 
 
-def scratch(m: Model, name: str) -> str:
-    """A new folder where all executors can write."""
-    import uuid
+@query(f"SELECT * FROM ({windows_sql(SIX_HOURS)})")
+def presence_stream(m: Model) -> DataFrame:
+    stream = streaming.presence_windows(_closed_ops_stream(m, SIX_HOURS), SIX_HOURS)
+    return streaming.run_once(m.spark, stream, new_folder(m.spark, "windows"), new_folder(m.spark, "state"))
+
+
+@query(SAVE_REPLAY_SQL)
+def revision_stream(m: Model) -> DataFrame:
+    stream = streaming.fold_saves(_ops_stream(m))
+    return streaming.run_once(m.spark, stream, new_folder(m.spark, "saves"), new_folder(m.spark, "state"))
 
-    where = m.spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
 
-        where = "file://" + tempfile.mkdtemp(prefix="quirewise-")
-    return f"{where.rstrip('/')}/quirewise-streams/{name}-{uuid.uuid4().hex}"
+def _with_rocksdb(m: Model, stream, name: str) -> DataFrame:
+    """Runs a stream that keeps named states, which only this store can."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = m.spark.conf.get(key, None)
+    m.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return streaming.run_once(m.spark, stream(), new_folder(m.spark, name), new_folder(m.spark, "state"))
+    finally:
+        m.spark.conf.unset(key) if before is None else m.spark.conf.set(key, before)
 
 
-@query()
-def presence_stream(m: Model) -> DataFrame:
-    stream = streaming.presence_windows(_closed_ops_stream(m, SIX_HOURS), SIX_HOURS)
-    return streaming.run_once(m.spark, stream, scratch(m, "windows"), scratch(m, "state"))
+@query(SAVE_REPLAY_SQL)
+def revision_state_stream(m: Model) -> DataFrame:
+    """The replay of saves with its state as one value and one map in the state store."""
+    return _with_rocksdb(m, lambda: streaming.replayed_saves(_ops_stream(m)), "saves")
 
 
 @query()
-def revision_stream(m: Model) -> DataFrame:
-    stream = streaming.fold_saves(_ops_stream(m))
-    return streaming.run_once(m.spark, stream, scratch(m, "saves"), scratch(m, "state"))
+def presence_events(m: Model) -> DataFrame:
+    """Sessions joined, left and expired, with a timer for each session; a long time to live, as operations are sparse."""
+    return _with_rocksdb(m, lambda: streaming.presence_events(_ops_stream(m), 400_000), "events")

@@ -1,24 +1,63 @@
-"""Readers and writers: tables, binary files, label catalogues, manifests, JSON requests, poll streams."""
+"""Readers and writers: tables, binary files, label catalogues, manifests, JSON requests and responses, poll streams."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import basename, filled, trim
+from ..operators.files import unreadable
 from ..schemas import MANIFEST, PAYLOAD
 
 UNIT = "_id string, segment struct<source string>"
 
 
 def binary_files(spark: SparkSession, path: str, storage_id: int = 1) -> DataFrame:
-    """Files as rows of the catalogue; the content column is read only where it is selected."""
+    """Files as rows of the catalogue; the content column is read only where it is selected.
+
+    Spark's reader leaves out files without bytes.
+    """
     name = basename(F.col("path"))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(F.concat(F.lit(f"{storage_id}:"), F.expr("parse_url(path, 'PATH')")).alias("file_identifier"), F.lit(storage_id).alias("storage_id"), "path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), "content")
 
 
+def checked(files: DataFrame) -> DataFrame:
+    """Binary files with a status: 500 where bytes should be there and none came, else 200."""
+    return files.withColumn("status", F.when(unreadable(F.col("size"), F.col("content")), 500).otherwise(200))
+
+
+def write_binaries(files: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, content) as files of a folder that all executors share; (name, size) of each.
+
+    A file that is there is overwritten: the bytes go to a file beside it, which then takes its place, so
+    a reader never sees half of them, and a task that runs again does no harm.  Names are file names;
+    equal names overwrite each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            names, contents = b.column("name").to_pylist(), b.column("content").to_pylist()
+            for name, content in zip(names, contents, strict=True):
+                beside = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(content or b"")
+                store.move(beside, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c or b"") for c in contents], pa.int64())], names=["name", "size"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, size long")
+
+
 def labels(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(locale, key, text) of XML label files, by locale."""
     frames = [spark.read.format("xml").option("rowTag", "unit").schema(UNIT).load(p).select(F.lit(k).alias("locale"), F.col("_id").alias("key"), F.col("segment.source").alias("text")) for k, p in paths.items()]
@@ -29,8 +68,8 @@ def labels(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def manifest(text: Column) -> Column:
-    """Entries of a build manifest; null if it is missing or invalid."""
-    return F.when(json_object(text), F.from_json(text, MANIFEST))
+    """Entries of a build manifest; none for a list, null if it is missing or invalid."""
+    return _object_or_list(text, MANIFEST, F.create_map().cast(MANIFEST))
 
 
 def manifest_file(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +85,35 @@ def manifest_style(entries: Column, entry: str, fallback: str = "style.css") ->
     return F.coalesce(F.try_element_at(F.try_element_at(entries, F.lit(entry))["css"], F.lit(1)), F.try_element_at(entries, F.lit(fallback))["file"])
 
 
-def json_object(text: Column) -> Column:
-    """Whether a text is a valid JSON object; the lenient reader makes a record of nulls from a broken one."""
-    return trim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+def json_starts(text: Column, mark: str) -> Column:
+    """Whether a text is valid JSON that starts so; the lenient reader makes a record of nulls from a broken one."""
+    return trim(text).startswith(mark) & F.try_parse_json(text).isNotNull()
+
+
+def _object_or_list(text: Column, kind, empty: Column) -> Column:
+    """A JSON object; a list is an object without the keys that are asked for; null for anything else."""
+    return F.when(json_starts(text, "{"), F.from_json(text, kind)).when(json_starts(text, "["), empty)
 
 
 def payload(body: Column) -> Column:
-    """Request fields as strings; null for bodies that aren't a JSON object (status 400)."""
-    return F.when(json_object(body), F.from_json(body, PAYLOAD))
+    """Request fields as strings, all missing in a list; null for anything else than an object or list (status 400)."""
+    none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in PAYLOAD])
+    return _object_or_list(body, PAYLOAD, none)
+
+
+def response(status: Column, status_text: Column, body: Column) -> Column:
+    """(ok, error, httpStatus) as a client sees a response.
+
+    A body that isn't JSON is an error of its own; a status outside 200 to 299 turns ok off, with the status
+    text as error where the body has none.
+    """
+    data = F.when(json_starts(body, "{"), F.from_json(body, "ok string, error string"))
+    valid = F.try_parse_json(body).isNotNull()
+    ok, error = data["ok"] == "true", filled(data["error"])
+    failed = ~status.between(200, 299)
+    kept = F.coalesce(ok, F.lit(False)) & ~failed
+    refused = F.when(failed & F.coalesce(data["ok"] != "false", F.lit(True)), F.coalesce(error, status_text)).otherwise(data["error"])
+    return F.struct((valid & kept).alias("ok"), F.when(valid, refused).otherwise(F.lit("Invalid server response.")).alias("error"), status.alias("httpStatus"))
 
 
 def parameter(remembered: Column, *sources: Column) -> Column:
@@ -68,7 +128,7 @@ def module_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def polled(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000) -> DataFrame:
-    """A folder that new files arrive in, as a stream; start it with a trigger of five seconds."""
+    """A folder that new files arrive in, as a stream; `streaming.polling` starts it with the trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -78,4 +138,5 @@ def envelope(ok: Column, content: Column) -> Column:
 
 
 def append_revisions(revisions: DataFrame, path: str) -> None:
+    """The log only grows; `operators.revisions.latest` reads it."""
     revisions.write.mode("append").parquet(path)

@@ -130,6 +130,34 @@ def fold_saves(ops: DataFrame) -> DataFrame:
     return moves.groupBy("file").applyInPandasWithState(fold, schema, "revision int, users array<long>, known array<int>", "append", "NoTimeout")
 
 
+#: Seconds between two polls of a folder.
+POLL = "5 seconds"
+
+
+def polling(stream: DataFrame, write_batch, checkpoint: str, every: str | None = POLL):
+    """The started query: calls write_batch(rows, batch id) for what has come, every few seconds, or once where `every` is None."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def session_log(path: str):
+    """A write_batch that adds a batch of operations to the session table at `path`.
+
+    A batch is a folder of its own, which a batch that runs again overwrites, so each counts once.  The
+    table's rows are inserts and updates in one: `operators.presence.sessions` gives the state of each session.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def dropped_rows(query) -> int:
+    """Rows that a query left out as too late, over all its batches that are still known."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Runs all that is there (availableNow) into a Parquet folder, and reads it back."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirewise import streaming
-from quirewise.operators import files, presence, revisions
+from quirewise.operators import files, presence, ranking, revisions
 from quirewise.plans import catalog
 from quirewise.plans.model import Model
-from quirewise.plans.text_queries import _ops_stream, scratch
+from quirewise.plans.text_queries import _ops_stream
 from quirewise.session import configure
 from quirewise.sources import polled
+from quirewise.tables import new_folder, scratch, shared_dir, written
 
 OPS = "seq long, t long, user_id long, op string, file string"
 
@@ -66,11 +67,88 @@ def test_replay_equals_the_simulator(spark, seed, step):
     assert [(r.seq, r.op, r.alive, r.uid, r.is_new) for r in got] == simulate(ops, 45)
 
 
-def test_running_maximum_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(presence, "CHUNK", 7)
-    rows = [(i, (i * 37) % 101) for i in range(60)]
-    got = presence.running_max_before(spark.createDataFrame(rows, "seq long, v long"), "seq", F.col("v"), "m").orderBy("seq").collect()
-    assert [r.m for r in got] == [max((v for _, v in rows[:i]), default=None) for i in range(60)]
+def test_running_over_partitions(spark):
+    """Sums, maxima and numbers over an order and within groups, one of which holds most rows; gaps in the order."""
+    rows = [(i * i, (i * 37) % 101 if i % 5 else None, "hot" if i % 7 else f"g{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, v long, g string").repartition(5)
+    spread = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        whole = ranking.running(df, ["seq"], {"m": (F.max, F.col("v")), "s": (F.sum, F.col("v"))}).orderBy("seq").collect()
+        own = ranking.running(df, ["seq"], {"s": (F.sum, F.col("v"))}, ["g"]).collect()
+        numbers = ranking.numbered(df, ["seq"], ["g"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", spread)
+    before = lambda i, g=None: [v for _, v, h in rows[:i] if v is not None and g in (None, h)]
+    assert [(r.m, r.s) for r in whole] == [(max(before(i), default=None), sum(before(i)) if before(i) else None) for i in range(300)]
+    at = {r[0]: i for i, r in enumerate(rows)}
+    assert all(r.s == (sum(x) if (x := before(at[r.seq], r.g)) else None) for r in own) and len(own) == 300
+    assert all(r.n == 1 + sum(h == r.g for _, _, h in rows[: at[r.seq]]) for r in numbers)
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as keep:
+        a, b = (written(spark.range(5), n) for n in "ab")
+        keep.append(b)
+    assert b.count() == 5 and spark.range(1).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        a.count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def names_by_steps(rows):
+    """Given names first; each further file takes the next free suffix of its name."""
+    used = {}
+    for _, folder, name in rows:
+        used.setdefault(folder, set()).add(name)
+    seen, out = set(), []
+    for i, folder, name in sorted(rows):
+        if (folder, name) not in seen:
+            seen.add((folder, name))
+            out.append((i, name))
+            continue
+        end = name[-5:] if name.lower().endswith(".docx") else ""
+        base, k = name[: len(name) - len(end)], 1
+        while f"{base}_{k:02d}{end}" in used[folder]:
+            k += 1
+        used[folder].add(f"{base}_{k:02d}{end}")
+        out.append((i, f"{base}_{k:02d}{end}"))
+    return out
+
+
+def test_names_never_collide(spark):
+    names = ["a.docx", "a.docx", "a_01.docx", "a_01.docx", "a.DOCX", "a.DOCX", "a_03.docx", "a.docx", "a.docx", "plain", "plain", "a_1.docx", "a_00.docx", "a_02"] + ["b.docx"] * 105 + ["b_99.docx", "b_100.docx"]
+    rows = [(i, f"f{i % 2}" if i < 14 else "f", n) for i, n in enumerate(names)] + [(500 + i, "f0", n) for i, n in enumerate(names[:14])]
+    got = files.without_collisions(spark.createDataFrame(rows, "k long, folder string, name string"), "k").collect()
+    assert sorted((r.k, r.stored_name) for r in got) == sorted(names_by_steps(rows))
+    assert len({(r.folder, r.stored_name) for r in got}) == len(rows)
+
+
+def test_files_without_editors_have_an_empty_list(spark):
+    rows = spark.createDataFrame([("f", 1, 5), ("f", 2, 3)], "file string, user_id long, uid long")
+    names = spark.createDataFrame([(1, "Ann")], "user_id long, user_name string")
+    got = {r.file: [tuple(p) for p in r.participants] for r in presence.participants(rows, names, spark.createDataFrame([("f",), ("empty",)], "file string")).collect()}
+    assert got == {"f": [(1, "Ann", 5), (2, "Editor", 3)], "empty": []}
+
+
+def test_a_batch_that_runs_again_counts_once(spark, sf_dir):
+    path = new_folder(spark, "log")
+    write = streaming.session_log(path)
+    rows = spark.createDataFrame(made(9, 50), OPS)
+    for batch, part in ((0, rows.filter("seq < 20")), (1, rows.filter("seq >= 20")), (1, rows.filter("seq >= 20"))):
+        write(part, batch)
+    assert spark.read.schema(OPS).parquet(path).count() == 50
 
 
 def test_ttl_edge(spark):
@@ -107,12 +185,12 @@ def test_saves_equal_the_fold(spark):
 
 def test_saves_stream_over_many_batches(spark, sf_dir):
     m = Model(configure(spark), sf_dir)
-    folder = scratch(m, "ops")
+    folder = new_folder(spark, "ops")
     for part in range(3):  # files arrive one after another, as operations do
         m.ops.filter(f"seq % 1000 div 334 = {part}").coalesce(1).write.mode("append").parquet(folder)
         time.sleep(1.1)
     stream = streaming.fold_saves(polled(spark, folder, streaming.OPS_SCHEMA, 1))
-    got = streaming.run_once(spark, stream, scratch(m, "saves"), scratch(m, "state"))
+    got = streaming.run_once(spark, stream, new_folder(spark, "saves"), new_folder(spark, "state"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, revisions.replayed(m.ops).collect()))
 
 
@@ -126,13 +204,13 @@ def rocksdb(spark):
 
 def test_saves_in_the_state_store(spark, sf_dir, rocksdb):
     m = Model(configure(spark), sf_dir)
-    got = streaming.run_once(spark, streaming.replayed_saves(_ops_stream(m)), scratch(m, "saves"), scratch(m, "state"))
+    got = streaming.run_once(spark, streaming.replayed_saves(_ops_stream(m)), new_folder(spark, "saves"), new_folder(spark, "state"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, revisions.replayed(m.ops).collect()))
 
 
 def test_presence_events(spark, sf_dir, rocksdb):
     m, ttl = Model(configure(spark), sf_dir), 21_600
-    got = streaming.run_once(spark, streaming.presence_events(_ops_stream(m), ttl), scratch(m, "events"), scratch(m, "state"))
+    got = streaming.run_once(spark, streaming.presence_events(_ops_stream(m), ttl), new_folder(spark, "events"), new_folder(spark, "state"))
     live, events = {}, set()
     ops = [tuple(r) for r in m.ops.select("seq", "t", "user_id", "op", "file").orderBy("seq").collect()]
     for seq, t, user, op, file in ops:
@@ -154,7 +232,7 @@ def test_presence_events(spark, sf_dir, rocksdb):
 
 def test_presence_stream_is_the_batch_without_open_sessions(spark, sf_dir):
     m = Model(configure(spark), sf_dir)
-    got = streaming.run_once(spark, streaming.presence_windows(_ops_stream(m), 45), scratch(m, "w"), scratch(m, "s"))
+    got = streaming.run_once(spark, streaming.presence_windows(_ops_stream(m), 45), new_folder(spark, "w"), new_folder(spark, "s"))
     whole = {tuple(r) for r in presence.windows(m.ops, 45).collect()}
     emitted = {tuple(r) for r in got.collect()}
     assert emitted <= whole
@@ -162,6 +240,17 @@ def test_presence_stream_is_the_batch_without_open_sessions(spark, sf_dir):
     assert all(r[2] >= last - 700 for r in whole - emitted)
 
 
+def test_rows_too_late_are_counted(spark):
+    folder = new_folder(spark, "late")
+    for k, t in enumerate((100_000, 200_000, 5)):
+        spark.createDataFrame([(k, t, 1, "join", "f")], OPS).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    stream = streaming.presence_windows(polled(spark, folder, streaming.OPS_SCHEMA, 1), 45)
+    query = streaming.polling(stream, lambda rows, batch: rows.write.format("noop").mode("overwrite").save(), new_folder(spark, "state"), every=None)
+    query.awaitTermination()
+    assert streaming.dropped_rows(query) == 1
+
+
 def test_empty_operations(spark):
     none = spark.createDataFrame([], OPS)
     for df in (presence.replayed(none), presence.sessions(none), presence.windows(none, 45), revisions.replayed(none)):

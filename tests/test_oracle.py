@@ -10,4 +10,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_query_is_checked():
-    assert {*QUERIES} - {*ORACLE_SQL} == {"presence_stream", "revision_stream"}
+    assert {*QUERIES} - {*ORACLE_SQL} == {"presence_events"}
