@@ -24,17 +24,17 @@ def running(df: DataFrame, order: list[str], values: dict[str, tuple[Callable, C
     order take any order among each other.  The first row has null.
     """
     group = group or []
-    names = {f"_v{k}": (out, f) for k, (out, (f, _)) in enumerate(values.items())}
+    names = {f"_running_v{k}": (out, f) for k, (out, (f, _)) in enumerate(values.items())}
     rows = df.withColumns({v: c for v, (_, c) in zip(names, values.values(), strict=True)})
-    sorted_rows = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id())
-    rows = written(sorted_rows, "running").withColumn("_p", F.shiftright("_at", _BITS))
-    heads = rows.groupBy("_p", *group).agg(*[f(v).alias(v) for v, (_, f) in names.items()])
-    partitions = Window.partitionBy(*group).orderBy("_p") if group else Window.orderBy("_p")
+    sorted_rows = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_running_at", F.monotonically_increasing_id())
+    rows = written(sorted_rows, "running").withColumn("_running_p", F.shiftright("_running_at", _BITS))
+    heads = rows.groupBy("_running_p", *group).agg(*[f(v).alias(v) for v, (_, f) in names.items()])
+    partitions = Window.partitionBy(*group).orderBy("_running_p") if group else Window.orderBy("_running_p")
     earlier = partitions.rowsBetween(Window.unboundedPreceding, -1)
-    before = heads.select("_p", *group, *[f(v).over(earlier).alias(f"_h{v}") for v, (_, f) in names.items()])
-    inside = Window.partitionBy("_p", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumns({f"_i{v}": f(v).over(inside) for v, (_, f) in names.items()}).join(before, ["_p", *group])
-    merged = {out: _merged(f, F.col(f"_h{v}"), F.col(f"_i{v}")) for v, (out, f) in names.items()}
+    before = heads.select("_running_p", *group, *[f(v).over(earlier).alias(f"_head{v}") for v, (_, f) in names.items()])
+    inside = Window.partitionBy("_running_p", *group).orderBy("_running_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({f"_inside{v}": f(v).over(inside) for v, (_, f) in names.items()}).join(before, ["_running_p", *group])
+    merged = {out: _merged(f, F.col(f"_head{v}"), F.col(f"_inside{v}")) for v, (out, f) in names.items()}
     return placed.select(*[c for c in df.columns if c not in merged], *[c.alias(out) for out, c in merged.items()])
 
 
