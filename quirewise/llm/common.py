@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,7 +25,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..tables import drop_scratch, new_folder, scratch, shared_dir, written
 
-__all__ = ["arrow_map", "col", "drop_scratch", "lower_words", "new_folder", "scratch", "shared_dir", "small_batches", "table", "texts", "written"]
+__all__ = ["arrow_map", "col", "drop_scratch", "lower_words", "new_folder", "scratch", "shared_dir", "small_batches", "split_words", "table", "texts", "written"]
 
 #: Fixed value: the white space of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
@@ -64,6 +66,19 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def split_words(text: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(offsets, words) of texts: words [offsets[k], offsets[k + 1]) are those of text k, A-Z in lower case, coded.
+
+    Arrow's ASCII white space is just the contracts'.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words = lists.flatten()
+    there = pc.not_equal(pc.binary_length(words), 0)  # white space at the ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    offsets = lists.offsets.to_numpy()
+    return before[offsets - offsets[0]], words.filter(there).dictionary_encode()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -19,7 +19,6 @@ driver sees sums and file names only.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, lower_words, scratch, small_batches, table, texts, written
+from .common import arrow_map, col, scratch, small_batches, split_words, table, written
 from .window_network import SHAPES, Codes, WindowNetwork, batches
 
 VOCABULARY_FACTOR = 16
@@ -59,7 +58,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, shape, n) over all texts; each task counts what it can hold first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
 
         def out(items):
             words = [w for w, _ in items]
@@ -67,13 +66,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(list(columns), names=["word", "shape", "n"])
 
         for b in batches:
-            for t in texts(b):
-                held.update(lower_words(t))
+            found = split_words(b.column("text"))[1].value_counts()
+            n = found.field("counts").to_pylist()
+            for word, k in zip(found.field("values").dictionary_decode().cast(pa.binary()).to_pylist(), n, strict=True):
+                held[word] = held.get(word, 0) + k
             if len(held) > HELD_WORDS:
-                items = held.most_common()
-                half = HELD_WORDS // 2
-                yield out(items[half:])
-                held = Counter(dict(items[:half]))
+                items = sorted(held.items(), key=lambda x: -x[1])
+                yield out(items[HELD_WORDS // 2 :])
+                held = dict(items[: HELD_WORDS // 2])
         if held:
             yield out(list(held.items()))
 
@@ -178,17 +178,19 @@ def tokenised(rows: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame
         hashed = xxhash.xxh64_intdigest
 
         def f(b: pa.RecordBatch) -> dict:
-            n, ids, rare, counts = [], [], [], []
-            for t in texts(b):
-                words = lower_words(t)
-                own = np.fromiter(map(tokens.__getitem__, words), np.int32, len(words))
-                other = np.flatnonzero(own < SHAPES).tolist()
-                rare += [hashed(words[k], _SEED) for k in other]
-                n.append(len(words))
-                ids.append(packed(own))
-                counts.append(len(other))
-            keys = pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), pa.array(np.array(rare, np.uint64).view(np.int64)))
-            return {"row": b.column("row"), "doc_id": b.column("doc_id"), "n": n, "ids": ids, "rare": keys}
+            offsets, coded = split_words(b.column("text"))
+            words = coded.dictionary.cast(pa.binary()).to_pylist()
+            own = np.fromiter(map(tokens.__getitem__, words), np.int32, len(words))
+            keys = np.zeros(len(words), np.uint64)
+            other = np.flatnonzero(own < SHAPES)
+            keys[other] = np.fromiter((hashed(words[k], _SEED) for k in other.tolist()), np.uint64, len(other))
+            codes = coded.indices.to_numpy()
+            ids = own[codes]
+            rare = ids < SHAPES
+            before = np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(before), pa.array(keys[codes[rare]].view(np.int64)))
+            parts = [packed(ids[lo:hi]) for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            return {"row": b.column("row"), "doc_id": b.column("doc_id"), "n": pa.array(np.diff(offsets)), "ids": parts, "rare": lists}
 
         return f
 
@@ -226,8 +228,8 @@ def trained(tokens: DataFrame, vocabulary: Vocabulary, shards: int) -> list[list
 
 def _learn(net: WindowNetwork, held: list[np.ndarray]) -> None:
     if held:
-        for ids, around, _ in batches(held, net.codes.edge):
-            net.learn(ids, around)
+        for line, place, _ in batches(held, net.codes.edge):
+            net.learn(line, place)
 
 
 def _used_rows(net: WindowNetwork) -> Iterator[pa.RecordBatch]:
@@ -267,8 +269,8 @@ def scored(tokens: DataFrame, vocabulary: Vocabulary, weights: list[list[str]])
         def f(b: pa.RecordBatch) -> dict:
             own = [unpacked(x) for x in b.column("ids").to_pylist()]
             total = np.zeros(len(own))
-            for ids, around, number in batches(own, net.codes.edge):
-                total += np.bincount(number, net.log_probabilities(ids, around), len(own))
+            for line, place, number in batches(own, net.codes.edge):
+                total += np.bincount(number, net.log_probabilities(line, place), len(own))
             return {c: b.column(c) for c in ("row", "doc_id", "n")} | {"net": pa.array(total)}
 
         return f

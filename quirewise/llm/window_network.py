@@ -16,7 +16,7 @@ SHAPES = 32
 WINDOW = 3
 WIDTH = 16
 #: Tokens of one step of training, and of one batch of scoring.
-STEP = 2048
+STEP = 8192
 RATE = 0.1
 _OFFSETS = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
 
@@ -34,16 +34,25 @@ class Codes:
         ranks = np.maximum(ids - (SHAPES - 1), 1)
         return np.where(ids < SHAPES, self.levels, np.frexp(ranks.astype(np.float64))[1] - 1)
 
-    def paths(self, ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(length of each token's path, and of each step: its token's place, its node, whether it goes right)."""
+    def order(self, ids: np.ndarray) -> np.ndarray:
+        """The order in which the tokens with the longest paths come first, and those of one node next to each other."""
+        length, first, own = self._places(ids)
+        return np.argsort((64 - length).astype(np.int64) << 56 | first.astype(np.int64) << 28 | own)
+
+    def _places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length of the path, number of its tree's first node, number of its leaf) of each token."""
         rare = ids < SHAPES
-        length = np.where(rare, SHAPES.bit_length() - 1, classes).astype(np.int32)
+        length = np.where(rare, SHAPES.bit_length() - 1, self.classes(ids)).astype(np.int32)
         first = np.where(rare, self.nodes - SHAPES + 1, (1 << length) - 1 - length).astype(np.int32)
-        own = np.where(rare, ids, ids - (SHAPES - 1) - (1 << length)).astype(np.int32)
-        token = np.repeat(np.arange(len(ids), dtype=np.int32), length)
-        depth = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
-        rest = own[token] >> (length[token] - depth - 1)
-        return length, token, first[token] + (1 << depth) - 1 + (rest >> 1), (rest & 1).astype(np.float32)
+        return length, first, np.where(rare, ids, ids - (SHAPES - 1) - (1 << length)).astype(np.int32)
+
+    def paths(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By depth: the nodes of the tokens that reach it, and whether they go right there; ids in `order`."""
+        length, first, own = self._places(ids)
+        for depth in range(length[0] if len(length) else 0):
+            n = int(np.searchsorted(-length, -depth))
+            rest = own[:n] >> (length[:n] - (depth + 1))
+            yield first[:n] + (rest >> 1) + ((1 << depth) - 1), (rest & 1).astype(np.float32)
 
 
 class WindowNetwork:
@@ -76,58 +85,64 @@ class WindowNetwork:
                 self.nodes[at : at + (1 << depth), -1] = np.log(right / left)
                 at += 1 << depth
 
-    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(h, the embeddings by position); around: (positions, tokens)."""
-        found = self.embedding.take(around, 0)
-        h = np.einsum("pbw,pw->bw", found, self.gate)
+    def hidden(self, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(h, the embeddings by position) of the tokens at `place` in a line of tokens."""
+        own = self.embedding.take(line, 0)
+        found = [own.take(place + k, 0) for k in _OFFSETS]
+        h = found[0] * self.gate[0]
+        for x, g in zip(found[1:], self.gate[1:], strict=True):
+            h += x * g
         h[:, -1] = 1
         return h, found
 
-    def log_probabilities(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-        h, _ = self.hidden(around)
+    def log_probabilities(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        order = self.codes.order(line.take(place))
+        ids = line.take(place.take(order))
         classes = self.codes.classes(ids)
+        h, _ = self.hidden(line, place.take(order))
         z = h @ self.top
         z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(ids)), classes] - np.log(np.exp(z).sum(1))
-        length, token, node, right = self.codes.paths(ids, classes)
-        x = np.einsum("mw,mw->m", self.nodes.take(node, 0), h.take(token, 0)) * (2 * right - 1)
-        steps = np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
-        out[length > 0] += _runs(steps, length)
+        own = z[np.arange(len(ids)), classes] - np.log(np.exp(z, out=z).sum(1))
+        for node, right in self.codes.paths(ids):
+            n = len(node)
+            x = np.einsum("mw,mw->m", self.nodes.take(node, 0), h[:n]) * (2 * right - 1)
+            own[:n] += np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+        out = np.empty(len(ids), np.float32)
+        out[order] = own
         return out
 
-    def learn(self, ids: np.ndarray, around: np.ndarray) -> None:
+    def learn(self, line: np.ndarray, place: np.ndarray) -> None:
         """One step of Adagrad, with one rate for each row, on the negative log-probability."""
-        h, found = self.hidden(around)
-        classes = self.codes.classes(ids)
+        place = place.take(self.codes.order(line.take(place)))
+        ids = line.take(place)
+        h, found = self.hidden(line, place)
         p = h @ self.top
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(ids)), classes] -= 1
+        p[np.arange(len(ids)), self.codes.classes(ids)] -= 1
         back = p @ self.top.T
-        length, token, node, right = self.codes.paths(ids, classes)
-        out, own = self.nodes.take(node, 0), h.take(token, 0)
-        g = 1 / (1 + np.exp(-np.clip(np.einsum("mw,mw->m", out, own), -30, 30))) - right
-        out *= g[:, None]
-        back[length > 0] += _runs(out, length)
+        moves = [("top", slice(None), h.T @ p, len(ids))]
+        for node, right in self.codes.paths(ids):
+            n, own = len(node), self.nodes.take(node, 0)
+            g = 1 / (1 + np.exp(-np.clip(np.einsum("mw,mw->m", own, h[:n]), -30, 30))) - right
+            own *= g[:, None]
+            back[:n] += own
+            # A node's tokens stand next to each other.
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            moves.append(("nodes", node[starts], np.add.reduceat(h[:n] * g[:, None], starts, axis=0), np.diff(starts, append=n)))
         back[:, -1] = 0
-        own *= g[:, None]
-        to_gate = np.einsum("pbw,bw->pw", found, back)
-        self._move_rows("nodes", node, own)
-        self._move_rows("embedding", around.ravel(), (back * self.gate[:, None]).reshape(-1, WIDTH))
-        self._move("gate", slice(None), to_gate, len(ids))
-        self._move("top", slice(None), h.T @ p, len(ids))
-
-    def _move_rows(self, part: str, index: np.ndarray, grads: np.ndarray) -> None:
-        """A step for the rows of `index`, which may repeat."""
-        met = np.zeros(len(self.used[part]), bool)
-        met[index] = True
-        rows = np.flatnonzero(met)
-        place = np.empty(len(met), np.int64)
-        place[rows] = np.arange(len(rows))
-        local = place[index]
-        sums = np.stack([np.bincount(local, grads[:, k], len(rows)) for k in range(WIDTH)], 1).astype(np.float32)
-        self._move(part, rows, sums, np.bincount(local, minlength=len(rows)))
+        moves.append(("gate", slice(None), np.stack([np.einsum("bw,bw->w", x, back) for x in found]), len(ids)))
+        # What a token of the line is told by all tokens around it, then the sum over the line's equal tokens.
+        told, times = np.zeros((len(line), WIDTH), np.float32), np.zeros(len(line), np.int64)
+        for k, g in zip(_OFFSETS, self.gate, strict=True):
+            told[place + k] += back * g
+            times[place + k] += 1
+        rows, local = np.unique(line, return_inverse=True)
+        sums = np.stack([np.bincount(local, c, len(rows)) for c in told.T.astype(np.float64, order="C")], 1).astype(np.float32)
+        moves.append(("embedding", rows, sums, np.bincount(local, times, len(rows))))
+        for move in moves:
+            self._move(*move)
 
     def _move(self, part: str, rows, grads: np.ndarray, times) -> None:
         self.seen[part][rows] += (grads * grads).mean(1)
@@ -135,18 +150,16 @@ class WindowNetwork:
         self.used[part][rows] += times
 
 
-def _runs(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of x, for the lengths above 0."""
-    own = lengths[lengths > 0]
-    return np.add.reduceat(x, np.cumsum(own) - own, axis=0) if len(own) else x[:0]
-
-
 def batches(texts: list[np.ndarray], edge: int, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, around, text number) of all tokens of the texts in order, at most `size` at a time."""
+    """(line, place, text number) of all tokens of the texts in order, at most `size` at a time.
+
+    A line holds the tokens, WINDOW more on both sides, and the edges between texts.
+    """
     gap = np.full(WINDOW, edge, np.int32)
     line = np.concatenate([gap, *(x for t in texts for x in (t.astype(np.int32, copy=False), gap))])
     place = np.flatnonzero(line != edge)
     number = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     for lo in range(0, len(place), size):
         own = place[lo : lo + size]
-        yield line[own], line[_OFFSETS[:, None] + own], number[lo : lo + size]
+        first = int(own[0]) - WINDOW
+        yield line[first : int(own[-1]) + WINDOW + 1], own - first, number[lo : lo + size]

@@ -142,8 +142,13 @@ def test_mixed_documents_come_in_the_order_of_the_slots(spark, monkeypatch):
     assert order == sorted(order) and len(got) == len(first) and max(seen.values()) == 2
 
 
-def test_encoder_equals_the_tokenizer():
-    e = packing.Encoder(packing.default_tokenizer(), cache=50)
+@pytest.mark.parametrize("name,known", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_the_tokenizer(name, known):
+    """By its own rules where the file says the same, else by the tokenizer as a whole."""
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path(name), cache=50)
+    assert e.known == known
     rng = random.Random(6)
     texts = [t or "" for _, t in EDGES] + ["a<|endoftext|>b I'M it's'T İstanbul ΑΣ ﬁ café café 12½²³ \u0085 ŉa ſtraße ­x", *("".join(rng.choices("abcÀéß'’.,! \n19<|>́Σ日", k=60)) for _ in range(300))]
     for t in texts:
@@ -181,6 +186,15 @@ def test_packing_round_trip(spark, size):
     assert sum(p.length for p in out) == sum(len(w) // 4 * n for (_, w), n in want.items())
 
 
+def test_a_very_long_text_is_packed_whole(spark):
+    text = "word and another one, " * 150_000
+    out = packing.pack(as_docs(spark, [(1, text), (2, "x")])).collect()
+    check_packing(out, 2048)
+    n = len(packing.Encoder(packing.default_tokenizer()).encode(text)) // 4 + 1
+    assert sum(p.length for p in out if p.doc_id == 1) == n > 600_000
+    assert sorted(p.start for p in out if p.doc_id == 1) == list(range(0, n, 2048))
+
+
 def test_shortest_pack_first_wastes_little():
     rng = random.Random(7)
     histogram = Counter(min(2048, int(rng.expovariate(1 / 600)) + 1) for _ in range(20_000))
@@ -202,14 +216,16 @@ def small_network(levels=5, seed=8):
 
 def test_the_network_is_a_distribution_and_starts_as_the_unigram_model():
     net, rng = small_network()
-    around = np.repeat(rng.integers(0, net.codes.edge + 1, (6, 1)), net.codes.edge, 1)
-    assert np.exp(net.log_probabilities(np.arange(net.codes.edge), around).astype(float)).sum() == pytest.approx(1, rel=1e-4)
+    # Every token once, between the same others.
+    line = np.repeat(rng.integers(0, net.codes.edge + 1, (1, 7)), net.codes.edge, 0).astype(np.int32)
+    line[:, 3] = np.arange(net.codes.edge)
+    place = np.arange(net.codes.edge) * 7 + 3
+    assert np.exp(net.log_probabilities(line.ravel(), place).astype(float)).sum() == pytest.approx(1, rel=1e-4)
     masses = rng.integers(0, 90, net.codes.edge).astype(float)
     new = window_network.WindowNetwork(net.codes, masses)
-    around[:] = net.codes.edge
     new.embedding[:] = 0
     expected = np.log((masses + 0.5) / (masses + 0.5).sum())
-    assert np.allclose(new.log_probabilities(np.arange(net.codes.edge), around), expected, atol=1e-4)
+    assert np.allclose(new.log_probabilities(line.ravel(), place), expected, atol=1e-4)
 
 
 def test_wide_logits_stay_finite():
@@ -223,9 +239,9 @@ def test_wide_logits_stay_finite():
 def test_gradients_of_the_window_network():
     net, rng = small_network()
     ids = rng.integers(0, net.codes.edge, 40).astype(np.int32)
-    around = next(window_network.batches([ids], net.codes.edge))[1]
-    assert around.shape == (6, 40) and around[:3, 0].tolist() == [net.codes.edge] * 3 and around[3, 5] == ids[6]
-    before = net.log_probabilities(ids, around).mean()
+    line, place, _ = next(window_network.batches([ids], net.codes.edge))
+    assert len(line) == 46 and line[:3].tolist() == [net.codes.edge] * 3 and (line[place] == ids).all()
+    before = net.log_probabilities(line, place).mean()
     # One step of Adagrad moves each weight against its gradient.
     old, grads = {p: getattr(net, p).copy() for p in net.PARTS}, []
     for part in net.PARTS:
@@ -234,17 +250,17 @@ def test_gradients_of_the_window_network():
             loss = []
             for d in (1e-2, -2e-2):
                 flat[k] += np.float32(d)
-                loss.append(-net.log_probabilities(ids, around).sum(dtype=float))
+                loss.append(-net.log_probabilities(line, place).sum(dtype=float))
             flat[k] += np.float32(1e-2)
             grads.append((part, k, (loss[0] - loss[1]) / 2e-2))
-    net.learn(ids, around)
+    net.learn(line, place)
     moved = {p: (old[p] - getattr(net, p)).reshape(-1) for p in net.PARTS}
     own_bias = lambda part, k: part in ("embedding", "gate") and k % window_network.WIDTH == window_network.WIDTH - 1
     checked = [moved[p][k] * g > 0 for p, k, g in grads if abs(g) > 5e-2 and not own_bias(p, k)]
     assert all(checked) and len(checked) > 30
     for _ in range(60):
-        net.learn(ids, around)
-    assert net.log_probabilities(ids, around).mean() > before + 1
+        net.learn(line, place)
+    assert net.log_probabilities(line, place).mean() > before + 1
 
 
 def test_scores_prefer_order(spark):
@@ -299,8 +315,7 @@ def test_scores_against_brute_force(spark, monkeypatch):
         padded = [net.codes.edge] * 3 + own + [net.codes.edge] * 3
         expected = 0.0
         for k, (w, x) in enumerate(zip(words, own, strict=True)):
-            around = np.array([[padded[k + d]] for d in (0, 1, 2, 4, 5, 6)])
-            expected += float(net.log_probabilities(np.array([x]), around)[0])
+            expected += float(net.log_probabilities(np.array(padded[k : k + 7]), np.array([3]))[0])
             if w not in ids:
                 expected += math.log(counts[w] / totals[x])
         assert got[i, len(words)] == pytest.approx(expected, rel=1e-4, abs=1e-4)
@@ -316,8 +331,8 @@ def test_held_out_texts_are_likelier_than_under_the_unigram_model(spark):
     for t in coded[:800]:
         np.add.at(masses, t, 1)
     net = window_network.WindowNetwork(codes, masses)
-    for ids_, around, _ in window_network.batches(coded[:800], codes.edge, 512):
-        net.learn(ids_, around)
+    for line, place, _ in window_network.batches(coded[:800], codes.edge, 512):
+        net.learn(line, place)
     held = np.concatenate(coded[800:])
     score = np.mean([x for i, a, _ in window_network.batches(coded[800:], codes.edge) for x in net.log_probabilities(i, a)])
     assert score > np.log((masses + 0.5) / (masses + 0.5).sum())[held].mean() + 0.3
@@ -409,7 +424,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     from tests.llm.test_dedup import join_brute, lines_brute
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect() if r.score >= 0.5}
+    good = {r.doc_id for r in quality.score(docs, quality.trained_on(docs, labels)).collect() if r.score >= 0.5}
     now = written(stage["quality_classifier"](spark, docs, sf_dir), "t")
     assert {r.doc_id for r in now.collect()} == good
     rows = [(r.doc_id, r.text) for r in now.collect()]
