@@ -1,30 +1,38 @@
 """Quality classification by positive-unlabelled learning.
 
-Trusted positives are documents that `labels` marks 1; unlabelled text is a hashed choice of all
-documents.  A small network minimises the non-negative unbiased risk
+Trusted positives are documents that `labels` marks 1; unlabelled text is every document outside the
+held-out fold.  A small network minimises the non-negative unbiased risk
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])
 with the logistic loss and a class prior pi, estimated from the training labels (the share of
 positives) or, where there are only positives, from how densely positives lie among unlabelled
 text.  Scores are sigmoid(g), so with the logistic loss they estimate the probability of label 1.
 
-Only fitting uses samples: at most MAX_LABELLED labelled and MAX_UNLABELLED unlabelled documents,
-chosen by a hash of the id, so reruns agree.  Every document is scored, on its whole text.
+Texts are described once, by numbers that are written; training reads those.  It covers all documents:
+they are dealt to shards of about SHARD_ROWS by a hash of themselves, in each of ROUNDS rounds every shard
+trains from the common weights against the positives, and the shards' weights are averaged by their
+rows.  Partitions and executors make no difference to the result.  Only labelled rows are bounded: at
+most MAX_LABELLED, chosen by a hash of the id.  Every document is scored, on its whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import WORD, arrow_map, col, small_batches, table, texts
+from .common import WORD, arrow_map, col, scratch, small_batches, table, texts, written
+from .perfect_hash import mix
 
 MAX_LABELLED = 20_000
-MAX_UNLABELLED = 20_000
+#: Unlabelled documents of a shard, about; a task holds their numbers (about 60 each).
+SHARD_ROWS = 20_000
+ROUNDS = 3
+STEPS = 500
 FOLDS = 3
 HELD_OUT = 1
 BUCKETS = 32
@@ -49,14 +57,23 @@ def features(text: str) -> np.ndarray:
         out[0] = 1
         return out
     lengths = np.fromiter(map(len, words), np.int64, n)
-    counts = Counter(words)
+    numbers: dict[str, int] = {}
+    own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint64, n)
+    counts = np.bincount(own.astype(np.int64))
+    bar = numbers.get("|")
     symbols = len(_SYMBOL.findall(text))
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-    grams = Counter(zip(words, words[1:], words[2:], words[3:], strict=False))
+    # Runs of four words, by a hash of their numbers.
+    grams = max(0, n - 3)
+    h = sum((mix(own[k : k + grams] + np.uint64(k << 40)) for k in range(4)), np.zeros(grams, np.uint64))
     upper_words = sum(1 for w in words if len(w) > 1 and w.isupper())
     shape = [
-        0.0, np.log1p(n), lengths.mean(), lengths.std(), symbols / chars, sum(1 for w in words if _SYMBOL.search(w)) / n, counts.get("|", 0) / n, len(_UPPER.findall(text)) / chars, upper_words / n, len(_DIGIT.findall(text)) / chars, len(_MARK.findall(text)) / n, len(_STOP.findall(text)) / n, text.count(",") / n,
-        len(counts) / n, max(counts.values()) / n, sum(c - 1 for c in grams.values()) / max(1, n - 3), np.log1p(len(lines)), 1 - len(set(lines)) / len(lines), sum(1 for x in lines if len(x) < 20) / len(lines), np.log1p(chars / len(lines)), sum(1 for x in lines if x[-1] in ".!?:\"'”»") / len(lines), sum(map(str.isalpha, words)) / n, (len(text.encode("utf-8", "surrogatepass")) - chars) / chars, np.log1p(lengths.max()), sum(1 for w in words if w[0].isupper()) / n,
+        0.0, np.log1p(n), lengths.mean(), lengths.std(), symbols / chars, sum(1 for w in words if _SYMBOL.search(w)) / n,
+        (counts[bar] if bar is not None else 0) / n, len(_UPPER.findall(text)) / chars, upper_words / n, len(_DIGIT.findall(text)) / chars,
+        len(_MARK.findall(text)) / n, len(_STOP.findall(text)) / n, text.count(",") / n,
+        len(counts) / n, counts.max() / n, (grams - len(np.unique(h))) / max(1, grams), np.log1p(len(lines)), 1 - len(set(lines)) / len(lines),
+        sum(1 for x in lines if len(x) < 20) / len(lines), np.log1p(chars / len(lines)), sum(1 for x in lines if x[-1] in ".!?:\"'”»") / len(lines),
+        sum(map(str.isalpha, words)) / n, (len(text.encode("utf-8", "surrogatepass")) - chars) / chars, np.log1p(lengths.max()), sum(1 for w in words if w[0].isupper()) / n,
     ]
     by_length = np.bincount(np.minimum(lengths, BUCKETS) - 1, minlength=BUCKETS) / n
     return np.concatenate([shape, by_length]).astype(np.float32)
@@ -68,6 +85,14 @@ class Network:
     def __init__(self, mean, scale, w1, b1, w2, b2):
         self.mean, self.scale, self.w1, self.b1, self.w2, self.b2 = mean, scale, w1, b1, w2, b2
 
+    def packed(self) -> list[float]:
+        return np.concatenate([np.ravel(x) for x in (self.w1, self.b1, self.w2, self.b2)]).tolist()
+
+    def with_weights(self, packed: np.ndarray) -> Network:
+        n, k = self.w1.shape
+        w1, b1, w2, b2 = np.split(np.asarray(packed, float), np.cumsum([n * k, k, k]))
+        return Network(self.mean, self.scale, w1.reshape(n, k), b1, w2, float(b2[0]))
+
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ self.w1 + self.b1)
 
@@ -78,11 +103,15 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
+def new_network(mean: np.ndarray, scale: np.ndarray, hidden: int = 24, seed: int = 5) -> Network:
+    rng = np.random.default_rng(seed)
+    return Network(mean, scale, rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
+
+
+def fit_nnpu(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
     """Adam on the non-negative risk; where the negative part falls below zero, its gradient is reversed."""
     rng = np.random.default_rng(seed)
-    mean = unlabelled.mean(0)
-    net = Network(mean, unlabelled.std(0) + 1e-3, rng.normal(0, 1 / np.sqrt(unlabelled.shape[1]), (unlabelled.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
+    net = net.with_weights(net.packed())
     params = ["w1", "b1", "w2", "b2"]
     first, second = ({p: np.zeros_like(getattr(net, p)) for p in params} for _ in range(2))
     z = [np.clip((x - net.mean) / net.scale, -6, 6) for x in (positive, unlabelled)]
@@ -110,21 +139,6 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return net
 
 
-def estimate_prior(quality: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives in unlabelled text, within [0.05, 0.95].
-
-    With labels of both kinds: the share of label 1.  Otherwise a classifier of positives against
-    unlabelled text gives c = mean score of positives, and the prior is the mean of s (1 - c) / (c (1 - s)).
-    """
-    if 0 < quality.mean() < 1:
-        prior = quality.mean()
-    else:
-        s = fit_nnpu(positive, unlabelled, 0.5, steps=300)
-        c, u = s.scores(positive).mean(), np.clip(s.scores(unlabelled), 0, 0.99)
-        prior = np.minimum(1, u * (1 - c) / (c * (1 - u))).mean()
-    return float(np.clip(prior, 0.05, 0.95))
-
-
 def fold(id_col: Column) -> Column:
     """crc32 of the id as text, modulo FOLDS; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0))
@@ -139,34 +153,110 @@ def described(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), "doc_id long, x array<float>", make)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """Fits on documents outside the held-out fold; None where there are no positives or no documents."""
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).filter("doc_id is not null")
-    ours = rows.select("doc_id").filter(fold(F.col("doc_id")) != HELD_OUT)
+def moments(shapes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, scale) of x over all rows, by a sum for each task."""
+    width = len(NAMES) + BUCKETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares = 0, np.zeros(width), np.zeros(width)
+        for b in batches:
+            x = matrix(b.column("x"))
+            n, sums, squares = n + len(x), sums + x.sum(0), squares + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()]), pa.array([squares.tolist()])], names=["n", "s", "q"])
+
+    parts = sorted(map(tuple, shapes.select("x").mapInArrow(run, "n long, s array<double>, q array<double>").collect()))
+    n = sum(p[0] for p in parts)
+    mean, square = (np.sum([p[k] for p in parts], 0) / max(1, n) if parts else np.zeros(width) for k in (1, 2))
+    return n, mean, np.sqrt(np.maximum(0, square - mean * mean)) + 1e-3
+
+
+def matrix(x: pa.ListArray) -> np.ndarray:
+    return x.flatten().to_numpy().astype(np.float64).reshape(len(x), len(NAMES) + BUCKETS)
+
+
+def fitted(shapes: DataFrame, rows: int, positive: np.ndarray, net: Network, prior: float) -> Network:
+    """The network after all rounds over the shards of the unlabelled (doc_id, x)."""
+    shards = max(1, -(-rows // SHARD_ROWS))
+    dealt = shapes.select("x", F.pmod(F.xxhash64("doc_id", "x"), F.lit(shards)).cast("int").alias("shard"))
+    for k in range(ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], net=net) -> Iterator[pa.RecordBatch]:
+            held = [matrix(b.column("x")) for b in batches if b.num_rows]
+            if held:
+                x = np.concatenate(held)
+                own = fit_nnpu(net, positive, x, prior, seed=k)
+                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([own.packed()])], names=["n", "w"])
+
+        met = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("x").select("x")
+        parts = sorted(map(tuple, met.mapInArrow(run, "n long, w array<double>").collect()))
+        net = net.with_weights(np.average([w for _, w in parts], axis=0, weights=[n for n, _ in parts]))
+    return net
+
+
+def train(shapes: DataFrame, labels: DataFrame) -> Network | None:
+    """Fits on the (doc_id, x) outside the held-out fold; None where there are no positives or no documents.
+
+    A document with several labels counts as positive only if all say so; of rows that repeat an id the least
+    in order of their features stands for its label.  Null ids have no label, but are unlabelled text.
+    """
+    ours = shapes.filter(fold(F.col("doc_id")) != HELD_OUT)
+    rows, mean, scale = moments(ours)
+    known = labels.filter("doc_id is not null and quality is not null").filter(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(11))
-    known = labels.filter("doc_id is not null and quality is not null").filter(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    known = known.join(ours, "doc_id", "left_semi").orderBy(order, "doc_id").limit(MAX_LABELLED).toPandas()
-    chosen = ours.orderBy(order, "doc_id").limit(MAX_UNLABELLED).toPandas()["doc_id"]
-    positives = known.loc[known["quality"] == 1, "doc_id"]
-    if not len(positives) or not len(chosen):
+    held = ours.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    chosen = held.orderBy(order, "doc_id").limit(MAX_LABELLED).toPandas()
+    positives = chosen[chosen["quality"] == 1]
+    if not len(positives) or not rows:
         return None
-    wanted = docs.sparkSession.createDataFrame([(int(x),) for x in {*positives, *chosen}], "doc_id long")
-    x = described(rows.join(F.broadcast(wanted), "doc_id", "left_semi")).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    matrix, at = np.stack(x["x"].to_numpy()).astype(np.float64), {d: k for k, d in enumerate(x["doc_id"])}
-    positive, unlabelled = (matrix[[at[d] for d in ids if d in at]] for ids in (positives, chosen))
-    return fit_nnpu(positive, unlabelled, estimate_prior(known["quality"].to_numpy(float), positive, unlabelled))
+    positive = np.stack(positives["x"].to_numpy()).astype(np.float64)
+    net = new_network(mean, scale)
+    prior = float((chosen["quality"] == 1).mean())
+    if prior == 1:  # only positives are known: the rest is as dense as scores among all text say
+        prior = estimate_prior(ours, rows, positive, net)
+    return fitted(ours, rows, positive, net, float(np.clip(prior, 0.05, 0.95)))
+
+
+def estimate_prior(shapes: DataFrame, rows: int, positive: np.ndarray, net: Network) -> float:
+    """The share of positives in unlabelled text.
+
+    A classifier of positives against unlabelled text gives c = mean score of positives, and the prior is
+    the mean of s (1 - c) / (c (1 - s)) over all text.
+    """
+    rough = fitted(shapes, rows, positive, net, 0.5)
+    c = rough.scores(positive).mean()
+
+    def make():
+        def f(b: pa.RecordBatch) -> dict:
+            s = np.clip(rough.scores(matrix(b.column("x"))), 0, 0.99)
+            return {"p": pa.array(np.minimum(1, s * (1 - c) / (c * (1 - s))))}
+
+        return f
+
+    return float(arrow_map(shapes.select("x"), "p double", make).agg(F.avg("p")).first()[0])
+
+
+def scored(shapes: DataFrame, net: Network | None) -> DataFrame:
+    """(doc_id, score) from (doc_id, x).  Without a model every score is 0.5."""
+
+    def make():
+        return lambda b: {"doc_id": b.column("doc_id"), "score": pa.array(net.scores(matrix(b.column("x"))) if net else np.full(b.num_rows, 0.5))}
+
+    return arrow_map(shapes, "doc_id long, score double", make)
+
+
+def _ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) and `row`, a struct of the input's other columns.
+    """(doc_id, text, row, score); `row` is a struct of the input's other columns.
 
-    Null and empty texts get a score like all others.  Without a model every score is 0.5.
+    Null and empty texts get a score like all others, and texts may have any length; null ids and repeated rows
+    are rows like others; an empty table gives an empty result.  Without a model every score is 0.5.
     """
     small_batches(docs.sparkSession)
     rest = F.struct(*[col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("_")])
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), rest.alias("row"))
-    from pyspark.sql.types import DoubleType, StructType
-
     schema = StructType(list(rows.schema)).add("score", DoubleType())
 
     def make():
@@ -179,17 +269,25 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     return arrow_map(rows, schema, make)
 
 
+def trained_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
+    """`train` on the documents themselves."""
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return train(written(described(_ids_and_texts(docs, id_col, text_col)), "quality-shapes"), labels)
+
+
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score `threshold` or more, with the columns of `docs`; all, where nothing can be learnt."""
-    small_batches(docs.sparkSession)
-    kept = score(docs, train(docs, labels, id_col, text_col), id_col, text_col).filter(F.col("score") >= threshold)
+    kept = score(docs, trained_on(docs, labels, id_col, text_col), id_col, text_col).filter(F.col("score") >= threshold)
     place = {id_col: F.col("doc_id"), text_col: F.col("text")}
     return kept.select(*[place.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     small_batches(spark)
-    net = train(docs, table(spark, sf_dir, "labels"))
-    done = score(docs.select("doc_id", "text"), net).drop("text")
+    with scratch(spark) as keep:
+        shapes = written(described(_ids_and_texts(table(spark, sf_dir, "documents"), "doc_id", "text")), "quality-shapes")
+        net = train(shapes, table(spark, sf_dir, "labels"))
+        keep.append(shapes)
+    done = scored(shapes, net)
     return done.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
