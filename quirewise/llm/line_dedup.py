@@ -5,7 +5,7 @@
 2. Hashes that at least two documents hold are split into shards of about `SHARD_KEYS` keys.  Each
    shard becomes a minimal perfect hash with arrays over its slots: a 64-bit fingerprint, the count
    of holders, and the smallest holder.  A key outside the index passes a fingerprint with chance
-   2^-64.
+   2^-64; a key inside loses its lines if its count is two or more and another document is the smallest.
 3. The documents' hashes are routed to their shard and probe its arrays; no line text moves, and a
    task holds one shard and one batch of probes, however large the corpus is.
 4. Keys that hold a large share of all probes (at most 1 / HOT_SHARE of them) would all meet in one
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -32,7 +32,6 @@ HOT_SHARE = 1 / 64
 LEAST_HOT = 1000
 _STRIP = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ID_LAST = np.iinfo(np.int64).max
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -49,7 +48,7 @@ def line_keys(text: str) -> list[bytes]:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2): one row for each document row and distinct key."""
+    """(doc_id, tag, h1, h2): one row for each document row and distinct key; tag is a hash of the text."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
@@ -60,16 +59,20 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 counts.append(len(own))
             h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            return {"doc_id": batch.column("doc_id").take(at), "h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1])}
+            return {"doc_id": batch.column("doc_id").take(at), "tag": batch.column("tag").take(at), "h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1])}
 
         return f
 
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return arrow_map(rows, "doc_id long, h1 long, h2 long", make)
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), _tag(text_col).alias("tag"), col(text_col).alias("text"))
+    return arrow_map(rows, "doc_id long, tag long, h1 long, h2 long", make)
+
+
+def _tag(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(col(text_col), F.lit("")))
 
 
 def shared_keys(hashes: DataFrame) -> DataFrame:
-    """(h1, h2, n, least): keys that at least two documents hold; least is null only for null ids."""
+    """(h1, h2, n, least): keys that at least two documents hold; n is the number of rows that hold it."""
     held = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     several = (F.col("least") != F.col("most")) | (F.col("unnamed") & F.col("least").isNotNull())
     return held.filter(several).select("h1", "h2", "n", "least")
@@ -94,7 +97,7 @@ def build_shards(keys: DataFrame, shards: int) -> DataFrame:
 
 
 def probe(hashes: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
-    """(doc_id, h1, h2) of the hashes whose key has a smaller holder.
+    """(doc_id, tag, h1, h2) of the hashes whose key is counted at least twice and has a smaller holder.
 
     Shards and probes meet by shard number; within a task the shard comes first, so the probes
     stream past it and only one shard is in memory.
@@ -117,19 +120,20 @@ def probe(hashes: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
                     continue
                 h1, h2 = (part.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
                 slot = held["index"].slots(h1 ^ mix(h2))
-                prints, _, least = held["arrays"]
-                hit = (slot >= 0) & (prints[slot] == h2)
-                own = part.column("doc_id").fill_null(_ID_LAST).to_numpy()
-                out.append(part.filter(pa.array(hit & (least[slot] != own))))
+                prints, counts, least = held["arrays"]
+                hit = (slot >= 0) & (prints[slot] == h2) & (counts[slot] >= 2)
+                named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                own = part.column("doc_id").fill_null(0).to_numpy()
+                out.append(part.filter(pa.array(hit & ((least[slot] != own) | ~named))))
             rows = pa.Table.from_batches(out or [batch.slice(0, 0)]).combine_chunks()
-            return {c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.int64()) for c in ("doc_id", "h1", "h2")}
+            return {c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.int64()) for c in ("doc_id", "tag", "h1", "h2")}
 
         return f
 
-    index = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "payload")
-    asked = hashes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("payload"))
+    index = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "payload")
+    asked = hashes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "doc_id", "tag", "h1", "h2", F.lit(None).cast("binary").alias("payload"))
     met = index.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
-    return arrow_map(met.drop("kind"), "doc_id long, h1 long, h2 long", make)
+    return arrow_map(met.drop("kind"), "doc_id long, tag long, h1 long, h2 long", make)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     hashes = written(line_hashes(docs, id_col, text_col), "line-hashes")
-    keys = written(shared_keys(hashes).withColumn("least", F.coalesce("least", F.lit(_ID_LAST))), "line-keys")
+    keys = written(shared_keys(hashes), "line-keys")
     total, indexed = hashes.count(), keys.count()
     many = max(LEAST_HOT, total * HOT_SHARE)
     hot = {_digest(r): r["least"] for r in keys.filter(F.col("n") >= many).collect()}
@@ -153,12 +157,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shards = written(build_shards(cold, n_shards), "line-shards")
     asked = hashes.join(F.broadcast(_hot_frame(spark, hot)), ["h1", "h2"], "left_anti") if hot else hashes
     hits = probe(asked, shards, n_shards)
-    # A document's own hashes only, so a list is never longer than the document's lines.
-    lost = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    id_key = F.coalesce(col(id_col).cast("long"), F.lit(_ID_LAST))
-    rows = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"), id_key.alias("key"), col(id_col).isNull().alias("unnamed"))
-    lost = lost.select(F.coalesce("doc_id", F.lit(_ID_LAST)).alias("key"), F.col("doc_id").isNull().alias("unnamed"), "lost")
-    joined = rows.join(lost, ["key", "unnamed"], "left")
+    # Of one id and text only, so a list is never longer than the text has lines, also for null ids.
+    lost = hits.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"), col(id_col).cast("long").alias("key"), _tag(text_col).alias("own_tag"))
+    joined = rows.join(lost, (F.col("own_tag") == F.col("tag")) & F.col("key").eqNullSafe(F.col("doc_id")), "left")
     schema = StructType([StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType()), StructField("row", rows.schema["row"].dataType)])
 
     def make():

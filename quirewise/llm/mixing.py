@@ -12,7 +12,6 @@ Sources, like slots and documents, are rows of DataFrames: there may be any numb
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

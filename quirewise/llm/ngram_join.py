@@ -288,13 +288,14 @@ class NgramJoin:
             held: dict = {}
 
             def f(batch: pa.RecordBatch) -> dict:
+                nonlocal held
                 out = []
                 for b, a, e in zip(*(batch.column(c).to_pylist() for c in ("b", "a", "elements")), strict=True):
                     own = np.frombuffer(e, np.uint64)
                     if a is None:
-                        held["set"] = own
+                        held = {b: own}
                         continue
-                    lead = held["set"]
+                    lead = held[b]  # the leader's own row comes first; without it this is an error
                     small, large = (own, lead) if len(own) < len(lead) else (lead, own)
                     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     common = int((large[at] == small).sum())

@@ -24,6 +24,10 @@ SIZE = 2048
 END_ID = 1
 #: Distinct pieces of text whose ids a worker surely remembers.
 CACHE = 200_000
+# How the tokenizer file that `Encoder` has rules for says that it normalises and splits.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLITS = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 
 class Recent:
@@ -60,14 +64,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), Recent(cache)
-        # Fixed value: the pattern by which the tokenizer splits.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        #: Whether the file says what the rules below do; texts of other tokenizers go through them as a whole.
+        self.known = self._is_known()
+        self.split = regex.compile(_SPLIT).findall
         #: Characters that NFC keeps and that lower-case by themselves.
         self.plain = regex.compile(r"[\t-\r -~\u00A1-\u012F\u0131-\u017F]*").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
+    def _is_known(self) -> bool:
+        import json
+
+        parts = (self.tokenizer.normalizer, "normalizers"), (self.tokenizer.pre_tokenizer, "pretokenizers")
+        steps = [json.loads(part.__getstate__()).get(name) if part else None for part, name in parts]
+        return steps == [KNOWN_NORMALIZERS, KNOWN_SPLITS] and type(self.tokenizer.model).__name__ == "BPE"
+
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             found = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -82,6 +94,8 @@ class Encoder:
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.plain(text) and "<|" not in text:
             return self._plain(text)
         out = []

@@ -35,16 +35,23 @@ def exact_brute(rows):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_exact_dedup(spark, edges, monkeypatch, hot):
-    rows = EDGES + [(100 + i, "one text of very many copies") for i in range(60)] if hot else EDGES
-    if hot:  # all groups through the salted path
-        monkeypatch.setattr(exact_dedup, "hot_digests", lambda r: [x["digest"] for x in r.select("digest").distinct().collect()])
+    rows = EDGES
+    if hot:  # groups of many copies, two of them over several salts, one with a null id; and a very long text
+        monkeypatch.setattr(exact_dedup, "SAMPLE", 1.0)
+        monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 10)
+        copies = [(100 + i if i else None, f"one  text of very many copies{' ' * (i % 3)} end") for i in range(60)]
+        rows = EDGES + copies + [(200 + i, "another") for i in range(25)] + [(7, "another"), (300, "x y " * 300_000), (301, "x  y " * 300_000)]
+        sampled = as_docs(spark, rows).selectExpr("sha2(regexp_replace(coalesce(text, ''), '\\\\s+', ' '), 256) as digest", "text as norm")
+        large, n, _ = exact_dedup.large_groups(sampled)
+        assert n == 2 and sorted(r.salts for r in large.collect()) == [3, 6]
     assert sorted(map(tuple, dedup(as_docs(spark, rows)).collect()), key=str) == exact_brute(rows)
 
 
-def test_hot_digests_are_found(spark):
-    rows = as_docs(spark, [(i, "copy" if i % 3 else f"own {i}") for i in range(3000)])
-    found = exact_dedup.hot_digests(rows.selectExpr("doc_id as id", "sha2(text, 256) as digest"))
-    assert found == [hashlib.sha256(b"copy").hexdigest()]
+def test_beginnings_are_as_long_as_needed(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SAMPLE", 1.0)
+    for head, expected in ((0, 32), (40, 256), (300, 2048), (5000, 2048)):
+        rows = as_docs(spark, [(i, "=" * head + f" text {i}") for i in range(100)])
+        assert exact_dedup.large_groups(rows.selectExpr("sha2(text, 256) as digest", "text as norm"))[1:] == (0, expected)
 
 
 def key_of(line):
@@ -74,7 +81,8 @@ def test_line_dedup(spark, monkeypatch, shard, hot):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard)
     monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
     monkeypatch.setattr(line_dedup, "LEAST_HOT", 3)
-    rows = EDGES + SHARED
+    # Null ids with texts of their own, the largest id, an id with two texts, and a very long text.
+    rows = EDGES + SHARED + [(None, f"shared line number {j}\nnobody else has line {j}") for j in range(9)] + [(2**63 - 1, "a null id has this text of eight words"), (21, "shared line number 0"), (99, "shared line number 3\n" * 50_000)]
     docs = as_docs(spark, rows)
     done = dedup_lines(docs)
     got = done.select("row.doc_id", "n_lines", "n_dropped", "row.text").collect()
