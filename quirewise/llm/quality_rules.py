@@ -30,11 +30,17 @@ MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
 TRAIN_SEQUENCES = 500
 TRAIN_STEPS = 150
-_LEGAL = re.compile(r"copyright|all rights reserved|licen[sc]e|cookie|privacy|terms of|sign in|log ?in|subscribe|click here|read more|share this|©", re.I)
+_LEGAL = (
+    "copyright", "all rights reserved", "license", "licence", "cookie", "privacy", "terms of", "sign in", "login", "log in",
+    "subscribe", "click here", "read more", "share this", "©",
+)
 _LINK = re.compile(r"https?://|www\.|[^\s@]@[^\s@]")
 _STOP = (".", "!", "?", "…", ":", ";", ",", '"', "”", "»", "'", ")")
 _FACTOR = 0x9E3779B97F4A7C15
 FEATURES = 18
+_UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
+_MARKS = b"#*$%&<>{}[]\\^~=_"
+_OTHERS = re.compile(r"[^\x00-\x7f]+")
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -75,18 +81,24 @@ def line_features(lines: list[str]) -> np.ndarray:
     """One row for each line (stripped, not empty)."""
     out = np.zeros((len(lines), FEATURES), np.float32)
     seen: set[str] = set()
+    low = [line.lower() for line in lines]
+    legal = [w for w in _LEGAL if any(w in x for x in low)]
     for k, line in enumerate(lines):
-        n, words = len(line), line.split()
-        symbols = sum(map(line.count, "#*$%&<>{}[]\\^~=_"))
-        upper = sum(map(str.isupper, line))
-        lower = sum(map(str.islower, line))
-        digits = sum(map(str.isdigit, line))
-        pipes = line.count("|") + line.count("»") + line.count("·")
+        n, words, ascii_line = len(line), line.split(), line.encode("ascii", "ignore")
+        symbols, upper, lower, digits = (len(ascii_line) - len(ascii_line.translate(None, c)) for c in (_MARKS, _UPPER, _LOWER, _DIGITS))
+        pipes = line.count("|")
+        if len(ascii_line) < n:
+            others = "".join(_OTHERS.findall(line))
+            upper += sum(map(str.isupper, others))
+            lower += sum(map(str.islower, others))
+            digits += sum(map(str.isdigit, others))
+            pipes += others.count("»") + others.count("·")
         stopped = line.endswith(_STOP)
         bangs = line.count("!!")
         out[k] = (
             1, len(words) < 4, n > 120, np.log1p(n) / 5, stopped, not stopped and len(words) < 6, min(1, 8 * symbols / n), symbols > len(words) / 4,
-            min(1, 4 * pipes / (len(words) + 1)), upper > lower, min(1, 3 * digits / n), bangs > len(words) / 4, bool(_LINK.search(line)), bool(_LEGAL.search(line)), line in seen, stopped and lower > 0.6 * n and not symbols and not pipes, k == 0 or k == len(lines) - 1, sum(map(str.__eq__, words, words[1:])) > 0.2 * len(words),
+            min(1, 4 * pipes / (len(words) + 1)), upper > lower, min(1, 3 * digits / n), bangs > len(words) / 4,
+            ("@" in line or "www." in line or "://" in line) and bool(_LINK.search(line)), any(w in low[k] for w in legal), line in seen, stopped and lower > 0.6 * n and not symbols and not pipes, k == 0 or k == len(lines) - 1, sum(map(str.__eq__, words, words[1:])) > 0.2 * len(words),
         )
         seen.add(line)
     return out
