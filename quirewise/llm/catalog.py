@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op10_ngram_join": ngram_join.SQL,
 }

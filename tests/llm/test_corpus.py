@@ -391,6 +391,70 @@ def test_quotes_of_a_common_line(spark):
     assert len(got) == 80 and all((r.reply_conv, r.reply_turn) == (r.conv_id, 0) for r in got if r.turn == 1)
 
 
+def threads_brute(messages):
+    """(conv, turn) -> (root, depth, parent), one message and piece after another; parsing is the operator's own."""
+    held, first_turn, convs = defaultdict(set), {}, defaultdict(set)
+    found = {(c, t): quotation.parsed(x or "") for c, t, _, x in messages}
+    for (c, t), (_, own, _) in found.items():
+        for key in own:
+            held[c, key].add(t)
+            convs[key].add(c)
+    for place, turns in held.items():
+        first_turn[place] = min(turns)
+    parent = {}
+    for (c, t), (_, _, quoted) in found.items():
+        votes = Counter()
+        for level, key in quoted:
+            if first_turn.get((c, key), t) < t:
+                votes[level, (c, first_turn[c, key])] += 1
+            elif not key & 1 and convs[key] - {c}:  # the first conversation of all, or the last one if that is one's own
+                other = min(convs[key]) if min(convs[key]) != c else max(convs[key])
+                votes[level, (other, first_turn[other, key])] += 1
+        if votes:
+            parent[c, t] = min(((level, -n, up) for (level, up), n in votes.items()))[2]
+    for start in sorted(parent):
+        seen, now = [], start
+        while now in parent and now not in seen:
+            seen.append(now)
+            now = parent[now]
+        if now in seen:  # a circle: its least message loses its link
+            del parent[min(seen[seen.index(now) :])]
+    out = {}
+    for m in found:
+        root, depth = m, 0
+        while root in parent:
+            root, depth = parent[root], depth + 1
+        out[m] = root, depth, parent.get(m)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_against_brute_force(spark, seed):
+    """Random conversations that quote lines, sentences and re-wrapped passages, in their own and in others, both ways."""
+    rng = random.Random(seed)
+    said = [" ".join(rng.choice("alpha beta gamma delta river stone").capitalize() if k == 0 else rng.choice("one two six red old new".split()) for k in range(rng.randint(1, 7))) + rng.choice(".!? ") for _ in range(60)]
+    messages = []
+    for c in range(25):
+        for t in range(rng.randint(1, 6)):
+            lines = [rng.choice(said) for _ in range(rng.randint(0, 3))]
+            for _ in range(rng.randint(0, 3)):
+                passage = " ".join(rng.sample(said, rng.randint(1, 3))).split()
+                cut = rng.randint(1, len(passage))
+                lines += [f"{rng.choice(('> ', '>', '>> '))}{' '.join(part)}" for part in (passage[:cut], passage[cut:]) if part]
+            messages.append((c, t, rng.choice(("user", "assistant")), "\n".join(lines) if rng.random() < 0.95 else None))
+    got = quotation.threads(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    expected = threads_brute(messages)
+    assert {(r.conv_id, r.turn): ((r.thread_conv, r.thread_turn), r.depth, None if r.reply_conv is None else (r.reply_conv, r.reply_turn)) for r in got} == expected
+    assert len(got) == len(messages) and sum(p is not None for _, _, p in expected.values()) > 10
+
+
+def test_a_very_long_message(spark):
+    said = "This one sentence is said by somebody. " * 20_000
+    rows = [(1, 0, "user", said), (1, 1, "assistant", "> " + said.replace(". ", ".\n> ") + "\nYes")]
+    got = {r.turn: r for r in quotation.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].reply_conv, got[1].reply_turn, got[1].text) == (1, 0, "Yes")
+
+
 def test_empty_tables(spark, nothing):
     assert mixing.mixed_documents(nothing).count() == 0
     assert mixing.mix(nothing)[1].count() == 0
