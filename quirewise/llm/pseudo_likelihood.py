@@ -23,61 +23,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, col, scratch, small_batches, split_words, table, written
+from .perfect_hash import mix
 from .window_network import SHAPES, Codes, WindowNetwork, batches
 
 VOCABULARY_FACTOR = 16
 #: Square root of the tokens for each shard of a round: shards and vocabulary grow together with the corpus.
 SHARD_ROOT = 1000
 ROUNDS = 2
-#: Distinct words that a task counts before it hands over the rarer half, or whose ids it remembers.
-HELD_WORDS = 200_000
+#: Distinct words that a task counts before it hands them over.
+HELD_WORDS = 1_000_000
 #: Tokens of whole texts that a task trains on together.
 GROUP = 50_000
 #: Rows of weights that are averaged together.
 BLOCK = 8192
-#: Seed of Spark's xxhash64.
 _SEED = 42
 
 
-def shape(word: bytes) -> int:
-    """0 to SHAPES - 1: length in four steps, by kind of characters, by the last character's kind."""
-    n = len(word)
-    size = 0 if n < 5 else 1 if n < 8 else 2 if n < 12 else 3
-    kind = 0 if word.isalpha() else 1 if not word.isascii() else 2 if any(48 <= c < 58 for c in word) else 3
-    return (size * 4 + kind) * 2 + (not (97 <= word[-1] < 123 or word[-1] >= 128))
+def described_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, shapes) of words that aren't empty, all at once.
+
+    A key is a 64-bit hash.  A shape, 0 to SHAPES - 1, is the length in bytes in four steps, by the kind of
+    characters (ASCII letters; some not ASCII; some digits; others), by whether the last one is a letter
+    in lower case or not ASCII.
+    """
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts, size = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, size)
+    keys = np.add.reduceat((data + np.uint64(1)) * mix(place.astype(np.uint64) + np.uint64(_SEED)), starts)
+    letter = (data | 32) - 97 < 26  # bytes wrap around
+    digit, high = data - 48 < 10, data > 127
+    some = lambda flags: np.add.reduceat(flags, starts, dtype=np.int64)
+    kind = np.where(some(letter) == size, 0, np.where(some(high) > 0, 1, np.where(some(digit) > 0, 2, 3)))
+    last = data[starts + size - 1]
+    rough = ~((last >= 97) & (last < 123) | (last >= 128))
+    return mix(keys + size.astype(np.uint64)), ((np.digitize(size, (5, 8, 12)) * 4 + kind) * 2 + rough).astype(np.int32)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, shape, n) over all texts; each task counts what it can hold first."""
+    """(word, n, key, shape) of the distinct words of all texts; each task counts what it can hold first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: pa.Table | None = None
 
-        def out(items):
-            words = [w for w, _ in items]
-            columns = pa.array(words, pa.binary()), pa.array(map(shape, words), pa.int32()), pa.array([n for _, n in items], pa.int64())
-            return pa.RecordBatch.from_arrays(list(columns), names=["word", "shape", "n"])
+        def summed(t: pa.Table) -> pa.Table:
+            done = t.group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": done["word"], "n": done["n_sum"]})
 
         for b in batches:
             found = split_words(b.column("text"))[1].value_counts()
-            n = found.field("counts").to_pylist()
-            for word, k in zip(found.field("values").dictionary_decode().cast(pa.binary()).to_pylist(), n, strict=True):
-                held[word] = held.get(word, 0) + k
-            if len(held) > HELD_WORDS:
-                items = sorted(held.items(), key=lambda x: -x[1])
-                yield out(items[HELD_WORDS // 2 :])
-                held = dict(items[: HELD_WORDS // 2])
-        if held:
-            yield out(list(held.items()))
+            own = pa.table({"word": found.field("values").dictionary_decode().cast(pa.binary()), "n": found.field("counts")})
+            held = own if held is None else pa.concat_tables([held, own])
+            if held.num_rows > 2 * HELD_WORDS:
+                held = summed(held)
+                if held.num_rows > HELD_WORDS:
+                    yield from held.combine_chunks().to_batches()
+                    held = None
+        if held is not None:
+            yield from summed(held).combine_chunks().to_batches()
+
+    def make():
+        def f(b: pa.RecordBatch) -> dict:
+            keys, shapes = described_words(b.column("word"))
+            return {"word": b.column("word"), "n": b.column("n"), "key": pa.array(keys.view(np.int64)), "shape": pa.array(shapes)}
 
-    return rows.select("text").mapInArrow(run, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
+        return f
+
+    counted = rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(counted, "word binary, n long, key long, shape int", make)
 
 
 class Vocabulary:
@@ -107,7 +130,7 @@ class Vocabulary:
         found = cls(levels, held.inputFiles(), [totals.get(k, 0) for k in range(SHAPES)])
         total = F.element_at(F.array(*[F.lit(float(max(1, n))) for n in found.rare]), F.col("shape") + 1)
         # Words that share a key, one in 2^64, count as the more frequent one.
-        return found, rare.groupBy(F.xxhash64("word").alias("key")).agg(F.max(F.log("n") - F.log(total)).alias("share"))
+        return found, rare.groupBy("key").agg(F.max(F.log("n") - F.log(total)).alias("share"))
 
     def ranked(self) -> tuple[list[bytes], np.ndarray]:
         read = _read(self.files)
@@ -134,20 +157,6 @@ def _read(files: list[str]) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-class Tokens(dict):
-    """Ids of words; shapes of rare words are worked out when met, and kept for the first HELD_WORDS of them."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__((w, SHAPES + k) for k, w in enumerate(words))
-        self.most = len(self) + HELD_WORDS
-
-    def __missing__(self, word: bytes) -> int:
-        k = shape(word)
-        if len(self) < self.most:
-            self[word] = k
-        return k
-
-
 #: What a worker has read, by the files: tasks that follow in it use it again.
 _held: dict = {}
 
@@ -174,17 +183,14 @@ def tokenised(rows: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame
     """(row, doc_id, n, ids, rare, part): `rare` has the keys of the words outside the vocabulary; part is the round and shard."""
 
     def make():
-        tokens = _once("tokens", vocabulary.files, lambda: Tokens(vocabulary.ranked()[0]))
-        hashed = xxhash.xxh64_intdigest
+        ranked = _once("words", vocabulary.files, lambda: pa.array(vocabulary.ranked()[0], pa.binary()))
 
         def f(b: pa.RecordBatch) -> dict:
             offsets, coded = split_words(b.column("text"))
-            words = coded.dictionary.cast(pa.binary()).to_pylist()
-            own = np.fromiter(map(tokens.__getitem__, words), np.int32, len(words))
-            keys = np.zeros(len(words), np.uint64)
-            other = np.flatnonzero(own < SHAPES)
-            keys[other] = np.fromiter((hashed(words[k], _SEED) for k in other.tolist()), np.uint64, len(other))
-            codes = coded.indices.to_numpy()
+            words = coded.dictionary.cast(pa.binary())
+            rank = pc.fill_null(pc.index_in(words, value_set=ranked), -1).to_numpy(zero_copy_only=False)
+            keys, shapes = described_words(words)
+            own, codes = np.where(rank < 0, shapes, SHAPES + rank).astype(np.int32), coded.indices.to_numpy()
             ids = own[codes]
             rare = ids < SHAPES
             before = np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -217,9 +218,10 @@ def small_network(levels=5, seed=8):
 def test_the_network_is_a_distribution_and_starts_as_the_unigram_model():
     net, rng = small_network()
     # Every token once, between the same others.
-    line = np.repeat(rng.integers(0, net.codes.edge + 1, (1, 7)), net.codes.edge, 0).astype(np.int32)
-    line[:, 3] = np.arange(net.codes.edge)
-    place = np.arange(net.codes.edge) * 7 + 3
+    window = window_network.WINDOW
+    line = np.repeat(rng.integers(0, net.codes.edge + 1, (1, 2 * window + 1)), net.codes.edge, 0).astype(np.int32)
+    line[:, window] = np.arange(net.codes.edge)
+    place = np.arange(net.codes.edge) * (2 * window + 1) + window
     assert np.exp(net.log_probabilities(line.ravel(), place).astype(float)).sum() == pytest.approx(1, rel=1e-4)
     masses = rng.integers(0, 90, net.codes.edge).astype(float)
     new = window_network.WindowNetwork(net.codes, masses)
@@ -240,13 +242,14 @@ def test_gradients_of_the_window_network():
     net, rng = small_network()
     ids = rng.integers(0, net.codes.edge, 40).astype(np.int32)
     line, place, _ = next(window_network.batches([ids], net.codes.edge))
-    assert len(line) == 46 and line[:3].tolist() == [net.codes.edge] * 3 and (line[place] == ids).all()
+    window = window_network.WINDOW
+    assert len(line) == 40 + 2 * window and line[:window].tolist() == [net.codes.edge] * window and (line[place] == ids).all()
     before = net.log_probabilities(line, place).mean()
     # One step of Adagrad moves each weight against its gradient.
     old, grads = {p: getattr(net, p).copy() for p in net.PARTS}, []
     for part in net.PARTS:
         flat = getattr(net, part).reshape(-1)
-        for k in range(0, len(flat), 37):
+        for k in range(0, len(flat), 17):
             loss = []
             for d in (1e-2, -2e-2):
                 flat[k] += np.float32(d)
@@ -292,6 +295,30 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert [r[2] for r in one] == pytest.approx([r[2] for r in eight], rel=1e-6)  # batches of scoring differ in their last digits
 
 
+def shape_brute(word):
+    n = len(word)
+    size = 0 if n < 5 else 1 if n < 8 else 2 if n < 12 else 3
+    kind = 0 if word.isalpha() else 1 if not word.isascii() else 2 if any(48 <= c < 58 for c in word) else 3
+    return (size * 4 + kind) * 2 + (not (97 <= word[-1] < 123 or word[-1] >= 128))
+
+
+def test_described_words():
+    rng = random.Random(2)
+    words = ["a", "é", "日本語", "x1", "12", "a-b", "ABC", "word.", "\x00", "~" * 300, *("".join(rng.choices("abZ09.-é日", k=rng.randint(1, 15))) for _ in range(3000))]
+    coded = [w.encode() for w in words]
+    keys, shapes = pseudo_likelihood.described_words(pa.array([b"skipped", *coded], pa.binary())[1:])
+    assert shapes.tolist() == [shape_brute(w) for w in coded]
+    assert len(set(keys.tolist())) == len(set(coded)) and dict(zip(coded, keys.tolist(), strict=True)) == {w: pseudo_likelihood.described_words(pa.array([w]))[0][0] for w in coded}
+
+
+def test_split_words(spark):
+    from quirewise.llm.common import lower_words, split_words
+
+    texts = [t for _, t in EDGES] + ["", " lead", "trail ", "a\x1cb \x85c\u00a0d", "\v\f\r\n\t ", "ÀB ÉZ İx"]
+    offsets, words = split_words(pa.array(["skipped words", *texts])[1:])
+    assert [[w.encode() for w in words[a:b].to_pylist()] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)] == [lower_words(t or "") for t in texts]
+
+
 def test_scores_against_brute_force(spark, monkeypatch):
     """Shares of rare words, ids by frequency and the sum over tokens, with the trained network itself."""
     monkeypatch.setattr(pseudo_likelihood, "VOCABULARY_FACTOR", 1)
@@ -308,14 +335,15 @@ def test_scores_against_brute_force(spark, monkeypatch):
     totals = Counter()
     for w, n in counts.items():
         if w not in ids:
-            totals[pseudo_likelihood.shape(w)] += n
+            totals[shape_brute(w)] += n
     assert 3 <= net.codes.levels < 8 and sum(totals.values()) > 100
     for i, words in texts:
-        own = [ids.get(w, pseudo_likelihood.shape(w)) for w in words]
-        padded = [net.codes.edge] * 3 + own + [net.codes.edge] * 3
+        own = [ids.get(w, shape_brute(w)) for w in words]
+        edge, window = [net.codes.edge] * window_network.WINDOW, window_network.WINDOW
+        padded = edge + own + edge
         expected = 0.0
         for k, (w, x) in enumerate(zip(words, own, strict=True)):
-            expected += float(net.log_probabilities(np.array(padded[k : k + 7]), np.array([3]))[0])
+            expected += float(net.log_probabilities(np.array(padded[k : k + 2 * window + 1]), np.array([window]))[0])
             if w not in ids:
                 expected += math.log(counts[w] / totals[x])
         assert got[i, len(words)] == pytest.approx(expected, rel=1e-4, abs=1e-4)
@@ -327,7 +355,7 @@ def test_held_out_texts_are_likelier_than_under_the_unigram_model(spark):
     codes = window_network.Codes(8)
     ids = {w: window_network.SHAPES + k for k, (w, _) in enumerate(counts.most_common(codes.words))}
     masses = np.zeros(codes.edge)
-    coded = [np.array([ids.get(w, pseudo_likelihood.shape(w)) for w in t], np.int32) for t in texts]
+    coded = [np.array([ids.get(w, shape_brute(w)) for w in t], np.int32) for t in texts]
     for t in coded[:800]:
         np.add.at(masses, t, 1)
     net = window_network.WindowNetwork(codes, masses)
