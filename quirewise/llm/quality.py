@@ -10,8 +10,8 @@ text.  Scores are sigmoid(g), so with the logistic loss they estimate the probab
 Texts are described once, by numbers that are written; training reads those.  It covers all documents:
 they are dealt to shards of about SHARD_ROWS by a hash of themselves, in each of ROUNDS rounds every shard
 trains from the common weights against the positives, and the shards' weights are averaged by their
-rows.  Partitions and executors make no difference to the result.  Only labelled rows are bounded: at
-most MAX_LABELLED, chosen by a hash of the id.  Every document is scored, on its whole text.
+rows.  Partitions and executors make no difference to the result.  Only labelled rows are bounded:
+about MAX_LABELLED at most, chosen by a hash of the id.  Every document is scored, on its whole text.
 """
 
 from __future__ import annotations
@@ -202,9 +202,10 @@ def train(shapes: DataFrame, labels: DataFrame) -> Network | None:
     ours = shapes.filter(fold(F.col("doc_id")) != HELD_OUT)
     rows, mean, scale = moments(ours)
     known = labels.filter("doc_id is not null and quality is not null").filter(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit(11))
-    held = ours.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
-    chosen = held.orderBy(order, "doc_id").limit(MAX_LABELLED).toPandas()
+    # By a hash, not by an order: no task or driver merges the firsts of all tasks.
+    share = min(1.0, MAX_LABELLED / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = ours.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     positives = chosen[chosen["quality"] == 1]
     if not len(positives) or not rows:
         return None
