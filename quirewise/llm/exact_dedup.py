@@ -6,9 +6,9 @@ the smallest id of each group stays.
 
 Splitters are (beginning, digest, salt), so their size is bounded however long texts are.  The
 beginning has as many characters, of PREFIXES, as a sample needs for few texts to share it; the digest
-separates the rest.  Equal texts share all three, except that a group of more than GROUP_ROWS rows, as
-the sample shows, is dealt over as many salts as keep each part below that, and its parts are merged by one row
-from each.  The sample only steers where rows go.
+separates the rest.  Equal texts share all three, except that a group of more than GROUP_ROWS rows or
+GROUP_SHARE of all, as the sample shows, is dealt over as many salts as keep each part below that, and its
+parts are merged by one row from each.  The sample only steers where rows go.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, col, scratch, table, written
 
-PREFIXES = (32, 256, 2048)
+PREFIXES = (32, 256)
 #: A beginning is long enough if at most this share of the sampled rows shares one with a different text.
 SHARED = 1 / 64
 SAMPLE = 0.05
-#: Rows of one text that a task sorts and numbers together.
-GROUP_ROWS = 20_000
+#: Rows of one text that a task sorts and numbers together, and their share of all rows, at most.
+GROUP_ROWS, GROUP_SHARE = 20_000, 1 / 64
 #: Groups that are split, and broadcast as 40 bytes each, at most: so groups of less than this part of all rows never are.
 MOST_SPLIT = 100_000
 
@@ -38,7 +38,8 @@ def large_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
     starts = [F.substring("norm", 1, n).alias(f"p{n}") for n in PREFIXES]
     sample = written(rows.sample(SAMPLE, 17).select("digest", *[F.xxhash64(p).alias(f"p{n}") for n, p in zip(PREFIXES, starts, strict=True)]), "dedup-sample")
     total = sample.count()
-    most = max(GROUP_ROWS, total / SAMPLE / MOST_SPLIT)
+    rows_in_all = total / SAMPLE
+    most = max(1, rows_in_all / MOST_SPLIT, min(GROUP_ROWS, rows_in_all * GROUP_SHARE))
     counted = sample.groupBy("digest").count().filter(F.col("count") > max(8, most * SAMPLE))
     large = written(counted.select("digest", F.ceil(F.col("count") / (most * SAMPLE)).cast("int").alias("salts")), "dedup-large")
     texts = sample.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), *[F.first(f"p{n}").alias(f"p{n}") for n in PREFIXES])
