@@ -54,7 +54,10 @@ def judged(requests: DataFrame, files: DataFrame, users: DataFrame, grants: Data
     found = F.col("storage_id").isNotNull()
     ok = found & may(has("is_admin"), has("storage_right"), has("file_right"))
     status = F.when(~found, 404).when(ok, 200).otherwise(403)
-    return known.select("request_id", "uid", "doc_id", status.alias("read_status"), flag(ok).alias("can_write"), (ok & has("may_add")).alias("can_add"), write_mode(ok).alias("mode"))
+    return known.select(
+        "request_id", "uid", "doc_id", status.alias("read_status"), flag(ok).alias("can_write"),
+        (ok & has("may_add")).alias("can_add"), write_mode(ok).alias("mode"),
+    )
 
 
 def actions(files: DataFrame, edit_url: str, may_read: Column) -> DataFrame:
@@ -73,10 +76,16 @@ def without_collisions(files: DataFrame, order: str) -> DataFrame:
     split = lambda k: F.regexp_extract("name", r"(?is)^(.*?)(\.docx)?$", k)
     places = written(numbered(files.withColumns({"_base": split(1), "_end": split(2)}), [order], ["folder", "name"], "_n"), "names")
     # The j-th suffix is j plus the number of taken ones at or below it.  The i-th taken one, t, is, if t - i < j.
-    given = places.filter("_n = 1").select("folder", "_end", F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 1).alias("_base"), F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 2).alias("_digits"))
+    given = places.filter("_n = 1").select(
+        "folder", "_end", F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 1).alias("_base"),
+        F.regexp_extract("_base", r"(?s)^(.*)_(\d{2,9})$", 2).alias("_digits"),
+    )
     taken = given.filter("_digits != ''").withColumn("_t", F.col("_digits").cast("long")).filter("_t > 0 and _digits = format_string('%02d', _t)")
     bases = ["folder", "_base", "_end"]
-    ranked = numbered(taken, ["_t"], bases, "_i").select(*bases, (F.col("_t") - F.col("_i")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(files.dtypes)[order]).alias("_order"))
+    ranked = numbered(taken, ["_t"], bases, "_i").select(
+        *bases, (F.col("_t") - F.col("_i")).alias("_at"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(dict(files.dtypes)[order]).alias("_order"),
+    )
     asked = places.filter("_n > 1").select(*bases, (F.col("_n") - 1).alias("_at"), F.lit(0).alias("_kind"), F.col(order).alias("_order"))
     counted = running(ranked.unionByName(asked), ["_at", "_kind"], {"_taken": (F.sum, F.col("_kind"))}, bases).filter("_kind = 0")
     suffixes = counted.select("_order", (F.col("_at") + F.coalesce("_taken", F.lit(0))).alias("_suffix"))

@@ -20,8 +20,14 @@ def sessions(ops: DataFrame, as_of: int | None = None) -> DataFrame:
     seen = ops.filter(F.col("op").isin("join", "heartbeat", "leave"))
     seen = seen if as_of is None else seen.filter(F.col("t") <= as_of)
     alive = F.col("op") != "leave"
-    grouped = seen.groupBy("file", "user_id").agg(F.max(F.when(alive, F.col("t"))).alias("last_heartbeat"), F.max_by("op", "seq").alias("last_op"), F.min("t").alias("crdate"), F.coalesce(F.max(F.when(F.col("op") == "join", F.col("seq"))), F.min("seq")).alias("uid"))
-    return grouped.filter("last_heartbeat is not null").select("file", "user_id", "uid", sha256(F.col("file")).alias("file_hash"), "last_heartbeat", (F.col("last_op") == "leave").alias("deleted"), "crdate")
+    grouped = seen.groupBy("file", "user_id").agg(
+        F.max(F.when(alive, F.col("t"))).alias("last_heartbeat"), F.max_by("op", "seq").alias("last_op"),
+        F.min("t").alias("crdate"), F.coalesce(F.max(F.when(F.col("op") == "join", F.col("seq"))), F.min("seq")).alias("uid"),
+    )
+    return grouped.filter("last_heartbeat is not null").select(
+        "file", "user_id", "uid", sha256(F.col("file")).alias("file_hash"), "last_heartbeat",
+        (F.col("last_op") == "leave").alias("deleted"), "crdate",
+    )
 
 
 def active(rows: DataFrame, as_of: int | Column, ttl: int = TTL) -> DataFrame:
@@ -56,7 +62,9 @@ def participants(rows: DataFrame, names: DataFrame, files: DataFrame) -> DataFra
 def windows(beats: DataFrame, ttl: int) -> DataFrame:
     """(user_id, started, ended, n): sessions that a gap of more than `ttl` seconds splits; a gap of exactly `ttl` doesn't."""
     w = F.session_window(F.timestamp_seconds("t"), f"{ttl} seconds")
-    return beats.groupBy("user_id", w).agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "ended", "n")
+    return beats.groupBy("user_id", w).agg(
+        F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n"),
+    ).select("user_id", "started", "ended", "n")
 
 
 def replayed(ops: DataFrame, ttl: int = TTL) -> DataFrame:

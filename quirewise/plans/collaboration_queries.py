@@ -54,7 +54,10 @@ def save_conflict(m: Model) -> DataFrame:
     s = revisions.numbered(m.ops.filter("op = 'save'").select("seq", "file")).withColumn("current", F.col("revision") - 1)
     k = F.col("seq")
     expected = F.when(k % 4 == 0, F.lit(None).cast("int")).when(k % 4 == 1, F.lit(-1)).otherwise((F.col("revision") - k % 2).cast("int"))
-    return s.withColumn("expected", expected).select("seq", "file", "current", "expected", F.coalesce(revisions.is_conflict(F.col("expected"), F.col("current")), F.lit(False)).alias("conflict"))
+    return s.withColumn("expected", expected).select(
+        "seq", "file", "current", "expected",
+        F.coalesce(revisions.is_conflict(F.col("expected"), F.col("current")), F.lit(False)).alias("conflict"),
+    )
 
 
 @query("SELECT seq, seq % 2 = 0 AND NOT seq % 3 = 0 AND seq % 5 <> 0 AS saves, CASE WHEN seq % 5 <> 0 THEN 'editor' WHEN seq % 7 <> 0 THEN 'loaded' END AS buffer FROM ops WHERE op = 'save'")
@@ -70,7 +73,9 @@ SELECT r.file_identifier, r.uid, r.revision AS known, l.revision AS current FROM
 """)
 def remote_newer(m: Model) -> DataFrame:
     newest = revisions.latest(m.revisions).select("file_identifier", F.col("revision").alias("current"))
-    return m.revisions.join(newest, "file_identifier").filter(revisions.is_newer(F.col("current"), F.col("revision"))).select("file_identifier", "uid", F.col("revision").alias("known"), "current")
+    return m.revisions.join(newest, "file_identifier").filter(revisions.is_newer(F.col("current"), F.col("revision"))).select(
+        "file_identifier", "uid", F.col("revision").alias("known"), "current",
+    )
 
 
 @query("""
@@ -169,7 +174,9 @@ def session_join_uid(m: Model) -> DataFrame:
 
 @query(_REPLAY.format(400_000) + "SELECT seq, file, user_id, alive AS effective, CASE WHEN alive THEN uid END AS uid FROM r WHERE op = 'heartbeat'")
 def heartbeat_effective(m: Model) -> DataFrame:
-    return presence.replayed(m.ops, 400_000).filter("op = 'heartbeat'").select("seq", "file", "user_id", F.col("alive").alias("effective"), F.when(F.col("alive"), F.col("uid")).alias("uid"))
+    return presence.replayed(m.ops, 400_000).filter("op = 'heartbeat'").select(
+        "seq", "file", "user_id", F.col("alive").alias("effective"), F.when(F.col("alive"), F.col("uid")).alias("uid"),
+    )
 
 
 SAVE_REPLAY_SQL = """
@@ -200,7 +207,9 @@ FROM q LEFT JOIN files f ON f.file_identifier = trim(q.file) LEFT JOIN files g O
 def file_resolve_status(m: Model) -> DataFrame:
     k = F.col("doc_id")
     asked = m.files.select(
-        k.alias("request_id"), F.when(k % 6 == 0, "  ").when(k % 6 == 1, "1:/none.docx").otherwise(F.concat(F.lit(" "), F.col("file_identifier"))).alias("file"), F.when(k % 3 == 0, "").when(k % 3 == 1, "1:/nowhere").otherwise(F.col("file_identifier")).alias("folder")
+        k.alias("request_id"), F.when(k % 6 == 0, "  ").when(k % 6 == 1, "1:/none.docx").otherwise(F.concat(
+            F.lit(" "), F.col("file_identifier"),
+        )).alias("file"), F.when(k % 3 == 0, "").when(k % 3 == 1, "1:/nowhere").otherwise(F.col("file_identifier")).alias("folder")
     )
     folders = files_of.resolve_folders(asked.select("request_id", "folder"), m.files).select("request_id", F.col("status").alias("folder_status"))
     return files_of.resolve(asked.select("request_id", "file"), m.files).join(folders, "request_id")
@@ -270,6 +279,9 @@ FROM (SELECT DISTINCT file FROM ops) f LEFT JOIN r USING (file) LEFT JOIN a USIN
 """)
 def file_overview(m: Model) -> DataFrame:
     """For every file: current revision, who saved it, when, and how many editors are active."""
-    saves = m.ops.filter("op = 'save'").groupBy("file").agg(F.count(F.lit(1)).alias("revision"), F.max_by("user_id", "seq").alias("saved_by"), F.max_by("t", "seq").alias("changed_at"))
+    saves = m.ops.filter("op = 'save'").groupBy("file").agg(
+        F.count(F.lit(1)).alias("revision"), F.max_by("user_id", "seq").alias("saved_by"),
+        F.max_by("t", "seq").alias("changed_at"),
+    )
     joined = presence_count(m).join(saves, "file", "left")
     return joined.select("file", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("revision", "saved_by", "changed_at")], "active").orderBy("file")

@@ -21,13 +21,18 @@ class Model:
         op = F.when(kind == "signup", "join").when(kind.isin("view", "click"), "heartbeat").when(kind == "error", "leave").otherwise("save")
         k = F.get_json_object("props", "$.k").cast("bigint")
         return self.table("events").select(
-            F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "user_id", op.alias("op"), F.concat(F.lit("1:/user_upload/doc"), (k % 5).cast("string"), F.lit(".docx")).alias("file"),
+            F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "user_id", op.alias("op"), F.concat(
+                F.lit("1:/user_upload/doc"), (k % 5).cast("string"), F.lit(".docx"),
+            ).alias("file"),
         )
 
     @cached_property
     def revisions(self) -> DataFrame:
         name = F.concat(F.lit("1:/conversations/"), F.col("conv_id").cast("string"), F.lit(".docx"))
-        return self.table("conversations").select(F.col("turn").alias("uid"), name.alias("file_identifier"), (F.col("turn") + 1).alias("revision"), F.sha2("text", 256).alias("content_hash"), F.col("role").alias("saved_by"), (F.col("turn") * 60).alias("changed_at"))
+        return self.table("conversations").select(
+            F.col("turn").alias("uid"), name.alias("file_identifier"), (F.col("turn") + 1).alias("revision"),
+            F.sha2("text", 256).alias("content_hash"), F.col("role").alias("saved_by"), (F.col("turn") * 60).alias("changed_at"),
+        )
 
     @cached_property
     def files(self) -> DataFrame:
@@ -35,7 +40,9 @@ class Model:
         ext = F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "de", "DOCX").when(F.col("lang") == "fr", "doc").otherwise("pdf")
         name = F.concat(F.lit("doc"), (n % 50).cast("string"), F.lit("."), ext)
         return d.select(
-            F.concat(F.lit("1:/"), F.col("source"), F.lit("/"), n.cast("string"), F.lit("/"), name).alias("file_identifier"), (n % 3 + 1).alias("storage_id"), F.col("source").alias("folder"), name.alias("name"), ext.alias("extension"),
+            F.concat(
+                F.lit("1:/"), F.col("source"), F.lit("/"), n.cast("string"), F.lit("/"), name,
+            ).alias("file_identifier"), (n % 3 + 1).alias("storage_id"), F.col("source").alias("folder"), name.alias("name"), ext.alias("extension"),
             F.when(n % 17 == 0, "folder").otherwise("file").alias("kind"), F.octet_length("text").cast("bigint").alias("size"), "text", "doc_id",
         )
 
@@ -45,18 +52,27 @@ class Model:
         real = F.when(k % 3 == 0, F.concat(F.lit(" \t"), name, F.lit(" "))).when(k % 3 == 1, F.lit("  ")).otherwise(F.lit(None).cast("string"))
         user = F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.lower(name))
         lang = F.element_at(F.array(*map(F.lit, ("default", "de", "de_AT", "DE", "en", "fr", ""))), (F.col("c_nationkey") % 7 + 1).cast("int"))
-        return self.table("customer").select(k.alias("uid"), user.alias("username"), real.alias("real_name"), lang.alias("lang"), (k % 10 == 0).alias("is_admin"), F.col("c_nationkey").alias("nation"))
+        return self.table("customer").select(
+            k.alias("uid"), user.alias("username"), real.alias("real_name"), lang.alias("lang"), (k % 10 == 0).alias("is_admin"),
+            F.col("c_nationkey").alias("nation"),
+        )
 
     @cached_property
     def grants(self) -> DataFrame:
         """Grants of every user on one storage; on the others they have none."""
-        return self.users.select("uid", (F.col("nation") % 3 + 1).cast("bigint").alias("storage_id"), (F.col("uid") % 2 == 0).alias("storage_right"), (F.col("uid") % 4 != 1).alias("may_add"))
+        return self.users.select(
+            "uid", (F.col("nation") % 3 + 1).cast("bigint").alias("storage_id"), (F.col("uid") % 2 == 0).alias("storage_right"),
+            (F.col("uid") % 4 != 1).alias("may_add"),
+        )
 
     @cached_property
     def requests(self) -> DataFrame:
         """A request by each user, for each document and with each event; some users and documents don't exist."""
         own = self.users.select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("request_id"), "uid", F.col("uid").alias("doc_id"))
-        more = self.table("events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), F.col("user_id").alias("uid"), F.col("event_id").alias("doc_id"))
+        more = self.table("events").select(
+            F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("request_id"), F.col("user_id").alias("uid"),
+            F.col("event_id").alias("doc_id"),
+        )
         n = F.col("doc_id")
         each = self.table("documents").select(F.concat(F.lit("d"), n.cast("string")).alias("request_id"), (n * 7 % 150 + 1).alias("uid"), "doc_id")
         return own.unionAll(each).unionAll(more).withColumn("file_right", F.col("uid") % 3 != 0)
@@ -66,7 +82,9 @@ class Model:
         """Raw file names as requests bring them, good and bad."""
         n, i = F.col("doc_id"), F.col("doc_id").cast("string")
         raw = (
-            F.when(n % 8 == 0, F.concat(F.lit("  report"), i, F.lit(" "))).when(n % 8 == 1, F.concat(F.lit("a/b\\c"), i, F.lit(".DOCX"))).when(n % 8 == 2, "..").when(n % 8 == 3, "dir/")
+            F.when(n % 8 == 0, F.concat(F.lit("  report"), i, F.lit(" "))).when(
+                n % 8 == 1, F.concat(F.lit("a/b\\c"), i, F.lit(".DOCX")),
+            ).when(n % 8 == 2, "..").when(n % 8 == 3, "dir/")
             .when(n % 8 == 4, "").when(n % 8 == 5, "x.doc").when(n % 8 == 6, F.concat(F.lit("\ttab"), i, F.lit(".docx\n"))).otherwise(F.concat(F.lit("..\\..\\y"), i))
         )
         return self.table("documents").select("doc_id", raw.alias("raw"))
@@ -76,8 +94,13 @@ class Model:
         """Request bodies of the operations, some broken."""
         e, i = F.col("event_id"), F.col("event_id").cast("string")
         body = (
-            F.when(e % 7 == 0, "").when(e % 7 == 1, "{broken").when(e % 7 == 2, "[1,2]").when(e % 7 == 3, F.concat(F.lit('{"file":"1:/f'), i, F.lit('.docx","revision":"'), (e + 99_999_999_999).cast("string"), F.lit('"}')))
-            .when(e % 7 == 4, F.concat(F.lit('{"file":"1:/g.docx","revision":'), i, F.lit(',"sessionUid":"12abc"}'))).when(e % 7 == 5, '{"file":"","revision":"abc","sessionUid":"0"}').otherwise('{"sessionUid":"-4"}')
+            F.when(e % 7 == 0, "").when(e % 7 == 1, "{broken").when(e % 7 == 2, "[1,2]").when(
+                e % 7 == 3,
+                F.concat(F.lit('{"file":"1:/f'), i, F.lit('.docx","revision":"'), (e + 99_999_999_999).cast("string"), F.lit('"}')),
+            )
+            .when(
+                e % 7 == 4, F.concat(F.lit('{"file":"1:/g.docx","revision":'), i, F.lit(',"sessionUid":"12abc"}')),
+            ).when(e % 7 == 5, '{"file":"","revision":"abc","sessionUid":"0"}').otherwise('{"sessionUid":"-4"}')
         )
         return self.table("events").select("event_id", body.alias("body"))
 

@@ -34,7 +34,9 @@ SELECT doc_id, CASE WHEN data = '' THEN 400 WHEN doc_id % 5 IN (2, 3) THEN 400 E
 """)
 def base64_strict(m: Model) -> DataFrame:
     k = F.col("doc_id") % 5
-    data = F.when(k == 0, S.base64(F.encode("source", "utf-8"))).when(k == 1, F.rtrim(S.base64(F.encode("lang", "utf-8")), F.lit("="))).when(k == 2, "YQ=").when(k == 3, "####").otherwise("")
+    data = F.when(k == 0, S.base64(F.encode("source", "utf-8"))).when(
+        k == 1, F.rtrim(S.base64(F.encode("lang", "utf-8")), F.lit("=")),
+    ).when(k == 2, "YQ=").when(k == 3, "####").otherwise("")
     rows = m.table("documents").select("doc_id", data.alias("data")).withColumn("bytes", F.when(F.col("data") != "", S.strict_base64(F.col("data"))))
     return rows.select("doc_id", F.when(F.col("bytes").isNull(), 400).otherwise(200).alias("status"), F.decode("bytes", "utf-8").alias("content"))
 
@@ -47,7 +49,10 @@ FROM b
 """)
 def name_normalize(m: Model) -> DataFrame:
     name = S.docx_name(F.col("raw"))
-    return m.names.select("doc_id", name.alias("name"), F.when(name.isNull(), 400).otherwise(200).alias("status"), S.save_as_name(S.trim(F.col("raw")), F.lit(None).cast("string")).alias("save_as"))
+    return m.names.select(
+        "doc_id", name.alias("name"), F.when(name.isNull(), 400).otherwise(200).alias("status"),
+        S.save_as_name(S.trim(F.col("raw")), F.lit(None).cast("string")).alias("save_as"),
+    )
 
 
 @query("SELECT file_identifier, extension FROM files WHERE lower(extension) = 'docx'")
@@ -84,7 +89,10 @@ def download_url(m: Model) -> DataFrame:
 @query("SELECT doc_id, url || '&file=' || replace(url_encode(file_identifier), '%20', '+') AS url, '/edit?file=' || url_encode(file_identifier) AS edit_url FROM (SELECT doc_id, file_identifier, '/route?token=' || storage_id AS url FROM files)")
 def url_param(m: Model) -> DataFrame:
     url = F.concat(F.lit("/route?token="), F.col("storage_id").cast("string"))
-    return m.files.select("doc_id", S.with_parameter(url, "file", F.col("file_identifier")).alias("url"), S.with_parameter(F.lit("/edit"), "file", F.col("file_identifier")).alias("edit_url"))
+    return m.files.select(
+        "doc_id", S.with_parameter(url, "file", F.col("file_identifier")).alias("url"),
+        S.with_parameter(F.lit("/edit"), "file", F.col("file_identifier")).alias("edit_url"),
+    )
 
 
 @query("SELECT p_partkey, 'label' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS key FROM part")
@@ -106,4 +114,7 @@ def clamp(m: Model) -> DataFrame:
     p = F.col("p_size")
     x, w = p * 40 - 200, p % 7 * 50
     z = F.when(p % 3 == 0, "1000").when(p % 3 == 1, "auto").otherwise("2000px")
-    return m.table("part").select("p_partkey", S.clamped_left(x, w, F.lit(900)).alias("clamped"), S.moved_left(x, w, F.lit(10), F.lit(900)).alias("moved"), S.is_popover(F.when(p % 5 == 0, "fixed").otherwise("absolute"), z).alias("popover"))
+    return m.table("part").select(
+        "p_partkey", S.clamped_left(x, w, F.lit(900)).alias("clamped"), S.moved_left(x, w, F.lit(10), F.lit(900)).alias("moved"),
+        S.is_popover(F.when(p % 5 == 0, "fixed").otherwise("absolute"), z).alias("popover"),
+    )

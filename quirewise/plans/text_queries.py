@@ -17,7 +17,9 @@ from .registry import query
 
 #: Labels of both locales that these queries look up.
 LABELS = {
-    ("en", "editor.saved"): "Saved", ("en", "editor.saving"): "Saving…", ("en", "editor.saveFailed"): "Save failed", ("en", "editor.download"): "Download", ("en", "editor.empty"): "",
+    ("en", "editor.saved"): "Saved", ("en", "editor.saving"): "Saving…", (
+        "en", "editor.saveFailed",
+    ): "Save failed", ("en", "editor.download"): "Download", ("en", "editor.empty"): "",
     ("de", "editor.saved"): "Gespeichert", ("de", "editor.download"): "Herunterladen",
 }
 MOST_LABELS = 10_000
@@ -40,7 +42,11 @@ def payload_parse(m: Model) -> DataFrame:
     rows = m.bodies.withColumn("p", sources.payload(F.col("body")))
     there = F.col("p").isNotNull()
     uid = F.when(there, S.php_int(F.col("p.sessionUid")))
-    return rows.select("event_id", F.when(there, 200).otherwise(400).alias("status"), F.col("p.file").alias("file"), F.when(there, S.php_int(F.col("p.revision"), -1)).alias("revision"), uid.alias("session_uid"), (uid > 0).alias("session_ok"))
+    return rows.select(
+        "event_id", F.when(there, 200).otherwise(400).alias("status"), F.col("p.file").alias("file"),
+        F.when(there, S.php_int(F.col("p.revision"), -1)).alias("revision"), uid.alias("session_uid"),
+        (uid > 0).alias("session_ok"),
+    )
 
 
 @query("""
@@ -58,9 +64,14 @@ def param_resolve(m: Model) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS ok, CASE WHEN doc_id % 2 = 1 THEN 'bad ' || lang END AS error, CASE WHEN doc_id % 2 = 0 THEN source END AS name, 2 AS entries FROM documents""")
 def response_envelope(m: Model) -> DataFrame:
     ok = F.col("doc_id") % 2 == 0
-    content = F.when(ok, F.create_map(F.lit("name"), F.col("source"), F.lit("ok"), F.lit("no"))).otherwise(F.create_map(F.lit("error"), F.concat(F.lit("bad "), F.col("lang"))))
+    content = F.when(
+        ok, F.create_map(F.lit("name"), F.col("source"), F.lit("ok"), F.lit("no")),
+    ).otherwise(F.create_map(F.lit("error"), F.concat(F.lit("bad "), F.col("lang"))))
     e = sources.envelope(ok, content)
-    return m.table("documents").select("doc_id", F.try_element_at(e, F.lit("ok")).alias("ok"), F.try_element_at(e, F.lit("error")).alias("error"), F.try_element_at(e, F.lit("name")).alias("name"), F.size(e).alias("entries"))
+    return m.table("documents").select(
+        "doc_id", F.try_element_at(e, F.lit("ok")).alias("ok"), F.try_element_at(e, F.lit("error")).alias("error"),
+        F.try_element_at(e, F.lit("name")).alias("name"), F.size(e).alias("entries"),
+    )
 
 
 @query("""
@@ -72,7 +83,10 @@ def manifest_resolve(m: Model) -> DataFrame:
     text = F.when(k % 5 < 3, MANIFEST_TEXT).when(k % 5 == 3, "[broken").otherwise('["main.js"]')
     rows = m.table("nation").select("n_nationkey", sources.manifest(text).alias("e"))
     pick = lambda f: F.when(k % 3 == 0, f(F.col("e"), "main.js")).when(k % 3 == 1, f(F.col("e"), "plain.js")).otherwise(f(F.col("e"), "missing.js"))
-    return rows.select("n_nationkey", pick(sources.manifest_script).alias("script"), pick(sources.manifest_style).alias("style"), F.col("e").isNotNull().alias("has_build"))
+    return rows.select(
+        "n_nationkey", pick(sources.manifest_script).alias("script"), pick(sources.manifest_style).alias("style"),
+        F.col("e").isNotNull().alias("has_build"),
+    )
 
 
 _LABELS_SQL = "(VALUES " + ", ".join(f"('{a}', '{k}', '{t}')" for (a, k), t in LABELS.items()) + ") AS l(locale, key, text)"
@@ -84,7 +98,10 @@ SELECT uid, a.locale, a.key, coalesce(nullif(l.text, ''), a.key) AS text FROM a
 """)
 def label_lookup(m: Model) -> DataFrame:
     k = F.col("uid") % 4
-    asked = m.users.select("uid", S.locale(F.col("lang")).alias("locale"), F.when(k == 0, "editor.saved").when(k == 1, "editor.empty").when(k == 2, "editor.download").otherwise("editor.none").alias("key"))
+    asked = m.users.select(
+        "uid", S.locale(F.col("lang")).alias("locale"),
+        F.when(k == 0, "editor.saved").when(k == 1, "editor.empty").when(k == 2, "editor.download").otherwise("editor.none").alias("key"),
+    )
     return with_labels(asked, label_frame(m)).select("uid", "locale", "key", "text")
 
 
@@ -103,10 +120,18 @@ def with_labels(asked: DataFrame, labels: DataFrame) -> DataFrame:
 SELECT uid, i AS level, CASE WHEN uid % 3 = 0 AND i = 1 THEN 'Main title' WHEN uid % 2 = 0 THEN 'H' || i ELSE 'Heading ' || i END AS title FROM users, range(1, 5) r(i)
 """)
 def label_defaults(m: Model) -> DataFrame:
-    given = F.map_concat(F.when(F.col("uid") % 2 == 0, F.create_map(*[x for i in range(1, 5) for x in (F.lit(f"heading{i}"), F.lit(f"H{i}"))])).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("uid") % 3 == 0, F.create_map(F.lit("heading1Title"), F.lit("Main title"))).otherwise(F.create_map().cast("map<string,string>")))
+    given = F.map_concat(
+        F.when(
+            F.col("uid") % 2 == 0, F.create_map(*[x for i in range(1, 5) for x in (F.lit(f"heading{i}"), F.lit(f"H{i}"))]),
+        ).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(F.col("uid") % 3 == 0, F.create_map(F.lit("heading1Title"), F.lit("Main title"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
     rows = m.users.select("uid", given.alias("given"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("level"))
     key = F.concat(F.lit("heading"), F.col("level").cast("string"))
-    title = F.coalesce(F.try_element_at("given", F.concat(key, F.lit("Title"))), F.try_element_at("given", key), F.concat(F.lit("Heading "), F.col("level").cast("string")))
+    title = F.coalesce(
+        F.try_element_at("given", F.concat(key, F.lit("Title"))), F.try_element_at("given", key),
+        F.concat(F.lit("Heading "), F.col("level").cast("string")),
+    )
     return rows.select("uid", "level", title.alias("title"))
 
 
@@ -128,7 +153,10 @@ def label_json_fallback(m: Model) -> DataFrame:
 
 @query("SELECT doc_id, 'Saved to ' || file_identifier AS label, 'Hi {name}, file ' || name AS named FROM files")
 def label_format(m: Model) -> DataFrame:
-    return m.files.select("doc_id", F.format_string("Saved to %s", "file_identifier").alias("label"), messages.named(F.lit("Hi {name}, file {file}"), {"file": F.col("name")}).alias("named"))
+    return m.files.select(
+        "doc_id", F.format_string("Saved to %s", "file_identifier").alias("label"),
+        messages.named(F.lit("Hi {name}, file {file}"), {"file": F.col("name")}).alias("named"),
+    )
 
 
 @query("""
@@ -151,7 +179,10 @@ SELECT p_partkey, CASE p_size % 6 WHEN 1 THEN '1 editor online' ELSE (p_size % 6
 """)
 def icu_plural(m: Model) -> DataFrame:
     n = F.col("p_size") % 6
-    exact = messages.formatted(F.lit("{count, plural, =0 {nobody} one {one} other {# others}} at {brand}"), {"count": n, "brand": F.concat(F.lit("{count}"), F.col("p_brand"))})
+    exact = messages.formatted(
+        F.lit("{count, plural, =0 {nobody} one {one} other {# others}} at {brand}"),
+        {"count": n, "brand": F.concat(F.lit("{count}"), F.col("p_brand"))},
+    )
     nested = messages.plural(F.lit("{count, plural, one {{a #}} other {more} other {last}}"), {"count": n})
     return m.table("part").select("p_partkey", messages.plural(F.lit(COLLABORATORS), {"count": n}).alias("collaborators"), exact.alias("exact"), nested.alias("nested"))
 
@@ -192,7 +223,10 @@ CASE WHEN contains({0}, 'THE ') THEN NULL
 SELECT doc_id, sha256({_REWRITE.format("text")}) AS rewritten, CASE WHEN contains(text, 'THE ') THEN NULL WHEN contains(text, 'the ') THEN 'first' WHEN contains(text, 'la ') THEN 'second' WHEN contains(text, 'der ') THEN 'third' END AS rule FROM documents
 """)
 def rewrite_rules(m: Model) -> DataFrame:
-    return m.table("documents").select("doc_id", S.sha256(rewriting.rewrite(F.col("text"), RULES, _DONE)).alias("rewritten"), rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("rule"))
+    return m.table("documents").select(
+        "doc_id", S.sha256(rewriting.rewrite(F.col("text"), RULES, _DONE)).alias("rewritten"),
+        rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("rule"),
+    )
 
 
 _RULE = "CASE WHEN contains({0}, 'THE ') THEN NULL WHEN contains({0}, 'the ') THEN 'first' WHEN contains({0}, 'la ') THEN 'second' WHEN contains({0}, 'der ') THEN 'third' END"
@@ -204,7 +238,10 @@ SELECT doc_id, first_rule, {_RULE.format("once")} AS again, once IS NULL OR {_RU
 """)
 def rewrite_idempotent(m: Model) -> DataFrame:
     """Which rule a second rewrite applies: none after the first rule, whose result is marked as done; the others may apply again."""
-    once = m.table("documents").select("doc_id", rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("first_rule"), rewriting.rewrite(F.col("text"), RULES, _DONE).alias("once"))
+    once = m.table("documents").select(
+        "doc_id", rewriting.applied_rule(F.col("text"), RULES, _DONE).alias("first_rule"),
+        rewriting.rewrite(F.col("text"), RULES, _DONE).alias("once"),
+    )
     again = rewriting.applied_rule(F.col("once"), RULES, _DONE)
     return once.select("doc_id", "first_rule", again.alias("again"), again.isNull().alias("unchanged"))
 
@@ -267,17 +304,25 @@ SELECT event_id, k NOT IN (0, 1, 3) AND k <> 5 AND status BETWEEN 200 AND 299 AS
 def client_response(m: Model) -> DataFrame:
     """Responses as the client reads them: no JSON, errors with and without a text, lists, statuses of all kinds."""
     e = F.col("event_id")
-    body = F.when(e % 6 == 0, "<html>").when(e % 6 == 1, '{"ok":false,"error":"bad"}').when(e % 6 == 2, '{"ok":true}').when(e % 6 == 3, '{"ok":false}').when(e % 6 == 4, '{"ok":true,"error":"odd"}').otherwise("[]")
+    body = F.when(e % 6 == 0, "<html>").when(
+        e % 6 == 1, '{"ok":false,"error":"bad"}',
+    ).when(e % 6 == 2, '{"ok":true}').when(e % 6 == 3, '{"ok":false}').when(e % 6 == 4, '{"ok":true,"error":"odd"}').otherwise("[]")
     status = (200 + e % 4 * 100 + e % 3).alias("status")
     rows = m.table("events").select("event_id", status, body.alias("body"))
-    return rows.select("event_id", sources.response(F.col("status"), F.concat(F.lit("Status "), F.col("status").cast("string")), F.col("body")).alias("r")).select("event_id", "r.*")
+    return rows.select(
+        "event_id",
+        sources.response(F.col("status"), F.concat(F.lit("Status "), F.col("status").cast("string")), F.col("body")).alias("r"),
+    ).select("event_id", "r.*")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, 200 AS status FROM documents WHERE text <> ''")
 def binary_files(m: Model) -> DataFrame:
     """Documents written as files, each over an older one, and read back with their integrity check."""
     folder = new_folder(m.spark, "files")
-    named = m.table("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    named = m.table("documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"),
+        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"),
+    )
     for content in (F.encode(F.lit("older"), "utf-8"), F.col("content")):
         sources.write_binaries(named.withColumn("content", content), folder).write.format("noop").mode("overwrite").save()
     back = sources.checked(sources.binary_files(m.spark, folder))
@@ -296,7 +341,10 @@ def _as_files(m: Model, kind: str, files: dict[str, str]) -> str:
 def manifest_of_a_file(m: Model) -> DataFrame:
     entries = F.col("entries")
     read = sources.manifest_file(m.spark, _as_files(m, "manifest", {"manifest.json": MANIFEST_TEXT}))
-    return read.select(sources.manifest_script(entries, "main.js").alias("script"), sources.manifest_style(entries, "main.js").alias("style"), F.size(entries).alias("entries"))
+    return read.select(
+        sources.manifest_script(entries, "main.js").alias("script"), sources.manifest_style(entries, "main.js").alias("style"),
+        F.size(entries).alias("entries"),
+    )
 
 
 @query(f"SELECT locale, key, text FROM {_LABELS_SQL}")
@@ -314,7 +362,10 @@ def labels_of_files(m: Model) -> DataFrame:
 def modules_of_a_build(m: Model) -> DataFrame:
     """All modules of a build folder as one text, by name."""
     folder = new_folder(m.spark, "modules")
-    rows = m.table("region").select(F.concat(F.lit("chunk-"), F.col("r_regionkey").cast("string"), F.lit(".mjs")).alias("name"), F.encode(F.concat(F.lit("chunk "), F.col("r_regionkey").cast("string"), F.lit(" "), F.col("r_name")), "utf-8").alias("content"))
+    rows = m.table("region").select(
+        F.concat(F.lit("chunk-"), F.col("r_regionkey").cast("string"), F.lit(".mjs")).alias("name"),
+        F.encode(F.concat(F.lit("chunk "), F.col("r_regionkey").cast("string"), F.lit(" "), F.col("r_name")), "utf-8").alias("content"),
+    )
     sources.write_binaries(rows, folder).write.format("noop").mode("overwrite").save()
     text = F.col("text")
     return sources.module_text(m.spark, folder).select(S.sha256(text).alias("digest"), F.size(F.split(text, "\n")).cast("bigint").alias("modules"))
@@ -354,7 +405,11 @@ def _closed_ops_stream(m: Model, ttl: int, late: int = 600) -> DataFrame:
     """The operations as a stream that ends with a row so late that all sessions of the operations are over; its own one stays open."""
     folder = new_folder(m.spark, "ops")
     end = m.ops.agg(F.max("t").alias("t")).filter("t is not null")
-    end = end.select(F.lit(None).cast("bigint").alias("seq"), (F.col("t") + ttl + late + 1).alias("t"), F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("file"))
+    end = end.select(
+        F.lit(None).cast("bigint").alias("seq"), (F.col("t") + ttl + late + 1).alias("t"),
+        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("op"),
+        F.lit(None).cast("string").alias("file"),
+    )
     m.ops.unionByName(end).write.parquet(folder)
     return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
 

@@ -13,8 +13,14 @@ SESSION = _table(
     uid=LongType(), pid=IntegerType(), tstamp=LongType(), crdate=LongType(), deleted=BooleanType(), file_hash=StringType(),
     file_identifier=StringType(), backend_user=IntegerType(), user_name=StringType(), last_heartbeat=LongType(),
 )
-REVISION = _table(uid=LongType(), pid=IntegerType(), tstamp=LongType(), crdate=LongType(), file_identifier=StringType(), revision=IntegerType(), content_hash=StringType(), saved_by=IntegerType())
-FILE = _table(file_identifier=StringType(), storage_id=IntegerType(), path=StringType(), name=StringType(), extension=StringType(), mime_type=StringType(), size=LongType(), content=BinaryType())
+REVISION = _table(
+    uid=LongType(), pid=IntegerType(), tstamp=LongType(), crdate=LongType(), file_identifier=StringType(), revision=IntegerType(),
+    content_hash=StringType(), saved_by=IntegerType(),
+)
+FILE = _table(
+    file_identifier=StringType(), storage_id=IntegerType(), path=StringType(), name=StringType(), extension=StringType(),
+    mime_type=StringType(), size=LongType(), content=BinaryType(),
+)
 USER = _table(uid=IntegerType(), username=StringType(), real_name=StringType(), lang=StringType(), is_admin=BooleanType())
 OPERATION = _table(seq=LongType(), t=LongType(), user_id=LongType(), op=StringType(), file=StringType())
 RULE = _table(priority=IntegerType(), id=StringType(), needle=StringType(), replacement=StringType())

@@ -23,7 +23,11 @@ def binary_files(spark: SparkSession, path: str, storage_id: int = 1) -> DataFra
     """
     name = basename(F.col("path"))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.concat(F.lit(f"{storage_id}:"), F.expr("parse_url(path, 'PATH')")).alias("file_identifier"), F.lit(storage_id).alias("storage_id"), "path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), "content")
+    return raw.select(
+        F.concat(F.lit(f"{storage_id}:"), F.expr("parse_url(path, 'PATH')")).alias("file_identifier"),
+        F.lit(storage_id).alias("storage_id"), "path", name.alias("name"),
+        F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), "content",
+    )
 
 
 def checked(files: DataFrame) -> DataFrame:

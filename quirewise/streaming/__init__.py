@@ -78,7 +78,9 @@ class PresenceProcessor(StatefulProcessor):
 def presence_events(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
     """(file, user_id, uid, event, t): sessions joined, left and expired; uid is the seq of the join that made it."""
     moves = ops.filter(F.col("op").isin("join", "heartbeat", "leave")).withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
-    return moves.groupBy("file", "user_id").transformWithStateInPandas(PresenceProcessor(ttl), "file string, user_id long, uid long, event string, t long", "append", "eventtime")
+    return moves.groupBy("file", "user_id").transformWithStateInPandas(
+        PresenceProcessor(ttl), "file string, user_id long, uid long, event string, t long", "append", "eventtime",
+    )
 
 
 class SaveProcessor(StatefulProcessor):
