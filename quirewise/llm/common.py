@@ -56,7 +56,10 @@ def arrow_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callab
         f = make()
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in zip(arrow, out.values(), strict=True)], names=arrow.names)
+                yield pa.RecordBatch.from_arrays(
+                    [x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in zip(arrow, out.values(), strict=True)],
+                    names=arrow.names,
+                )
 
     return df.mapInArrow(run, kind)
 

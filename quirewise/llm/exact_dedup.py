@@ -72,23 +72,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     equal = Window.partitionBy(*keys, "norm").orderBy(F.col("id").asc_nulls_last())
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Only numbers leave the windows, so that a group's buffer holds no texts.
-    runs = dealt.select("id", "digest", *(["salts"] if split else []), *keys[:1], *keys[2:], "norm", F.row_number().over(equal).alias("place"), F.first("id").over(equal).alias("least"), F.count(F.lit(1)).over(whole).alias("n"))
+    runs = dealt.select(
+        "id", "digest", *(["salts"] if split else []), *keys[:1], *keys[2:], "norm", F.row_number().over(equal).alias("place"),
+        F.first("id").over(equal).alias("least"), F.count(F.lit(1)).over(whole).alias("n"),
+    )
     own = runs.drop("norm").withColumns({"keep_id": F.col("least"), "size": F.col("n")})
     if split:
         own = _merged(runs)
-    return own.select(F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"), ((F.col("place") == 1) & F.col("least").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))
+    return own.select(
+        F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"),
+        ((F.col("place") == 1) & F.col("least").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"),
+    )
 
 
 def _merged(runs: DataFrame) -> DataFrame:
     """Joins the salted parts of large groups by one row from each part; the small side has MOST_SPLIT rows at most."""
     heads = runs.filter(F.col("salts").isNotNull() & (F.col("place") == 1)).select("digest", "salt", "norm", "least", "n")
     # Full comparison: parts with one digest are one group only if their texts are equal.
-    parts = heads.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.min("least").alias("all_least"), F.sum("n").alias("all_n"), F.min_by("salt", F.struct(F.col("least").isNull(), "least", "salt")).alias("first_salt"))
+    parts = heads.groupBy("digest").agg(
+        F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.min("least").alias("all_least"), F.sum("n").alias("all_n"),
+        F.min_by("salt", F.struct(F.col("least").isNull(), "least", "salt")).alias("first_salt"),
+    )
     merged = F.broadcast(parts.filter("lo = hi").select(F.col("digest").alias("whole"), "all_least", "all_n", "first_salt"))
     joined = runs.drop("norm").join(merged, F.col("digest") == F.col("whole"), "left")
     found = F.col("all_n").isNotNull()
     first = F.when(found & (F.col("salt") != F.col("first_salt")), 0).otherwise(F.col("place"))
-    return joined.withColumns({"keep_id": F.when(found, F.col("all_least")).otherwise(F.col("least")), "size": F.when(found, F.col("all_n")).otherwise(F.col("n")), "place": first})
+    return joined.withColumns({
+        "keep_id": F.when(found, F.col("all_least")).otherwise(F.col("least")),
+        "size": F.when(found, F.col("all_n")).otherwise(F.col("n")), "place": first,
+    })
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,10 @@ def _tag(text_col: str) -> Column:
 
 def shared_keys(hashes: DataFrame) -> DataFrame:
     """(h1, h2, n, least): keys that at least two documents hold; n is the number of rows that hold it."""
-    held = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    held = hashes.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+        F.max(F.col("doc_id").isNull()).alias("unnamed"),
+    )
     several = (F.col("least") != F.col("most")) | (F.col("unnamed") & F.col("least").isNotNull())
     return held.filter(several).select("h1", "h2", "n", "least")
 
@@ -130,8 +133,14 @@ def probe(hashes: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
 
         return f
 
-    index = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "payload")
-    asked = hashes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "doc_id", "tag", "h1", "h2", F.lit(None).cast("binary").alias("payload"))
+    index = shards.select(
+        "shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"),
+        F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "payload",
+    )
+    asked = hashes.select(
+        F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "doc_id", "tag", "h1", "h2",
+        F.lit(None).cast("binary").alias("payload"),
+    )
     met = index.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
     return arrow_map(met.drop("kind"), "doc_id long, tag long, h1 long, h2 long", make)
 
@@ -159,9 +168,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hits = probe(asked, shards, n_shards)
     # Of one id and text only, so a list is never longer than the text has lines, also for null ids.
     lost = hits.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    rows = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"), col(id_col).cast("long").alias("key"), _tag(text_col).alias("own_tag"))
+    rows = docs.select(
+        F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("row"), col(text_col).alias("text"),
+        col(id_col).cast("long").alias("key"), _tag(text_col).alias("own_tag"),
+    )
     joined = rows.join(lost, (F.col("own_tag") == F.col("tag")) & F.col("key").eqNullSafe(F.col("doc_id")), "left")
-    schema = StructType([StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType()), StructField("row", rows.schema["row"].dataType)])
+    schema = StructType([
+        StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType()),
+        StructField("row", rows.schema["row"].dataType),
+    ])
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:

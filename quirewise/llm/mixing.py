@@ -41,7 +41,10 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
     """(doc_id, source, size): words of each whole text; bytes split at just the contract's white space."""
 
     def make():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": [len(t.encode("utf-8", "surrogatepass").split()) for t in texts(batch)]}
+        return lambda batch: {
+            "doc_id": batch.column("doc_id"), "source": batch.column("source"),
+            "size": [len(t.encode("utf-8", "surrogatepass").split()) for t in texts(batch)],
+        }
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"))
     return arrow_map(rows, "doc_id long, source string, size long", make)
@@ -68,7 +71,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     target = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
     quota = F.ceil(F.floor("target") / BLOCK)
     done = weighed.withColumn("target", target).withColumn("quota", quota)
-    return running(done, ["source_no"], {"before": (F.sum, F.col("quota"))}).select("source", "source_no", "source_size", "rows", "target", "quota", F.coalesce("before", F.lit(0)).alias("before"))
+    return running(done, ["source_no"], {"before": (F.sum, F.col("quota"))}).select(
+        "source", "source_no", "source_size", "rows", "target", "quota", F.coalesce("before", F.lit(0)).alias("before"),
+    )
 
 
 def points(first: int, count: int) -> np.ndarray:
@@ -243,7 +248,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents without words share their place with the next document, but take nothing.
     joined = streams.join(taken, ["source_no", "at"], "left")
     own = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", own("words").alias("taken"), F.when(F.col("size") > 0, F.col("slot")).alias("first_slot"), own("slots").alias("n_slots"))
+    return joined.select(
+        "doc_id", "size", "source_size", "target", own("words").alias("taken"),
+        F.when(F.col("size") > 0, F.col("slot")).alias("first_slot"), own("slots").alias("n_slots"),
+    )
 
 
 SQL = r"""

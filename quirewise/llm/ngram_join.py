@@ -306,7 +306,9 @@ class NgramJoin:
 
             return f
 
-        met = sets.join(F.broadcast(roles) if few else roles, "node").select("b", "salt", "a", "elements").repartition(_tasks(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        met = sets.join(
+            F.broadcast(roles) if few else roles, "node",
+        ).select("b", "salt", "a", "elements").repartition(_tasks(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
         return written(arrow_map(met.drop("salt"), "a long, b long", make), "join-links")
 
     def across(self, buckets: DataFrame, labels: DataFrame, nodes: DataFrame, closest: bool) -> DataFrame:
@@ -410,7 +412,9 @@ class NgramJoin:
         links = self.linked(rows, nodes, pairs, seed)
         root = labels.select("node", "root")
         between = links.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
-        merged = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("root").alias("top"), F.col("node").alias("root"))
+        merged = components(between.select(
+            F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"),
+        )).select(F.col("root").alias("top"), F.col("node").alias("root"))
         # Old labels follow their root; roots that joined another class get a label.
         moved = labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         labels = written(moved.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root"))), "join-labels")
@@ -536,7 +540,9 @@ def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     several = rows.filter("count > 1 or id is null")
     if several.isEmpty():
         return kept
-    again = docs.join(several, own_id.eqNullSafe(F.col("id")), "left_semi").select(F.struct(*[col(c) for c in docs.columns]).alias("row"), own_id.alias("id"), col(text_col).alias("text"))
+    again = docs.join(several, own_id.eqNullSafe(F.col("id")), "left_semi").select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), own_id.alias("id"), col(text_col).alias("text"),
+    )
 
     seed = join.seed
 

@@ -69,7 +69,10 @@ _NEAR = {
     "phone": re.compile(r"phone|tel\b|tel[.:]|call|mobile|fax|cell|whatsapp|handy|téléphone|telefon|teléfono|móvil", re.I),
     "secret": re.compile(r"token|secret|passw|pwd|key|auth|credential", re.I),
 }
-_AGAINST = re.compile(r"version|isbn|issn|order|invoice|serial|tracking|article|patent|page|chapter|section|id\b|no\.|nr\.|#|\bv$|release|sku|build|hash|ticket|bestell|commande|at \d|time|forgot|reset|change|lost", re.I)
+_AGAINST = re.compile(
+    r"version|isbn|issn|order|invoice|serial|tracking|article|patent|page|chapter|section|id\b|no\.|nr\.|#|\bv$|release|sku|build|hash|ticket|bestell|commande|at \d|time|forgot|reset|change|lost",
+    re.I,
+)
 _NUMBERS = re.compile(r"[0-9]+")
 
 
@@ -196,7 +199,9 @@ class Lists:
             bool(digits) and luhn(digits), bool(digits) and digits[0] in "3456", digits.startswith("0"), digits.startswith("00"), len(set(digits)),
             len({c for c in own if not c.isalnum()}), "(" in own, "[" in own or "{" in own or "<" in own, "." in own, "-" in own, "/" in own,
             "dot" in small, own.count(":"), sum(map(str.isalpha, own)) / len(own), "::" in own, kind == 1 and _valid_v6(own),
-            _entropy(own) if kind == 4 else 0, sum(c in "0123456789abcdef" for c in small) / len(own) if kind == 4 else 0, any(map(str.isupper, own)) and any(map(str.islower, own)), small.isalpha(),
+            _entropy(own) if kind == 4 else 0, sum(c in "0123456789abcdef" for c in small) / len(own) if kind == 4 else 0, any(map(
+                str.isupper, own,
+            )) and any(map(str.islower, own)), small.isalpha(),
         ]
         context = [
             bool(near.search(before)), bool(near.search(after)), self.titles[kind, head][0], bool(near.search(line)),
@@ -242,7 +247,10 @@ def _training_text(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]
 
 
 def _cue(rng: random.Random, word, kind: int, real: bool, value: str) -> str:
-    own = (["email", "contact", "write to", "mail", ""], ["ip", "host", "from address", "server", ""], ["card", "visa", "credit card", "payment by", ""], ["phone", "tel.", "call", "mobile:", "fax", ""], ["my", "the", ""])[kind]
+    own = (
+        ["email", "contact", "write to", "mail", ""], ["ip", "host", "from address", "server", ""],
+        ["card", "visa", "credit card", "payment by", ""], ["phone", "tel.", "call", "mobile:", "fax", ""], ["my", "the", ""],
+    )[kind]
     if not real and kind in (0, 1, 3):
         return rng.choice(("version", "order no.", "invoice", "isbn", "serial", "tracking id", "", "", word()))
     cue = rng.choice(own) if real or kind == 4 or rng.random() < 0.15 else rng.choice(("version", "order no.", "invoice", "isbn", "serial", "", word()))
@@ -253,18 +261,30 @@ def _value(rng: random.Random, word, kind: int, real: bool) -> str:
     """Something of a kind, or something that looks like it."""
     d = lambda n: "".join(rng.choices("0123456789", k=n))
     if kind == 0:
-        at, dot = rng.choice([(" [at] ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" {AT} ", "."), (" [@] ", "."), ("<at>", " dot "), (" AT ", " dot "), (" at ", ".")])
+        at, dot = rng.choice([
+            (" [at] ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" {AT} ", "."),
+            (" [@] ", "."), ("<at>", " dot "), (" AT ", " dot "), (" at ", "."),
+        ])
         if real:
             name = word() + rng.choice((".", "_", "")) + rng.choice((word(), d(2), word()[:1]))
             found = f"{name}{at}{word()}{rng.choice(('', '', d(1), d(3)))}{dot}{rng.choice(('com', 'org', 'net', 'de', 'io', 'co.uk', 'fr', 'info'))}"
             return found.upper() if rng.random() < 0.1 else found
-        return rng.choice((f"{word()} at {word()} dot {word()} dot", f"{word()} (at) {word()}.{word().capitalize()}", f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word()}", f"{word()} at {d(1)}.{d(2)}"))
+        return rng.choice((
+            f"{word()} at {word()} dot {word()} dot", f"{word()} (at) {word()}.{word().capitalize()}",
+            f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word()}", f"{word()} at {d(1)}.{d(2)}",
+        ))
     if kind == 1:
         g = lambda: f"{rng.randrange(1, 65536):x}"
         if real:
-            return rng.choice((":".join(g() for _ in range(8)), f"2001:db8::{g()}", f"fe80::{g()}:{g()}:{g()}", "::1", f"2a0{d(1)}:{g()}:{g()}::{g()}", f"{g()}:{g()}:{g()}::"))
+            return rng.choice((
+                ":".join(g() for _ in range(8)), f"2001:db8::{g()}", f"fe80::{g()}:{g()}:{g()}", "::1",
+                f"2a0{d(1)}:{g()}:{g()}::{g()}", f"{g()}:{g()}:{g()}::",
+            ))
         letters = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 4)))
-        return rng.choice((f"{letters()}::{letters()}", f"{letters()}::", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", ":".join(d(1) for _ in range(5)), ":".join(f"{rng.randrange(256):02x}" for _ in range(6))))
+        return rng.choice((
+            f"{letters()}::{letters()}", f"{letters()}::", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}",
+            f"{d(2)}:{d(2)}:{d(2)}", ":".join(d(1) for _ in range(5)), ":".join(f"{rng.randrange(256):02x}" for _ in range(6)),
+        ))
     if kind == 2:
         if real:
             n = rng.choice((13, 15, 16, 16, 16))
@@ -277,12 +297,24 @@ def _value(rng: random.Random, word, kind: int, real: bool) -> str:
     if kind == 3:
         a, b, c = rng.choice("23456789") + d(2), d(3), d(4)
         if real:
-            return rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}", f"00{rng.randint(1, 99)} {a} {b} {c}", f"0{a}/{b}{d(1)}-{c}", f"0{d(9)}", f"{a}.{b}.{c}"))
-        return rng.choice((f"{d(4)}-{d(4)}-{d(4)}", f"{a} {b} {c}", f"{d(3)}-{d(4)}-{d(4)}-{d(2)}", f"20{d(2)}-{d(3)} {d(4)}", f"0{d(12)}", f"{d(3)}.{d(3)}.{d(3)}", f"978-{d(3)}-{d(4)}-{d(2)}"))
+            return rng.choice((
+                f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}", f"00{rng.randint(1, 99)} {a} {b} {c}", f"0{a}/{b}{d(1)}-{c}",
+                f"0{d(9)}", f"{a}.{b}.{c}",
+            ))
+        return rng.choice((
+            f"{d(4)}-{d(4)}-{d(4)}", f"{a} {b} {c}", f"{d(3)}-{d(4)}-{d(4)}-{d(2)}", f"20{d(2)}-{d(3)} {d(4)}", f"0{d(12)}",
+            f"{d(3)}.{d(3)}.{d(3)}", f"978-{d(3)}-{d(4)}-{d(2)}",
+        ))
     if real:
-        symbols = rng.choice(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*?"))
+        symbols = rng.choice((
+            "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
+            "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*?",
+        ))
         return rng.choice(("", "", "ghx_", "sk-", "AKIA")) + "".join(rng.choices(symbols, k=rng.choice((10, 16, 20, 32, 40, 64))))
-    return rng.choice((word() + word(), word() + word().capitalize(), "required", "forgotten", "missing.", f"<{word()}>", "${" + word().upper() + "}", "********", "function(" + word() + ")", "xxxxxxxx", "string", word() + "_" + word()))
+    return rng.choice((
+        word() + word(), word() + word().capitalize(), "required", "forgotten", "missing.", f"<{word()}>",
+        "${" + word().upper() + "}", "********", "function(" + word() + ")", "xxxxxxxx", "string", word() + "_" + word(),
+    ))
 
 
 @cache
@@ -378,7 +410,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
             pairs = [found_spans(t, model, limits) for t in own]
             counts = np.array([np.bincount([s[0] for s in base], minlength=4) if base else (0, 0, 0, 0) for base, _ in pairs], np.int64)
             out = {"doc_id": batch.column("doc_id")} | {f"n_{k}": pa.array(counts[:, i]) for i, k in enumerate(KINDS)}
-            out |= {"base_sha256": [hashlib.sha256(written_out(b).encode()).hexdigest() for b, _ in pairs], "spans": [written_out(a) for _, a in pairs], "n_spans": [len(a) for _, a in pairs]}
+            out |= {
+                "base_sha256": [hashlib.sha256(written_out(b).encode()).hexdigest() for b, _ in pairs],
+                "spans": [written_out(a) for _, a in pairs], "n_spans": [len(a) for _, a in pairs],
+            }
             return out | ({"redacted": [redacted(t, a) for t, (_, a) in zip(own, pairs, strict=True)]} if redact else {})
 
         return f

@@ -73,7 +73,9 @@ def features(text: str) -> np.ndarray:
         len(_MARK.findall(text)) / n, len(_STOP.findall(text)) / n, text.count(",") / n,
         len(counts) / n, counts.max() / n, (grams - len(np.unique(h))) / max(1, grams), np.log1p(len(lines)), 1 - len(set(lines)) / len(lines),
         sum(1 for x in lines if len(x) < 20) / len(lines), np.log1p(chars / len(lines)), sum(1 for x in lines if x[-1] in ".!?:\"'”»") / len(lines),
-        sum(map(str.isalpha, words)) / n, (len(text.encode("utf-8", "surrogatepass")) - chars) / chars, np.log1p(lengths.max()), sum(1 for w in words if w[0].isupper()) / n,
+        sum(map(str.isalpha, words)) / n, (len(text.encode(
+            "utf-8", "surrogatepass",
+        )) - chars) / chars, np.log1p(lengths.max()), sum(1 for w in words if w[0].isupper()) / n,
     ]
     by_length = np.bincount(np.minimum(lengths, BUCKETS) - 1, minlength=BUCKETS) / n
     return np.concatenate([shape, by_length]).astype(np.float32)
@@ -108,7 +110,10 @@ def new_network(mean: np.ndarray, scale: np.ndarray, hidden: int = 24, seed: int
     return Network(mean, scale, rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
 
 
-def fit_nnpu(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
+def fit_nnpu(
+    net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.01,
+    decay: float = 1e-4, seed: int = 5,
+) -> Network:
     """Adam on the non-negative risk; where the negative part falls below zero, its gradient is reversed."""
     rng = np.random.default_rng(seed)
     net = net.with_weights(net.packed())

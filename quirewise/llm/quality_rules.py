@@ -98,7 +98,9 @@ def line_features(lines: list[str]) -> np.ndarray:
         out[k] = (
             1, len(words) < 4, n > 120, np.log1p(n) / 5, stopped, not stopped and len(words) < 6, min(1, 8 * symbols / n), symbols > len(words) / 4,
             min(1, 4 * pipes / (len(words) + 1)), upper > lower, min(1, 3 * digits / n), bangs > len(words) / 4,
-            ("@" in line or "www." in line or "://" in line) and bool(_LINK.search(line)), any(w in low[k] for w in legal), line in seen, stopped and lower > 0.6 * n and not symbols and not pipes, k == 0 or k == len(lines) - 1, sum(map(str.__eq__, words, words[1:])) > 0.2 * len(words),
+            ("@" in line or "www." in line or "://" in line) and bool(_LINK.search(line)), any(w in low[k] for w in legal), line in seen, stopped and lower > 0.6 * n and not symbols and not pipes, k == 0 or k == len(lines) - 1, sum(map(
+                str.__eq__, words, words[1:],
+            )) > 0.2 * len(words),
         )
         seen.add(line)
     return out
@@ -187,13 +189,18 @@ def _generated(rng: random.Random) -> tuple[list[str], list[int]]:
         if kind == 0:
             return [" ".join(word().capitalize() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 8))]
         if kind == 1:
-            return [rng.choice(("", "", sentence() + " ")) + f" {rng.choice('|»·|')} ".join(word() for _ in range(rng.randint(3, 30))) + rng.choice(("", ".")) for _ in some]
+            return [rng.choice((
+                "", "", sentence() + " ",
+            )) + f" {rng.choice('|»·|')} ".join(word() for _ in range(rng.randint(3, 30))) + rng.choice(("", ".")) for _ in some]
         if kind == 2:
             return [" ".join(word().upper() + "!!" for _ in range(rng.randint(2, 30))) for _ in some]
         if kind == 3:
             return [" ".join(word() + rng.choice("*$%&#") * 3 for _ in range(rng.randint(3, 60))) for _ in some]
         if kind == 4:
-            return [rng.choice(("Copyright © 2024 ", "All rights reserved. ", "Licensed under the ", "Privacy policy ", "We use cookies ", "Sign in ", "Subscribe ", "Click here ", "Share this ")) + " ".join(word() for _ in range(rng.randint(0, 8))) for _ in some]
+            return [rng.choice((
+                "Copyright © 2024 ", "All rights reserved. ", "Licensed under the ", "Privacy policy ", "We use cookies ",
+                "Sign in ", "Subscribe ", "Click here ", "Share this ",
+            )) + " ".join(word() for _ in range(rng.randint(0, 8))) for _ in some]
         if kind == 5:
             return [f"https://www.{word()}.com/{word()}" + f" {word()}" * rng.randint(0, 2) for _ in some]
         if kind == 6:
@@ -247,13 +254,23 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fiel
             failed = (n < MIN_WORDS) | (100 * repeat > 30 * n)
             share = np.array([content_share(t, field) for t in own])
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            return {"doc_id": batch.column("doc_id")} | {c: pa.array(counts[:, k]) for k, c in enumerate(names)} | {"base_failed": pa.array(failed), "content_share": pa.array(share), "kept": pa.array(~failed & (share >= keep_share))}
+            return {"doc_id": batch.column("doc_id")} | {c: pa.array(counts[:, k]) for k, c in enumerate(names)} | {
+                "base_failed": pa.array(failed), "content_share": pa.array(share),
+                "kept": pa.array(~failed & (share >= keep_share)),
+            }
 
         return f
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return arrow_map(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean", make)
+    return arrow_map(
+        rows,
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean",
+        make,
+    )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("content_share"))
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.col("content_share"),
+    )

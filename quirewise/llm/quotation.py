@@ -28,6 +28,9 @@ from .common import arrow_map, lower_words, small_batches, table, texts, written
 
 #: Shorter pieces ("Yes.", "Thanks!") link inside their conversation only.
 MIN_WORDS = 3
+#: A piece is quoted very often from this share of all quoted pieces on, and from this number.
+HOT_SHARE = 1 / 64
+LEAST_HOT = 1000
 _MARKS = re.compile(r"[\x20\t]*((?:>[\x20\t]?)+)")
 _INTRO = re.compile(r"^.{0,200}(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 
@@ -78,7 +81,10 @@ def _parsed_rows(messages: DataFrame) -> DataFrame:
 
         return f
 
-    return arrow_map(messages.select("conv_id", "turn", "role", "text"), "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,key:long>>", make)
+    return arrow_map(
+        messages.select("conv_id", "turn", "role", "text"),
+        "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,key:long>>", make,
+    )
 
 
 def reply_links(rows: DataFrame) -> DataFrame:
@@ -89,14 +95,27 @@ def reply_links(rows: DataFrame) -> DataFrame:
     ends = F.min(F.struct("conv_id", "near_turn")).alias("first"), F.max(F.struct("conv_id", (-F.col("near_turn")).alias("turn"))).alias("last")
     overall = in_conv.filter("key & 1 = 0").groupBy("key").agg(*ends)
     asked = named.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.key")
-    met = asked.join(in_conv, ["conv_id", "key"], "left").join(overall, "key", "left")
+    met = with_holders(asked.join(in_conv, ["conv_id", "key"], "left"), overall)
     parent = lambda conv, turn: F.struct(conv.alias("conv_id"), turn.alias("turn"))
     near = F.when(F.col("near_turn") < F.col("turn"), parent(F.col("conv_id"), F.col("near_turn")))
     other = lambda end, turn: F.when(F.col(f"{end}.conv_id") != F.col("conv_id"), parent(F.col(f"{end}.conv_id"), turn))
     far = F.coalesce(other("first", F.col("first.near_turn")), other("last", -F.col("last.turn")))
     voted = met.withColumn("parent", F.coalesce(near, far)).filter("parent is not null").groupBy("conv_id", "turn", "level", "parent").count()
     best = F.min(F.struct("level", (-F.col("count")).alias("votes"), "parent"))
-    return voted.groupBy("conv_id", "turn").agg(best.alias("best")).select("conv_id", "turn", F.col("best.parent.conv_id").alias("parent_conv"), F.col("best.parent.turn").alias("parent_turn"))
+    return voted.groupBy("conv_id", "turn").agg(best.alias("best")).select(
+        "conv_id", "turn", F.col("best.parent.conv_id").alias("parent_conv"), F.col("best.parent.turn").alias("parent_turn"),
+    )
+
+
+def with_holders(asked: DataFrame, overall: DataFrame) -> DataFrame:
+    """`asked` with the holders of its keys; those of keys that very many messages quote are broadcast, 1 / HOT_SHARE at most."""
+    many = max(LEAST_HOT, asked.count() * HOT_SHARE)
+    hot = asked.groupBy("key").count().filter(F.col("count") >= many).select("key")
+    if hot.isEmpty():
+        return asked.join(overall, "key", "left")
+    hot = F.broadcast(written(hot, "quoted-often"))
+    often = asked.join(hot, "key", "left_semi").join(F.broadcast(overall.join(hot, "key")), "key", "left")
+    return often.unionByName(asked.join(hot, "key", "left_anti").join(overall, "key", "left"))
 
 
 def without_circles(links: DataFrame) -> DataFrame:
@@ -123,13 +142,22 @@ def without_circles(links: DataFrame) -> DataFrame:
 
 def ancestors(links: DataFrame) -> DataFrame:
     """(conv_id, turn, root_conv, root_turn, depth) of each linked message, by pointer doubling."""
-    now = written(links.select("conv_id", "turn", F.col("parent_conv").alias("root_conv"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "replies")
+    now = written(
+        links.select("conv_id", "turn", F.col("parent_conv").alias("root_conv"), F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")),
+        "replies",
+    )
     while True:
-        up = now.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("depth").alias("more"))
+        up = now.select(
+            F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"),
+            F.col("root_turn").alias("up_turn"), F.col("depth").alias("more"),
+        )
         if now.join(up, ["root_conv", "root_turn"], "left_semi").isEmpty():
             return now
         joined = now.join(up, ["root_conv", "root_turn"], "left")
-        step = joined.select("conv_id", "turn", F.coalesce("up_conv", "root_conv").alias("root_conv"), F.coalesce("up_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        step = joined.select(
+            "conv_id", "turn", F.coalesce("up_conv", "root_conv").alias("root_conv"),
+            F.coalesce("up_turn", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+        )
         now = written(step, "replies")
 
 
@@ -150,7 +178,9 @@ def threads(messages: DataFrame) -> DataFrame:
     known = roots.join(links, ["conv_id", "turn"])
     out = rows.join(known, ["conv_id", "turn"], "left")
     out = out.select(
-        F.coalesce("root_conv", "conv_id").alias("thread_conv"), F.when(F.col("root_conv").isNotNull(), F.col("root_turn")).otherwise(F.col("turn")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("root_conv", "conv_id").alias("thread_conv"), F.when(
+            F.col("root_conv").isNotNull(), F.col("root_turn"),
+        ).otherwise(F.col("turn")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
         "conv_id", "turn", "role", F.col("parent_conv").alias("reply_conv"), F.col("parent_turn").alias("reply_turn"), "text",
     )
     return out.repartitionByRange("thread_conv", "depth", "conv_id", "turn").sortWithinPartitions("thread_conv", "depth", "conv_id", "turn")

@@ -456,9 +456,10 @@ def threads_brute(messages):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_quotes_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(0, 1000), (1, 1000), (2, 3)])
+def test_quotes_against_brute_force(spark, monkeypatch, seed, hot):
     """Random conversations that quote lines, sentences and re-wrapped passages, in their own and in others, both ways."""
+    monkeypatch.setattr(quotation, "LEAST_HOT", hot)
     rng = random.Random(seed)
     said = [" ".join(rng.choice("alpha beta gamma delta river stone").capitalize() if k == 0 else rng.choice("one two six red old new".split()) for k in range(rng.randint(1, 7))) + rng.choice(".!? ") for _ in range(60)]
     messages = []

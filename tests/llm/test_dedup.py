@@ -187,6 +187,14 @@ def test_linked_sets_share_a_signature(percent):
             assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
 
 
+def test_very_long_texts_link(spark):
+    words = [f"w{k}" for k in range(120_000)]
+    near = [*words[:60_000], "changed", *words[60_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:90_000])), (4, "w1 " * 200_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJoin(4, 85).run(as_docs(spark, rows)).collect()}
+    assert got == {1: (119_997, 1), 2: (119_997, 1), 3: (89_997, 3), 4: (1, 4)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)] + [(100, 200 + i) for i in range(30)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

@@ -242,6 +242,15 @@ def test_rules_keep_prose_and_drop_boilerplate(spark):
     assert (got[90].kept, got[91].kept, got[92].kept, got[92].base_failed, got[1].base_failed) == (True, False, False, True, True)
 
 
+def test_rules_of_very_long_texts(spark):
+    """One line of millions of characters, very many lines, and one word."""
+    long, many, one = "some words of a line, " * 150_000, "A line that is told again and again.\n" * 60_000, "x" * 2_000_000
+    got = {r.doc_id: r for r in quality_rules.judged(as_docs(spark, [(1, long), (2, many), (3, one)])).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (750_000, 750_000, True)
+    assert (got[2].n_words, got[2].n_dup_lines, got[2].kept) == (480_000, 59_999, False)
+    assert (got[3].n_words, got[3].word_chars, got[3].base_failed) == (1, 2_000_000, True)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     field = quality_rules.Field()
