@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, pii, pseudo_likelihood, quality, quality_rules, quotation
+from . import collocations, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, pseudo_likelihood, quality, quality_rules, quotation, vector_codes
 
 QUERIES = {
     "op5_lm_scores": pseudo_likelihood.op5_lm_scores,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_ngram_join": ngram_join.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_collocations": collocations.SQL,
 }

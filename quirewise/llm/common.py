@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..tables import drop_scratch, new_folder, scratch, shared_dir, written
 
-__all__ = ["arrow_map", "col", "drop_scratch", "lower_words", "new_folder", "scratch", "shared_dir", "small_batches", "split_words", "table", "texts", "written"]
+__all__ = ["arrow_map", "by_key", "col", "drop_scratch", "lower_words", "new_folder", "scratch", "shared_dir", "small_batches", "split_words", "table", "texts", "written"]
 
 #: Fixed value: the white space of the contracts.
 SPACE = " \t\n\x0b\x0c\r"
@@ -89,3 +90,24 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Keys that hold this share of the rows are hot: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 64
+LEAST_HOT = 1000
+
+
+def by_key(rows: DataFrame, values: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """`rows` with the columns of `values`, which has each key once (nulls are equal); rows without a value go.
+
+    weight: the column of `values` with the number of rows that hold the key; it is left out.  Hot keys, of which
+    there are at most 64, are joined by broadcast, so no task gets all rows of one.  Both are read more than once.
+    """
+    total = values.agg(F.sum(weight)).head()[0] or 0
+    is_hot = F.col(weight) >= max(LEAST_HOT, total * HOT_SHARE)
+    named = values.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in values.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    out = [*rows.columns, *[c for c in values.columns if c not in (*keys, weight)]]
+    hot = F.broadcast(named.filter(is_hot))
+    cold = rows.join(hot.select(*[f"_of_{k}" for k in keys]), same, "left_anti").join(named.filter(~is_hot), same)
+    return rows.join(hot, same).select(*out).unionByName(cold.select(*out))
