@@ -30,7 +30,7 @@ LONGEST = 3
 TOP = 2000
 #: A part goes where a longer candidate around it has this share, in hundredths, of its occurrences.
 INSIDE = 50
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 HELD_BYTES = 64 << 20
 #: Cells of a block, as a power of two; blocks grow once the sketch has 1,024 of them.
 BLOCK_BITS = (20, 26)
@@ -39,12 +39,24 @@ _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(rang
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def pieces(text: str) -> Iterator[tuple[bytes, int]]:
-    """The pieces that have words, with one space between words, and the number of words."""
-    for piece in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
-        if words:
-            yield b" ".join(words), len(words)
+def guarded(text: str) -> bytes:
+    """The words with one space between them, and a line end as a word between pieces (some of which are empty)."""
+    data = text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(b"\n", b" \n ")
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.strip(b" ")
+
+
+def cut_at_pieces(data: bytes) -> Iterator[bytes]:
+    """Parts of at most a shard, or of one piece where that is longer."""
+    at = 0
+    while len(data) - at > SHARD_BYTES:
+        end = data.rfind(b" \n ", at, at + SHARD_BYTES)
+        if end < 0 and (end := data.find(b" \n ", at)) < 0:
+            break
+        yield data[at:end]
+        at = end + 3
+    yield data[at:]
 
 
 def shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -54,25 +66,25 @@ def shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         from pyspark import TaskContext
 
         own, made = TaskContext.get().partitionId(), 0
-        held: dict[str, list] = {}  # of each language: bytes, words, pieces
+        held: dict[str, list] = {}  # of each language: bytes, parts
 
         def flush(lang: str) -> pa.RecordBatch:
             nonlocal made
-            _, n, parts = held.pop(lang)
             made += 1
-            text = b" " + b" \n ".join(parts) + b" "
+            text = b" " + b" \n ".join(held.pop(lang)[1]) + b" "
+            n = text.count(b" ") - 1 - text.count(b"\n")
             columns = ([(own << 32) + made], pa.int64()), ([lang], pa.string()), ([n], pa.int64()), ([text.decode("utf-8", "surrogatepass")], pa.string())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["shard", "lang", "n", "text"])
 
         for b in batches:
             for text, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
-                for piece, n in pieces(text):
-                    mine = held.setdefault(lang, [0, 0, []])
-                    mine[0] += len(piece) + 3
-                    mine[1] += n
-                    mine[2].append(piece)
-                    if mine[0] >= SHARD_BYTES:
+                for part in cut_at_pieces(guarded(text)):
+                    if lang in held and held[lang][0] + len(part) > SHARD_BYTES:
                         yield flush(lang)
+                    if part.strip(b" \n"):
+                        mine = held.setdefault(lang, [0, []])
+                        mine[0] += len(part) + 3
+                        mine[1].append(part)
             while sum(x[0] for x in held.values()) > HELD_BYTES:
                 yield flush(max(held, key=lambda k: held[k][0]))
         for lang in list(held):
@@ -134,22 +146,19 @@ def sketch_messages(parts: DataFrame, bits: int) -> DataFrame:
     """(shard, block, size, cells, counts): a shard's cells in one block, ascending, as bytes of their differences."""
     low = _block_bits(bits)
 
+    def sent(shard: int, lang: str, text: str) -> Iterator[tuple]:
+        p = Phrases(text)
+        cell, at = np.unique(p.cells(lang, bits), return_inverse=True)
+        counts = np.minimum(np.bincount(at, np.concatenate([n for _, n in p.kinds]), len(cell)), LEAST).astype(np.uint8)
+        edges = np.flatnonzero(np.diff(cell >> low, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(cell)], strict=True):
+            steps = np.diff(cell[a:b] & ((1 << low) - 1), prepend=0).astype("<u4")
+            yield shard, int(cell[a] >> low), int(b - a), steps.view(np.uint8).reshape(-1, 4).T.tobytes(), counts[a:b].tobytes()  # the high bytes, mostly zeros, together
+
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"shard": [], "block": [], "size": [], "cells": [], "counts": []}
-            for shard, lang, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text")), strict=True):
-                p = Phrases(text)
-                cell, at = np.unique(p.cells(lang, bits), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([n for _, n in p.kinds]), len(cell))
-                edges = np.flatnonzero(np.diff(cell >> low, prepend=-1))
-                for a, b in zip(edges, [*edges[1:], len(cell)], strict=True):
-                    steps = np.diff(cell[a:b] & ((1 << low) - 1), prepend=0).astype("<u4")
-                    out["shard"].append(shard)
-                    out["block"].append(int(cell[a] >> low))
-                    out["size"].append(int(b - a))
-                    out["cells"].append(steps.view(np.uint8).reshape(-1, 4).T.tobytes())  # the high bytes, mostly zeros, together
-                    out["counts"].append(np.minimum(counts[a:b], LEAST).astype(np.uint8).tobytes())
-            return out
+            out = [m for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text")), strict=True) for m in sent(*row)]
+            return {c: [m[k] for m in out] for k, c in enumerate(("shard", "block", "size", "cells", "counts"))}
 
         return f
 
@@ -177,22 +186,26 @@ def scanned(parts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     listed = answers.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "size", "reached"))).alias("answers"))
     met = parts.select("shard", "lang", "text").join(listed, "shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(lang: str, text: str, got: list[dict]) -> tuple[list[str], list[int], np.ndarray]:
         import ahocorasick
 
+        p = Phrases(text)
+        _, at = np.unique(p.cells(lang, bits), return_inverse=True)
+        reached = np.concatenate([np.unpackbits(np.frombuffer(x["reached"], np.uint8), count=x["size"]) for x in got]).astype(bool)
+        names, sizes = p.named(reached[at])
+        del p, at
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, name in enumerate(names):
+            automaton.add_word(f" {name} ", k)
+        automaton.make_automaton()
+        found = np.fromiter((k for _, k in automaton.iter(text)), np.int32) if names else np.zeros(0, np.int32)
+        return names, sizes, np.bincount(found, minlength=len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, text, got in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "answers")), strict=True):
-                p = Phrases(text)
-                _, at = np.unique(p.cells(lang, bits), return_inverse=True)
-                reached = np.concatenate([np.unpackbits(np.frombuffer(x["reached"], np.uint8), count=x["size"]) for x in got]).astype(bool)
-                names, sizes = p.named(reached[at])
-                if not names:
-                    continue
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for k, name in enumerate(names):
-                    automaton.add_word(f" {name} ", k)
-                automaton.make_automaton()
-                counts = np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=len(names))
+            for row in range(b.num_rows):
+                lang, text, got = (b.column(c)[row].as_py() for c in ("lang", "text", "answers"))
+                names, sizes, counts = counted(lang, text, got)
                 for lo in range(0, len(names), 50_000):
                     own = slice(lo, lo + 50_000)
                     columns = pa.array([lang] * len(names[own]), pa.string()), pa.array(sizes[own], pa.int32()), pa.array(names[own], pa.string()), pa.array(counts[own], pa.int64())
@@ -209,8 +222,9 @@ def phrase_counts(parts: DataFrame, words: int, least: int = LEAST) -> DataFrame
     return scanned(parts, answers, bits).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
-def _words(phrase: Column, start: int, size: int) -> Column:
-    return F.array_join(F.slice(F.split(phrase, " "), start, size), " ")
+def _words(phrase: Column, n: int) -> Column:
+    """The first n words, or the last ones."""
+    return F.substring_index(phrase, " ", n)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int | None = TOP) -> DataFrame:
@@ -226,12 +240,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ValueError(f"messages carry counts up to {LEAST} only")
     small_batches(docs.sparkSession)
     parts = written(shards(docs, text_col, lang_col), "phrase-shards")
+    small_batches(docs.sparkSession, size="4m")
     per_lang = parts.groupBy("lang").agg(F.sum("n").alias("n"))
     words = per_lang.agg(F.sum("n")).head()[0] or 0
     counts = written(phrase_counts(parts, words, least), "phrase-counts")
     longer = counts.filter("k > 1")
     cuts = [(k, j) for k in range(2, LONGEST + 1) for j in range(1, k)]
-    ends = [F.when(F.col("k") == k, F.struct(F.lit(j).alias("cut"), F.lit(side).alias("side"), _words(F.col("phrase"), *at).alias("part"))) for k, j in cuts for side, at in (("l", (1, j)), ("r", (j + 1, k - j)))]
+    ends = [F.when(F.col("k") == k, F.struct(F.lit(j).alias("cut"), F.lit(side).alias("side"), _words(F.col("phrase"), n).alias("part"))) for k, j in cuts for side, n in (("l", j), ("r", j - k))]
     asked = written(longer.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.array_compact(F.array(*ends))).alias("e")).select("lang", "phrase", "a", "e.*"), "phrase-parts")
     held = asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("held"))
     of_part = written(held.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"]), "phrase-part-counts")
@@ -240,7 +255,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     sides = valued.groupBy("lang", "phrase", "a").agg(*[pick(j, s).alias(f"{s}{j}") for j in range(1, LONGEST) for s in "lr"])
     worst = F.array_min(F.array_compact(F.array(*[F.when(F.col(f"l{j}").isNotNull(), F.struct(_score(f"l{j}", f"r{j}").alias("score"), F.lit(j).alias("cut"), F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r"))) for j in range(1, LONGEST)])))
     scored = sides.withColumn("w", worst).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
-    inner = longer.filter(F.col("k") == LONGEST).select("lang", F.explode(F.array(*[_words(F.col("phrase"), j, 2) for j in (1, 2)])).alias("phrase"), "f")
+    inner = longer.filter(F.col("k") == LONGEST).select("lang", F.explode(F.array(_words(F.col("phrase"), 2), _words(F.col("phrase"), -2))).alias("phrase"), "f")
     around = inner.groupBy("lang", "phrase").agg(F.max("f").alias("around"))
     kept = scored.join(around, ["lang", "phrase"], "left").filter(F.col("around").isNull() | (100 * F.col("around") < INSIDE * F.col("a"))).drop("around")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
