@@ -6,8 +6,9 @@
    with a cell for each occurrence in the corpus or more (so it grows with it), cut into blocks.  A task
    adds up one block and answers each shard, one bit a cell, which cells reach the least count.  A cell is
    an upper bound of each phrase in it, so no phrase that is frequent enough is lost.
-3. Each shard compiles its own phrases whose bound is high enough into an automaton (pyahocorasick), each
-   with a delimiter on both sides, and scans its text once: matches overlap, and none crosses a piece.
+3. Each shard compiles its own phrases of two or three words whose bound is high enough into an automaton
+   (pyahocorasick), each with a delimiter on both sides, and scans its text once: matches overlap, and none
+   crosses a piece.  Single words, which are no candidates, are counted as they are coded.
 4. Counts are summed over shards, and only then the thresholds apply, to exact counts.
 
 A task holds one shard or one block.  No list of candidates of the whole corpus meets anywhere.
@@ -16,6 +17,7 @@ A task holds one shard or one block.  No list of candidates of the whole corpus
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from .common import arrow_map, by_key, col, small_batches, table, texts, written
 LEAST = 10
 LONGEST = 3
 TOP = 2000
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: A part goes where a longer candidate around it has this share, in hundredths, of its occurrences.
 INSIDE = 50
 SHARD_BYTES = 2 << 20
@@ -100,17 +104,20 @@ class Phrases:
     def __init__(self, text: str):
         coded = pc.split_pattern(pa.array([text[1:-1]], pa.large_string()), " ").flatten().dictionary_encode()
         self.words = coded.dictionary.to_pylist()
-        last = coded.indices.to_numpy().astype(np.int64)
-        ids, v = last, len(self.words)
-        numbers = np.arange(v)[:, None]  # of each distinct phrase so far
-        inside = is_word = np.array([w != "\n" for w in self.words], bool)  # whether it lies in one piece
-        self.kinds: list[tuple[np.ndarray, np.ndarray]] = [(numbers[inside], np.bincount(ids, minlength=v)[inside])]
+        last, v = coded.indices.to_numpy(), len(self.words)
+        word = pc.not_equal(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+        there = word[last]
+        at = np.flatnonzero(there)  # where phrases begin
+        ids, numbers = last[at].astype(np.int64), np.arange(v, dtype=np.int32)[:, None]
+        self.kinds: list[tuple[np.ndarray, np.ndarray]] = [(numbers[word], np.bincount(ids, minlength=v)[word])]
         for k in range(2, LONGEST + 1):  # a phrase is its beginning's number and its last word, so a key never passes 64 bits
-            coded = pa.array(ids[:-1] * v + last[k - 1 :]).dictionary_encode()
+            longer = at + k - 1 < len(last)
+            longer[longer] = there[at[longer] + k - 1]  # in the same piece
+            at, ids = at[longer], ids[longer]
+            coded = pa.array(ids * v + last[at + k - 1]).dictionary_encode()
             ids, key = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
-            inside = inside[key // v] & is_word[key % v]
-            numbers = np.concatenate([numbers[key // v], (key % v)[:, None]], 1)
-            self.kinds.append((numbers[inside], np.bincount(ids, minlength=len(key))[inside]))
+            numbers = np.concatenate([numbers[key // v], (key % v)[:, None].astype(np.int32)], 1)
+            self.kinds.append((numbers, np.bincount(ids, minlength=len(key))))
 
     def cells(self, lang: str, bits: int) -> np.ndarray:
         """The sketch's cell of each phrase, shorter phrases first."""
@@ -127,15 +134,14 @@ class Phrases:
             out.append((x ^ (x >> np.uint64(32))) & np.uint64((1 << bits) - 1))
         return np.concatenate(out).astype(np.int64)
 
-    def named(self, chosen: np.ndarray) -> tuple[list[str], list[int]]:
-        """The phrases of a mask over all, and their lengths."""
-        names, sizes, at = [], [], 0
+    def named(self, chosen: np.ndarray) -> list[list[str]]:
+        """The phrases of a mask over all, by length."""
+        out, at = [], 0
         for word_ids, _ in self.kinds:
             own = word_ids[chosen[at : at + len(word_ids)]]
             at += len(word_ids)
-            names += [" ".join([self.words[i] for i in row]) for row in own.tolist()]
-            sizes += [word_ids.shape[1]] * len(own)
-        return names, sizes
+            out.append([" ".join([self.words[i] for i in row]) for row in own.tolist()])
+        return out
 
 
 def _block_bits(bits: int) -> int:
@@ -186,20 +192,24 @@ def scanned(parts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     listed = answers.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "size", "reached"))).alias("answers"))
     met = parts.select("shard", "lang", "text").join(listed, "shard")
 
-    def counted(lang: str, text: str, got: list[dict]) -> tuple[list[str], list[int], np.ndarray]:
+    def counted(lang: str, text: str, got: list[dict]) -> tuple[list[str], np.ndarray, np.ndarray]:
         import ahocorasick
 
         p = Phrases(text)
         _, at = np.unique(p.cells(lang, bits), return_inverse=True)
         reached = np.concatenate([np.unpackbits(np.frombuffer(x["reached"], np.uint8), count=x["size"]) for x in got]).astype(bool)
-        names, sizes = p.named(reached[at])
-        del p, at
+        reached = reached[at]
+        words, *longer = p.named(reached)
+        own = p.kinds[0][1][reached[: len(p.kinds[0][1])]]  # words are no candidates: their counts are there
+        del p, at, reached
+        names = [name for named in longer for name in named]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, name in enumerate(names):
             automaton.add_word(f" {name} ", k)
         automaton.make_automaton()
-        found = np.fromiter((k for _, k in automaton.iter(text)), np.int32) if names else np.zeros(0, np.int32)
-        return names, sizes, np.bincount(found, minlength=len(names))
+        found = np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int32) if names else np.zeros(0, np.int32)
+        sizes = np.repeat(np.arange(1, LONGEST + 1, dtype=np.int32), [len(words), *map(len, longer)])
+        return words + names, sizes, np.concatenate([own, np.bincount(found, minlength=len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,8 +268,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     inner = longer.filter(F.col("k") == LONGEST).select("lang", F.explode(F.array(_words(F.col("phrase"), 2), _words(F.col("phrase"), -2))).alias("phrase"), "f")
     around = inner.groupBy("lang", "phrase").agg(F.max("f").alias("around"))
     kept = scored.join(around, ["lang", "phrase"], "left").filter(F.col("around").isNull() | (100 * F.col("around") < INSIDE * F.col("a"))).drop("around")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(best).cast("long"))
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    if top:  # the best of each part of a language first, so that the last ranking gets PARTS * top rows of it at most
+        part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     ranked = ranked.filter(F.col("rank") <= top) if top else ranked
     return ranked.join(F.broadcast(per_lang) if top else per_lang, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
