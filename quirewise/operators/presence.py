@@ -10,23 +10,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sha256
+from ..tables import written
 from .ranking import running
 
 TTL = 45
 
 
-def sessions(ops: DataFrame, as_of: int | None = None) -> DataFrame:
-    """(file, user_id, uid, file_hash, last_heartbeat, deleted, crdate): one row per file and user up to `as_of`; uid is the seq of the latest join."""
-    seen = ops.filter(F.col("op").isin("join", "heartbeat", "leave"))
-    seen = seen if as_of is None else seen.filter(F.col("t") <= as_of)
-    alive = F.col("op") != "leave"
-    grouped = seen.groupBy("file", "user_id").agg(
-        F.max(F.when(alive, F.col("t"))).alias("last_heartbeat"), F.max_by("op", "seq").alias("last_op"),
-        F.min("t").alias("crdate"), F.coalesce(F.max(F.when(F.col("op") == "join", F.col("seq"))), F.min("seq")).alias("uid"),
+#: Operations that the session table sees; `trigger` stands for requests that only purge.
+MOVES = ("join", "heartbeat", "leave", "trigger")
+
+
+def sessions(ops: DataFrame, ttl: int = TTL, as_of: int | None = None) -> DataFrame:
+    """The session table after all operations, or those up to `as_of`: (file, user_id, uid, file_hash, last_heartbeat, deleted, crdate, tstamp).
+
+    One row for each session that a join made, as the exact replay has it: uid is the seq of that join, a later
+    join keeps it while the session lives, and heartbeats count only then.  A session is deleted once its
+    client left, or some request of any file came more than `ttl` after its last heartbeat.
+    """
+    seen = ops if as_of is None else ops.filter(F.col("t") <= as_of)
+    return table_of(session_rows(states(seen, ttl)), ttl)
+
+
+def session_rows(replay: DataFrame) -> DataFrame:
+    """(uid, file, user_id, crdate, last_heartbeat, left_at) of the sessions of a replay, and the last purge as a row with uid 0.
+
+    The purge's row has its time as last_heartbeat and the last seq as crdate.
+    """
+    named = replay.filter("uid is not null").groupBy("uid", "file", "user_id").agg(
+        F.min(F.when(F.col("is_new"), F.col("t"))).alias("crdate"), F.max(F.when(F.col("alive"), F.col("t"))).alias("last_heartbeat"),
+        F.max(F.when((F.col("op") == "leave") & F.col("opened"), F.col("t"))).alias("left_at"),
     )
-    return grouped.filter("last_heartbeat is not null").select(
-        "file", "user_id", "uid", sha256(F.col("file")).alias("file_hash"), "last_heartbeat",
-        (F.col("last_op") == "leave").alias("deleted"), "crdate",
+    purge = replay.agg(F.max("seq").alias("crdate"), F.max(F.when(F.col("op") != "leave", F.col("t"))).alias("last_heartbeat")).filter("crdate is not null")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("file", "string"), ("user_id", "long"), ("left_at", "long"))]
+    return named.unionByName(purge.select(F.lit(0).cast("long").alias("uid"), "crdate", "last_heartbeat", *none))
+
+
+def table_of(rows: DataFrame, ttl: int) -> DataFrame:
+    """The session table of `session_rows`: what the last purge found stale is deleted, over all files."""
+    purge = rows.filter("uid = 0 and file is null").agg(F.max("last_heartbeat")).scalar()
+    stale = F.coalesce(F.col("last_heartbeat") < purge - ttl, F.lit(False))
+    return rows.filter("file is not null").select(
+        "file", "user_id", "uid", sha256(F.col("file")).alias("file_hash"), "last_heartbeat", (F.col("left_at").isNotNull() | stale).alias("deleted"),
+        "crdate", F.coalesce("left_at", "crdate").alias("tstamp"),
     )
 
 
@@ -44,7 +69,7 @@ def left(rows: DataFrame, leavers: DataFrame, now: int) -> DataFrame:
     """The table after the (file, user_id) of `leavers` left: deleted, with a new tstamp; again is harmless."""
     gone = leavers.select("file", "user_id").distinct().withColumn("gone", F.lit(True))
     joined = rows.join(gone, ["file", "user_id"], "left")
-    return joined.withColumns({"deleted": F.coalesce("gone", "deleted"), "tstamp": F.when(F.col("gone"), F.lit(now)).otherwise(F.col("crdate"))}).drop("gone")
+    return joined.withColumns({"deleted": F.coalesce("gone", "deleted"), "tstamp": F.when(F.col("gone"), F.lit(now)).otherwise(F.col("tstamp"))}).drop("gone")
 
 
 def participants(rows: DataFrame, names: DataFrame, files: DataFrame) -> DataFrame:
@@ -75,11 +100,16 @@ def replayed(ops: DataFrame, ttl: int = TTL) -> DataFrame:
     the last heartbeat.  A join revives what isn't broken and else makes a session named by its own
     seq; a heartbeat never does.  Heartbeats after a leave, before the next join, aren't sent at all.
     """
+    return states(ops, ttl).filter(F.col("op").isin("join", "heartbeat")).select("seq", "t", "user_id", "op", "file", "alive", "uid", "is_new")
+
+
+def states(ops: DataFrame, ttl: int) -> DataFrame:
+    """The replay with leaves and triggers, the other columns of `ops`, and `opened`: whether the client had a session before."""
     own = Window.partitionBy("file", "user_id").orderBy("seq")
     earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    moves = ops.filter(F.col("op").isin("join", "heartbeat", "leave"))
+    moves = ops.filter(F.col("op").isin(*MOVES))
     opened = F.last(F.when(F.col("op") != "heartbeat", F.col("op")), ignorenulls=True).over(earlier) == "join"
-    sent = moves.withColumn("_open", F.coalesce(opened, F.lit(False))).filter((F.col("op") != "heartbeat") | F.col("_open")).drop("_open")
+    sent = moves.withColumn("opened", F.coalesce(opened, F.lit(False))).filter((F.col("op") != "heartbeat") | F.col("opened"))
     timed = running(sent, ["seq"], {"_trigger": (F.max, F.when(F.col("op") != "leave", F.col("t")))})
     joins = F.when(F.col("op") == "join", 1).otherwise(0)
     rows = timed.withColumns({"_op": F.lag("op").over(own), "_t": F.lag("t").over(own), "_g": F.sum(joins).over(own)})
@@ -91,4 +121,33 @@ def replayed(ops: DataFrame, ttl: int = TTL) -> DataFrame:
     rows = rows.withColumn("_alive", F.coalesce(F.lag("alive").over(own), F.lit(False)))
     rows = rows.withColumn("is_new", (F.col("op") == "join") & (F.col("_broken") | ~F.col("_alive")))
     rows = rows.withColumn("uid", F.last(F.when(F.col("is_new"), F.col("seq")), ignorenulls=True).over(own))
-    return rows.filter("op != 'leave'").select("seq", "t", "user_id", "op", "file", "alive", "uid", "is_new")
+    return rows.select(*ops.columns, "opened", "alive", "uid", "is_new")
+
+
+def responses(ops: DataFrame, names: DataFrame, ttl: int = TTL) -> DataFrame:
+    """(seq, file, user_id, op, participants): what each join and each sent heartbeat was answered, the list of that moment.
+
+    A session is listed from its first beat on while its last one is at most `ttl` old, until its client leaves.
+    Such spans meet the requests of their file in bands of time, so each request meets only the spans of
+    its own band: about those it lists.  A file's requests are dealt over its bands.
+    """
+    replay = written(states(ops, ttl), "replay")
+    own = Window.partitionBy("file", "user_id").orderBy("seq")
+    beats = replay.filter(F.col("alive") | (F.col("op") == "leave")).withColumns({
+        "_new": F.coalesce((F.lag("op").over(own) == "leave") | (F.lag("uid").over(own) != F.col("uid")) | (F.col("t") > F.lag("t").over(own) + ttl), F.lit(True)),
+        "_left": F.when(F.lead("op").over(own) == "leave", F.lead("seq").over(own)),
+    })
+    numbered = beats.withColumn("_span", F.sum(F.col("_new").cast("int")).over(own)).filter("op != 'leave'")
+    spans = numbered.groupBy("file", "user_id", "uid", "_span").agg(
+        F.min("seq").alias("first"), F.min("t").alias("start"), (F.max("t") + ttl).alias("until"), F.max("_left").alias("end"),
+    )
+    width = max(1, ttl)
+    band = lambda c: F.floor(F.col(c) / width)
+    record = F.struct(F.col("user_id").alias("userId"), F.coalesce("user_name", F.lit("Editor")).alias("userName"), F.col("uid").alias("sessionUid"))
+    listed = spans.join(names, "user_id", "left").select("file", "first", "end", "until", record.alias("record"), F.explode(F.sequence(band("start"), band("until"))).alias("band"))
+    requests = replay.filter(F.col("op").isin("join", "heartbeat"))
+    asked = requests.select("seq", "t", "file", band("t").alias("band"))
+    shown = asked.join(listed, ["file", "band"]).filter((F.col("first") <= F.col("seq")) & (F.col("end").isNull() | (F.col("seq") < F.col("end"))) & (F.col("t") <= F.col("until")))
+    lists = shown.groupBy("seq").agg(F.sort_array(F.collect_list("record")).alias("participants"))
+    nobody = F.array().cast(lists.schema["participants"].dataType)
+    return requests.select("seq", "file", "user_id", "op").join(lists, "seq", "left").withColumn("participants", F.coalesce("participants", nobody))

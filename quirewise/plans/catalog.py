@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collaboration_queries, scalar_queries, text_queries
+from . import collaboration_queries, live_queries, scalar_queries, text_queries
 from .registry import ORACLE_SQL, QUERIES
 
 
@@ -12,4 +12,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["file_overview"](spark, sf_dir)
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "collaboration_queries", "flagship", "scalar_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "collaboration_queries", "flagship", "live_queries", "scalar_queries", "text_queries"]

@@ -21,6 +21,10 @@ def now(m: Model) -> Column:
     return m.ops.agg(F.coalesce(F.max("t"), F.lit(0))).scalar()
 
 
+def user_names(m: Model) -> DataFrame:
+    return m.users.select(F.col("uid").alias("user_id"), F.concat(F.lit("User "), F.col("uid").cast("string")).alias("user_name"))
+
+
 @query("SELECT file_identifier, arg_max(revision, uid) AS revision, arg_max(content_hash, uid) AS content_hash, arg_max(saved_by, uid) AS saved_by, arg_max(changed_at, uid) AS changed_at, max(uid) AS uid FROM revisions GROUP BY file_identifier")
 def revision_latest(m: Model) -> DataFrame:
     return revisions.latest(m.revisions)
@@ -89,51 +93,72 @@ def conflict_alerts(m: Model) -> DataFrame:
     return refused.unionByName(remote_newer(m).select(F.col("uid").alias("id"), F.col("file_identifier").alias("file"), F.lit("newer").alias("signal")))
 
 
-@query(f"SELECT file, user_id, file_hash, last_heartbeat FROM session_rows, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS}")
+_REPLAY = """
+WITH timed AS (SELECT *, max(CASE WHEN op <> 'leave' THEN t END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trig FROM sent),
+before AS (SELECT *, lag(op) OVER w AS prev_op, lag(t) OVER w AS prev_t, sum(CASE WHEN op = 'join' THEN 1 ELSE 0 END) OVER (PARTITION BY file, user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM timed WINDOW w AS (PARTITION BY file, user_id ORDER BY seq)),
+judged AS (SELECT *, prev_op IS NULL OR prev_op = 'leave' OR coalesce(trig > prev_t + {0}, false) AS broken FROM before),
+living AS (SELECT *, g > 0 AND op <> 'leave' AND sum(CASE WHEN broken AND op <> 'join' THEN 1 ELSE 0 END) OVER (PARTITION BY file, user_id, g ORDER BY seq ROWS UNBOUNDED PRECEDING) = 0 AS alive FROM judged),
+named AS (SELECT *, op = 'join' AND (broken OR NOT coalesce(lag(alive) OVER (PARTITION BY file, user_id ORDER BY seq), false)) AS is_new FROM living),
+r AS (SELECT *, last_value(CASE WHEN is_new THEN seq END IGNORE NULLS) OVER (PARTITION BY file, user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS uid FROM named)
+"""
+
+
+def sessions_sql(ttl: int) -> str:
+    """WITH ... session_rows: the session table of the exact replay; the statement goes on with SELECT, or a comma and more tables."""
+    return (
+        _REPLAY.format(ttl).rstrip() + f""",
+purge AS (SELECT max(t) AS at FROM r WHERE op <> 'leave'),
+spans AS (SELECT file, user_id, uid, min(t) FILTER (WHERE is_new) AS crdate, max(t) FILTER (WHERE alive) AS last_heartbeat, max(t) FILTER (WHERE op = 'leave' AND opened = 'join') AS left_at FROM r WHERE uid IS NOT NULL GROUP BY ALL),
+session_rows AS (SELECT file, user_id, uid, sha256(file) AS file_hash, last_heartbeat, left_at IS NOT NULL OR last_heartbeat < purge.at - {ttl} AS deleted, crdate, coalesce(left_at, crdate) AS tstamp FROM spans, purge)
+"""
+    )
+
+
+@query(sessions_sql(SIX_HOURS) + f"SELECT file, user_id, uid, file_hash, last_heartbeat FROM session_rows, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS}")
 def presence_active(m: Model) -> DataFrame:
-    return presence.active(presence.sessions(m.ops), now(m), SIX_HOURS).select("file", "user_id", "file_hash", "last_heartbeat")
+    return presence.active(presence.sessions(m.ops, SIX_HOURS), now(m), SIX_HOURS).select("file", "user_id", "uid", "file_hash", "last_heartbeat")
 
 
-@query(f"""
-WITH f AS (SELECT DISTINCT file FROM ops), a AS (SELECT file, count(*) AS n FROM session_rows, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS} GROUP BY file)
+@query(sessions_sql(SIX_HOURS) + f""",
+f AS (SELECT DISTINCT file FROM ops), a AS (SELECT file, count(*) AS n FROM session_rows, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS} GROUP BY file)
 SELECT f.file, coalesce(a.n, 0) AS active FROM f LEFT JOIN a USING (file)
 """)
 def presence_count(m: Model) -> DataFrame:
-    counted = presence.active(presence.sessions(m.ops), now(m), SIX_HOURS).groupBy("file").agg(F.count(F.lit(1)).alias("active"))
+    counted = presence.active(presence.sessions(m.ops, SIX_HOURS), now(m), SIX_HOURS).groupBy("file").agg(F.count(F.lit(1)).alias("active"))
     return m.ops.select("file").distinct().join(counted, "file", "left").select("file", F.coalesce("active", F.lit(0)).alias("active"))
 
 
-@query("""
-WITH a AS (SELECT user_id % 40 AS room, count(*) FILTER (WHERE NOT deleted AND last_heartbeat >= now - 90000) AS n FROM session_rows, clock GROUP BY 1)
+@query(sessions_sql(90_000) + """,
+a AS (SELECT user_id % 40 AS room, count(*) FILTER (WHERE NOT deleted AND last_heartbeat >= now - 90000) AS n FROM session_rows, clock GROUP BY 1)
 SELECT room, n AS active, CASE n WHEN 0 THEN '' WHEN 1 THEN '1 editor online' ELSE n || ' editors online' END AS label FROM a
 """)
 def presence_label(m: Model) -> DataFrame:
     alive = ~F.col("deleted") & (F.col("last_heartbeat") >= now(m) - 90_000)
-    rooms = presence.sessions(m.ops).withColumn("alive", alive).groupBy((F.col("user_id") % 40).alias("room")).agg(F.count_if("alive").alias("active"))
+    rooms = presence.sessions(m.ops, 90_000).withColumn("alive", alive).groupBy((F.col("user_id") % 40).alias("room")).agg(F.count_if("alive").alias("active"))
     return rooms.select("room", "active", messages.presence_label(F.lit(COLLABORATORS), F.col("active")).alias("label"))
 
 
-@query(f"""
-WITH a AS (SELECT file, user_id, coalesce('User ' || u.k, 'Editor') AS user_name, session_rows.uid FROM session_rows LEFT JOIN (SELECT uid AS k FROM users WHERE uid % 2 = 0) u ON u.k = user_id, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS})
+@query(sessions_sql(SIX_HOURS) + f""",
+a AS (SELECT file, user_id, coalesce('User ' || u.uid, 'Editor') AS user_name, session_rows.uid FROM session_rows LEFT JOIN users u ON u.uid = user_id, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS})
 SELECT f.file, '[' || coalesce(string_agg('{{"userId":' || user_id || ',"userName":"' || user_name || '","sessionUid":' || uid || '}}', ',' ORDER BY user_id), '') || ']' AS participants
 FROM (SELECT DISTINCT file FROM ops UNION ALL SELECT '1:/nobody.docx') f LEFT JOIN a USING (file) GROUP BY f.file
 """)
 def presence_list(m: Model) -> DataFrame:
-    names = m.users.filter("uid % 2 = 0").select(F.col("uid").alias("user_id"), F.concat(F.lit("User "), F.col("uid").cast("string")).alias("user_name"))
+    """Users that aren't in the table of users are called Editor; a file without editors has an empty list."""
     files = m.ops.select("file").unionAll(m.spark.createDataFrame([("1:/nobody.docx",)], "file string"))
-    listed = presence.participants(presence.active(presence.sessions(m.ops), now(m), SIX_HOURS), names, files)
+    listed = presence.participants(presence.active(presence.sessions(m.ops, SIX_HOURS), now(m), SIX_HOURS), user_names(m), files)
     return listed.select("file", F.to_json("participants").alias("participants"))
 
 
-@query(f"SELECT file, user_id, last_heartbeat, deleted OR last_heartbeat < now - {SIX_HOURS} AS deleted FROM session_rows, clock")
+@query(sessions_sql(400_000) + f"SELECT file, user_id, uid, last_heartbeat, deleted OR last_heartbeat < now - {SIX_HOURS} AS deleted FROM session_rows, clock")
 def session_purge(m: Model) -> DataFrame:
-    return presence.purged(presence.sessions(m.ops), now(m), SIX_HOURS).select("file", "user_id", "last_heartbeat", "deleted")
+    return presence.purged(presence.sessions(m.ops, 400_000), now(m), SIX_HOURS).select("file", "user_id", "uid", "last_heartbeat", "deleted")
 
 
-@query("SELECT file, user_id, deleted OR user_id % 3 = 0 AS deleted, CASE WHEN user_id % 3 = 0 THEN 1700000000 ELSE crdate END AS tstamp FROM session_rows")
+@query(sessions_sql(400_000) + "SELECT file, user_id, uid, deleted OR user_id % 3 = 0 AS deleted, CASE WHEN user_id % 3 = 0 THEN 1700000000 ELSE tstamp END AS tstamp FROM session_rows")
 def session_leave(m: Model) -> DataFrame:
-    rows = presence.sessions(m.ops)
-    return presence.left(rows, rows.filter("user_id % 3 = 0"), 1_700_000_000).select("file", "user_id", "deleted", F.col("tstamp").cast("bigint").alias("tstamp"))
+    rows = presence.sessions(m.ops, 400_000)
+    return presence.left(rows, rows.filter("user_id % 3 = 0"), 1_700_000_000).select("file", "user_id", "uid", "deleted", F.col("tstamp").cast("bigint").alias("tstamp"))
 
 
 _WINDOWS = """
@@ -157,16 +182,6 @@ def session_windows_6h(m: Model) -> DataFrame:
     return presence.windows(m.ops, SIX_HOURS)
 
 
-_REPLAY = """
-WITH tr AS (SELECT *, max(CASE WHEN op <> 'leave' THEN t END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trig FROM sent),
-p AS (SELECT *, lag(op) OVER w AS prev_op, lag(t) OVER w AS prev_t, sum(CASE WHEN op = 'join' THEN 1 ELSE 0 END) OVER (PARTITION BY file, user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM tr WINDOW w AS (PARTITION BY file, user_id ORDER BY seq)),
-b AS (SELECT *, prev_op IS NULL OR prev_op = 'leave' OR coalesce(trig > prev_t + {0}, false) AS broken FROM p),
-a AS (SELECT *, g > 0 AND op <> 'leave' AND sum(CASE WHEN broken AND op <> 'join' THEN 1 ELSE 0 END) OVER (PARTITION BY file, user_id, g ORDER BY seq ROWS UNBOUNDED PRECEDING) = 0 AS alive FROM b),
-n AS (SELECT *, op = 'join' AND (broken OR NOT coalesce(lag(alive) OVER (PARTITION BY file, user_id ORDER BY seq), false)) AS is_new FROM a),
-r AS (SELECT *, last_value(CASE WHEN is_new THEN seq END IGNORE NULLS) OVER (PARTITION BY file, user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS uid FROM n)
-"""
-
-
 @query(_REPLAY.format(400_000) + "SELECT seq, file, user_id, uid, is_new FROM r WHERE op = 'join'")
 def session_join_uid(m: Model) -> DataFrame:
     return presence.replayed(m.ops, 400_000).filter("op = 'join'").select("seq", "file", "user_id", "uid", "is_new")
@@ -179,6 +194,18 @@ def heartbeat_effective(m: Model) -> DataFrame:
     )
 
 
+@query(_REPLAY.format(SIX_HOURS).rstrip() + f""",
+b AS (SELECT *, lead(seq) OVER (PARTITION BY file, user_id ORDER BY seq) AS next_seq FROM (SELECT * FROM r WHERE alive OR op = 'leave')),
+p AS (SELECT q.seq, b.user_id, b.uid, coalesce('User ' || u.uid, 'Editor') AS user_name FROM r q JOIN b ON b.file = q.file AND b.op <> 'leave' AND b.seq <= q.seq AND (b.next_seq IS NULL OR q.seq < b.next_seq) AND b.t >= q.t - {SIX_HOURS}
+  LEFT JOIN users u ON u.uid = b.user_id WHERE q.op <> 'leave')
+SELECT q.seq, q.file, q.user_id, q.op, '[' || coalesce(string_agg('{{"userId":' || p.user_id || ',"userName":"' || p.user_name || '","sessionUid":' || p.uid || '}}', ',' ORDER BY p.user_id), '') || ']' AS participants
+FROM r q LEFT JOIN p USING (seq) WHERE q.op <> 'leave' GROUP BY ALL
+""")
+def presence_at_request(m: Model) -> DataFrame:
+    """The list of participants that each join and each heartbeat was answered with."""
+    return presence.responses(m.ops, user_names(m), SIX_HOURS).withColumn("participants", F.to_json("participants"))
+
+
 SAVE_REPLAY_SQL = """
 WITH RECURSIVE o AS (SELECT file, seq, user_id, op, row_number() OVER (PARTITION BY file ORDER BY seq) AS k FROM ops WHERE op IN ('join', 'save')),
 f AS (
@@ -265,17 +292,17 @@ def name_collisions(m: Model) -> DataFrame:
     return files_of.without_collisions(m.files.filter("lower(extension) = 'docx'").select("doc_id", "folder", name.alias("name")), "doc_id")
 
 
-@query(f"SELECT users.uid, username, coalesce(nullif(trim(real_name, ' ' || chr(9)), ''), coalesce(username, 'Editor')) AS user_name, count(*) AS sessions FROM session_rows s JOIN users ON users.uid = user_id GROUP BY ALL")
+@query(sessions_sql(SIX_HOURS) + "SELECT users.uid, username, coalesce(nullif(trim(real_name, ' ' || chr(9)), ''), coalesce(username, 'Editor')) AS user_name, count(*) AS sessions FROM session_rows JOIN users ON users.uid = user_id GROUP BY ALL")
 def session_names(m: Model) -> DataFrame:
-    counted = presence.sessions(m.ops).groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("sessions"))
+    counted = presence.sessions(m.ops, SIX_HOURS).groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("sessions"))
     return m.users.join(counted, "uid").select("uid", "username", display_name(F.col("real_name"), F.col("username")).alias("user_name"), "sessions")
 
 
-@query(f"""
-WITH r AS (SELECT file, max(seq) AS uid, count(*) AS revision, arg_max(user_id, seq) AS saved_by, arg_max(t, seq) AS changed_at FROM ops WHERE op = 'save' GROUP BY file),
+@query(sessions_sql(SIX_HOURS) + f""",
+v AS (SELECT file, max(seq) AS uid, count(*) AS revision, arg_max(user_id, seq) AS saved_by, arg_max(t, seq) AS changed_at FROM ops WHERE op = 'save' GROUP BY file),
 a AS (SELECT file, count(*) AS n FROM session_rows, clock WHERE NOT deleted AND last_heartbeat >= now - {SIX_HOURS} GROUP BY file)
-SELECT f.file, coalesce(r.revision, 0) AS revision, coalesce(r.saved_by, 0) AS saved_by, coalesce(r.changed_at, 0) AS changed_at, coalesce(a.n, 0) AS active
-FROM (SELECT DISTINCT file FROM ops) f LEFT JOIN r USING (file) LEFT JOIN a USING (file)
+SELECT f.file, coalesce(v.revision, 0) AS revision, coalesce(v.saved_by, 0) AS saved_by, coalesce(v.changed_at, 0) AS changed_at, coalesce(a.n, 0) AS active
+FROM (SELECT DISTINCT file FROM ops) f LEFT JOIN v USING (file) LEFT JOIN a USING (file)
 """)
 def file_overview(m: Model) -> DataFrame:
     """For every file: current revision, who saved it, when, and how many editors are active."""

@@ -125,6 +125,5 @@ CTES = {
   WHEN 4 THEN '{"file":"1:/g.docx","revision":' || event_id || ',"sessionUid":"12abc"}' WHEN 5 THEN '{"file":"","revision":"abc","sessionUid":"0"}' ELSE '{"sessionUid":"-4"}' END AS body FROM events""",
     "sent": """SELECT * FROM (SELECT *, last_value(CASE WHEN op <> 'heartbeat' THEN op END IGNORE NULLS) OVER (PARTITION BY file, user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM ops WHERE op <> 'save')
   WHERE op <> 'heartbeat' OR opened = 'join'""",
-    "session_rows": """SELECT file, user_id, coalesce(max(seq) FILTER (WHERE op = 'join'), min(seq)) AS uid, sha256(file) AS file_hash, max(t) FILTER (WHERE op <> 'leave') AS last_heartbeat, arg_max(op, seq) = 'leave' AS deleted, min(t) AS crdate FROM ops WHERE op <> 'save' GROUP BY file, user_id HAVING max(t) FILTER (WHERE op <> 'leave') IS NOT NULL""",
     "clock": """SELECT max(t) AS now FROM ops""",
 }

@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..operators import presence, revisions
 from ..schemas import STYLE
 from ..tables import new_folder
-from .collaboration_queries import COLLABORATORS, SIX_HOURS, SAVE_REPLAY_SQL, windows_sql
+from .collaboration_queries import COLLABORATORS, SIX_HOURS, SAVE_REPLAY_SQL, sessions_sql, windows_sql
 from .model import Model
 from .registry import query
 
@@ -383,7 +383,7 @@ def revision_append(m: Model) -> DataFrame:
     return revisions.latest(log).select("file_identifier", "revision", "uid").join(counted, "file_identifier")
 
 
-@query("SELECT file, user_id, uid, file_hash, last_heartbeat, deleted, crdate FROM session_rows")
+@query(sessions_sql(SIX_HOURS) + "SELECT file, user_id, uid, file_hash, last_heartbeat, deleted, crdate, tstamp FROM session_rows")
 def session_sink(m: Model) -> DataFrame:
     """Operations that come as a stream, written to the session table batch by batch; the table's state after it."""
     table, checkpoint = new_folder(m.spark, "sessions"), new_folder(m.spark, "state")
@@ -391,7 +391,7 @@ def session_sink(m: Model) -> DataFrame:
     m.ops.repartition(4).write.parquet(folder)
     stream = sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1)
     streaming.polling(stream, streaming.session_log(table), checkpoint, every=None).awaitTermination()
-    return presence.sessions(m.spark.read.schema(streaming.OPS_SCHEMA).parquet(table))
+    return presence.sessions(m.spark.read.schema(streaming.OPS_SCHEMA).parquet(table), SIX_HOURS)
 
 
 def _ops_stream(m: Model) -> DataFrame:
@@ -426,13 +426,13 @@ def revision_stream(m: Model) -> DataFrame:
     return streaming.run_once(m.spark, stream, new_folder(m.spark, "saves"), new_folder(m.spark, "state"))
 
 
-def _with_rocksdb(m: Model, stream, name: str) -> DataFrame:
+def _with_rocksdb(m: Model, stream, name: str, checkpoint: str | None = None) -> DataFrame:
     """Runs a stream that keeps named states, which only this store can."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = m.spark.conf.get(key, None)
     m.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return streaming.run_once(m.spark, stream(), new_folder(m.spark, name), new_folder(m.spark, "state"))
+        return streaming.run_once(m.spark, stream(), new_folder(m.spark, name), checkpoint or new_folder(m.spark, "state"))
     finally:
         m.spark.conf.unset(key) if before is None else m.spark.conf.set(key, before)
 
@@ -441,9 +441,3 @@ def _with_rocksdb(m: Model, stream, name: str) -> DataFrame:
 def revision_state_stream(m: Model) -> DataFrame:
     """The replay of saves with its state as one value and one map in the state store."""
     return _with_rocksdb(m, lambda: streaming.replayed_saves(_ops_stream(m)), "saves")
-
-
-@query()
-def presence_events(m: Model) -> DataFrame:
-    """Sessions joined, left and expired, with a timer for each session; a long time to live, as operations are sparse."""
-    return _with_rocksdb(m, lambda: streaming.presence_events(_ops_stream(m), 400_000), "events")

@@ -165,3 +165,25 @@ def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def newer_revisions(polls: DataFrame, saves: DataFrame, every: int, late: str = "10 seconds") -> DataFrame:
+    """(uid, file, user_id, t, revision): each save by another user that a poll is the first to see.
+
+    polls: (uid, file, user_id, t), each of which sees what came after the last one, `every` seconds before;
+    saves: (file, saved_by, t, revision).  Both sides meet by file and band of time, so a row meets those of about
+    a minute, however many its file has.  Watermarks on both sides let the state of either go.
+    """
+    width = 12 * every
+    band = lambda t: F.floor(t / width)
+    asked = polls.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
+    asked = asked.withColumn("band", F.explode(F.sequence(band(F.col("t") - every + 1), band(F.col("t"))))).alias("p")
+    made = saves.select("file", "saved_by", "revision", band(F.col("t")).alias("band"), F.timestamp_seconds("t").alias("saved_at")).withWatermark("saved_at", late).alias("s")
+    since = F.expr(f"s.saved_at > p.at - INTERVAL {every} SECONDS AND s.saved_at <= p.at")
+    met = asked.join(made, (F.col("p.file") == F.col("s.file")) & (F.col("p.band") == F.col("s.band")) & since & (F.col("s.saved_by") != F.col("p.user_id")))
+    return met.select("p.uid", "p.file", "p.user_id", "p.t", "s.revision")
+
+
+def state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """(key, value, ...) of a named state, as the last batch of a stopped or running query left it."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)

@@ -19,8 +19,13 @@ OPS = "seq long, t long, user_id long, op string, file string"
 
 
 def simulate(ops, ttl):
-    """The session table, one operation after another."""
-    table, client, out = [], {}, []  # rows: [uid, file, user, last, live]
+    """What the session table did, one operation after another."""
+    return simulated(ops, ttl)[0]
+
+
+def simulated(ops, ttl):
+    """(replay, table, answers): answers are the participants that each request gets, by seq."""
+    table, client, out, answers = [], {}, [], {}  # rows: [uid, file, user, last, live]
     for seq, t, user, op, file in ops:
         mine = next((r for r in table if r[1] == file and r[2] == user and r[4]), None)
         if op == "join":
@@ -49,7 +54,8 @@ def simulate(ops, ttl):
             if r[4] and r[3] < t - ttl:
                 r[4] = False
         out.append((seq, op, alive, mine[0], new))
-    return out
+        answers[seq] = sorted((r[2], r[0]) for r in table if r[1] == file and r[4] and r[3] >= t - ttl)
+    return out, table, answers
 
 
 def made(seed, n=600, users=4, files=3, step=40):
@@ -67,6 +73,20 @@ def test_replay_equals_the_simulator(spark, seed, step):
     assert [(r.seq, r.op, r.alive, r.uid, r.is_new) for r in got] == simulate(ops, 45)
 
 
+@pytest.mark.parametrize("seed,step", [(1, 40), (2, 8), (6, 3)])
+def test_sessions_and_answers_equal_the_simulator(spark, seed, step):
+    ops = made(seed, step=step)
+    df = spark.createDataFrame(ops, OPS)
+    _, table, answers = simulated(ops, 45)
+    got = presence.sessions(df, 45).collect()
+    assert sorted((r.uid, r.file, r.user_id, r.last_heartbeat, not r.deleted) for r in got) == sorted(map(tuple, table))
+    early = [op for op in ops if op[1] <= 3000]
+    assert sorted((r.uid, r.last_heartbeat, not r.deleted) for r in presence.sessions(df, 45, 3000).collect()) == sorted((r[0], r[3], r[4]) for r in simulated(early, 45)[1])
+    names = spark.createDataFrame([(0, "Ann"), (1, "Bob")], "user_id long, user_name string")
+    answered = {r.seq: [(p.userId, p.sessionUid) for p in r.participants] for r in presence.responses(df, names, 45).collect()}
+    assert answered == answers
+
+
 def test_running_over_partitions(spark):
     """Sums, maxima and numbers over an order and within groups, one of which holds most rows; gaps in the order."""
     rows = [(i * i, (i * 37) % 101 if i % 5 else None, "hot" if i % 7 else f"g{i % 3}") for i in range(300)]
