@@ -103,6 +103,31 @@ def php_int(c: Column, missing: int = 0) -> Column:
     return F.when(c.isNull(), F.lit(missing).cast("bigint")).otherwise(F.coalesce(value, F.lit(0)))
 
 
+def variant_int(v: Column, missing: int = 0) -> Column:
+    """A JSON value as a whole number: true is 1, a list or object is 1 unless empty, texts as `php_int` reads them; `missing` for null."""
+    kind, text = F.schema_of_variant(v), v.cast("string")
+    nested = F.when(text.isin("[]", "{}"), 0).otherwise(1).cast("bigint")
+    return F.when(v.isNull() | (kind == "VOID"), F.lit(missing).cast("bigint")).when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0)).when(kind.rlike("^(ARRAY|OBJECT)"), nested).otherwise(php_int(text, missing))
+
+
+def variant_text(v: Column) -> Column:
+    """A JSON value as text: true is 1, false is empty, a whole number has no decimals, a list or object is the word Array; null for null."""
+    kind, text = F.schema_of_variant(v), v.cast("string")
+    return F.when(v.isNull() | (kind == "VOID"), F.lit(None)).when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("")).when(kind.rlike("^(ARRAY|OBJECT)"), "Array").when(kind != "STRING", F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
+
+
+def json_depth(text: Column) -> Column:
+    """How deeply a JSON text nests lists and objects; braces inside its strings don't count."""
+    marks = F.regexp_extract_all(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), F.lit(r"[\[\]{}]"), 0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda state: state["most"])
+
+
 def error_status(code: Column) -> Column:
     """Statuses outside 400 to 599 become 500."""
     return F.when(code.between(400, 599), code).otherwise(F.lit(500))
@@ -147,10 +172,10 @@ def saves_by_key(key: Column, ctrl: Column, meta: Column, shift: Column, writabl
     return (ctrl | meta) & (F.lower(key) == "s") & ~shift & is_set(writable)
 
 
-def accepts_message(origin: Column, own: Column, action: Column, field: Column, value: Column) -> Column:
-    """A message of the own origin that says that a folder was chosen."""
-    chosen = (action == "typo3:elementBrowser:elementAdded") & (field == "folder") & (F.coalesce(value, F.lit("")) != "")
-    return F.coalesce((origin == own) & chosen, F.lit(False))
+def accepts_message(origin: Column, own: Column, action: Column, chosen: str, field: Column, value: Column) -> Column:
+    """A message of the own origin whose action is `chosen`: a folder was picked."""
+    picked = (action == chosen) & (field == "folder") & (F.coalesce(value, F.lit("")) != "")
+    return F.coalesce((origin == own) & picked, F.lit(False))
 
 
 def html_safe_json(c: Column) -> Column:

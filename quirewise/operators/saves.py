@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_docx, php_int, sha256, strict_base64, trim
-from ..sources import payload
+from ..functions.scalars import is_docx, sha256, strict_base64, trim
+from ..sources import request_fields
 from .files import may
 
 #: Statuses and texts of refusals, in the order of the checks.
@@ -25,9 +25,9 @@ def checked(requests: DataFrame, files: DataFrame, users: DataFrame, grants: Dat
 
     files: (file_identifier, kind, extension, storage_id); users: (uid, is_admin); grants: (uid, storage_id, storage_right).
     """
-    p = requests.withColumn("p", payload(F.col("body")))
+    p = requests.withColumn("p", request_fields(F.col("body")))
     data = F.coalesce("p.data", F.lit(""))
-    parsed = p.select("seq", "uid", "file_right", F.col("p").isNull().alias("broken"), trim(F.coalesce("p.file", F.lit(""))).alias("file"), php_int(F.col("p.revision"), -1).alias("expected"), data.alias("data"), strict_base64(data).alias("content"))
+    parsed = p.select("seq", "uid", "file_right", F.col("p").isNull().alias("broken"), trim(F.coalesce("p.file", F.lit(""))).alias("file"), F.col("p.revision").alias("expected"), data.alias("data"), strict_base64(data).alias("content"))
     named = files.select(F.col("file_identifier").alias("file"), "kind", "extension", "storage_id")
     known = parsed.join(named, "file", "left").join(users.select("uid", "is_admin"), "uid", "left").join(grants.select("uid", "storage_id", "storage_right"), ["uid", "storage_id"], "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -14,26 +14,13 @@ from ..tables import new_folder
 from .collaboration_queries import _REPLAY, SAVE_REPLAY_SQL, SIX_HOURS, sessions_sql
 from .model import Model
 from .registry import query
-from .text_queries import _ops_stream, _with_rocksdb
+from .text_queries import _ops_stream, _with_rocksdb, in_parts
 
 #: A time to live under which sessions of the test operations, which are hours apart, last.
 LONG_TTL = 400_000
 LATE = 600
 
 
-def in_parts(m: Model, rows: DataFrame, order: str, parts: int = 4) -> str:
-    """`rows` as a folder of files that arrive one after another, in the order of a number."""
-    folder = new_folder(m.spark, "arriving")
-    lo, hi = rows.agg(F.min(order), F.max(order)).head()
-    if lo is None:
-        rows.write.parquet(folder)
-        return folder
-    part = F.least(F.floor((F.col(order) - lo) * parts / (hi - lo + 1)), F.lit(parts - 1))
-    for k in range(parts):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
 def session_batches(m: Model, log: str | None = None) -> SessionTable:
     """The session table after all operations, which came in four batches; the third ran twice, with a compaction between."""
     table = SessionTable(new_folder(m.spark, "session-table"), LONG_TTL)
@@ -220,3 +207,19 @@ def _saved(m: Model) -> SaveLog:
     stream = sources.polled(m.spark, in_parts(m, save_bodies(m), "seq", 3), "seq long, uid long, body string, file_right boolean", 1)
     streaming.polling(stream, unsteady, new_folder(m.spark, "state"), every=None).awaitTermination()
     return log
+
+
+@query("""
+SELECT count(*) AS requests, count(*) FILTER (WHERE event_id % 7 < 2) AS broken, count(*) FILTER (WHERE event_id % 7 IN (2, 5, 6)) AS without_file, count(*) FILTER (WHERE event_id % 7 = 5) AS without_session FROM events
+""")
+def request_metrics(m: Model) -> DataFrame:
+    """Requests of a stream that are broken or lack a field: dropped, but counted by the stream itself as it runs."""
+    p = F.col("p")
+    rows = sources.polled(m.spark, in_parts(m, m.bodies, "event_id", 2), m.bodies.schema, 1).select("event_id", sources.request_fields(F.col("body")).alias("p"))
+    counted = rows.observe(
+        "requests", F.count(F.lit(1)).alias("requests"), F.count_if(p.isNull()).alias("broken"), F.count_if(p.isNotNull() & (F.coalesce(p["file"], F.lit("")) == "")).alias("without_file"),
+        F.count_if(p.isNotNull() & (p["sessionUid"] == 0) & p["file"].isNotNull() & (p["file"] == "")).alias("without_session"),
+    )
+    started = counted.filter(p.isNotNull()).writeStream.format("noop").option("checkpointLocation", new_folder(m.spark, "state")).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return m.spark.createDataFrame([streaming.observed(started, "requests", ["requests", "broken", "without_file", "without_session"])], "requests long, broken long, without_file long, without_session long")

@@ -73,7 +73,7 @@ def display_name(m: Model) -> DataFrame:
 @query("SELECT file_identifier, CASE WHEN storage_id = 3 THEN ltrim(substr(file_identifier, 3), '/') ELSE 'storage' || storage_id || ' / ' || ltrim(substr(file_identifier, 3), '/') END AS label FROM files")
 def path_label(m: Model) -> DataFrame:
     storage = F.when(F.col("storage_id") == 3, "").otherwise(F.concat(F.lit("storage"), F.col("storage_id").cast("string")))
-    return m.files.select("file_identifier", S.path_label(storage, F.substring("file_identifier", 3, 1 << 20)).alias("label"))
+    return m.files.select("file_identifier", S.path_label(storage, F.substr("file_identifier", F.lit(3))).alias("label"))
 
 
 @query(r"""

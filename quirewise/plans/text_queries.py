@@ -197,8 +197,8 @@ def ui_message_filter(m: Model) -> DataFrame:
     can_write = S.flag(e % 4 != 0)
     user, own = F.col("user_id"), F.lit("https://cms.example.org")
     origin = F.when(user % 7 == 0, "https://other.example.org").otherwise(own)
-    action = F.when(user % 11 == 0, "typo3:elementBrowser:elementRemoved").otherwise("typo3:elementBrowser:elementAdded")
-    accepted = S.accepts_message(origin, own, action, F.when(e % 2 == 0, "folder").otherwise("other"), value)
+    action = F.when(user % 11 == 0, "folder:removed").otherwise("folder:chosen")
+    accepted = S.accepts_message(origin, own, action, "folder:chosen", F.when(e % 2 == 0, "folder").otherwise("other"), value)
     key = F.when(user % 3 == 0, "x").when(user % 3 == 1, "S").otherwise("s")
     return m.table("events").select("event_id", accepted.alias("accepted"), S.saves_by_key(key, kind == "click", kind == "view", e % 5 == 0, can_write).alias("saves"))
 
@@ -315,9 +315,9 @@ def client_response(m: Model) -> DataFrame:
     ).select("event_id", "r.*")
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, 200 AS status FROM documents WHERE text <> ''")
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, 200 AS status FROM documents")
 def binary_files(m: Model) -> DataFrame:
-    """Documents written as files, each over an older one, and read back with their integrity check."""
+    """Documents written as files, each over an older one, and read back with their integrity check; a text may be empty."""
     folder = new_folder(m.spark, "files")
     named = m.table("documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("name"),
@@ -329,32 +329,43 @@ def binary_files(m: Model) -> DataFrame:
     return back.select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("doc_id"), S.sha256(F.col("content")).alias("content_hash"), "size", "status")
 
 
-def _as_files(m: Model, kind: str, files: dict[str, str]) -> str:
-    """A new folder with text files."""
+def _as_files(m: Model, kind: str, files: DataFrame) -> str:
+    """A new folder with text files (name, text)."""
     folder = new_folder(m.spark, kind)
-    rows = m.spark.createDataFrame([(k, t.encode()) for k, t in files.items()], "name string, content binary")
-    sources.write_binaries(rows, folder).write.format("noop").mode("overwrite").save()
+    sources.write_binaries(files.select("name", F.encode("text", "utf-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
     return folder
 
 
-@query("SELECT 'main-1.js' AS script, 'main-1.css' AS style, 3 AS entries")
+@query("""
+SELECT r_regionkey, CASE WHEN r_regionkey % 3 <> 2 THEN 'main-' || r_regionkey || '.js' END AS script,
+  CASE WHEN r_regionkey % 3 = 0 THEN lower(r_name) || '.css' ELSE 'assets/style-1.css' END AS style, (SELECT count(*) FROM region WHERE r_regionkey % 3 <> 2) + 1 AS entries FROM region
+""")
 def manifest_of_a_file(m: Model) -> DataFrame:
-    entries = F.col("entries")
-    read = sources.manifest_file(m.spark, _as_files(m, "manifest", {"manifest.json": MANIFEST_TEXT}))
-    return read.select(
-        sources.manifest_script(entries, "main.js").alias("script"), sources.manifest_style(entries, "main.js").alias("style"),
-        F.size(entries).alias("entries"),
-    )
+    """A build manifest written with an entry for most regions, read back, and asked for each."""
+    k = F.col("r_regionkey")
+    entry, css = F.concat(F.lit("r"), k.cast("string"), F.lit(".js")), F.concat(F.lower("r_name"), F.lit(".css"))
+    value = F.struct(F.concat(F.lit("main-"), k.cast("string"), F.lit(".js")).alias("file"), F.when(k % 3 == 0, F.array(css)).alias("css"))
+    built = m.table("region").filter(k % 3 != 2).select(entry.alias("key"), value.alias("value"))
+    style = m.spark.range(1).select(F.lit("style.css").alias("key"), F.struct(F.lit("assets/style-1.css").alias("file"), F.lit(None).cast("array<string>").alias("css")).alias("value"))
+    text = built.unionByName(style).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("text"))
+    read = sources.manifest_file(m.spark, _as_files(m, "manifest", text.withColumn("name", F.lit("manifest.json"))))
+    asked = m.table("region").select("r_regionkey", entry.alias("entry")).join(F.broadcast(read))
+    return asked.select("r_regionkey", sources.manifest_script(F.col("entries"), F.col("entry")).alias("script"), sources.manifest_style(F.col("entries"), F.col("entry")).alias("style"), F.size("entries").cast("long").alias("entries"))
 
 
-@query(f"SELECT locale, key, text FROM {_LABELS_SQL}")
+@query("""
+SELECT locale, 'nation.' || n_nationkey AS key, CASE WHEN n_nationkey % 7 = 3 THEN '' WHEN locale = 'de' THEN lower(n_name) ELSE n_name END AS text FROM nation, (VALUES ('en'), ('de')) l(locale)
+""")
 def labels_of_files(m: Model) -> DataFrame:
-    """Label catalogues read from one XML file for each locale; an empty text stays empty."""
-    unit = '<unit id="{}"><segment><source>{}</source></segment></unit>'
-    locales = sorted({locale for locale, _ in LABELS})
-    catalogue = {a: "".join(unit.format(k, t) for (b, k), t in LABELS.items() if a == b) for a in locales}
-    folder = _as_files(m, "labels", {f"{a}.xlf": f'<?xml version="1.0" encoding="UTF-8"?><xliff><file id="d">{units}</file></xliff>' for a, units in catalogue.items()})
-    read = sources.labels(m.spark, {a: f"{folder}/{a}.xlf" for a in locales})
+    """Label catalogues written as XML files, one for each locale and region, and read back; an empty text stays empty."""
+    locales = F.explode(F.array(F.lit("en"), F.lit("de"))).alias("locale")
+    k = F.col("n_nationkey")
+    text = F.when(k % 7 == 3, "").when(F.col("locale") == "de", F.lower("n_name")).otherwise(F.col("n_name"))
+    unit = F.format_string('<unit id="nation.%d"><segment><source>%s</source></segment></unit>', k, text)
+    units = m.table("nation").select("n_regionkey", k, "n_name", locales).groupBy("locale", "n_regionkey").agg(F.concat_ws("", F.sort_array(F.collect_list(unit))).alias("units"))
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><xliff><file id="d">'), "units", F.lit("</file></xliff>"))
+    folder = _as_files(m, "labels", units.select(F.format_string("%s.%d.xlf", "locale", "n_regionkey").alias("name"), whole.alias("text")))
+    read = sources.labels(m.spark, {a: f"{folder}/{a}.*.xlf" for a in ("en", "de")})
     return read.select("locale", "key", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -373,11 +384,11 @@ def modules_of_a_build(m: Model) -> DataFrame:
 
 @query("SELECT file_identifier, arg_max(revision, uid) AS revision, max(uid) AS uid, count(*) AS entries FROM revisions GROUP BY file_identifier")
 def revision_append(m: Model) -> DataFrame:
-    """The log written in two appends, and read for each file's latest revision."""
+    """The log written in two appends, one of which runs twice, and read for each file's latest revision."""
     path = new_folder(m.spark, "revisions")
     late = F.col("uid") >= 2
-    for part in (~late, late):
-        sources.append_revisions(m.revisions.filter(part), path)
+    for batch, part in ((0, ~late), (1, late), (1, late)):
+        sources.append_revisions(m.revisions.filter(part), path, batch)
     log = m.spark.read.schema(m.revisions.schema).parquet(path)
     counted = log.groupBy("file_identifier").agg(F.count(F.lit(1)).alias("entries"))
     return revisions.latest(log).select("file_identifier", "revision", "uid").join(counted, "file_identifier")
@@ -394,11 +405,22 @@ def session_sink(m: Model) -> DataFrame:
     return presence.sessions(m.spark.read.schema(streaming.OPS_SCHEMA).parquet(table), SIX_HOURS)
 
 
+def in_parts(m: Model, rows: DataFrame, order: str, parts: int = 4) -> str:
+    """`rows` as a folder of files that arrive one after another, in the order of a number."""
+    folder = new_folder(m.spark, "arriving")
+    lo, hi = rows.agg(F.min(order), F.max(order)).head()
+    if lo is None:
+        rows.write.parquet(folder)
+        return folder
+    part = F.least(F.floor((F.col(order) - lo) * parts / (hi - lo + 1)), F.lit(parts - 1))
+    for k in range(parts):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def _ops_stream(m: Model) -> DataFrame:
-    """The operations written to a folder that is read as a stream."""
-    folder = new_folder(m.spark, "ops")
-    m.ops.write.parquet(folder)
-    return sources.polled(m.spark, folder, streaming.OPS_SCHEMA, 1_000_000)
+    """The operations as a stream of three micro-batches, in their order."""
+    return sources.polled(m.spark, in_parts(m, m.ops, "seq", 3), streaming.OPS_SCHEMA, 1)
 
 
 def _closed_ops_stream(m: Model, ttl: int, late: int = 600) -> DataFrame:
@@ -441,3 +463,34 @@ def _with_rocksdb(m: Model, stream, name: str, checkpoint: str | None = None) ->
 def revision_state_stream(m: Model) -> DataFrame:
     """The replay of saves with its state as one value and one map in the state store."""
     return _with_rocksdb(m, lambda: streaming.replayed_saves(_ops_stream(m)), "saves")
+
+
+_PAYLOADS = [
+    ('{"file":"1:/a.docx","revision":true,"sessionUid":[7]}', "'1:/a.docx'", 1, 1), ('{"file":true,"revision":false,"sessionUid":{}}', "'1'", 0, 0), ('{"file":12,"revision":3.9,"sessionUid":"12abc"}', "'12'", 3, 12),
+    ('{"file":{"a":1},"revision":null,"sessionUid":[]}', "'Array'", -1, 0), ('{"file":false,"revision":"-7","sessionUid":-2}', "''", -7, -2), ('{"file":"x","file":"y","revision":{"b":[]}}', "'y'", 1, 0), ("[1,2]", "NULL", -1, 0), ('{"file":1.0}', "'1'", -1, 0),
+]
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_id % 11 < {len(_PAYLOADS)} THEN 200 ELSE 400 END AS status, CASE event_id % 11 {" ".join(f"WHEN {k} THEN {f}" for k, (_, f, _, _) in enumerate(_PAYLOADS))} END AS file,
+  CASE event_id % 11 {" ".join(f"WHEN {k} THEN {r} + CASE WHEN {k} = 4 THEN -event_id * 10 ELSE 0 END" for k, (_, _, r, _) in enumerate(_PAYLOADS))} END AS revision, CASE event_id % 11 {" ".join(f"WHEN {k} THEN {u}" for k, (_, _, _, u) in enumerate(_PAYLOADS))} END AS session_uid FROM events
+""")
+def payload_variant(m: Model) -> DataFrame:
+    """Request fields of any JSON type, cast as they are read; broken and scalar bodies, and those nested too deeply, are refused."""
+    k, body = F.col("event_id") % 11, F.lit("7")
+    for i, (text, *_) in enumerate(_PAYLOADS):
+        body = F.when(k == i, text).otherwise(body)
+    body = F.when(k == 4, F.replace(body, F.lit('"-7"'), F.concat(F.lit('"-'), F.col("event_id").cast("string"), F.lit('7x"')))).otherwise(body)
+    body = F.when(k == 9, F.concat(F.lit('{"file":'), F.repeat(F.lit("["), 600), F.repeat(F.lit("]"), 600), F.lit("}"))).when(k == 10, "{broken").otherwise(body)
+    p = sources.request_fields(F.col("body"))
+    rows = m.table("events").select("event_id", body.alias("body")).select("event_id", p.alias("p"))
+    return rows.select("event_id", F.when(F.col("p").isNull(), 400).otherwise(200).alias("status"), F.col("p.file").alias("file"), F.col("p.revision").alias("revision"), F.col("p.sessionUid").alias("session_uid"))
+
+
+@query("SELECT uid, file_identifier, revision, content_hash, saved_by, changed_at FROM revisions WHERE file_identifier IN (SELECT max(file_identifier) FROM revisions) ORDER BY uid DESC LIMIT 1")
+def revision_lookup(m: Model) -> DataFrame:
+    """One file's latest revision from a log that is laid out for lookups."""
+    path = new_folder(m.spark, "indexed")
+    sources.write_indexed(m.revisions, path)
+    log = m.spark.read.schema(m.revisions.schema).parquet(path)
+    return revisions.latest_of(log, log.agg(F.max("file_identifier")).head()[0] or "")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: One zone for epoch seconds, base64 without line breaks, and the right side winning in map unions.
+#: One zone for epoch seconds, base64 without line breaks, the right side winning in map unions, and the last of equal keys in JSON.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import basename, filled, trim
+from ..functions.scalars import basename, filled, json_depth, trim, variant_int, variant_text
 from ..operators.files import unreadable
 from ..schemas import MANIFEST, PAYLOAD
+from .listing import ListingSource
 
 UNIT = "_id string, segment struct<source string>"
 
@@ -19,11 +20,13 @@ UNIT = "_id string, segment struct<source string>"
 def binary_files(spark: SparkSession, path: str, storage_id: int = 1) -> DataFrame:
     """Files as rows of the catalogue; the content column is read only where it is selected.
 
-    Spark's reader leaves out files without bytes.
+    Spark's reader leaves out files without bytes; they come from a listing.
     """
+    spark.dataSource.register(ListingSource)
     name = basename(F.col("path"))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    empty = spark.read.format("listing").option("path", path).option("most", "0").load().select("path", "length", F.lit(b"").alias("content"))
+    return raw.unionByName(empty).select(
         F.concat(F.lit(f"{storage_id}:"), F.expr("parse_url(path, 'PATH')")).alias("file_identifier"),
         F.lit(storage_id).alias("storage_id"), "path", name.alias("name"),
         F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.col("length").alias("size"), "content",
@@ -80,11 +83,11 @@ def manifest_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(manifest(F.col("value")).alias("entries"))
 
 
-def manifest_script(entries: Column, entry: str) -> Column:
+def manifest_script(entries: Column, entry: str | Column) -> Column:
     return F.try_element_at(entries, F.lit(entry))["file"]
 
 
-def manifest_style(entries: Column, entry: str, fallback: str = "style.css") -> Column:
+def manifest_style(entries: Column, entry: str | Column, fallback: str = "style.css") -> Column:
     """The entry's first style sheet, else the fallback entry's file."""
     return F.coalesce(F.try_element_at(F.try_element_at(entries, F.lit(entry))["css"], F.lit(1)), F.try_element_at(entries, F.lit(fallback))["file"])
 
@@ -105,6 +108,25 @@ def payload(body: Column) -> Column:
     return _object_or_list(body, PAYLOAD, none)
 
 
+#: Fixed value: lists and objects may nest this deeply in a request.
+DEEPEST = 512
+
+
+def request_fields(body: Column) -> Column:
+    """Request fields with the types that they are read as: (file, data, folder, fileName) texts, revision and sessionUid whole numbers.
+
+    Values of any JSON type are cast; a field that is missing or null is null, a missing revision -1 and a missing
+    session 0.  Null for anything else than an object or list, or one that nests too deeply (status 400).
+    """
+    v = F.try_parse_json(body)
+    is_list = json_starts(body, "[")
+    usable = (is_list | json_starts(body, "{")) & (F.when(F.length(body) > DEEPEST, json_depth(body)).otherwise(0) <= DEEPEST)
+    field = lambda name: F.when(~is_list, F.try_variant_get(v, f"$.{name}", "variant"))
+    texts = [variant_text(field(c)).alias(c) for c in ("file", "data", "folder", "fileName")]
+    numbers = [variant_int(field(c), missing).alias(c) for c, missing in (("revision", -1), ("sessionUid", 0))]
+    return F.when(usable, F.struct(*texts, *numbers))
+
+
 def response(status: Column, status_text: Column, body: Column) -> Column:
     """(ok, error, httpStatus) as a client sees a response.
 
@@ -141,6 +163,16 @@ def envelope(ok: Column, content: Column) -> Column:
     return F.map_concat(content, F.create_map(F.lit("ok"), F.when(ok, "true").otherwise("false")))
 
 
-def append_revisions(revisions: DataFrame, path: str) -> None:
-    """The log only grows; `operators.revisions.latest` reads it."""
-    revisions.write.mode("append").parquet(path)
+def append_revisions(revisions: DataFrame, path: str, batch: int) -> None:
+    """The log only grows, by a folder for each batch; one that is appended again counts once.  `operators.revisions.latest` reads it."""
+    revisions.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def write_indexed(revisions: DataFrame, path: str, row_group: int = 128 << 20) -> None:
+    """The log laid out for lookups by file: sorted by file over all tasks, with a bloom filter in each row group.
+
+    A lookup reads the row groups whose range holds the file, mostly one, and none whose filter denies it.
+    """
+    ordered = revisions.repartitionByRange("file_identifier").sortWithinPartitions("file_identifier", "uid")
+    bloom = "parquet.bloom.filter.enabled#file_identifier"
+    ordered.write.option(bloom, "true").option("parquet.block.size", str(row_group)).mode("overwrite").parquet(path)

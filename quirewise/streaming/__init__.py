@@ -187,3 +187,9 @@ def newer_revisions(polls: DataFrame, saves: DataFrame, every: int, late: str =
 def state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
     """(key, value, ...) of a named state, as the last batch of a stopped or running query left it."""
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+
+
+def observed(query, name: str, metrics: list[str]) -> tuple[int, ...]:
+    """Sums of the counts that a query observed under a name, over all its batches that are still known."""
+    rows = [p["observedMetrics"][name] for p in query.recentProgress if name in p["observedMetrics"]]
+    return tuple(sum(int(r[m]) for r in rows) for m in metrics)

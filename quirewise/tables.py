@@ -12,6 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH = "quirewise-scratch"
+#: This driver's part of it; other drivers may use the same shared folder.
+_RUN = uuid.uuid4().hex
 #: Intermediate tables of this driver that have not been deleted yet.
 _tables: list[str] = []
 
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_SCRATCH}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +57,8 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes all intermediate tables; call it when no result that reads them is needed."""
-    _delete(spark, f"{shared_dir(spark)}/{_SCRATCH}")
+    """Deletes all intermediate tables of this driver; call it when no result that reads them is needed."""
+    _delete(spark, f"{shared_dir(spark)}/{_SCRATCH}/{_RUN}")
     _tables.clear()
 
 

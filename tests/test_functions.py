@@ -51,6 +51,7 @@ def formatted(message, values):
 SPECIAL = [
     "{n, plural, one {a} one {b} other {c}}", "{ n, plural, one {a}}", "{m, plural, one {a} =0 {none} other {#}} {a} {b}", "{n, plural, one {{a #} {{b}}} other {x}} {n}", "{n, plural, one {a} two", "{x, plural, one {a} {n, plural, one {b}}",
     "cost {n, plural, one {$$# $& $` $' $1} other {$}} end", "{a}{b}{c} { a } {}", "{n,plural,one{1}other{2}}", "{n, plural, one {a} ?? other {b}}", "{n, plural, ONE {a} other {b}}", "{n, plural, one {#} other {# {n}}} and {n, plural, one {x} other {y}}", "plain", "",
+    "{n, plural, one {" + "{" * 9 + "deep #" + "}" * 9 + "} other {o}}", "{n, plural, one {a}} } {", "{n, plural, {a} other {b}}", "{n, plural, other}", "{n, plural, one {" + "{" * 9 + "}" * 8 + "}", "x {n, plural, =1{}other{y}}",
 ]
 
 
@@ -104,6 +105,29 @@ def test_payloads_may_be_lists(spark):
     assert column(spark, lambda c: F.size(F.map_keys(sources.manifest(c))), ["[1]", '{"a":{"file":"b"}}', "{"])[:2] == [0, 1]
 
 
+def test_numbers_and_nulls_in_messages(spark):
+    one = lambda c: spark.range(1).select(c.alias("o")).first().o
+    assert [one(messages.formatted(F.lit(EN), {"count": F.lit(x)})) for x in (1.0, 2.0, 1.5)] == ["1 editor online", "2 editors online", "1.5 editors online"]
+    assert one(messages.formatted(F.lit(EN + " {a}"), {"count": F.lit(None), "a": F.lit(None)})) == "0 editors online null"
+
+
+def test_request_fields(spark):
+    given = ['{"revision":true,"file":"a"}', '{"revision":[],"file":null}', '{"revision":"x","file":[1]}', "[3]", "[" * 512 + "]" * 512, "[" * 513 + "]" * 513, '{"data":"' + "[" * 600 + '"}', '"text"', "{", None]
+    assert column(spark, sources.request_fields, given[:3]) == [("a", None, None, None, 1, 0), (None, None, None, None, 0, 0), ("Array", None, None, None, 0, 0)]
+    assert column(spark, lambda c: sources.request_fields(c).isNotNull(), given) == [True] * 5 + [False, True] + [False] * 3
+
+
+def test_lookups_read_few_rows(spark, tmp_path):
+    rows = spark.range(200_000).select(F.col("id").alias("uid"), F.sha2((F.col("id") % 20_000).cast("string"), 256).alias("file_identifier"), (F.col("id") % 7).alias("revision"))
+    sources.write_indexed(rows, f"file://{tmp_path}/log", row_group=200_000)
+    one = spark.read.parquet(f"file://{tmp_path}/log").filter(F.col("file_identifier") == F.sha2(F.lit("77"), 256))
+    assert one.count() == 10
+    plan = one._jdf.queryExecution().executedPlan()
+    one._jdf.queryExecution().executedPlan().executeCollect()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() < 20_000
+
+
 def test_toast(spark):
     labels = {"saveFailed": F.lit("Nicht gespeichert")}
     box = lambda c: S.toast(c, F.lit("a reason"), F.lit(""), F.lit("n.docx"), labels)
@@ -119,8 +143,8 @@ def test_filters_of_links_keys_and_messages(spark):
     blocked = lambda tag, rel: one(S.link_blocked(*lit(tag, rel), host, ["fonts.example.com"]))
     assert [blocked("LINK", "StyleSheet"), blocked("LINK", "preload"), blocked("IMG", "stylesheet"), blocked("LINK", None)] == [True, False, False, False]
     assert [one(S.saves_by_key(*lit(k, c, m, s), F.lit(w))) for k, c, m, s, w in [("S", True, False, False, "1"), ("s", False, True, False, "1"), ("x", True, False, False, "1"), ("s", True, False, True, "1"), ("s", True, False, False, "0")]] == [True, True, False, False, False]
-    added = "typo3:elementBrowser:elementAdded"
-    assert [one(S.accepts_message(*lit(*x))) for x in [("a", "a", added, "folder", "1:/"), ("b", "a", added, "folder", "1:/"), ("a", "a", "other", "folder", "1:/"), ("a", "a", added, "folder", "")]] == [True, False, False, False]
+    accepts = lambda origin, action, value: one(S.accepts_message(*lit(origin, "a", action), "chosen", *lit("folder", value)))
+    assert [accepts(*x) for x in [("a", "chosen", "1:/"), ("b", "chosen", "1:/"), ("a", "other", "1:/"), ("a", "chosen", "")]] == [True, False, False, False]
 
 
 def test_locale_and_names(spark):
@@ -156,7 +180,10 @@ def test_files_are_overwritten_whole(spark, tmp_path):
         assert {tuple(r) for r in sources.write_binaries(rows, folder).collect()} == {("a.docx", len(content)), ("b.docx", 1)}
         back = {r.name: (bytes(r.content), r.status) for r in sources.checked(sources.binary_files(spark, folder)).collect()}
         assert back == {"a.docx": (content, 200), "b.docx": (b"b", 200)}
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.docx", "b.docx"]
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.docx", "b.docx"]
+    spark.createDataFrame([("none.docx", b"")], "name string, content binary").transform(lambda x: sources.write_binaries(x, f"{folder}/below")).collect()
+    empty = sources.checked(sources.binary_files(spark, folder)).filter("size = 0").collect()
+    assert [(r.name, bytes(r.content), r.status) for r in empty] == [("none.docx", b"", 200)]
     rows = spark.createDataFrame([(3, b""), (3, None), (0, b""), (3, b"abc")], "size long, content binary")
     assert [r.status for r in sources.checked(rows).collect()] == [500, 500, 200, 200]
 
