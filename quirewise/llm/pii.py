@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: The base kinds, and those that only the method finds.
 ALL_KINDS = (*KINDS, "secret")
 PRECISION = 0.98
-TRAIN_TEXTS = 2500
+TRAIN_TEXTS = 3000
 MOST_ITEMS = 12
 #: Characters of context on each side that features see.
 CONTEXT = 32
@@ -60,7 +60,12 @@ _PHONES = (
     re.compile(r"(?<![0-9+.(])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
     re.compile(r"(?<![0-9+.])(?:00[1-9]|0[1-9])[0-9]{7,12}(?![0-9])"),
 )
-_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth[_ -]?key|credentials?)\b[\"']?\s?(?:=|:|is)\s?[\"']?([^\s\"',;]{6,200})", re.I)
+_SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|auth[_ -]?key|credentials?)\b[\"']?\s?(?:=|:|is)\s?[\"']?([^\s\"',;]{5,}[^\s\"',;.!?)\]}>#])", re.I)
+_BEARER = re.compile(r"\b(?:bearer|basic)\s([A-Za-z0-9._~+/=-]{7,}[A-Za-z0-9_~+/=-])", re.I)
+# How keys of well-known services and signed tokens begin.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)*)(?![A-Za-z0-9_-])")
+# Anything long of letters and digits, with at least three digits among them.
+_MIXED = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9][A-Za-z_+/-]*[0-9][A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{20,}={0,2}")
 #: Words that stand next to each kind, and next to numbers that are no personal data.
 _NEAR = {
     "email": re.compile(r"e-?mail|contact|write|reach|mail|kontakt|correo|courriel", re.I),
@@ -73,6 +78,9 @@ _AGAINST = re.compile(
     r"version|isbn|issn|order|invoice|serial|tracking|article|patent|page|chapter|section|id\b|no\.|nr\.|#|\bv$|release|sku|build|hash|ticket|bestell|commande|at \d|time|forgot|reset|change|lost",
     re.I,
 )
+_TOKEN = re.compile(r"[A-Za-z0-9._~+/=-]+")
+_HANDED = re.compile(r"(?:=|:|\bis|bearer|basic)\s?[\"']?$", re.I)
+_DIGEST = re.compile(r"\b(?:sha-?\d*|md5|digest|checksum|commit|hash|uuid|etag|integrity|build|file|path|data|base64)\b|https?:|/", re.I)
 _NUMBERS = re.compile(r"[0-9]+")
 
 
@@ -91,13 +99,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
     out, free, at = [], 0, text.find("@")
     while at >= 0:
         if m := _DOMAIN.match(text, at):
-            start, width = at, 64
-            while start > free:  # looks further back only as long as all characters belong
-                low = max(free, at - width)
-                start = low + len(text[low:start].rstrip(_LOCAL))
-                if start > low:
-                    break
-                width *= 4
+            start = _local_start(text, at, free)
             if start < at:
                 out.append((start, m.end()))
                 free = m.end()
@@ -136,12 +138,24 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if _NUMBERS.search(text):
         found += [(2, m.start(), m.end()) for p in _CARDS for m in p.finditer(text)]
         found += [(3, m.start(), m.end()) for p in _PHONES for m in p.finditer(text)]
-    found += [(4, m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
-    return sorted({*found})
+    secrets = [(m.start(1), m.end(1)) for p in (_SECRET, _BEARER) for m in p.finditer(text)]
+    secrets += [m.span() for m in _KNOWN.finditer(text)]
+    if _NUMBERS.search(text):
+        secrets += [m.span() for m in _MIXED.finditer(text) if any(map(str.isalpha, m.group()))]
+    return sorted({*found, *((4, a, b) for a, b in _widest(secrets))})
+
+
+def _widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
 
 
 def _written_out_addresses(text: str) -> list[tuple[int, int]]:
-    """Around each bracketed or spelt-out at sign: at most 64 local characters before it, and a host behind it."""
+    """Around each bracketed or spelt-out at sign: all local characters before it, and a host behind it."""
     signs = [(m.start(), m.end()) for m in _AT.finditer(text)]
     for word in (" at ", " AT "):
         at = text.find(word)
@@ -151,13 +165,25 @@ def _written_out_addresses(text: str) -> list[tuple[int, int]]:
     out = []
     for a, b in signs:
         end = a - (text[a - 1 : a].isspace() if text[a] != " " else 0)
-        low = max(0, end - 64)
-        start = low + len(text[low:end].rstrip(_LOCAL))
-        if start < end and (m := _HOST.match(text, b)):
-            out.append((start, m.end()))
+        if m := _HOST.match(text, b):
+            start = _local_start(text, end, free := max((e for _, e in out[-1:] if e <= end), default=0))
+            if free <= start < end:
+                out.append((start, m.end()))
     return out
 
 
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where the local characters before `end` begin; it looks further back only as long as all belong."""
+    start, width = end, 64
+    while start > least:
+        low = max(least, end - width)
+        start = low + len(text[low:start].rstrip(_LOCAL))
+        if start > low:
+            break
+        width *= 4
+    return start
+
+
 def _valid_v6(value: str) -> bool:
     try:
         return ipaddress.ip_address(value).version == 6
@@ -201,13 +227,14 @@ class Lists:
             "dot" in small, own.count(":"), sum(map(str.isalpha, own)) / len(own), "::" in own, kind == 1 and _valid_v6(own),
             _entropy(own) if kind == 4 else 0, sum(c in "0123456789abcdef" for c in small) / len(own) if kind == 4 else 0, any(map(
                 str.isupper, own,
-            )) and any(map(str.islower, own)), small.isalpha(),
+            )) and any(map(str.islower, own)), small.isalpha(), kind == 4 and bool(_KNOWN.match(own)), kind == 4 and min(99, len({*own})),
         ]
         context = [
             bool(near.search(before)), bool(near.search(after)), self.titles[kind, head][0], bool(near.search(line)),
             bool(_AGAINST.search(before)), self.titles[kind, head][1], bool(_AGAINST.search(line)),
             bool(before) and before[-1].isalnum(), bool(before) and before[-1] in "$€£#=/.,", bool(before) and before[-1] in "\"'",
             bool(after) and after[0].isalnum(), bool(after) and after[0] in "%€$/=", "=" in before[-4:], min(4, self.sizes[kind, head]), start == head,
+            kind == 4 and bool(_HANDED.search(before)), kind == 4 and bool(_DIGEST.search(before)),
         ]
         return shape + context
 
@@ -236,16 +263,26 @@ def _training_text(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]
             put(_cue(rng, word, kind, real, value) + rng.choice((" ", ": ", " ")))
         quote = rng.choice(("", "", '"', "'")) if kind == 4 else ""
         if kind == 4:
-            put(rng.choice(("token", "password", "api_key", "secret", "API key", "pwd")) + rng.choice((" = ", "=", ": ", " is ")) + quote)
+            put(_handed(rng, word, real, value) + quote)
         elif kind == 2 and real and rng.random() < 0.4:  # next to other numbers, where the base pattern fails
             put(_value(rng, word, 2, False).replace("-", "") + " " if rng.random() < 0.7 else "".join(rng.choices("0123456789", k=4)) + " ")
         if real:
             true.append((kind, len(text), len(text) + len(value)))
         put(value + quote)
-    put(rng.choice((" ", ". ", ", ", "\n", "!!", "###")) + words(0, 8))
+    put(rng.choice((" ", ". ", ", ", "\n", *((" !!", " ###") if kind == 4 else ("!!", "###")))) + words(0, 8))
     return text, true
 
 
+def _handed(rng: random.Random, word, real: bool, value: str) -> str:
+    """What stands before a secret, or before something that looks like one."""
+    named = rng.choice(("token", "password", "api_key", "secret", "API key", "pwd", "access key", "credentials")) + rng.choice((" = ", "=", ": ", " is "))
+    if not real and len(value) >= 20:  # a digest, an identifier, encoded data
+        return rng.choice(("sha256 ", "commit ", "checksum: ", "uuid ", "etag=", "build ", "md5: ", "file ", "data:", word() + " ", "id=", "https://" + word() + ".org/"))
+    if real and rng.random() < 0.25 and len(value) >= 16 and _TOKEN.fullmatch(value):
+        return rng.choice(("Bearer ", "Authorization: Bearer ", "basic ", *("",) * bool(_KNOWN.fullmatch(value))))
+    return named
+
+
 def _cue(rng: random.Random, word, kind: int, real: bool, value: str) -> str:
     own = (
         ["email", "contact", "write to", "mail", ""], ["ip", "host", "from address", "server", ""],
@@ -310,7 +347,16 @@ def _value(rng: random.Random, word, kind: int, real: bool) -> str:
             "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
             "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*?",
         ))
-        return rng.choice(("", "", "ghx_", "sk-", "AKIA")) + "".join(rng.choices(symbols, k=rng.choice((10, 16, 20, 32, 40, 64))))
+        if rng.random() < 0.15:
+            return rng.choice((word() + d(rng.randint(1, 4)) + word(), word() + word() + d(rng.randint(2, 4)), word().capitalize() + rng.choice("!$_") + d(2)))
+        if rng.random() < 0.1:
+            return ".".join(("eyJ" if k == 0 else "") + "".join(rng.choices(_LOCAL[:62], k=rng.choice((20, 80, 400)))) for k in range(3))
+        if rng.random() < 0.1:
+            return "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+        return rng.choice(("", "", "ghp_", "sk-")) + "".join(rng.choices(symbols, k=rng.choice((10, 16, 20, 32, 40, 64, 200, 800, 5000)) - 1)) + rng.choice("adefkmx3578")
+    if rng.random() < 0.4:
+        hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+        return rng.choice((hexes(40), hexes(64), hexes(32), "-".join(map(hexes, (8, 4, 4, 4, 12))), word() + "_" + word() + "_" + d(8), "/".join(word() for _ in range(5)) + "/" + d(4), "".join(rng.choices(_LOCAL[:62], k=rng.choice((60, 600)))) + "=="))
     return rng.choice((
         word() + word(), word() + word().capitalize(), "required", "forgotten", "missing.", f"<{word()}>",
         "${" + word().upper() + "}", "********", "function(" + word() + ")", "xxxxxxxx", "string", word() + "_" + word(),

@@ -158,20 +158,42 @@ def described(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), "doc_id long, x array<float>", make)
 
 
+#: Sums over tasks and shards are sums of whole numbers: features times FIXED, weights times FINE.
+FIXED = 1 << 20
+FINE = 1 << 32
+
+
+def summed(parts: DataFrame) -> tuple[int, list[int]]:
+    """Sums of the rows (n, v), one or more for each task or shard, by position: one row for each position comes to the driver."""
+    each = parts.select("n", F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
+    rows = sorted(each.collect())
+    return (rows[0]["n"] if rows else 0), [int(r["x"]) for r in rows]
+
+
+def _counted(n: int, vector: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([vector.tolist()], pa.list_(pa.int64()))], names=["n", "v"])
+
+
 def moments(shapes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, mean, scale) of x over all rows, by a sum for each task."""
+    """(rows, mean, scale) of x over all rows: exact sums of x and its square in fixed point, so no order changes them."""
     width = len(NAMES) + BUCKETS
 
+    def powers(x: np.ndarray) -> np.ndarray:
+        fixed = np.rint(x * FIXED).astype(np.int64)
+        high, low = np.divmod(fixed, FIXED)  # the square would pass 64 bits in one piece
+        return np.concatenate([fixed.sum(0), (high * high).sum(0), (high * low).sum(0), (low * low).sum(0)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums, squares = 0, np.zeros(width), np.zeros(width)
         for b in batches:
-            x = matrix(b.column("x"))
-            n, sums, squares = n + len(x), sums + x.sum(0), squares + (x * x).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()]), pa.array([squares.tolist()])], names=["n", "s", "q"])
+            if b.num_rows:
+                yield _counted(b.num_rows, powers(matrix(b.column("x"))))
 
-    parts = sorted(map(tuple, shapes.select("x").mapInArrow(run, "n long, s array<double>, q array<double>").collect()))
-    n = sum(p[0] for p in parts)
-    mean, square = (np.sum([p[k] for p in parts], 0) / max(1, n) if parts else np.zeros(width) for k in (1, 2))
+    n, sums = summed(shapes.select("x").mapInArrow(run, "n long, v array<long>"))
+    if not n:
+        return 0, np.zeros(width), np.full(width, 1e-3)
+    total, high, cross, low = (sums[k * width : (k + 1) * width] for k in range(4))
+    mean = np.array([t / (n * FIXED) for t in total])
+    square = np.array([(h * FIXED * FIXED + 2 * c * FIXED + v) / (n * FIXED * FIXED) for h, c, v in zip(high, cross, low, strict=True)])
     return n, mean, np.sqrt(np.maximum(0, square - mean * mean)) + 1e-3
 
 
@@ -190,11 +212,11 @@ def fitted(shapes: DataFrame, rows: int, positive: np.ndarray, net: Network, pri
             if held:
                 x = np.concatenate(held)
                 own = fit_nnpu(net, positive, x, prior, seed=k)
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([own.packed()])], names=["n", "w"])
+                yield _counted(len(x), np.rint(len(x) * FINE * np.asarray(own.packed())).astype(np.int64))
 
         met = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("x").select("x")
-        parts = sorted(map(tuple, met.mapInArrow(run, "n long, w array<double>").collect()))
-        net = net.with_weights(np.average([w for _, w in parts], axis=0, weights=[n for n, _ in parts]))
+        n, weights = summed(met.mapInArrow(run, "n long, v array<long>"))
+        net = net.with_weights(np.array([w / (n * FINE) for w in weights]))
     return net
 
 
