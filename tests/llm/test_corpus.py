@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -419,27 +420,59 @@ def test_quotes_of_a_common_line(spark):
     assert len(got) == 80 and all((r.reply_conv, r.reply_turn) == (r.conv_id, 0) for r in got if r.turn == 1)
 
 
+def read_message(text):
+    """(own text, own pieces, (level, piece) of quotes), pieces as tuples of words; written apart from the operator's parser."""
+    words_of = lambda line: tuple(re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+    lines = []  # (level, words, line)
+    for line in text.split("\n"):
+        rest, level = line.lstrip(" \t"), 0
+        while rest.startswith(">"):
+            level, rest = level + 1, rest[1:].lstrip(" \t")
+        if level and lines and lines[-1][0] == 0 and re.fullmatch(r".{0,200}(wrote|said)\s*:\s*", lines[-1][2]):
+            lines.pop()
+            lines.append((-1, (), ""))  # still ends a passage
+        lines.append((level, words_of(rest if level else line), line))
+    found = []
+    for level, group in groupby(lines, key=lambda x: x[0] if x[1] else None):
+        run = [words for _, words, _ in group]
+        if level is None:
+            continue
+        found += [(level, words) for words in run]
+        whole = sum(run, ())
+        found.append((level, whole))
+        for ended in re.findall(r"(?:\S+ )*?\S*[.!?][\"')\]*_]*(?= |$)|(?:\S+ )*\S+$", " ".join(whole)):
+            found.append((level, tuple(ended.split())))
+    own = "\n".join(line for level, _, line in lines if level == 0).strip("\n")
+    return own, {p for v, p in found if v == 0 and p}, {(v, p) for v, p in found if v > 0 and p}
+
+
 def threads_brute(messages):
-    """(conv, turn) -> (root, depth, parent), one message and piece after another; parsing is the operator's own."""
-    held, first_turn, convs = defaultdict(set), {}, defaultdict(set)
-    found = {(c, t): quotation.parsed(x or "") for c, t, _, x in messages}
-    for (c, t), (_, own, _) in found.items():
-        for key in own:
-            held[c, key].add(t)
-            convs[key].add(c)
-    for place, turns in held.items():
-        first_turn[place] = min(turns)
+    """(conv, turn) -> (root, depth, parent), one message and piece after another, on texts instead of hashes."""
+    found = {(c, t): read_message(x or "") for c, t, _, x in messages}
+    runs = {m: [" ".join(re.findall(r"[^\x20\x09-\x0D]+", run.lower())) for run in re.split(r"\n[\x20\t]*(?=\n)", own)] for m, (own, _, _) in found.items()}
+
+    def holder(m, holds, most_others):
+        near = [t for c, t in found if c == m[0] and holds((c, t))]
+        if near and min(near) < m[1]:
+            return m[0], min(near)
+        convs = sorted({c for c, t in found if holds((c, t))})
+        others = [c for c in convs if c != m[0]]
+        if not others or len(others) > most_others:
+            return None
+        other = convs[0] if convs[0] != m[0] else convs[-1]
+        return other, min(t for c, t in found if c == other and holds((c, t)))
+
     parent = {}
-    for (c, t), (_, _, quoted) in found.items():
+    for m, (_, _, quoted) in found.items():
         votes = Counter()
-        for level, key in quoted:
-            if first_turn.get((c, key), t) < t:
-                votes[level, (c, first_turn[c, key])] += 1
-            elif not key & 1 and convs[key] - {c}:  # the first conversation of all, or the last one if that is one's own
-                other = min(convs[key]) if min(convs[key]) != c else max(convs[key])
-                votes[level, (other, first_turn[other, key])] += 1
+        for level, p in quoted:
+            up, whole = holder(m, lambda k, p=p: p in found[k][1], 0 if len(p) < 3 else len(found)), 1
+            if up is None and len(p) >= 3:
+                up, whole = holder(m, lambda k, p=p: any(f" {' '.join(p)} " in f" {run} " for run in runs[k]), 1 if len(p) < 6 else len(found)), 0
+            if up is not None:
+                votes[level, up, whole] += 1
         if votes:
-            parent[c, t] = min(((level, -n, up) for (level, up), n in votes.items()))[2]
+            parent[m] = min((level, -votes[level, up, 1], -votes[level, up, 0], up) for level, up, _ in votes)[3]
     for start in sorted(parent):
         seen, now = [], start
         while now in parent and now not in seen:
@@ -458,7 +491,7 @@ def threads_brute(messages):
 
 @pytest.mark.parametrize("seed,hot", [(0, 1000), (1, 1000), (2, 3)])
 def test_quotes_against_brute_force(spark, monkeypatch, seed, hot):
-    """Random conversations that quote lines, sentences and re-wrapped passages, in their own and in others, both ways."""
+    """Random conversations that quote lines, sentences, parts and re-wrapped passages, in their own and in others, both ways."""
     monkeypatch.setattr(quotation, "LEAST_HOT", hot)
     rng = random.Random(seed)
     said = [" ".join(rng.choice("alpha beta gamma delta river stone").capitalize() if k == 0 else rng.choice("one two six red old new".split()) for k in range(rng.randint(1, 7))) + rng.choice(".!? ") for _ in range(60)]
@@ -477,6 +510,19 @@ def test_quotes_against_brute_force(spark, monkeypatch, seed, hot):
     assert len(got) == len(messages) and sum(p is not None for _, _, p in expected.values()) > 10
 
 
+def test_quotes_of_parts_and_of_short_pieces(spark):
+    long = " ".join(f"word{k}" for k in range(100))
+    rows = [
+        (1, 0, "user", "The old bridge over the river is closed until the end of May, they say.\nMore about it\n\ntomorrow morning then"),
+        (1, 1, "user", "> bridge over the river is closed\nWhich bridge?"), (1, 2, "user", "> closed until the\nI see"), (2, 0, "user", "> is closed until the end of May,\nGood to know, I will walk"),
+        (3, 0, "user", "> about it tomorrow morning\nNothing holds these words in a row"), (4, 0, "user", "> they say. More about it\nLines of one run"), (5, 0, "user", "Zebras!"), (6, 0, "user", "> Zebras!\nToo short for another conversation"),
+        (7, 0, "user", "Same here"), (8, 0, "user", "Same here"), (9, 0, "user", "> Same here\nAmbiguous"), (10, 0, "user", "red green blue one"), (11, 0, "user", "two red green blue"), (12, 0, "user", "> red green blue\nAmbiguous, too"),
+        (13, 0, "user", long), (13, 1, "user", f"> {' '.join(long.split()[20:95])}\nA long part"), (14, 0, "user", f"> {' '.join(long.split()[20:95])} other\nNot quite"), (15, 0, "user", "two words"), (15, 1, "user", "> words\nOne word is no part"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotation.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if r.reply_conv is not None} == {(1, 1): (1, 0), (1, 2): (1, 0), (2, 0): (1, 0), (4, 0): (1, 0), (13, 1): (13, 0)}
+
+
 def test_a_very_long_message(spark):
     said = "This one sentence is said by somebody. " * 20_000
     rows = [(1, 0, "user", said), (1, 1, "assistant", "> " + said.replace(". ", ".\n> ") + "\nYes")]
