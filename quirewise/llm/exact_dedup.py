@@ -58,10 +58,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty result; further columns are ignored; texts may have any length.
     """
     norm = normalized(col(text_col))
-    rows = docs.select(col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", F.sha2("norm", 256))
     with scratch(docs.sparkSession) as keep:
+        # Normalised and hashed once: the sample, the range partitioning's own sample and the sort all read it.
+        rows = written(docs.select(col(id_col).alias("id"), norm.alias("norm")).withColumn("digest", F.sha2("norm", 256)), "dedup-rows")
         large, split, prefix = large_groups(rows)
-        keep.append(large)
+        keep += [rows, large]
     keys = ["prefix", "digest"]
     dealt = rows.withColumn("prefix", F.substring("norm", 1, prefix))
     if split:  # not a constant otherwise: the window would lose it, and the range partitioning not meet its distribution
@@ -71,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The range partitioning meets the window's distribution: no exchange, only the external sort.
     equal = Window.partitionBy(*keys, "norm").orderBy(F.col("id").asc_nulls_last())
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Only numbers leave the windows, so that a group's buffer holds no texts.
+    # A task buffers the rows of one group (salted if large), texts included, and spills them beyond a few thousand.
     runs = dealt.select(
         "id", "digest", *(["salts"] if split else []), *keys[:1], *keys[2:], "norm", F.row_number().over(equal).alias("place"),
         F.first("id").over(equal).alias("least"), F.count(F.lit(1)).over(whole).alias("n"),
