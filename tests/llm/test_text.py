@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,63 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert all(0 <= s.score <= 1 and s.predicted == (s.score >= 0.5) for s in scored.values())
 
 
+def quality_brute(rows, labels):
+    """Scores of (doc_id, text) by a fit of all rows at once, from the formulas; features, start and the order of draws are the operator's."""
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    x = {i: quality.features(t or "").astype(np.float32).astype(float) for i, t in rows}
+    ours = np.array(sorted(x[i].tolist() for i, _ in rows if not held_out(i)))
+    known = {i: min(q for j, q in labels if j == i) for i, _ in labels if i in x and not held_out(i)}
+    positive = np.array([x[i] for i in sorted(known) if known[i] == 1])
+    prior = min(0.95, max(0.05, np.mean([q == 1 for _, q in sorted(known.items())])))
+    mean, scale = ours.mean(0), np.sqrt((ours**2).mean(0) - ours.mean(0) ** 2) + 1e-3
+    shaped = lambda a: np.minimum(6, np.maximum(-6, (a - mean) / scale))
+    start = quality.new_network(mean, scale)
+    w = [start.w1, start.b1, start.w2, np.array(start.b2)]
+    p_all, u_all = shaped(positive), shaped(ours)
+
+    def slopes(a, to_logit):
+        """Gradients of the sum of to_logit * logit over the rows of a."""
+        h = np.tanh(a @ w[0] + w[1])
+        inner = to_logit[:, None] * w[2] * (1 - h**2)
+        return [np.einsum("ri,rj->ij", a, inner), inner.sum(0), (to_logit[:, None] * h).sum(0), to_logit.sum()]
+
+    logit = lambda a: np.tanh(a @ w[0] + w[1]) @ w[2] + w[3]
+    for k in range(quality.ROUNDS):
+        rng = np.random.default_rng(k)
+        m, v = [0 * a for a in w], [0 * a for a in w]
+        for step in range(1, quality.STEPS + 1):
+            p, u = p_all[rng.integers(0, len(p_all), min(len(p_all), 512))], u_all[rng.integers(0, len(u_all), min(len(u_all), 512))]
+            chance_p, chance_u = 1 / (1 + np.exp(-logit(p))), 1 / (1 + np.exp(-logit(u)))
+            as_negative = [a - b for a, b in zip(slopes(u, chance_u / len(u)), slopes(p, prior * chance_p / len(p)), strict=True)]
+            if np.log1p(np.exp(logit(u))).mean() - prior * np.log1p(np.exp(logit(p))).mean() >= 0:
+                g = [a + b for a, b in zip(as_negative, slopes(p, prior * (chance_p - 1) / len(p)), strict=True)]
+            else:
+                g = [-a for a in as_negative]
+            for j in range(4):
+                g[j] = g[j] + (1e-4 * w[j] if j < 3 else 0)
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
+            w = [a - 0.01 * (1 - step / quality.STEPS) * (b / (1 - 0.9**step)) / (np.sqrt(c / (1 - 0.999**step)) + 1e-8) for a, b, c in zip(w, m, v, strict=True)]
+    return {i: float(1 / (1 + np.exp(-logit(shaped(x[i][None]))[0]))) for i, _ in rows}
+
+
+def test_quality_against_one_fit_of_all_rows(spark, sf_dir):
+    got = {r.doc_id: r for r in QUERIES["op2_quality"](spark, sf_dir).collect()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None]
+    expected = quality_brute(rows, labels)
+    assert len(got) == len(rows) == len(expected)
+    assert max(abs(got[i].score - v) for i, v in expected.items()) < 0.01
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in expected)
+
+
+def test_quality_of_very_long_texts(spark):
+    rows = [(1, "some words of a line, " * 150_000), (2, "A line that is told again and again.\n" * 60_000), (3, "x" * 2_000_000), (4, "A short text. It says little.")]
+    labels = spark.createDataFrame([(4, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = as_docs(spark, rows)
+    got = {r.doc_id: r for r in quality.score(docs, quality.trained_on(docs, labels)).collect()}
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got.values()) and all(got[i].text == t for i, t in rows)
+
+
 def test_quality_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (7, 1, None), (None, 1, 0), (8, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     net = quality.trained_on(edges, labels)
@@ -264,6 +322,38 @@ def test_rules_keep_prose_and_drop_boilerplate(spark):
     assert (got[90].kept, got[91].kept, got[92].kept, got[92].base_failed, got[1].base_failed) == (True, False, False, True, True)
 
 
+def share_brute(text, field):
+    """The share of words in content lines, from the best sequence of states by the value of what is still to come."""
+    lines = [x.strip(" \t\n\x0b\x0c\r") for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    if not lines:
+        return 0.0
+    e = quality_rules.line_features(lines) @ field.emit
+    rest = [np.zeros(2)]  # rest[k][s]: the best value of the lines after k if line k is in state s
+    for k in range(len(lines) - 1, 0, -1):
+        rest.insert(0, np.array([max(field.move[s, to] + e[k, to] + rest[0][to] for to in (0, 1)) for s in (0, 1)]))
+    states = [int(np.argmax(field.begin + e[0] + rest[0]))]
+    for k in range(1, len(lines)):
+        states.append(int(np.argmax(field.move[states[-1]] + e[k] + rest[k])))
+    words = [max(1, len(x.split())) for x in lines]
+    return sum(n for n, s in zip(words, states, strict=True) if s == 0) / sum(words)
+
+
+def test_rules_against_brute_force(spark, sf_dir):
+    """Counts and verdicts of whole documents, and of random texts of lines of all kinds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    field = quality_rules.trained()
+    got = {r.doc_id: r for r in QUERIES["op3_quality_rules"](spark, sf_dir).collect()}
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == rows.keys()
+    for i, t in rows.items():
+        counts, share, r = rules_brute(t), share_brute(t, field), got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+        assert (r.base_failed, r.kept) == (failed, not failed and share >= 0.5) and r.content_share == pytest.approx(share, abs=1e-9)
+    assert len({r.kept for r in got.values()}) == 2
+
+
 def test_rules_of_very_long_texts(spark):
     """One line of millions of characters, very many lines, and one word."""
     long, many, one = "some words of a line, " * 150_000, "A line that is told again and again.\n" * 60_000, "x" * 2_000_000
