@@ -4,8 +4,8 @@ Lines that start with `>` are quotes, nested by the number of marks.  Quoted lin
 follow each other are a passage.  Its pieces (lines, sentences, and the whole passage) are hashed after
 normalisation and joined to the first message that holds the same piece among its own words, so a
 re-wrapped passage and a sentence out of a longer line are found.  A piece of MIN_WORDS words or more
-that no message holds as one is looked for as a part: words in a row, within own lines that no empty
-line parts.  A message replies to the message that most of its outermost matched pieces come from, those
+that no message holds as one is looked for as a part: words in a row, but for the marks at their ends,
+within own lines that no empty line parts.  A message replies to the message that most of its outermost matched pieces come from, those
 held as a whole before parts; threads follow these links, and texts come without quotes.
 
 A part of n words is named by the two windows of s words at its ends, s being the largest MIN_WORDS * 2^k
@@ -43,6 +43,8 @@ PART_WORDS = 6
 HOT_SHARE = 1 / 64
 LEAST_HOT = 1000
 _MARKS = re.compile(r"[\x20\t]*((?:>[\x20\t]?)+)")
+#: Marks at the ends of words, which parts are compared without, as a part may end where its sentence goes on.
+ENDS = b".,;:!?\"'()[]*_"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INTRO = re.compile(r"^.{0,200}(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 
@@ -89,7 +91,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: tuple[bytes, ...] | list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(w.strip(ENDS) or w) for w in words], np.uint64)
 
 
 def window_size(n: int) -> int:

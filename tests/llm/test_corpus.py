@@ -129,6 +129,19 @@ def test_mix(spark, monkeypatch, broadcast):
     assert sum(len((r.text or "").encode().split()) for r in out.collect()) == sum(by_source.values())
 
 
+def test_mix_of_a_very_long_text(spark):
+    """One text of many blocks beside short ones of its source, and of others."""
+    sizes = {0: 300_000, **dict.fromkeys(range(1, 10), 20)}
+    docs = as_docs(spark, [(i, "some words in a row " * (n // 5)) for i, n in sizes.items()])
+    pieces, streams = mixing.mix(docs)
+    taken = Counter()
+    for p in pieces.collect():
+        taken[p.doc_id] += p.length
+    targets = {r.source_no: math.floor(r.target) for r in streams.collect()}
+    assert all(n <= 2 * sizes[i] for i, n in taken.items()) and taken[0] >= 300_000
+    assert sum(taken.values()) == sum(targets.values())
+
+
 def test_mixed_documents_come_in_the_order_of_the_slots(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     docs = as_docs(spark, [(i, prose(random.Random(i), 5 + i % 50)) for i in range(120)])
@@ -188,6 +201,16 @@ def test_packing_round_trip(spark, size):
     assert sum(p.length for p in out) == sum(len(w) // 4 * n for (_, w), n in want.items())
 
 
+def test_equal_documents_are_packed_once_each(spark):
+    """Ties: rows that repeat id and text, and texts of one length, each have a place of their own; runs agree."""
+    rows = [(1, "the same words here")] * 300 + [(i, "the same words here") for i in range(2, 200)] + [(None, "the same words here")] * 50
+    out = packing.pack(as_docs(spark, rows), size=64).collect()
+    check_packing(out, 64)
+    assert Counter(p.doc_id for p in out) == Counter(i for i, _ in rows) and len({(p.sequence_id, p.offset) for p in out}) == len(rows)
+    again = packing.pack(as_docs(spark, rows), size=64).collect()
+    assert sorted((p.sequence_id, p.offset, p.length) for p in again) == sorted((p.sequence_id, p.offset, p.length) for p in out)
+
+
 def test_a_very_long_text_is_packed_whole(spark):
     text = "word and another one, " * 150_000
     out = packing.pack(as_docs(spark, [(1, text), (2, "x")])).collect()
@@ -449,7 +472,8 @@ def read_message(text):
 def threads_brute(messages):
     """(conv, turn) -> (root, depth, parent), one message and piece after another, on texts instead of hashes."""
     found = {(c, t): read_message(x or "") for c, t, _, x in messages}
-    runs = {m: [" ".join(re.findall(r"[^\x20\x09-\x0D]+", run.lower())) for run in re.split(r"\n[\x20\t]*(?=\n)", own)] for m, (own, _, _) in found.items()}
+    bare = lambda words: f" {' '.join(w.strip(quotation.ENDS.decode()) or w for w in words)} "
+    runs = {m: [bare(re.findall(r"[^\x20\x09-\x0D]+", run.lower())) for run in re.split(r"\n[\x20\t]*(?=\n)", own)] for m, (own, _, _) in found.items()}
 
     def holder(m, holds, most_others):
         near = [t for c, t in found if c == m[0] and holds((c, t))]
@@ -468,7 +492,7 @@ def threads_brute(messages):
         for level, p in quoted:
             up, whole = holder(m, lambda k, p=p: p in found[k][1], 0 if len(p) < 3 else len(found)), 1
             if up is None and len(p) >= 3:
-                up, whole = holder(m, lambda k, p=p: any(f" {' '.join(p)} " in f" {run} " for run in runs[k]), 1 if len(p) < 6 else len(found)), 0
+                up, whole = holder(m, lambda k, p=p: any(bare(p) in run for run in runs[k]), 1 if len(p) < 6 else len(found)), 0
             if up is not None:
                 votes[level, up, whole] += 1
         if votes:
@@ -523,6 +547,17 @@ def test_quotes_of_parts_and_of_short_pieces(spark):
     assert {k: (r.reply_conv, r.reply_turn) for k, r in got.items() if r.reply_conv is not None} == {(1, 1): (1, 0), (1, 2): (1, 0), (2, 0): (1, 0), (4, 0): (1, 0), (13, 1): (13, 0)}
 
 
+def test_quotes_of_a_repeated_message(spark):
+    """Two rows of one (conv_id, turn), of one text or of several: each piece links to it once, and all rows stay."""
+    rows = [
+        (1, 0, "user", "Kites need wind and a long line."), (1, 0, "user", "Kites need wind and a long line."), (1, 0, "user", "Boats need water and a good rope."),
+        (1, 1, "user", "> Kites need wind and a long line.\n> Boats need water and a good rope.\nBoth are fun"), (2, 0, "user", "> water and a good rope\nAnd a sail"), (2, 0, "user", "> water and a good rope\nAnd a sail"), (3, 0, "user", "> And a sail\nNo"),
+    ]
+    got = quotation.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.turn, r.reply_conv, r.reply_turn, r.depth) for r in got if r.reply_conv) == [(1, 1, 1, 0, 1), (2, 0, 1, 0, 1), (2, 0, 1, 0, 1), (3, 0, 2, 0, 2)]
+    assert len(got) == len(rows)
+
+
 def test_a_very_long_message(spark):
     said = "This one sentence is said by somebody. " * 20_000
     rows = [(1, 0, "user", said), (1, 1, "assistant", "> " + said.replace(". ", ".\n> ") + "\nYes")]
