@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SHAPES = 32
-WINDOW = 2
-WIDTH = 12
+WINDOW = 3
+WIDTH = 16
 #: Tokens of one step of training, and of one batch of scoring.
 STEP = 8192
 RATE = 0.1
