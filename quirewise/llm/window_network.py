@@ -18,6 +18,8 @@ WIDTH = 16
 #: Tokens of one step of training, and of one batch of scoring.
 STEP = 8192
 RATE = 0.1
+#: Rows of a short run of equal tokens or nodes.
+SHORT = 4
 _OFFSETS = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
 
 
@@ -86,23 +88,24 @@ class WindowNetwork:
                 at += 1 << depth
 
     def hidden(self, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(h, the embeddings by position) of the tokens at `place` in a line of tokens."""
-        own = self.embedding.take(line, 0)
-        found = [own.take(place + k, 0) for k in _OFFSETS]
+        """(h of the tokens at `place`, the embeddings by position of all places of the line that have a whole window)."""
+        own, n = self.embedding.take(line, 0), len(line) - 2 * WINDOW
+        # Position by position, the embeddings of neighbouring places lie next to each other: slices, not copies.
+        found = [own[WINDOW + k : WINDOW + k + n] for k in _OFFSETS]
         h = found[0] * self.gate[0]
         for x, g in zip(found[1:], self.gate[1:], strict=True):
             h += x * g
         h[:, -1] = 1
-        return h, found
+        return h.take(place - WINDOW, 0), found
 
     def log_probabilities(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
         order = self.codes.order(line.take(place))
         ids = line.take(place.take(order))
         classes = self.codes.classes(ids)
         h, _ = self.hidden(line, place.take(order))
-        z = h @ self.top
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(ids)), classes] - np.log(np.exp(z, out=z).sum(1))
+        z = self.top.T @ h.T
+        z -= z.max(0)
+        own = z[classes, np.arange(len(ids))] - np.log(np.exp(z, out=z).sum(0))
         for node, right in self.codes.paths(ids):
             n = len(node)
             x = np.einsum("mw,mw->m", self.nodes.take(node, 0), h[:n]) * (2 * right - 1)
@@ -116,13 +119,13 @@ class WindowNetwork:
         place = place.take(self.codes.order(line.take(place)))
         ids = line.take(place)
         h, found = self.hidden(line, place)
-        p = h @ self.top
-        p -= p.max(1, keepdims=True)
+        p = self.top.T @ h.T
+        p -= p.max(0)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(ids)), self.codes.classes(ids)] -= 1
-        back = p @ self.top.T
-        moves = [("top", slice(None), h.T @ p, len(ids))]
+        p /= p.sum(0)
+        p[self.codes.classes(ids), np.arange(len(ids))] -= 1
+        back = p.T @ self.top.T
+        moves = [("top", np.arange(WIDTH), (p @ h).T, len(ids))]
         for node, right in self.codes.paths(ids):
             n, own = len(node), self.nodes.take(node, 0)
             g = 1 / (1 + np.exp(-np.clip(np.einsum("mw,mw->m", own, h[:n]), -30, 30))) - right
@@ -130,26 +133,47 @@ class WindowNetwork:
             back[:n] += own
             # A node's tokens stand next to each other.
             starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            moves.append(("nodes", node[starts], np.add.reduceat(h[:n] * g[:, None], starts, axis=0), np.diff(starts, append=n)))
+            moves.append(("nodes", node[starts], _sums(h[:n] * g[:, None], starts), np.diff(starts, append=n)))
         back[:, -1] = 0
-        moves.append(("gate", slice(None), np.stack([np.einsum("bw,bw->w", x, back) for x in found]), len(ids)))
+        # By place of the line; edges have no gradient.
+        n = len(line) - 2 * WINDOW
+        spread, there = np.zeros((n, WIDTH), np.float32), np.zeros(n, np.int64)
+        spread[place - WINDOW], there[place - WINDOW] = back, 1
+        moves.append(("gate", np.arange(2 * WINDOW), np.stack([np.einsum("bw,bw->w", x, spread) for x in found]), len(ids)))
         # What a token of the line is told by all tokens around it, then the sum over the line's equal tokens.
         told, times = np.zeros((len(line), WIDTH), np.float32), np.zeros(len(line), np.int64)
         for k, g in zip(_OFFSETS, self.gate, strict=True):
-            told[place + k] += back * g
-            times[place + k] += 1
-        rows, local = np.unique(line, return_inverse=True)
-        sums = np.stack([np.bincount(local, c, len(rows)) for c in told.T.astype(np.float64, order="C")], 1).astype(np.float32)
-        moves.append(("embedding", rows, sums, np.bincount(local, times, len(rows))))
+            told[WINDOW + k : WINDOW + k + n] += spread * g
+            times[WINDOW + k : WINDOW + k + n] += there
+        order = np.argsort(line, kind="stable")
+        token = line.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        moves.append(("embedding", token[starts], _sums(told.take(order, 0), starts), np.add.reduceat(times.take(order), starts)))
         for move in moves:
             self._move(*move)
 
-    def _move(self, part: str, rows, grads: np.ndarray, times) -> None:
-        self.seen[part][rows] += (grads * grads).mean(1)
-        getattr(self, part)[rows] -= RATE * grads / np.sqrt(self.seen[part][rows])[:, None]
+    def _move(self, part: str, rows: np.ndarray, grads: np.ndarray, times) -> None:
+        seen, weights = self.seen[part].take(rows), getattr(self, part)
+        seen += np.einsum("rw,rw->r", grads, grads) / grads.shape[1]
+        self.seen[part][rows] = seen
+        weights[rows] = weights.take(rows, 0) - grads * (RATE / np.sqrt(seen))[:, None]
         self.used[part][rows] += times
 
 
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at `starts`; most runs are short, and added row by row for all runs at once."""
+    sizes = np.diff(starts, append=len(values))
+    out = values.take(starts, 0)
+    for k in range(1, SHORT):
+        at = np.flatnonzero((sizes > k) & (sizes <= SHORT))
+        out[at] = out.take(at, 0) + values.take(starts.take(at) + k, 0)
+    if (long := sizes > SHORT).any():
+        own = sizes[long]
+        kept = values if len(own) == len(sizes) else values.take(np.flatnonzero(np.repeat(long, sizes)), 0)
+        out[long] = np.add.reduceat(kept, np.cumsum(own) - own, axis=0)
+    return out
+
+
 def batches(texts: list[np.ndarray], edge: int, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(line, place, text number) of all tokens of the texts in order, at most `size` at a time.
 
