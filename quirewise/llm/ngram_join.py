@@ -22,11 +22,12 @@ from math import ceil, exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import arrow_map, col, lower_words, scratch, small_batches, table, texts, written
+from ..operators.ranking import numbered
+from .common import arrow_map, by_key, col, lower_words, scratch, small_batches, table, texts, written
 from .components import components
 from .packing import Recent
 from .perfect_hash import mix
@@ -316,17 +317,16 @@ class NgramJoin:
 
         `closest`: a spanning forest of each bucket only, and sig (else null) where the bucket has
         more candidates.  A bucket of more than BLOCK rows becomes a grid of blocks, sorted by class,
-        so that a task holds two blocks and blocks of one class only don't meet.
+        so that a task holds two blocks and blocks of one class only don't meet.  No task gathers a bucket before that.
         """
         percent = self.percent
-        classed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        own = Window.partitionBy("sig")
-        ends = F.min("root").over(own).alias("lo"), F.max("root").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("m")
-        place = F.row_number().over(own.orderBy("root")).alias("place")
-        mixed = classed.select("*", *ends, place).filter("lo != hi").select("sig", "node", "root", "m", F.expr(f"(place - 1) div {BLOCK}").cast("int").alias("part"))
-        mixed = written(mixed, "join-mixed")
-        one = mixed.filter(F.col("m") <= BLOCK).withColumns({"i": F.lit(0), "j": F.lit(0)})
-        large = mixed.filter(F.col("m") > BLOCK)
+        classed = written(buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), "join-classed")
+        ends = classed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+        several = written(ends.filter("lo != hi").select("sig", "m", F.col("m").alias("rows")), "join-several")
+        mixed = written(by_key(classed, several, ["sig"], "rows"), "join-mixed")
+        one = mixed.filter(F.col("m") <= BLOCK).select("sig", "node", "root", *[F.lit(0).alias(c) for c in ("i", "j", "part")])
+        placed = numbered(mixed.filter(F.col("m") > BLOCK), ["root"], ["sig"], "place")
+        large = written(placed.select("sig", "node", "root", F.expr(f"(place - 1) div {BLOCK}").cast("int").alias("part")), "join-large")
         blocks = large.groupBy("sig", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         left, right = blocks.toDF("sig", "i", "lo", "hi"), blocks.toDF("sig", "j", "lo2", "hi2")
         grid = left.join(right, "sig").filter("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("sig", "i", "j")
@@ -386,12 +386,15 @@ class NgramJoin:
 
     def _classes(self, rows: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
         """(node, root) of the linked nodes but the roots."""
-        own = Window.partitionBy("sig")
-        met = self.signed(rows, seed).select("sig", "node", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("hi"))
-        held = met.filter("lead != hi").drop("hi").distinct()
+        signed = written(self.signed(rows, seed), "join-signed")
+        ends = signed.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        shared = written(ends.filter("lead != hi").drop("hi"), "join-shared")
+        held = written(by_key(signed, shared, ["sig"], "rows").distinct(), "join-held")
         # Copies that agree on many parts share as many buckets: buckets of the same members become
         # one, named by their members.  Should two names be equal, their buckets merge; no pair is lost.
-        buckets = written(held.select(F.bit_xor(F.xxhash64("node")).over(own).alias("sig"), "node", "lead").distinct(), "join-buckets")
+        names = written(held.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("name"), F.count(F.lit(1)).alias("rows")), "join-names")
+        named = by_key(held, names, ["sig"], "rows").select(F.col("name").alias("sig"), "node", "lead")
+        buckets = written(named.distinct(), "join-buckets")
         often = buckets.filter("node != lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", "lead")).alias("best"))
         best = often.select(F.greatest("node", "best.lead").alias("a"), F.least("node", "best.lead").alias("b")).distinct()
         tested = written(self._plausible(best, nodes), "join-pairs")
