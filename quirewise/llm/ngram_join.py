@@ -22,18 +22,20 @@ from math import ceil, exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..operators.ranking import numbered
-from .common import arrow_map, by_key, col, lower_words, scratch, small_batches, table, texts, written
+from .common import HOT_SHARE, LEAST_HOT, arrow_map, by_key, col, lower_words, scratch, small_batches, table, texts, written
 from .components import components
 from .packing import Recent
 from .perfect_hash import mix
 
 #: Ranges of a sketch at least, as a power of two.
 LEAST_BITS = 8
+#: Cells in which signatures are counted; at most 1 / HOT_SHARE of them are hot.
+CELLS = 1 << 16
 #: Rows of a bucket that one task compares with as many others; larger buckets become a grid of blocks.
 BLOCK = 2048
 #: Pairs of rows, and 64-bit words of sketches, that a task looks at together.
@@ -386,10 +388,18 @@ class NgramJoin:
 
     def _classes(self, rows: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
         """(node, root) of the linked nodes but the roots."""
-        signed = written(self.signed(rows, seed), "join-signed")
-        ends = signed.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        shared = written(ends.filter("lead != hi").drop("hi"), "join-shared")
-        held = written(by_key(signed, shared, ["sig"], "rows").distinct(), "join-held")
+        signed, own = written(self.signed(rows, seed), "join-signed"), Window.partitionBy("sig")
+        # Signatures are nearly all unique; only those of a cell that holds many rows are aggregated before they are joined.
+        cell, least = F.pmod(F.xxhash64("sig"), F.lit(CELLS)), max(LEAST_HOT, signed.count() * HOT_SHARE)
+        hot = [r["cell"] for r in signed.groupBy(cell.alias("cell")).count().filter(F.col("count") >= least).collect()]
+        met = signed.filter(~cell.isin(hot)).select("sig", "node", F.min("node").over(own).alias("lead"), F.max("node").over(own).alias("hi"))
+        held = met.filter("lead != hi").drop("hi")
+        if hot:
+            many = signed.filter(cell.isin(hot))
+            ends = many.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows"))
+            shared = written(ends.filter("lead != hi").drop("hi"), "join-shared")
+            held = held.unionByName(by_key(many, shared, ["sig"], "rows"))
+        held = written(held.distinct(), "join-held")
         # Copies that agree on many parts share as many buckets: buckets of the same members become
         # one, named by their members.  Should two names be equal, their buckets merge; no pair is lost.
         names = written(held.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("name"), F.count(F.lit(1)).alias("rows")), "join-names")

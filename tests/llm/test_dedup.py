@@ -134,9 +134,14 @@ def test_ngram_join(spark, words, percent, seed):
     assert sorted(map(tuple, got), key=str) == join_brute(rows, words, percent)
 
 
-def test_blocks_of_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("cells,least", [(7, 1), (1 << 16, 3)])
+def test_blocks_of_large_buckets(spark, monkeypatch, cells, least):
     from quirewise.llm import ngram_join
 
+    # All cells of signatures are hot, or just those of signatures that several sets share.
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", least)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0)
     monkeypatch.setattr(ngram_join, "LEAST_BITS", 4)
     monkeypatch.setattr(ngram_join, "PAIRS", 20)
     monkeypatch.setattr(ngram_join, "WORDS", 30)
