@@ -14,7 +14,7 @@ from ..tables import new_folder
 from .collaboration_queries import _REPLAY, SAVE_REPLAY_SQL, SIX_HOURS, sessions_sql
 from .model import Model
 from .registry import query
-from .text_queries import _ops_stream, _with_rocksdb, in_parts
+from .text_queries import _ops_stream, _with_rocksdb, arriving
 
 #: A time to live under which sessions of the test operations, which are hours apart, last.
 LONG_TTL = 400_000
@@ -31,7 +31,7 @@ def session_batches(m: Model, log: str | None = None) -> SessionTable:
         if batch == 2:
             write(rows, batch)
 
-    stream = sources.polled(m.spark, in_parts(m, m.ops, "seq"), streaming.OPS_SCHEMA, 1)
+    stream = arriving(m, m.ops, "seq", streaming.OPS_SCHEMA)
     streaming.polling(stream, twice, new_folder(m.spark, "state"), every=None).awaitTermination()
     return table
 
@@ -99,8 +99,7 @@ def remote_newer_stream(m: Model) -> DataFrame:
     """The first poll of each open editor after another editor's save, with its revision: polls and saves joined as streams."""
     folder, first, last = editors_folder(m)
     saved = revisions.numbered(m.ops.filter("op = 'save'").select("seq", "file", "user_id", "t")).select("file", F.col("user_id").alias("saved_by"), "t", F.col("revision").cast("long").alias("revision"))
-    log = in_parts(m, saved, "t", 1)
-    newer = streaming.newer_revisions(cadence(m, folder, first, last).filter("kind = 'poll'").drop("kind"), sources.polled(m.spark, log, saved.schema, 1000), POLL)
+    newer = streaming.newer_revisions(cadence(m, folder, first, last).filter("kind = 'poll'").drop("kind"), arriving(m, saved, "t", saved.schema, 1), POLL)
     return streaming.run_once(m.spark, newer, new_folder(m.spark, "newer"), new_folder(m.spark, "state"))
 
 
@@ -204,7 +203,7 @@ def _saved(m: Model) -> SaveLog:
         if batch == 2:
             write(rows, batch)
 
-    stream = sources.polled(m.spark, in_parts(m, save_bodies(m), "seq", 3), "seq long, uid long, body string, file_right boolean", 1)
+    stream = arriving(m, save_bodies(m), "seq", "seq long, uid long, body string, file_right boolean", 3)
     streaming.polling(stream, unsteady, new_folder(m.spark, "state"), every=None).awaitTermination()
     return log
 
@@ -215,7 +214,7 @@ SELECT count(*) AS requests, count(*) FILTER (WHERE event_id % 7 < 2) AS broken,
 def request_metrics(m: Model) -> DataFrame:
     """Requests of a stream that are broken or lack a field: dropped, but counted by the stream itself as it runs."""
     p = F.col("p")
-    rows = sources.polled(m.spark, in_parts(m, m.bodies, "event_id", 2), m.bodies.schema, 1).select("event_id", sources.request_fields(F.col("body")).alias("p"))
+    rows = arriving(m, m.bodies, "event_id", m.bodies.schema, 2).select("event_id", sources.request_fields(F.col("body")).alias("p"))
     counted = rows.observe(
         "requests", F.count(F.lit(1)).alias("requests"), F.count_if(p.isNull()).alias("broken"), F.count_if(p.isNotNull() & (F.coalesce(p["file"], F.lit("")) == "")).alias("without_file"),
         F.count_if(p.isNotNull() & (p["sessionUid"] == 0) & p["file"].isNotNull() & (p["file"] == "")).alias("without_session"),

@@ -179,3 +179,20 @@ def test_saves_that_run_again_count_once(spark):
     import hashlib
 
     assert all(hashlib.sha256(b).hexdigest() == name for name, b in stored.items()) and len(stored) == 5
+
+
+def test_parts_arrive_in_many_files(spark, sf_dir, monkeypatch):
+    """Each micro-batch is one whole part, of as many files as any other."""
+    from quirewise.plans import text_queries
+    from quirewise.plans.model import Model
+
+    monkeypatch.setattr(text_queries, "ARRIVING", 50)
+    m, seen = Model(spark, sf_dir), {}
+
+    def keep(rows, batch):
+        seen[batch] = sorted(r.seq for r in rows.select("seq").collect())
+
+    stream = text_queries.arriving(m, m.ops, "seq", streaming.OPS_SCHEMA, 3)
+    assert len(stream.sparkSession.read.parquet(text_queries.in_parts(m, m.ops, "seq", 3)[0]).inputFiles()) == 18
+    streaming.polling(stream, keep, new_folder(spark, "state"), every=None).awaitTermination()
+    assert [x for b in sorted(seen) for x in seen[b]] == list(range(1000)) and len(seen) == 3
