@@ -130,7 +130,7 @@ def sessions_from_state(m: Model) -> DataFrame:
     checkpoint = new_folder(m.spark, "state")
     _with_rocksdb(m, lambda: streaming.presence_events(_ops_stream(m), LONG_TTL), "events", checkpoint)
     rows = streaming.state_of(m.spark, checkpoint, "session")
-    return rows.select("key.file", "key.user_id", "value.uid", F.col("value.last").alias("last_heartbeat"))
+    return rows.select("list_element.file", "list_element.user_id", "list_element.uid", F.col("list_element.last").alias("last_heartbeat"))
 
 
 @query(SAVE_REPLAY_SQL.replace("SELECT seq, file, user_id, status, c AS revision FROM f WHERE status <> 'load'", "SELECT file, max(c) AS revision FROM f GROUP BY file"))

@@ -26,8 +26,12 @@ def presence_windows(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -
     return grouped.agg(F.min("t").alias("started"), F.max("t").alias("ended"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "ended", "n")
 
 
+#: Groups that the clients are dealt over: a group's sessions are read and written at once.
+GROUPS = 1024
+
+
 class PresenceProcessor(StatefulProcessor):
-    """A session for each file and user, with a timer at its last heartbeat plus the time to live plus one second.
+    """The sessions of a group of clients, with a timer at the first end of one: its last heartbeat plus the time to live plus one second.
 
     The idealised rule: a session ends as soon as it is older than the time to live, whether or not
     some other request purges then.
@@ -38,38 +42,48 @@ class PresenceProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "uid long, last long")
-
-    def _ended(self, key, what: str, t: int) -> tuple:
-        uid, _ = self.session.get()
-        self.session.clear()
-        return key[0], int(key[1]), int(uid), what, t
+        self.sessions = handle.getListState("session", "file string, user_id long, uid long, last long")
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["file", "user_id", "uid", "event", "t"])
+        return pd.DataFrame(rows, columns=["file", "user_id", "uid", "event", "t"]).astype({"user_id": "Int64"})
+
+    def _open(self) -> dict[tuple, tuple]:
+        """(uid, last) of each client with a session."""
+        return {(file, user): (uid, last) for file, user, uid, last in self.sessions.get()}
+
+    def _keep(self, now: dict[tuple, tuple]) -> None:
+        rows = [(*client, *session) for client, session in now.items()]
+        self.sessions.clear()
+        for k in range(0, len(rows), 10_000):
+            self.sessions.appendList(rows[k : k + 10_000])
+        if rows:  # a millisecond before, so that it has expired when the watermark is at the second itself
+            self.handle.registerTimer((min(last for *_, last in rows) + self.ttl + 1) * 1000 - 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch, out = pd.concat(list(rows)).sort_values("seq"), []
-        for seq, t, op in zip(batch["seq"].tolist(), batch["t"].tolist(), batch["op"].tolist(), strict=True):
-            if self.session.exists() and t - self.session.get()[1] > self.ttl:
-                out.append(self._ended(key, "expired", self.session.get()[1] + self.ttl + 1))
-            if op == "join" and not self.session.exists():
-                self.session.update((seq, t))
-                out.append((key[0], int(key[1]), seq, "joined", t))
-            elif op in ("join", "heartbeat") and self.session.exists():
-                self.session.update((self.session.get()[0], t))
-            elif op == "leave" and self.session.exists():
-                out.append(self._ended(key, "left", t))
+        batch, now, out = pd.concat(list(rows)).sort_values("seq"), self._open(), []
+        users = [None if pd.isna(u) else int(u) for u in batch["user_id"]] if batch["user_id"].hasnans else batch["user_id"].astype(int).tolist()
+        for seq, t, op, client in zip(batch["seq"].tolist(), batch["t"].tolist(), batch["op"].tolist(), zip(batch["file"].tolist(), users, strict=True), strict=True):
+            if client in now and t - now[client][1] > self.ttl:
+                uid, last = now.pop(client)
+                out.append((*client, uid, "expired", last + self.ttl + 1))
+            if op == "join" and client not in now:
+                now[client] = seq, t
+                out.append((*client, seq, "joined", t))
+            elif op in ("join", "heartbeat") and client in now:
+                now[client] = now[client][0], t
+            elif op == "leave" and client in now:
+                out.append((*client, now.pop(client)[0], "left", t))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if self.session.exists():
-            self.handle.registerTimer((self.session.get()[1] + self.ttl + 1) * 1000)
+        self._keep(now)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        gone = self.session.exists() and self.session.get()[1] + self.ttl < now
-        yield self._frame([self._ended(key, "expired", now)] if gone else [])
+        now, time = self._open(), timerValues.getCurrentWatermarkInMs()
+        gone = {client: s for client, s in now.items() if (s[1] + self.ttl + 1) * 1000 <= time}
+        if gone:
+            self._keep({client: s for client, s in now.items() if client not in gone})
+        yield self._frame([(*client, uid, "expired", last + self.ttl + 1) for client, (uid, last) in gone.items()])
 
     def close(self) -> None:
         pass
@@ -78,28 +92,30 @@ class PresenceProcessor(StatefulProcessor):
 def presence_events(ops: DataFrame, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
     """(file, user_id, uid, event, t): sessions joined, left and expired; uid is the seq of the join that made it."""
     moves = ops.filter(F.col("op").isin("join", "heartbeat", "leave")).withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
-    return moves.groupBy("file", "user_id").transformWithStateInPandas(
+    dealt = moves.withColumn("clients", F.pmod(F.xxhash64("file", "user_id"), F.lit(GROUPS)))
+    return dealt.groupBy("clients").transformWithStateInPandas(
         PresenceProcessor(ttl), "file string, user_id long, uid long, event string, t long", "append", "eventtime",
     )
 
 
 class SaveProcessor(StatefulProcessor):
-    """The replay of saves with a file's state in the state store: one value and one map."""
+    """The replay of saves with a file's state in the state store: one value, and what users know in lists of many."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.revision = handle.getValueState("revision", "revision int")
-        self.known = handle.getMapState("known", "user_id long", "revision int")
+        self.known = handle.getListState("known", "users array<long>, revisions array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
-        users = {int(u) for u in batch["user_id"]}
-        known = {u: self.known.getValue((u,))[0] for u in users if self.known.containsKey((u,))}
+        known = {u: r for users, revisions in self.known.get() for u, r in zip(users, revisions, strict=True)}
         revision = self.revision.get()[0] if self.revision.exists() else 0
         state = SaveState(key[0], revision, known)
-        made = [r for r in map(state.step, batch["file"], batch["seq"], batch["user_id"], batch["op"]) if r]
+        made = [r for r in map(state.step, batch["file"].tolist(), batch["seq"].tolist(), batch["user_id"].tolist(), batch["op"].tolist()) if r]
         self.revision.update((state.revision,))
-        for u, r in state.known.items():
-            self.known.updateValue((int(u),), (int(r),))
+        users, revisions = [int(u) for u in state.known], [int(r) for r in state.known.values()]
+        self.known.clear()
+        for k in range(0, len(users), 10_000):
+            self.known.appendValue((users[k : k + 10_000], revisions[k : k + 10_000]))
         yield pd.DataFrame(made, columns=["seq", "file", "user_id", "status", "revision"])
 
     def close(self) -> None:

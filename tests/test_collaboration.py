@@ -296,3 +296,18 @@ def test_presence_stream_emits_all_sessions(spark, sf_dir):
     got = catalog.QUERIES["presence_stream"](spark, sf_dir).collect()
     whole = presence.windows(Model(configure(spark), sf_dir).ops, 21_600).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+
+
+def test_sessions_are_kept_in_groups(spark, rocksdb, monkeypatch):
+    """The state of many clients lies in few groups, and says who is there."""
+    from quirewise.tables import new_folder
+
+    monkeypatch.setattr(streaming, "GROUPS", 2)
+    folder, checkpoint = new_folder(spark, "ops"), new_folder(spark, "state")
+    spark.createDataFrame([(u, 1000 + u, u, "join", "f") for u in range(30)] + [(30, 1040, 4, "leave", "f"), (31, 1041, 5, "heartbeat", "f")], OPS).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(OPS).parquet(folder)
+    events = streaming.run_once(spark, streaming.presence_events(stream, 45), new_folder(spark, "events"), checkpoint)
+    assert events.filter("event = 'joined'").count() == 30
+    state = streaming.state_of(spark, checkpoint, "session")
+    assert state.select("key").distinct().count() <= 2
+    assert {r.user_id: r.last for r in state.select("list_element.*").collect()} == {u: 1041 if u == 5 else 1000 + u for u in range(30) if u != 4}
