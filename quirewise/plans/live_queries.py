@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources, streaming
 from ..operators import presence, revisions, saves
 from ..sources.cadence import BEAT, POLL, CadenceSource
-from ..streaming.save_log import SaveLog, saver
+from ..streaming.save_log import SaveLog, bytes_name, saver
 from ..streaming.session_table import SessionTable, upserts
 from ..tables import new_folder
 from .collaboration_queries import _REPLAY, SAVE_REPLAY_SQL, SIX_HOURS, sessions_sql
@@ -183,7 +183,9 @@ def saved_files(m: Model) -> DataFrame:
     """Each saved file's latest revision, with the hash of the bytes that are read back for it."""
     log = _saved(m)
     latest = revisions.latest(log.log(m.spark).drop("batch"))
-    stored = sources.binary_files(m.spark, log.bytes_folder()).select(F.substring_index("name", ".", 1).alias("content_hash"), F.sha2("content", 256).alias("bytes_hash"))
+    name = bytes_name(F.col("content_hash")).alias("name")
+    read = sources.read_binaries(latest.select(name).distinct(), log.bytes_folder())
+    stored = read.select(F.regexp_extract("name", r"/(\w+)\.", 1).alias("content_hash"), F.sha2("content", 256).alias("bytes_hash"))
     return latest.join(stored, "content_hash").select("file_identifier", "revision", "content_hash", "bytes_hash")
 
 

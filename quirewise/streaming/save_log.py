@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -21,6 +21,11 @@ LOG = "uid long, file_identifier string, revision long, content_hash string, sav
 ANSWERS = "seq long, status int, error string, revision long, content_hash string, batch long"
 
 
+def bytes_name(content_hash: Column) -> Column:
+    """The file of the bytes with a hash, in one of 256 subfolders."""
+    return F.concat(F.substring(content_hash, 1, 2), F.lit("/"), content_hash, F.lit(".docx"))
+
+
 class SaveLog:
     def __init__(self, path: str):
         self.path = path.rstrip("/")
@@ -49,7 +54,8 @@ class SaveLog:
         latest = revisions.latest(self.log(spark, done).join(mine, "file_identifier", "left_semi"))
         answers = written(saves.answered(asked, latest.select(F.col("file_identifier").alias("file"), "revision")), "save-answers")
         accepted = answers.filter("status = 200")
-        named = accepted.select(F.concat("content_hash", F.lit(".docx")).alias("name"), "content").dropDuplicates(["name"])
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small rows, but a file each: not to be merged by size
+        named = accepted.select(bytes_name(F.col("content_hash")).alias("name"), "content").repartition(tasks, "name").dropDuplicates(["name"])
         sources.write_binaries(named, self.bytes_folder()).write.format("noop").mode("overwrite").save()
         rows = accepted.select(F.col("seq").alias("uid"), F.col("file").alias("file_identifier"), "revision", "content_hash", F.col("uid").alias("saved_by"))
         for kind, out in (("revisions", rows), ("answers", answers.select("seq", "status", "error", "revision", "content_hash"))):

@@ -196,3 +196,13 @@ def test_parts_arrive_in_many_files(spark, sf_dir, monkeypatch):
     assert len(stream.sparkSession.read.parquet(text_queries.in_parts(m, m.ops, "seq", 3)[0]).inputFiles()) == 18
     streaming.polling(stream, keep, new_folder(spark, "state"), every=None).awaitTermination()
     assert [x for b in sorted(seen) for x in seen[b]] == list(range(1000)) and len(seen) == 3
+
+
+def test_binary_files_of_subfolders(spark):
+    folder = new_folder(spark, "files")
+    rows = [(f"{k % 3}/{k}.docx", b"x" * k) for k in range(20)] + [("own.docx", b"own"), ("empty.docx", b"")]
+    assert sources.write_binaries(spark.createDataFrame(rows, "name string, content binary"), folder).count() == 22
+    got = sorted((r.name, bytes(r.content), r.size) for r in sources.binary_files(spark, folder).collect())
+    assert got == sorted((n.split("/")[-1], c, len(c)) for n, c in rows)
+    named = spark.createDataFrame([("1/4.docx",), ("empty.docx",)], "name string")
+    assert sorted((r.name, bytes(r.content)) for r in sources.read_binaries(named, folder).collect()) == [("1/4.docx", b"xxxx"), ("empty.docx", b"")]
