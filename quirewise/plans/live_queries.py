@@ -72,7 +72,8 @@ def cadence(m: Model, folder: str, since: int, until: int) -> DataFrame:
 def editors_folder(m: Model) -> tuple[str, int, int]:
     """The editors written as a folder, the second before the first opens, and the last second of any."""
     folder = new_folder(m.spark, "editors")
-    editors(m).repartitionByRange("opened").sortWithinPartitions("opened").write.parquet(folder)
+    tasks = int(m.spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, but very many requests of each: not to be merged by size
+    editors(m).repartitionByRange(tasks, "opened").sortWithinPartitions("opened").write.parquet(folder)
     first, last = m.spark.read.parquet(folder).agg(F.min("opened"), F.max("closed")).head()
     return folder, first or 0, last or 0
 

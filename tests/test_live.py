@@ -206,3 +206,12 @@ def test_binary_files_of_subfolders(spark):
     assert got == sorted((n.split("/")[-1], c, len(c)) for n, c in rows)
     named = spark.createDataFrame([("1/4.docx",), ("empty.docx",)], "name string")
     assert sorted((r.name, bytes(r.content)) for r in sources.read_binaries(named, folder).collect()) == [("1/4.docx", b"xxxx"), ("empty.docx", b"")]
+
+
+def test_editors_are_dealt_over_files(spark, sf_dir):
+    """Few rows stand for very many requests, so all tasks get some."""
+    from quirewise.plans import live_queries
+    from quirewise.plans.model import Model
+
+    folder, first, last = live_queries.editors_folder(Model(spark, sf_dir))
+    assert first < last and len(spark.read.parquet(folder).inputFiles()) > 1
