@@ -1,22 +1,26 @@
 """Collocations of two and three words, mined through a sketch and automata.
 
 1. Texts become shards, one row each: at most about `SHARD_BYTES` of one language, lower-case words with
-   one space around each and a line end between pieces.  They are written once.
+   one space around each and a line end between pieces.  They are written once, compressed, and move so.
 2. Each shard sends, for each of its distinct phrases of one to three words, a cell and a count: a sketch
    with a cell for each occurrence in the corpus or more (so it grows with it), cut into blocks.  A task
    adds up one block and answers each shard, one bit a cell, which cells reach the least count.  A cell is
    an upper bound of each phrase in it, so no phrase that is frequent enough is lost.
 3. Each shard compiles its own phrases of two or three words whose bound is high enough into an automaton
    (pyahocorasick), each with a delimiter on both sides, and scans its text once: matches overlap, and none
-   crosses a piece.  Single words, which are no candidates, are counted as they are coded.
-4. Counts are summed over shards, and only then the thresholds apply, to exact counts.
+   crosses a piece.  Single words, which are no candidates, are counted as they are coded.  A task scans
+   `SHARDS_A_TASK` shards in the order of their languages, and adds up its own counts before it sends them.
+4. Counts are summed over tasks, and only then the thresholds apply, to exact counts.
+5. A phrase of k words takes the counts of both sides of its cuts from its first k - 1 and its last k - 1
+   words, which have those of theirs; so two rows a phrase move, however many cuts it has.
 
-A task holds one shard or one block.  No list of candidates of the whole corpus meets anywhere.
+A task holds one shard or one block, and counts that spill.  No list of candidates of the whole corpus meets anywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from operator import itemgetter
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_key, col, small_batches, table, texts, written
+from .common import arrow_map, by_key, col, scratch, small_batches, table, texts, written
 
 LEAST = 10
 LONGEST = 3
@@ -36,6 +40,8 @@ PARTS = 64
 INSIDE = 50
 SHARD_BYTES = 2 << 20
 HELD_BYTES = 64 << 20
+#: Shards whose counts are added up before they are shuffled: a phrase goes out once for them all.
+SHARDS_A_TASK = 32
 #: Cells of a block, as a power of two; blocks grow once the sketch has 1,024 of them.
 BLOCK_BITS = (20, 26)
 
@@ -63,8 +69,13 @@ def cut_at_pieces(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _opened(text: bytes, size: int) -> str:
+    """The text of a shard."""
+    return pa.decompress(text, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+
 def shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(shard, lang, n, text): pieces of one language; n is the number of words."""
+    """(shard, lang, n, size, text): pieces of one language; n is the number of words, text is compressed and has `size` bytes else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,8 +88,8 @@ def shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             made += 1
             text = b" " + b" \n ".join(held.pop(lang)[1]) + b" "
             n = text.count(b" ") - 1 - text.count(b"\n")
-            columns = ([(own << 32) + made], pa.int64()), ([lang], pa.string()), ([n], pa.int64()), ([text.decode("utf-8", "surrogatepass")], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["shard", "lang", "n", "text"])
+            columns = ([(own << 32) + made], pa.int64()), ([lang], pa.string()), ([n], pa.int64()), ([len(text)], pa.int64()), ([pa.compress(text, "zstd", asbytes=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["shard", "lang", "n", "size", "text"])
 
         for b in batches:
             for text, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
@@ -95,7 +106,7 @@ def shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             yield flush(lang)
 
     rows = docs.select(col(text_col).alias("text"), F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, "shard long, lang string, n long, text string")
+    return rows.mapInArrow(run, "shard long, lang string, n long, size long, text binary")
 
 
 class Phrases:
@@ -149,56 +160,62 @@ def _block_bits(bits: int) -> int:
 
 
 def sketch_messages(parts: DataFrame, bits: int) -> DataFrame:
-    """(shard, block, size, cells, counts): a shard's cells in one block, ascending, as bytes of their differences."""
+    """(lang, shard, block, size, cells): a shard's cells in one block, ascending, as bytes of their differences, and their counts; compressed."""
     low = _block_bits(bits)
 
-    def sent(shard: int, lang: str, text: str) -> Iterator[tuple]:
-        p = Phrases(text)
+    def sent(lang: str, shard: int, length: int, text: bytes) -> Iterator[tuple]:
+        p = Phrases(_opened(text, length))
         cell, at = np.unique(p.cells(lang, bits), return_inverse=True)
         counts = np.minimum(np.bincount(at, np.concatenate([n for _, n in p.kinds]), len(cell)), LEAST).astype(np.uint8)
         edges = np.flatnonzero(np.diff(cell >> low, prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(cell)], strict=True):
             steps = np.diff(cell[a:b] & ((1 << low) - 1), prepend=0).astype("<u4")
-            yield shard, int(cell[a] >> low), int(b - a), steps.view(np.uint8).reshape(-1, 4).T.tobytes(), counts[a:b].tobytes()  # the high bytes, mostly zeros, together
+            yield lang, shard, int(cell[a] >> low), int(b - a), pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts[a:b].tobytes(), "zstd", asbytes=True)  # the high bytes, mostly zeros, together
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            out = [m for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text")), strict=True) for m in sent(*row)]
-            return {c: [m[k] for m in out] for k, c in enumerate(("shard", "block", "size", "cells", "counts"))}
+            out = [m for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "size", "text")), strict=True) for m in sent(*row)]
+            return {c: [m[k] for m in out] for k, c in enumerate(("lang", "shard", "block", "size", "cells"))}
 
         return f
 
-    return arrow_map(parts, "shard long, block long, size int, cells binary, counts binary", make)
+    return arrow_map(parts, "lang string, shard long, block long, size int, cells binary", make)
 
 
 def sketch_answers(messages: DataFrame, bits: int, least: int) -> DataFrame:
-    """(shard, block, size, reached): of each message, one bit a cell, whether the cell's sum over all shards reaches `least`."""
+    """(lang, shard, block, size, reached): of each message, one bit a cell, whether the cell's sum over all shards reaches `least`."""
     low = _block_bits(bits)
 
     def answer(pdf):
         import pandas as pd
 
         sums = np.zeros(1 << low, np.uint8)
-        cells = [np.cumsum(np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64) for c in pdf["cells"]]
-        for own, n in zip(cells, pdf["counts"], strict=True):
-            sums[own] = np.minimum(sums[own] + np.frombuffer(n, np.uint8), least)  # a message has each cell once
-        return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "size": pdf["size"], "reached": [np.packbits(sums[own] >= least).tobytes() for own in cells]})
+        cells = []
+        for data, size in zip(pdf["cells"], pdf["size"], strict=True):
+            rows = np.frombuffer(pa.decompress(data, 5 * size, "zstd"), np.uint8).reshape(5, -1)
+            own = np.cumsum(rows[:4].T.copy().view("<u4").ravel(), dtype=np.int64)
+            sums[own] = np.minimum(sums[own] + rows[4], least)  # a message has each cell once
+            cells.append(own)
+        return pd.DataFrame({"lang": pdf["lang"], "shard": pdf["shard"], "block": pdf["block"], "size": pdf["size"], "reached": [np.packbits(sums[own] >= least).tobytes() for own in cells]})
 
-    return messages.groupBy("block").applyInPandas(answer, "shard long, block long, size int, reached binary")
+    return messages.groupBy("block").applyInPandas(answer, "lang string, shard long, block long, size int, reached binary")
 
 
 def scanned(parts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
-    """(lang, k, phrase, f): the shards' counts of the phrases whose bound is high enough; k is the number of words."""
-    listed = answers.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "size", "reached"))).alias("answers"))
-    met = parts.select("shard", "lang", "text").join(listed, "shard")
+    """(lang, k, phrase, f): the shards' counts of the phrases whose bound is high enough; k is the number of words.
 
-    def counted(lang: str, text: str, got: list[dict]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    A partition has the shards of one language, or of neighbours, so that few counts are left when it has added its own.
+    """
+    # a shard's text goes before its answers
+    rows = parts.select("lang", "shard", F.lit(-1).cast("long").alias("block"), "size", "text").unionByName(answers.select("lang", "shard", "block", F.col("size").cast("long"), F.col("reached").alias("text")))
+    met = rows.repartitionByRange(-(-parts.count() // SHARDS_A_TASK) or 1, "lang", "shard").sortWithinPartitions("lang", "shard", "block")
+
+    def counted(lang: str, text: str, got: list[np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
         import ahocorasick
 
         p = Phrases(text)
         _, at = np.unique(p.cells(lang, bits), return_inverse=True)
-        reached = np.concatenate([np.unpackbits(np.frombuffer(x["reached"], np.uint8), count=x["size"]) for x in got]).astype(bool)
-        reached = reached[at]
+        reached = np.concatenate(got).astype(bool)[at]
         words, *longer = p.named(reached)
         own = p.kinds[0][1][reached[: len(p.kinds[0][1])]]  # words are no candidates: their counts are there
         del p, at, reached
@@ -211,15 +228,28 @@ def scanned(parts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
         sizes = np.repeat(np.arange(1, LONGEST + 1, dtype=np.int32), [len(words), *map(len, longer)])
         return words + names, sizes, np.concatenate([own, np.bincount(found, minlength=len(names))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[np.ndarray]]]:
+        """Language, text and answers of each shard."""
+        lang, text, got = "", None, []
         for b in batches:
             for row in range(b.num_rows):
-                lang, text, got = (b.column(c)[row].as_py() for c in ("lang", "text", "answers"))
-                names, sizes, counts = counted(lang, text, got)
-                for lo in range(0, len(names), 50_000):
-                    own = slice(lo, lo + 50_000)
-                    columns = pa.array([lang] * len(names[own]), pa.string()), pa.array(sizes[own], pa.int32()), pa.array(names[own], pa.string()), pa.array(counts[own], pa.int64())
-                    yield pa.RecordBatch.from_arrays(list(columns), names=["lang", "k", "phrase", "f"])
+                own, block, size, data = (b.column(c)[row].as_py() for c in ("lang", "block", "size", "text"))
+                if block >= 0:
+                    got.append(np.unpackbits(np.frombuffer(data, np.uint8), count=size))
+                    continue
+                if text is not None:
+                    yield lang, text, got
+                lang, text, got = own, _opened(data, size), []
+        if text is not None:
+            yield lang, text, got
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in whole(batches):
+            names, sizes, counts = counted(*shard)
+            for lo in range(0, len(names), 50_000):
+                own = slice(lo, lo + 50_000)
+                columns = pa.array([shard[0]] * len(names[own]), pa.string()), pa.array(sizes[own], pa.int32()), pa.array(names[own], pa.string()), pa.array(counts[own], pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["lang", "k", "phrase", "f"])
 
     return met.mapInArrow(run, "lang string, k int, phrase string, f long")
 
@@ -227,8 +257,7 @@ def scanned(parts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 def phrase_counts(parts: DataFrame, words: int, least: int = LEAST) -> DataFrame:
     """(lang, k, phrase, f): exact counts of all phrases of one to three words that occur at least `least` times in a language."""
     bits = max(10, (LONGEST * words).bit_length())
-    messages = written(sketch_messages(parts, bits), "phrase-cells")
-    answers = written(sketch_answers(messages, bits, least), "phrase-bounds")
+    answers = written(sketch_answers(sketch_messages(parts, bits), bits, least), "phrase-bounds")
     return scanned(parts, answers, bits).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
@@ -237,6 +266,31 @@ def _words(phrase: Column, n: int) -> Column:
     return F.substring_index(phrase, " ", n)
 
 
+def valued(counts: DataFrame) -> Iterator[DataFrame]:
+    """(lang, phrase, a, l, r, score) of the candidates of each length; those inside a longer one that is too frequent are gone."""
+    below, ends = counts.filter("k = 1").select("lang", F.col("phrase").alias("part"), "f"), []
+    for k in range(2, LONGEST + 1):
+        own = counts.filter(F.col("k") == k)
+        asked = own.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), _words(F.col("phrase"), n).alias("part")) for side, n in ((0, k - 1), (1, 1 - k))])).alias("e")).select("lang", "phrase", "a", "e.*")
+        held = asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("held"), F.max("a").alias("around"))
+        below = written(below.join(held, ["lang", "part"], "left"), f"phrases-{k - 1}")
+        if k > 2:
+            yield _scored(below.filter(F.col("around").isNull() | (100 * F.col("around") < INSIDE * F.col("f"))), ends)
+        # the first words have the counts of their beginnings, the last words those of their ends
+        of = {f"l{j}": (0, f"l{j}") for j in range(1, k - 1)} | {f"l{k - 1}": (0, "f"), "r1": (1, "f")} | {f"r{j}": (1, f"r{j - 1}") for j in range(2, k)}
+        met = by_key(asked, below.filter("held > 0").drop("around"), ["lang", "part"], "held")
+        both = met.groupBy("lang", F.col("phrase").alias("part")).agg(F.max("a").alias("f"), *[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"new_{out}") for out, (side, c) in of.items()])
+        below, ends = both.select("lang", "part", "f", *[F.col(f"new_{c}").alias(c) for c in of]), list(range(1, k))
+    yield _scored(below, ends)
+
+
+def _scored(phrases: DataFrame, cuts: list[int]) -> DataFrame:
+    """The worst cut of each phrase."""
+    rows = phrases.withColumnsRenamed({"part": "phrase", "f": "a"})
+    worst = F.array_min(F.array(*[F.struct(_score(f"l{j}", f"r{j}").alias("score"), F.lit(j).alias("cut"), F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r")) for j in cuts]))
+    return rows.withColumn("w", worst).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int | None = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two or three words.
 
@@ -248,26 +302,16 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ValueError("least must fit into a byte of the sketch")
     if least != LEAST:
         raise ValueError(f"messages carry counts up to {LEAST} only")
-    small_batches(docs.sparkSession)
-    parts = written(shards(docs, text_col, lang_col), "phrase-shards")
-    small_batches(docs.sparkSession, size="4m")
-    per_lang = parts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = per_lang.agg(F.sum("n")).head()[0] or 0
-    counts = written(phrase_counts(parts, words, least), "phrase-counts")
-    longer = counts.filter("k > 1")
-    cuts = [(k, j) for k in range(2, LONGEST + 1) for j in range(1, k)]
-    ends = [F.when(F.col("k") == k, F.struct(F.lit(j).alias("cut"), F.lit(side).alias("side"), _words(F.col("phrase"), n).alias("part"))) for k, j in cuts for side, n in (("l", j), ("r", j - k))]
-    asked = written(longer.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.array_compact(F.array(*ends))).alias("e")).select("lang", "phrase", "a", "e.*"), "phrase-parts")
-    held = asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("held"))
-    of_part = written(held.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"]), "phrase-part-counts")
-    valued = by_key(asked, of_part, ["lang", "part"], "held")
-    pick = lambda j, side: F.max(F.when((F.col("cut") == j) & (F.col("side") == side), F.col("f")))
-    sides = valued.groupBy("lang", "phrase", "a").agg(*[pick(j, s).alias(f"{s}{j}") for j in range(1, LONGEST) for s in "lr"])
-    worst = F.array_min(F.array_compact(F.array(*[F.when(F.col(f"l{j}").isNotNull(), F.struct(_score(f"l{j}", f"r{j}").alias("score"), F.lit(j).alias("cut"), F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r"))) for j in range(1, LONGEST)])))
-    scored = sides.withColumn("w", worst).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
-    inner = longer.filter(F.col("k") == LONGEST).select("lang", F.explode(F.array(_words(F.col("phrase"), 2), _words(F.col("phrase"), -2))).alias("phrase"), "f")
-    around = inner.groupBy("lang", "phrase").agg(F.max("f").alias("around"))
-    kept = scored.join(around, ["lang", "phrase"], "left").filter(F.col("around").isNull() | (100 * F.col("around") < INSIDE * F.col("a"))).drop("around")
+    spark = docs.sparkSession
+    with scratch(spark) as keep:  # the shards go once they are counted
+        small_batches(spark)
+        parts = written(shards(docs, text_col, lang_col), "phrase-shards")
+        small_batches(spark, size="4m")
+        per_lang = written(parts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        words = per_lang.agg(F.sum("n")).head()[0] or 0
+        counts = written(phrase_counts(parts, words, least), "phrase-counts")
+        keep += [per_lang, counts]
+    kept = reduce(DataFrame.unionByName, valued(counts))
     order = F.desc("score"), F.desc("a"), F.asc("phrase")
     if top:  # the best of each part of a language first, so that the last ranking gets PARTS * top rows of it at most
         part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
