@@ -6,10 +6,14 @@ hold comes from one small row for each partition (and group), so a group may hol
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..tables import written
 
@@ -42,6 +46,33 @@ def _merged(f: Callable, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if f is F.max else F.coalesce(a + b, a, b)
 
 
+def running_max(df: DataFrame, order: list[str], out: str, value: Column, part: str, parts: int | None = None) -> DataFrame:
+    """`df` with the largest `value`, a whole number, of the rows earlier in `order`, and the number of a row's range of that order.
+
+    As `running` without groups, but a range is scanned as it is written, so rows are shuffled once.
+    """
+    ranges = [parts] if parts else []
+    rows = df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn(out, value.cast("long"))
+    schema = StructType([*rows.schema.fields]).add(part, LongType())
+    placed = written(rows.mapInArrow(lambda batches: _scanned(batches, out, part), schema), "running", tidy=True)
+    heads = placed.groupBy(part).agg(F.max(value.cast("long")).alias("_own"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = heads.select(part, F.max("_own").over(earlier).alias("_before"))
+    return placed.join(before, part).withColumn(out, F.greatest("_before", out)).select(*df.columns, out, part)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], out: str, part: str) -> Iterator[pa.RecordBatch]:
+    """The last column is replaced by the maximum of what came before, and the range's number follows."""
+    none, number = np.iinfo(np.int64).min, TaskContext.get().partitionId()
+    most = none
+    for b in batches:
+        values = b.column(out).fill_null(none).to_numpy(zero_copy_only=False)
+        seen = np.maximum.accumulate(np.concatenate([[most], values]))
+        most = seen[-1]
+        columns = [*b.columns[:-1], pa.array(seen[:-1], mask=seen[:-1] == none), pa.array(np.full(b.num_rows, number, np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, part])
+
+
 def numbered(df: DataFrame, order: list[str], group: list[str], out: str) -> DataFrame:
     """`df` with the number of each row within its group, from 1."""
     placed = running(df, order, {out: (F.sum, F.lit(1))}, group)

@@ -3,16 +3,19 @@
 import base64
 import json
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quirewise import sources, streaming
-from quirewise.operators import presence, revisions, saves
+from quirewise.operators import presence, ranking, revisions, saves
+from quirewise.session import configure
 from quirewise.sources.cadence import CadenceSource
 from quirewise.streaming.save_log import SaveLog, saver
 from quirewise.streaming.session_table import SessionTable, upserts
-from quirewise.tables import new_folder
+from quirewise.tables import _TIDY, new_folder, written
 from tests.test_collaboration import OPS, made
 
 
@@ -76,6 +79,50 @@ def test_lists_where_the_clock_goes_back(spark, seed, monkeypatch):
     assert {r.seq: [tuple(p) for p in r.participants] for r in presence.responses(df, names, 45).collect()} == expected
 
 
+def test_disk_of_lists(spark, monkeypatch):
+    """Lists that repeat each other take little room, and so do the tables and shuffles that they are made from."""
+    from quirewise import tables
+
+    rng, clients = random.Random(5), 300
+    ops = [(k, 1000 + k // 50, k if k < clients else rng.randrange(clients), "join" if k < clients else "heartbeat", "f1") for k in range(900)]
+    names = spark.createDataFrame([(u, f"User {u}") for u in range(clients)], "user_id long, user_name string")
+    before, out = len(tables._tables), new_folder(spark, "lists")
+    monkeypatch.setattr(presence, "CHUNK", 100)
+    lists = presence.responses(configure(spark) and spark.createDataFrame(ops, OPS), names, 45).withColumn("participants", F.to_json("participants"))
+    assert {t.split("/")[-1].split("-")[0] for t in tables._tables[before:]} == {"replay", "chunks", "heads"}
+    lists.write.parquet(out)
+    texts = spark.read.parquet(out).agg(F.sum(F.length("participants"))).head()[0]
+    assert texts > 10_000_000
+    assert sum(f.stat().st_size for f in Path(out.removeprefix("file://")).glob("*.parquet")) < texts / 30
+
+
+def test_shuffles_of_a_tidy_table_go(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return sum("/shuffle_" in found.apply(k).toString() for k in range(found.size()))
+
+    before, kept = files(), spark.conf.get(_TIDY, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(5, "count")
+    assert len(written(rows, "tidy", tidy=True).collect()) == 7
+    for _ in range(100):  # they go beside the job
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(_TIDY, None) == kept
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_largest_of_earlier_rows(spark, parts):
+    rng = random.Random(6)
+    rows = [(k, rng.choice((None, rng.randrange(-(2**60), 2**60)))) for k in range(300)]
+    got = ranking.running_max(spark.createDataFrame(rows, "k long, v long").repartition(5), ["k"], "most", F.col("v"), "part", parts).orderBy("k").collect()
+    assert [(r.k, r.v, r.most) for r in got] == [(k, v, max((w for _, w in rows[:k] if w is not None), default=None)) for k, v in rows]
+    assert [r.part for r in got] == sorted(r.part for r in got)
+    assert parts is None or len({r.part for r in got}) == parts
+
+
 def test_a_torn_compaction_or_batch_changes_nothing(spark):
     ops = spark.createDataFrame(made(13, 120), OPS)
     table = SessionTable(new_folder(spark, "sessions"), 45)
