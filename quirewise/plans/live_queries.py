@@ -10,15 +10,17 @@ from ..operators import presence, revisions, saves
 from ..sources.cadence import BEAT, POLL, CadenceSource
 from ..streaming.save_log import SaveLog, bytes_name, saver
 from ..streaming.session_table import SessionTable, upserts
-from ..tables import new_folder
+from ..tables import new_folder, written
 from .collaboration_queries import _REPLAY, SAVE_REPLAY_SQL, SIX_HOURS, sessions_sql
 from .model import Model
 from .registry import query
-from .text_queries import _ops_stream, _with_rocksdb, arriving
+from .text_queries import ARRIVING, _ops_stream, _with_rocksdb, arriving
 
 #: A time to live under which sessions of the test operations, which are hours apart, last.
 LONG_TTL = 400_000
 LATE = 600
+#: Rows that a run of polls and saves brings into state, about.
+STATE = 2_000_000
 
 
 def session_batches(m: Model, log: str | None = None) -> SessionTable:
@@ -63,10 +65,10 @@ editors AS (SELECT uid, file, user_id, crdate AS opened, last_heartbeat + {prese
 """
 
 
-def cadence(m: Model, folder: str, since: int, until: int) -> DataFrame:
+def cadence(m: Model, folder: str, since: int, until: int, **options) -> DataFrame:
     """What the editors of a folder send up to a second, as a stream."""
     m.spark.dataSource.register(CadenceSource)
-    return m.spark.readStream.format("cadence").options(path=folder, since=str(since), until=str(until)).load()
+    return m.spark.readStream.format("cadence").options(path=folder, since=str(since), until=str(until), **options).load()
 
 
 def editors_folder(m: Model) -> tuple[str, int, int]:
@@ -97,11 +99,24 @@ k AS (SELECT e.uid, e.file, e.user_id, v.revision, e.opened + {POLL} * CAST(ceil
 SELECT uid, file, user_id, t, revision FROM k WHERE t <= closed
 """)
 def remote_newer_stream(m: Model) -> DataFrame:
-    """The first poll of each open editor after another editor's save, with its revision: polls and saves joined as streams."""
+    """The first poll of each open editor after another editor's save, with its revision: polls and saves joined as streams.
+
+    They come in as many runs of one stream as hold the state of about `STATE` rows each: what is joined goes by the watermarks.
+    """
     folder, first, last = editors_folder(m)
     saved = revisions.numbered(m.ops.filter("op = 'save'").select("seq", "file", "user_id", "t")).select("file", F.col("user_id").alias("saved_by"), "t", F.col("revision").cast("long").alias("revision"))
-    newer = streaming.newer_revisions(cadence(m, folder, first, last).filter("kind = 'poll'").drop("kind"), arriving(m, saved, "t", saved.schema, 1), POLL)
-    return streaming.run_once(m.spark, newer, new_folder(m.spark, "newer"), new_folder(m.spark, "state"))
+    saved = written(saved, "saved", tidy=True)
+    rows = m.spark.read.parquet(folder).agg(F.sum(F.ceil((F.col("closed") - F.col("opened")) / (POLL * streaming.RUN)))).head()[0] or 0
+    steps = max(1, -(-int(rows) // STATE))
+    cuts = [first + (last - first) * k // steps for k in range(1, steps)]
+    arrived, out, checkpoint = (new_folder(m.spark, n) for n in ("arriving", "newer", "state"))
+    files = max(1, saved.count() // steps // ARRIVING)
+    for since, until in zip([None, *cuts], [*cuts, None], strict=True):
+        own = saved if since is None else saved.filter(F.col("t") > since)
+        (own if until is None else own.filter(F.col("t") <= until)).repartition(files).write.mode("append").parquet(arrived)
+        polls = cadence(m, folder, first, last if until is None else until, kind="poll", run=str(streaming.RUN)).drop("kind")
+        done = streaming.run_once(m.spark, streaming.newer_revisions(polls, sources.polled(m.spark, arrived, saved.schema, 1_000_000), POLL), out, checkpoint)
+    return done
 
 
 def _ideal_sql(ttl: int) -> str:

@@ -3,7 +3,9 @@
 Intervals (uid, file, user_id, opened, closed) are a Parquet folder; an editor sends a beat every `beat` seconds
 after it opened, and a poll every `poll` seconds, as long as it is open.  An offset is a second: a batch has all
 beats and polls after the last batch's offset up to its own; intervals sorted by time let it read few of them.  Options: path; beat and poll (seconds); since, the
-second before the first; until, the last one that may be sent, else the clock; slice, seconds a task makes at once.
+second before the first; until, the last one that may be sent, else the clock; slice, seconds a task makes at once;
+kind, the only one to send, beat or poll; run, the most requests of an editor that a row stands for: the one at t and the
+n - 1 after it.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class CadenceSource(DataSource):
         return "cadence"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, n long" if "run" in self.options else SCHEMA
 
     def streamReader(self, schema) -> CadenceReader:
         return CadenceReader(self.options)
@@ -48,7 +50,9 @@ class CadenceReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.since = options["path"], int(options.get("since", 0))
         self.until = int(options["until"]) if "until" in options else None
-        self.every = {"beat": int(options.get("beat", BEAT)), "poll": int(options.get("poll", POLL))}
+        every = {"beat": int(options.get("beat", BEAT)), "poll": int(options.get("poll", POLL))}
+        self.every = {kind: n for kind, n in every.items() if kind == options.get("kind", kind)}
+        self.run, self.counted = int(options.get("run", 1)), "run" in options
         self.slice = int(options.get("slice", SLICE))
 
     def initialOffset(self) -> dict:
@@ -89,13 +93,18 @@ class CadenceReader(DataSourceStreamReader):
             first = np.maximum(1, (partition.after - opened) // every + 1)  # the first after the slice's start
             last = (np.minimum(closed, partition.last) - opened) // every
             n = np.maximum(0, last - first + 1)
-            for lo, hi in _chunks(n):
-                row = np.repeat(np.arange(lo, hi), n[lo:hi])
-                k = np.arange(len(row)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[row]
+            runs = -(-n // self.run)
+            for lo, hi in _chunks(runs):
+                row = np.repeat(np.arange(lo, hi), runs[lo:hi])
+                k = np.arange(len(row)) - np.repeat(np.cumsum(runs[lo:hi]) - runs[lo:hi], runs[lo:hi])
                 at = pa.array(row)
                 columns = [rows[c].take(at).combine_chunks() for c in ("uid", "file", "user_id")]
                 columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([kind] * len(row), pa.string()), pa.array(opened[row] + every * k, pa.int64())], names=["uid", "file", "user_id", "kind", "t"])
+                columns += [pa.array([kind] * len(row), pa.string()), pa.array(opened[row] + every * (first[row] + k * self.run), pa.int64())]
+                names = ["uid", "file", "user_id", "kind", "t"]
+                if self.counted:
+                    columns, names = [*columns, pa.array(np.minimum(self.run, n[row] - k * self.run), pa.int64())], [*names, "n"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _chunks(n: np.ndarray, rows: int = 50_000) -> Iterator[tuple[int, int]]:

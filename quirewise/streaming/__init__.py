@@ -183,21 +183,29 @@ def run_once(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: The most polls of an editor that stand in one row of state.
+RUN = 60
+
+
 def newer_revisions(polls: DataFrame, saves: DataFrame, every: int, late: str = "10 seconds") -> DataFrame:
     """(uid, file, user_id, t, revision): each save by another user that a poll is the first to see.
 
-    polls: (uid, file, user_id, t), each of which sees what came after the last one, `every` seconds before;
-    saves: (file, saved_by, t, revision).  Both sides meet by file and band of time, so a row meets those of about
-    a minute, however many its file has.  Watermarks on both sides let the state of either go.
+    polls: (uid, file, user_id, t), each of which sees what came after the last one, `every` seconds before; with n,
+    a row stands for as many polls, at most `RUN`, of which t is the first.  saves: (file, saved_by, t, revision).
+    Both sides meet by file and band of time, so a row meets those of a few minutes, however many its file has.
+    Watermarks on both sides let the state of either go.
     """
-    width = 12 * every
+    width = RUN * every
     band = lambda t: F.floor(t / width)
-    asked = polls.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
-    asked = asked.withColumn("band", F.explode(F.sequence(band(F.col("t") - every + 1), band(F.col("t"))))).alias("p")
+    n = F.col("n") if "n" in polls.columns else F.lit(1)
+    asked = polls.select("uid", "file", "user_id", "t", n.alias("n"), F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
+    asked = asked.withColumn("band", F.explode(F.sequence(band(F.col("t") - every + 1), band(F.col("t") + (F.col("n") - 1) * every)))).alias("p")
     made = saves.select("file", "saved_by", "revision", band(F.col("t")).alias("band"), F.timestamp_seconds("t").alias("saved_at")).withWatermark("saved_at", late).alias("s")
-    since = F.expr(f"s.saved_at > p.at - INTERVAL {every} SECONDS AND s.saved_at <= p.at")
-    met = asked.join(made, (F.col("p.file") == F.col("s.file")) & (F.col("p.band") == F.col("s.band")) & since & (F.col("s.saved_by") != F.col("p.user_id")))
-    return met.select("p.uid", "p.file", "p.user_id", "p.t", "s.revision")
+    since = F.expr(f"s.saved_at > p.at - INTERVAL {every} SECONDS AND s.saved_at <= p.at + INTERVAL {(RUN - 1) * every} SECONDS")
+    first = F.floor((F.unix_seconds("s.saved_at") - F.col("p.t") + every - 1) / every)
+    seen = since & (first < F.col("p.n"))
+    met = asked.join(made, (F.col("p.file") == F.col("s.file")) & (F.col("p.band") == F.col("s.band")) & seen & (F.col("s.saved_by") != F.col("p.user_id")))
+    return met.select("p.uid", "p.file", "p.user_id", (F.col("p.t") + first * every).alias("t"), "s.revision")
 
 
 def state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:

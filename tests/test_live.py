@@ -170,6 +170,44 @@ def test_first_polls_after_a_save(spark):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+@pytest.mark.parametrize("slice_", ["17", "100000"])
+def test_polls_come_in_runs(spark, slice_):
+    """A row stands for up to so many polls; joined with saves, it gives what each poll alone would."""
+    spark.dataSource.register(CadenceSource)
+    rng, folder = random.Random(8), new_folder(spark, "editors")
+    rows = [(k, f"f{k % 2}", k % 3, o, o + rng.choice((0, 4, 5, 44, 45, 300, 1999))) for k, o in enumerate(rng.randrange(100, 900) for _ in range(30))]
+    spark.createDataFrame(rows, "uid long, file string, user_id long, opened long, closed long").repartition(2).write.parquet(folder)
+    stream = spark.readStream.format("cadence").options(path=folder, since="99", until="5000", kind="poll", run=str(streaming.RUN), slice=slice_).load()
+    runs = streaming.run_once(spark, stream, new_folder(spark, "sent"), new_folder(spark, "state"))
+    polls = sorted((u, f, user, t) for u, f, user, o, c in rows for t in range(o + 5, c + 1, 5))
+    sent = [(r.uid, r.file, r.user_id, r.t + 5 * k) for r in runs.collect() for k in range(r.n)]
+    assert sorted(sent) == polls and runs.filter(f"kind <> 'poll' or n < 1 or n > {streaming.RUN}").count() == 0
+    assert slice_ == "17" or runs.count() < len(polls) / 20
+    saved = [(f"f{k % 2}", k % 3, rng.randrange(90, 3000), k) for k in range(200)]
+    got = streaming.newer_revisions(runs, spark.createDataFrame(saved, "file string, saved_by long, t long, revision long"), 5)
+    expected = [(u, f, user, t, r) for u, f, user, t in polls for g, by, s, r in saved if f == g and by != user and t - 5 < s <= t]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_polls_and_saves_in_steps(spark, sf_dir, monkeypatch):
+    """State holds what one of several runs of the stream brings, a row for a run of polls; the rows are those of the SQL."""
+    import __spark_entry__
+    from quirewise.plans import live_queries
+    from tests.oracle import assert_same
+
+    run_once, ran = streaming.run_once, []
+
+    def seen(session, stream, *folders):
+        ran.append(run_once(session, stream, *folders))
+        return ran[-1]
+
+    monkeypatch.setattr(streaming, "run_once", seen)
+    monkeypatch.setattr(live_queries, "STATE", 300)
+    df = __spark_entry__.queries()["remote_newer_stream"](spark, sf_dir)
+    assert_same(df, __spark_entry__.oracle_sql()["remote_newer_stream"], sf_dir)
+    assert len(ran) > 2
+
+
 def test_numbers_of_saves(spark):
     rng = random.Random(4)
     asked = [(k, f"f{rng.randrange(4)}", rng.choice((-1, 0, 1, 2, 3, 7))) for k in range(300)]
