@@ -59,8 +59,7 @@ class CadenceReader(DataSourceStreamReader):
         return {"t": self.since}
 
     def latestOffset(self) -> dict:
-        now = int(time.time())
-        return {"t": now if self.until is None else min(now, self.until)}
+        return {"t": int(time.time()) if self.until is None else self.until}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         """One for each row group whose intervals meet the batch's seconds, and each slice of them."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirewise import sources, streaming
 from quirewise.operators import presence, ranking, revisions, saves
 from quirewise.session import configure
-from quirewise.sources.cadence import CadenceSource
+from quirewise.sources.cadence import CadenceReader, CadenceSource
 from quirewise.streaming.save_log import SaveLog, saver
 from quirewise.streaming.session_table import SessionTable, upserts
 from quirewise.tables import _TIDY, new_folder, written
@@ -189,6 +189,11 @@ def test_polls_come_in_runs(spark, slice_):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+def test_cadence_goes_to_its_end_whatever_the_clock():
+    assert CadenceReader({"path": "file:///none", "until": str(2**40)}).latestOffset() == {"t": 2**40}
+    assert CadenceReader({"path": "file:///none"}).latestOffset()["t"] <= time.time()
+
+
 def test_polls_and_saves_in_steps(spark, sf_dir, monkeypatch):
     """State holds what one of several runs of the stream brings, a row for a run of polls; the rows are those of the SQL."""
     import __spark_entry__
